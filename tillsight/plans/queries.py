@@ -12,9 +12,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tillsight.operators import baskets as B
 from tillsight.operators import clean as C
+from tillsight.operators import cohorts as CO
+from tillsight.operators import customers as CU
 from tillsight.operators import daily as D
-from tillsight.plans.oracle import with_stages
+from tillsight.operators import ranking as RK
+from tillsight.operators import reporting as RP
+from tillsight.operators import segments as SG
+from tillsight.plans.oracle import CENTS, MONEY_SUM, R, sql, with_stages
+from tillsight.schema import FORECAST_FEATURES
 from tillsight.sources.fixtures import retail_raw
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -54,6 +61,55 @@ def daily(spark, sf):
     return D.daily_totals(sales(spark, sf))
 
 
+def features(spark, sf):
+    return D.daily_features(daily(spark, sf))
+
+
+def customers(spark, sf):
+    return CU.customer_features(sales(spark, sf))
+
+
+def scored(spark, sf):
+    return RK.rfm_scores(customers(spark, sf))
+
+
+def segmented(spark, sf):
+    """Customers with RFM scores and rule clusters (cluster = R_score - 1)."""
+    return SG.segment_customers(scored(spark, sf))
+
+
+def churn(spark, sf):
+    return CU.churn_dataset(sales(spark, sf))
+
+
+def heuristic_scores(spark, sf):
+    """A fit-free churn scorer used as fixed model output for the metric and
+    risk operators: p = recency / (recency + 90), predicted churn p >= 0.5."""
+    ch = churn(spark, sf)
+    p = R4(F.col("recency") / (F.col("recency") + F.lit(90.0)))
+    return (ch.withColumn("churn_probability", p)
+              .withColumn("prediction", (F.col("churn_probability") >= 0.5).cast("int"))
+              .withColumn("risk_level", RP.risk_level(F.col("churn_probability"))))
+
+
+def R4(x):
+    from tillsight.functions.scalars import round_even
+    return round_even(x, 4)
+
+
+HEURISTIC_SQL = f"""
+scores AS (
+  SELECT *, {R('recency / (recency + 90.0)', 4)} AS churn_probability FROM churn
+),
+scores2 AS (
+  SELECT *, CAST(churn_probability >= 0.5 AS INTEGER) AS prediction,
+         CASE WHEN churn_probability > -0.01 AND churn_probability <= 0.3 THEN 'Low'
+              WHEN churn_probability > 0.3 AND churn_probability <= 0.6 THEN 'Medium'
+              WHEN churn_probability > 0.6 AND churn_probability <= 1.0 THEN 'High' END AS risk_level
+  FROM scores
+)"""
+
+
 # ---------------------------------------------------------------------------
 # 2.1 / 2.2 scan and cleaning
 # ---------------------------------------------------------------------------
@@ -119,3 +175,459 @@ def q_add_total_price(spark, sf):
 @register("daily_totals", with_stages("daily", "SELECT * FROM daily"))
 def q_daily_totals(spark, sf):
     return daily(spark, sf)
+
+
+@register("identified_only", sql("SELECT * FROM clean WHERE CustomerID IS NOT NULL", "clean"))
+def q_identified_only(spark, sf):
+    return CU.identified_only(sales(spark, sf))
+
+
+@register("cleaning_audit", sql("""
+SELECT 'duplicate' AS rule, CAST((SELECT count(*) FROM retail_raw) - (SELECT count(*) FROM dedup) AS BIGINT) AS rows
+UNION ALL SELECT 'missing_description', (SELECT count(*) FROM dedup) - (SELECT count(*) FROM nodesc)
+UNION ALL SELECT 'cancelled', (SELECT count(*) FROM nodesc) - (SELECT count(*) FROM nocancel)
+UNION ALL SELECT 'invalid_quantity', (SELECT count(*) FROM nocancel) - (SELECT count(*) FROM qtyok)
+UNION ALL SELECT 'invalid_price', (SELECT count(*) FROM qtyok) - (SELECT count(*) FROM priceok)
+UNION ALL SELECT 'kept', (SELECT count(*) FROM priceok)""", "priceok"))
+def q_cleaning_audit(spark, sf):
+    return C.cleaning_audit(raw(spark, sf))
+
+
+@register("cap_audit", sql("""
+SELECT 'Quantity' AS "column", q_lo AS lower, q_hi AS upper, max(Quantity) AS max_before,
+       max(least(greatest(Quantity, q_lo), q_hi)) AS max_after,
+       count(*) FILTER (WHERE Quantity < q_lo) AS capped_low,
+       count(*) FILTER (WHERE Quantity > q_hi) AS capped_high
+FROM priceok CROSS JOIN bounds GROUP BY q_lo, q_hi
+UNION ALL
+SELECT 'UnitPrice', p_lo, p_hi, max(UnitPrice), max(least(greatest(UnitPrice, p_lo), p_hi)),
+       count(*) FILTER (WHERE UnitPrice < p_lo), count(*) FILTER (WHERE UnitPrice > p_hi)
+FROM priceok CROSS JOIN bounds GROUP BY p_lo, p_hi""", "bounds"))
+def q_cap_audit(spark, sf):
+    return C.cap_audit(filtered(spark, sf).transform(C.convert_types))
+
+
+@register("filter_transactions", sql("""
+SELECT * FROM clean WHERE CAST(InvoiceDate AS DATE) BETWEEN DATE '1997-01-01' AND DATE '1998-12-31'
+  AND Country = 'NATION_7'""", "clean"))
+def q_filter_transactions(spark, sf):
+    return RP.filter_transactions(sales(spark, sf), "1997-01-01", "1998-12-31", "NATION_7")
+
+
+@register("daily_sales_range", sql("""
+SELECT * FROM daily WHERE date >= DATE '1996-03-01' AND date <= DATE '1999-06-30'""", "daily"))
+def q_daily_sales_range(spark, sf):
+    return D.daily_sales_range(daily(spark, sf), "1996-03-01", "1999-06-30")
+
+
+@register("invoice_summary", sql(f"""
+SELECT CustomerID, InvoiceNo, min(InvoiceDate) AS invoice_date,
+       {MONEY_SUM('TotalPrice')} AS invoice_value, count(DISTINCT StockCode) AS basket_size
+FROM clean GROUP BY CustomerID, InvoiceNo""", "clean"))
+def q_invoice_summary(spark, sf):
+    inv = CU.invoice_summary(sales(spark, sf))
+    return inv.select("CustomerID", "InvoiceNo", "invoice_date",
+                      (F.col("value_cents") / 100.0).alias("invoice_value"), "basket_size")
+
+
+@register("customer_span", sql("""
+SELECT CustomerID, date_sub('day', min(InvoiceDate), max(InvoiceDate)) AS span_days
+FROM clean WHERE CustomerID IS NOT NULL GROUP BY CustomerID""", "clean"))
+def q_customer_span(spark, sf):
+    return CU.customer_span(CU.identified_only(sales(spark, sf)))
+
+
+@register("customer_features", sql("SELECT * FROM customer_features", "customers"))
+def q_customer_features(spark, sf):
+    return customers(spark, sf)
+
+
+@register("cohort_retention_long", sql("SELECT * FROM cohort_long", "cohorts"))
+def q_cohort_retention_long(spark, sf):
+    return CO.cohort_retention_long(sales(spark, sf))
+
+
+@register("cohort_retention", sql("""
+PIVOT (SELECT cohort_month, period_number, retention FROM cohort_long)
+ON period_number USING first(retention) GROUP BY cohort_month""", "cohorts"))
+def q_cohort_retention(spark, sf):
+    return CO.cohort_retention(sales(spark, sf))
+
+
+@register("first_purchase_month", sql("""
+SELECT CustomerID, strftime(min(CAST(date_trunc('month', InvoiceDate) AS DATE)), '%Y-%m') AS cohort_month
+FROM clean WHERE CustomerID IS NOT NULL GROUP BY CustomerID""", "clean"))
+def q_first_purchase_month(spark, sf):
+    return CO.first_purchase_month(sales(spark, sf))
+
+
+@register("kpis", sql(f"""
+SELECT {MONEY_SUM('TotalPrice')} AS total_revenue, sum(Quantity) AS total_units,
+       count(DISTINCT InvoiceNo) AS n_orders,
+       count(DISTINCT CASE WHEN CustomerID <> 0 THEN CustomerID END) AS customers,
+       coalesce({MONEY_SUM('TotalPrice')} / nullif(count(DISTINCT InvoiceNo), 0), 0.0) AS avg_order_value
+FROM clean""", "clean"))
+def q_kpis(spark, sf):
+    return RP.kpis(sales(spark, sf))
+
+
+@register("kpis_from_daily", sql(f"""
+SELECT {R('CAST(sum(CAST(round_even(revenue * 100.0, 0) AS BIGINT)) AS DOUBLE) / 100.0', 2)} AS total_revenue,
+       CAST(sum(units_sold) AS BIGINT) AS total_units_sold,
+       CAST(sum(num_invoices) AS BIGINT) AS total_orders, count(*) AS days_of_data,
+       (SELECT count(DISTINCT CustomerID) FROM customer_features) AS identified_customers
+FROM daily""", "daily", "customers"))
+def q_kpis_from_daily(spark, sf):
+    return RP.kpis_from_daily(daily(spark, sf), customers(spark, sf))
+
+
+@register("quick_facts", sql("""
+SELECT (SELECT count(*) FROM daily) AS days, count(DISTINCT Country) AS countries,
+       sum(Quantity) / greatest((SELECT count(*) FROM daily), 1) AS units_per_day
+FROM clean""", "daily"))
+def q_quick_facts(spark, sf):
+    s = sales(spark, sf)
+    return RP.quick_facts(s, D.daily_totals(s))
+
+
+@register("date_bounds", sql("SELECT min(date) AS min_date, max(date) AS max_date FROM daily", "daily"))
+def q_date_bounds(spark, sf):
+    return RP.date_bounds(daily(spark, sf))
+
+
+@register("country_list", sql(
+    "SELECT DISTINCT Country FROM clean WHERE Country IS NOT NULL ORDER BY Country", "clean"))
+def q_country_list(spark, sf):
+    return RP.country_list(sales(spark, sf))
+
+
+@register("revenue_by_country", sql(f"""
+SELECT Country, {MONEY_SUM('TotalPrice')} AS revenue FROM clean GROUP BY Country
+ORDER BY revenue DESC, Country LIMIT 10""", "clean"))
+def q_revenue_by_country(spark, sf):
+    return RP.revenue_by_country(sales(spark, sf), 10)
+
+
+@register("top_country", sql(f"""
+SELECT Country, {MONEY_SUM('TotalPrice')} AS revenue FROM clean GROUP BY Country
+ORDER BY revenue DESC, Country LIMIT 1""", "clean"))
+def q_top_country(spark, sf):
+    return RP.top_country(sales(spark, sf))
+
+
+@register("monthly_revenue", sql(f"""
+SELECT strftime(date, '%Y-%m') AS year_month,
+       CAST(sum(CAST(round_even(revenue * 100.0, 0) AS BIGINT)) AS DOUBLE) / 100.0 AS revenue
+FROM features GROUP BY 1""", "features"))
+def q_monthly_revenue(spark, sf):
+    return D.monthly_revenue(features(spark, sf))
+
+
+@register("weekday_seasonality", sql("""
+SELECT CAST(isodow(date) - 1 AS INTEGER) AS day_of_week, avg(units_sold) AS avg_units_sold
+FROM daily GROUP BY 1""", "daily"))
+def q_weekday_seasonality(spark, sf):
+    return D.weekday_seasonality(daily(spark, sf))
+
+
+@register("sales_by_dimension", sql(
+    "SELECT ItemType, sum(Quantity) AS units_sold FROM clean GROUP BY ItemType", "clean"))
+def q_sales_by_dimension(spark, sf):
+    return RP.sales_by_dimension(sales(spark, sf), "ItemType")
+
+
+@register("describe", sql("""
+SELECT 'Quantity' AS "column", count(Quantity) AS count, avg(Quantity) AS mean,
+       stddev_samp(Quantity) AS std, min(Quantity) AS min,
+       quantile_cont(Quantity, 0.25) AS p25, quantile_cont(Quantity, 0.5) AS p50,
+       quantile_cont(Quantity, 0.75) AS p75, max(Quantity) AS max FROM clean
+UNION ALL
+SELECT 'UnitPrice', count(UnitPrice), avg(UnitPrice), stddev_samp(UnitPrice), min(UnitPrice),
+       quantile_cont(UnitPrice, 0.25), quantile_cont(UnitPrice, 0.5),
+       quantile_cont(UnitPrice, 0.75), max(UnitPrice) FROM clean
+UNION ALL
+SELECT 'TotalPrice', count(TotalPrice), avg(TotalPrice), stddev_samp(TotalPrice), min(TotalPrice),
+       quantile_cont(TotalPrice, 0.25), quantile_cont(TotalPrice, 0.5),
+       quantile_cont(TotalPrice, 0.75), max(TotalPrice) FROM clean""", "clean"))
+def q_describe(spark, sf):
+    return RP.describe(sales(spark, sf), ["Quantity", "UnitPrice", "TotalPrice"])
+
+
+@register("target_correlation", sql("SELECT * FROM (" + " UNION ALL ".join(
+    f"SELECT '{c}' AS feature, corr(CAST({c} AS DOUBLE), units_sold) AS correlation FROM features"
+    for c in FORECAST_FEATURES) + ")", "features"))
+def q_target_correlation(spark, sf):
+    return RP.target_correlation(features(spark, sf), list(FORECAST_FEATURES))
+
+
+@register("popular_products", sql("""
+SELECT Description, sum(Quantity) AS Quantity FROM prod GROUP BY Description
+ORDER BY Quantity DESC, Description LIMIT 20""", "products"))
+def q_popular_products(spark, sf):
+    return RP.popular_products(sales(spark, sf), 20)
+
+
+@register("top_revenue_products", sql(f"""
+SELECT Description, {MONEY_SUM('TotalPrice')} AS revenue FROM prod GROUP BY Description
+ORDER BY revenue DESC, Description LIMIT 20""", "products"))
+def q_top_revenue_products(spark, sf):
+    return RP.top_revenue_products(sales(spark, sf), 20)
+
+
+@register("top_n_products_set", sql("""
+SELECT Description FROM prod GROUP BY Description
+ORDER BY sum(Quantity) DESC, Description LIMIT 200""", "products"))
+def q_top_n_products_set(spark, sf):
+    return B.top_items(sales(spark, sf), "Description", 200)
+
+
+@register("top_customers", sql(f"""
+SELECT *, {R('revenue / orders', 2)} AS avg_order_value FROM (
+  SELECT CustomerID, {MONEY_SUM('TotalPrice')} AS revenue, count(DISTINCT InvoiceNo) AS orders,
+         sum(Quantity) AS units
+  FROM clean WHERE CustomerID IS NOT NULL GROUP BY CustomerID
+  ORDER BY revenue DESC, CustomerID LIMIT 15)""", "clean"))
+def q_top_customers(spark, sf):
+    return RP.top_customers(sales(spark, sf), 15)
+
+
+@register("top5_product_share", sql(f"""
+SELECT (SELECT sum(c) FROM (SELECT c FROM pc ORDER BY c DESC, Description LIMIT 5))
+       / (SELECT sum(c) FROM pc) * 100.0 AS top_share_pct""", "products",
+    extra=f"pc AS (SELECT Description, sum({CENTS('TotalPrice')}) AS c FROM prod GROUP BY Description)"))
+def q_top5_product_share(spark, sf):
+    return RP.top_share(sales(spark, sf), 5)
+
+
+@register("rfm_scores", sql("SELECT * FROM rfm", "rfm"))
+def q_rfm_scores(spark, sf):
+    return scored(spark, sf)
+
+
+@register("label_clusters", sql("SELECT * FROM labels", "segments"))
+def q_label_clusters(spark, sf):
+    return SG.label_clusters(SG.score_clusters(scored(spark, sf)))
+
+
+@register("map_labels", sql("SELECT * FROM segments", "segments"))
+def q_map_labels(spark, sf):
+    return segmented(spark, sf)
+
+
+@register("segment_sizes", sql("""
+SELECT segment, count(*) AS count, count(*) / sum(count(*)) OVER () * 100.0 AS share_pct
+FROM segments GROUP BY segment""", "segments"))
+def q_segment_sizes(spark, sf):
+    return RP.segment_sizes(segmented(spark, sf))
+
+
+@register("segment_summary", sql(f"""
+SELECT segment, count(DISTINCT CustomerID) AS customers, {R('avg(recency)', 1)} AS avg_recency,
+       {R('avg(frequency)', 1)} AS avg_frequency, {R('avg(monetary)', 1)} AS avg_monetary
+FROM segments GROUP BY segment""", "segments"))
+def q_segment_summary(spark, sf):
+    return RP.segment_summary(segmented(spark, sf))
+
+
+@register("segment_value", sql(f"""
+SELECT segment, customers, c / 100.0 AS total_monetary, c / sum(c) OVER () * 100.0 AS share_pct FROM (
+  SELECT segment, count(DISTINCT CustomerID) AS customers, sum({CENTS('monetary')}) AS c
+  FROM segments GROUP BY segment)""", "segments"))
+def q_segment_value(spark, sf):
+    return RP.segment_value(segmented(spark, sf))
+
+
+@register("customers_in_segment", sql(
+    "SELECT * FROM segments WHERE lower(segment) = lower('champions')", "segments"))
+def q_customers_in_segment(spark, sf):
+    return RP.customers_in_segment(segmented(spark, sf), "champions")
+
+
+@register("join_segments", sql("""
+SELECT clean.*, segments.segment FROM clean JOIN segments USING (CustomerID)""", "segments"))
+def q_join_segments(spark, sf):
+    return SG.join_segments(sales(spark, sf), segmented(spark, sf))
+
+
+@register("top_products_by_segment", sql("""
+SELECT segment, Description, Quantity FROM (
+  SELECT segment, Description, sum(Quantity) AS Quantity,
+         row_number() OVER (PARTITION BY segment ORDER BY sum(Quantity) DESC, Description) AS r
+  FROM prod JOIN segments USING (CustomerID) GROUP BY segment, Description)
+WHERE r <= 5""", "segments", "products"))
+def q_top_products_by_segment(spark, sf):
+    return SG.top_products_by_segment(sales(spark, sf), segmented(spark, sf), 5)
+
+
+@register("churn_dataset", sql("SELECT * FROM churn", "churn"))
+def q_churn_dataset(spark, sf):
+    return churn(spark, sf)
+
+
+@register("anti_churned", sql("""
+SELECT DISTINCT CustomerID FROM bef WHERE CustomerID NOT IN (SELECT CustomerID FROM ret)""", "churn"))
+def q_anti_churned(spark, sf):
+    return CU.churned_customers(sales(spark, sf))
+
+
+@register("broadcast_scalars", sql("""
+SELECT InvoiceNo, StockCode, InvoiceDate, cutoff, InvoiceDate < cutoff AS before_cutoff
+FROM cid CROSS JOIN cut""", "churn"))
+def q_broadcast_scalars(spark, sf):
+    s = CU.identified_only(sales(spark, sf))
+    cut = CU.churn_cutoff(sales(spark, sf))
+    return (s.crossJoin(F.broadcast(cut))
+             .select("InvoiceNo", "StockCode", "InvoiceDate", "cutoff",
+                     (F.col("InvoiceDate") < F.col("cutoff")).alias("before_cutoff")))
+
+
+@register("churn_risk_counts", sql("""
+SELECT l.risk_level, coalesce(c.customers, 0) AS customers
+FROM (VALUES ('High'), ('Medium'), ('Low')) l(risk_level)
+LEFT JOIN (SELECT risk_level, count(*) AS customers FROM scores2 GROUP BY 1) c USING (risk_level)""",
+    "churn", extra=HEURISTIC_SQL))
+def q_churn_risk_counts(spark, sf):
+    return RP.churn_risk_counts(heuristic_scores(spark, sf))
+
+
+@register("probability_histogram", sql("""
+SELECT bin, count(*) AS count, bin / 20.0 AS lower, (bin + 1) / 20.0 AS upper FROM (
+  SELECT CAST(least(floor(churn_probability * 20), 19) AS INTEGER) AS bin FROM scores2)
+GROUP BY bin""", "churn", extra=HEURISTIC_SQL))
+def q_probability_histogram(spark, sf):
+    return RP.probability_histogram(heuristic_scores(spark, sf))
+
+
+@register("potential_loss", sql(f"""
+SELECT coalesce(sum(CASE WHEN risk_level = 'High' THEN {CENTS('monetary')} END), 0) / 100.0
+       AS potential_loss FROM scores2""", "churn", extra=HEURISTIC_SQL))
+def q_potential_loss(spark, sf):
+    return RP.potential_loss(heuristic_scores(spark, sf))
+
+
+@register("at_risk_customers", sql("""
+SELECT CustomerID, recency, frequency, monetary, churn_probability, risk_level
+FROM scores2 WHERE risk_level = 'High'""", "churn", extra=HEURISTIC_SQL))
+def q_at_risk_customers(spark, sf):
+    return RP.at_risk_customers(heuristic_scores(spark, sf), "High")
+
+
+# ---------------------------------------------------------------------------
+# 2.5 windows and 2.8 scalar functions over the daily series
+# ---------------------------------------------------------------------------
+
+@register("calendar_features", sql("""
+SELECT date, day_of_week, day_of_month, month, year, week_of_year, is_weekend,
+       is_month_start, is_month_end FROM feat0""", "features"))
+def q_calendar_features(spark, sf):
+    return D.calendar_features(daily(spark, sf)).select(
+        "date", "day_of_week", "day_of_month", "month", "year", "week_of_year",
+        "is_weekend", "is_month_start", "is_month_end")
+
+
+@register("avg_order_value", sql("SELECT date, avg_order_value FROM feat0", "features"))
+def q_avg_order_value(spark, sf):
+    return D.avg_order_value(daily(spark, sf)).select("date", "avg_order_value")
+
+
+@register("lag_features", sql(
+    "SELECT date, units_sold, lag_1, lag_7, lag_14, lag_28 FROM feat0", "features"))
+def q_lag_features(spark, sf):
+    return D.lag_features(daily(spark, sf)).select("date", "units_sold", "lag_1", "lag_7",
+                                                    "lag_14", "lag_28")
+
+
+@register("rolling_features", sql("""
+SELECT date, rolling_mean_7, rolling_std_7, rolling_mean_14, rolling_std_14,
+       rolling_mean_30, rolling_std_30 FROM feat0""", "features"))
+def q_rolling_features(spark, sf):
+    return D.rolling_features(daily(spark, sf)).select(
+        "date", "rolling_mean_7", "rolling_std_7", "rolling_mean_14", "rolling_std_14",
+        "rolling_mean_30", "rolling_std_30")
+
+
+@register("daily_features", sql("SELECT * FROM features", "features"))
+def q_daily_features(spark, sf):
+    return features(spark, sf)
+
+
+@register("chronological_split", sql("""
+SELECT date, units_sold, CASE WHEN pos >= n - least(60, greatest(n // 5, 1)) THEN 'test'
+                              ELSE 'train' END AS split
+FROM (SELECT date, units_sold, row_number() OVER (ORDER BY date) - 1 AS pos, count(*) OVER () AS n
+      FROM features)""", "features"))
+def q_chronological_split(spark, sf):
+    return D.chronological_split(features(spark, sf)).select("date", "units_sold", "split")
+
+
+@register("walk_forward_splits", sql("""
+SELECT date, fold, role FROM (
+  SELECT f.date, k.fold,
+         CASE WHEN pos < 90 + (k.fold - 1) * fs THEN 'train'
+              WHEN pos < least(90 + (k.fold - 1) * fs + fs, n) THEN 'test' END AS role,
+         nf, 90 + (k.fold - 1) * fs AS train_end, least(90 + (k.fold - 1) * fs + fs, n) AS test_end
+  FROM (SELECT date, row_number() OVER (ORDER BY date) - 1 AS pos, count(*) OVER () AS n,
+               greatest((count(*) OVER () - 90) // 5, 1) AS fs FROM features) f
+  CROSS JOIN (SELECT unnest(range(1, 6)) AS fold) k
+  CROSS JOIN LATERAL (SELECT least(5, greatest((n - 90) // fs, 1)) AS nf)
+) WHERE fold <= nf AND train_end < test_end AND role IS NOT NULL""", "features"))
+def q_walk_forward_splits(spark, sf):
+    return D.walk_forward_splits(features(spark, sf)).select("date", "fold", "role")
+
+
+@register("last_row", sql("SELECT * FROM features ORDER BY date DESC LIMIT 1", "features"))
+def q_last_row(spark, sf):
+    return D.last_row(features(spark, sf))
+
+
+# ---------------------------------------------------------------------------
+# 2.9 market baskets
+# ---------------------------------------------------------------------------
+
+def item_baskets(spark, sf):
+    return B.build_baskets(sales(spark, sf), "ItemType", None)
+
+
+BASKETS_SQL = """
+ib AS (SELECT InvoiceNo, list_sort(list_distinct(list(ItemType))) AS items FROM clean
+       WHERE ItemType IS NOT NULL AND InvoiceNo IS NOT NULL GROUP BY InvoiceNo
+       HAVING len(list_distinct(list(ItemType))) > 1),
+nb AS (SELECT count(*) AS n FROM ib),
+subs AS (SELECT list_filter(items, lambda x, i: (m >> (i - 1)) & 1 = 1) AS items
+         FROM (SELECT items, unnest(range(1, (1 << len(items)))) AS m FROM ib)),
+fi AS (SELECT items, count(*) AS freq, count(*) / (SELECT n FROM nb) AS support FROM subs
+       GROUP BY items HAVING count(*) / (SELECT n FROM nb) >= 0.01),
+sp AS (SELECT items, support, list_filter(items, lambda x, i: (m >> (i - 1)) & 1 = 1) AS a,
+              list_filter(items, lambda x, i: (m >> (i - 1)) & 1 = 0) AS c
+       FROM (SELECT items, support, unnest(range(1, (1 << len(items)) - 1)) AS m FROM fi
+             WHERE len(items) >= 2)),
+rules AS (SELECT array_to_string(sp.a, ', ') AS antecedents, array_to_string(sp.c, ', ') AS consequents,
+                 sp.support, sp.support / fa.support AS confidence,
+                 sp.support / fa.support / fc.support AS lift
+          FROM sp JOIN fi fa ON fa.items = sp.a JOIN fi fc ON fc.items = sp.c
+          WHERE sp.support / fa.support >= 0.2)"""
+
+
+@register("build_baskets", sql("""
+SELECT InvoiceNo, list_sort(list_distinct(list(Description))) AS items FROM prod
+WHERE Description IN (SELECT Description FROM prod GROUP BY Description
+                      ORDER BY sum(Quantity) DESC, Description LIMIT 200)
+  AND InvoiceNo IS NOT NULL
+GROUP BY InvoiceNo HAVING len(list_distinct(list(Description))) > 1""", "products"))
+def q_build_baskets(spark, sf):
+    return B.build_baskets(sales(spark, sf), "Description", 200)
+
+
+@register("frequent_itemsets", sql("SELECT items, freq, support FROM fi", "clean", extra=BASKETS_SQL))
+def q_frequent_itemsets(spark, sf):
+    return B.frequent_itemsets(item_baskets(spark, sf))
+
+
+@register("association_rules", sql("SELECT * FROM rules", "clean", extra=BASKETS_SQL))
+def q_association_rules(spark, sf):
+    return B.association_rules(B.frequent_itemsets(item_baskets(spark, sf)))
+
+
+@register("filter_rules", sql("SELECT * FROM rules WHERE confidence >= 0.5", "clean", extra=BASKETS_SQL))
+def q_filter_rules(spark, sf):
+    return B.filter_rules(B.association_rules(B.frequent_itemsets(item_baskets(spark, sf))), 0.5)
