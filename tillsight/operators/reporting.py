@@ -223,3 +223,32 @@ def potential_loss(pred: DataFrame) -> DataFrame:
 def at_risk_customers(pred: DataFrame, level: str | None = None) -> DataFrame:
     out = pred if level in (None, "All") else pred.filter(F.col("risk_level") == level)
     return out.select("CustomerID", "recency", "frequency", "monetary", "churn_probability", "risk_level")
+
+
+def report_figures(daily: DataFrame, sales: DataFrame, seg: DataFrame, rules: DataFrame) -> DataFrame:
+    """One row of headline figures: totals and date span (daily table),
+    identified customers (segment table), countries, the segment with the
+    largest spend and its share, the 'At Risk' segment's size and spend (0
+    when absent), and the number of association rules. Each figure is a
+    small aggregate; the one-row results are cross-joined."""
+    d = daily.agg(F.sum(F.rint(F.col("revenue") * 100).cast("long")).alias("_rc"),
+                  F.sum("units_sold").alias("total_units"),
+                  F.min("date").alias("date_start"), F.max("date").alias("date_end")) \
+             .select((F.col("_rc") / 100.0).alias("total_revenue"), "total_units", "date_start", "date_end")
+    cents = F.rint(F.col("monetary") * 100).cast("long")
+    per_seg = seg.groupBy("segment").agg(F.count_distinct("CustomerID").alias("_cust"),
+                                         F.sum(cents).alias("_c"))
+    top = (per_seg.orderBy(F.desc("_c"), F.asc("segment")).limit(1)
+                  .select(F.col("segment").alias("top_segment"),
+                          F.col("_cust").alias("top_segment_customers"), F.col("_c").alias("_top_c")))
+    tot = seg.agg(F.count_distinct("CustomerID").alias("customers"), F.sum(cents).alias("_all_c"),
+                  F.count(F.when(F.col("segment") == "At Risk", 1)).alias("at_risk_customers"),
+                  F.coalesce(F.sum(F.when(F.col("segment") == "At Risk", cents)), F.lit(0)).alias("_risk_c"))
+    countries = sales.agg(F.count_distinct("Country").alias("countries"))
+    n_rules = rules.agg(F.count(F.lit(1)).alias("n_rules"))
+    return (d.crossJoin(tot).crossJoin(countries).crossJoin(top).crossJoin(n_rules)
+             .select("total_revenue", "total_units", "date_start", "date_end", "customers", "countries",
+                     "top_segment", "top_segment_customers",
+                     (F.col("_top_c") / F.col("_all_c") * 100.0).alias("top_segment_share_pct"),
+                     "at_risk_customers", (F.col("_risk_c") / 100.0).alias("at_risk_monetary"),
+                     "n_rules"))

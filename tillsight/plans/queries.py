@@ -631,3 +631,357 @@ def q_association_rules(spark, sf):
 @register("filter_rules", sql("SELECT * FROM rules WHERE confidence >= 0.5", "clean", extra=BASKETS_SQL))
 def q_filter_rules(spark, sf):
     return B.filter_rules(B.association_rules(B.frequent_itemsets(item_baskets(spark, sf))), 0.5)
+
+
+# ---------------------------------------------------------------------------
+# 2.1 sources and sinks (data derived from the test tables by Spark)
+# ---------------------------------------------------------------------------
+
+from tillsight.sources import files as FS  # noqa: E402
+
+
+@register("scan_transactions", sql("SELECT * FROM retail_raw", "raw"))
+def q_scan_transactions(spark, sf):
+    """Export the raw view as a Latin-1 CSV with header variants, then read
+    it back through the CSV source (aliases, text-first, casts by name)."""
+    export = raw(spark, sf).withColumnsRenamed(
+        {"InvoiceNo": "Invoice", "UnitPrice": "Price", "CustomerID": "Customer ID"})
+    path = FS.stage_path(spark, f"raw_csv_{abs(hash(sf))}")
+    (export.write.mode("overwrite").option("header", True).option("encoding", "ISO-8859-1")
+           .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
+           .option("timestampNTZFormat", "yyyy-MM-dd HH:mm:ss").csv(path))
+    return C.convert_types(FS.read_transactions(spark, path)).select(
+        "InvoiceNo", "StockCode", "Description", "Quantity", "InvoiceDate", "UnitPrice",
+        "CustomerID", "Country", "ItemType")
+
+
+@register("normalize_columns", sql("SELECT * FROM retail_raw", "raw"))
+def q_normalize_columns(spark, sf):
+    messy = raw(spark, sf).withColumnsRenamed(
+        {"InvoiceNo": " Invoice ", "UnitPrice": "PRICE", "CustomerID": "customer id",
+         "StockCode": "stockcode", "InvoiceDate": "InvoiceDate "})
+    return FS.check_columns(FS.normalize_columns(messy))
+
+
+@register("union_sources", sql("""
+SELECT * REPLACE (CASE WHEN year(InvoiceDate) < 1998 THEN ItemType END AS ItemType)
+FROM retail_raw""", "raw"))
+def q_union_sources(spark, sf):
+    r = raw(spark, sf)
+    early = r.filter(F.year("InvoiceDate") < 1998)
+    late = r.filter(F.year("InvoiceDate") >= 1998).drop("ItemType")
+    late = late.select(*reversed(late.columns))
+    return FS.union_sources([early, late])
+
+
+@register("write_stage", sql("SELECT *, strftime(InvoiceDate, '%Y-%m') AS InvoiceMonth FROM clean", "clean"))
+def q_write_stage(spark, sf):
+    path = FS.stage_path(spark, f"sales_clean_{abs(hash(sf))}")
+    staged = sales(spark, sf).withColumn("InvoiceMonth", F.date_format("InvoiceDate", "yyyy-MM"))
+    FS.write_stage(staged, path, by=["InvoiceMonth"], sort_by=["InvoiceDate"])
+    return FS.read_stage(spark, path).withColumn("InvoiceMonth", F.col("InvoiceMonth").cast("string"))
+
+
+# ---------------------------------------------------------------------------
+# 2.10 forecasting, 2.11 attribution (MLlib fits: rows-only checks, except
+# the metric operators, checked on a fit-free seasonal-naive prediction)
+# ---------------------------------------------------------------------------
+
+from tillsight.ml import attribution as AT  # noqa: E402
+from tillsight.ml import forecast as FC  # noqa: E402
+from tillsight.operators import metrics as M  # noqa: E402
+
+# Model sizes for the registered runs (the operators default to the
+# reference's sizes: 300 trees, 400 boosting rounds).
+Q_TREES, Q_ROUNDS = 40, 40
+
+
+def split_features(spark, sf):
+    return FC.feature_vector(D.chronological_split(features(spark, sf)))
+
+
+@register("regression_metrics", sql(f"""
+SELECT {R('1 - sum((units_sold - lag_7) ^ 2) / (var_pop(units_sold) * count(*))', 4)} AS R2,
+       {R('sqrt(sum((units_sold - lag_7) ^ 2) / count(*))', 2)} AS RMSE,
+       {R('avg(abs(units_sold - lag_7))', 2)} AS MAE
+FROM (SELECT *, row_number() OVER (ORDER BY date) - 1 AS pos, count(*) OVER () AS n FROM features)
+WHERE pos >= n - least(60, greatest(n // 5, 1))""", "features"))
+def q_regression_metrics(spark, sf):
+    """Seasonal-naive forecast (same weekday-lag a week earlier) on the test split."""
+    t = D.chronological_split(features(spark, sf)).filter(F.col("split") == "test")
+    return M.regression_metrics(t.withColumn("prediction", F.col("lag_7")))
+
+
+def _fit_on_train(spark, sf, fit):
+    data = split_features(spark, sf).persist()
+    return fit(data.filter(F.col("split") == "train")), data
+
+
+def _test_predictions(model, data):
+    return model.transform(data.filter(F.col("split") == "test")).select(
+        "date", "units_sold", F.col("prediction").cast("double").alias("prediction"))
+
+
+@register("feature_vector")
+def q_feature_vector(spark, sf):
+    return split_features(spark, sf).select("date", "split", "features")
+
+
+@register("forecast_linear")
+def q_forecast_linear(spark, sf):
+    m, data = _fit_on_train(spark, sf, FC.forecast_linear)
+    return _test_predictions(m, data)
+
+
+@register("forecast_forest")
+def q_forecast_forest(spark, sf):
+    m, data = _fit_on_train(spark, sf, lambda d: FC.forecast_forest(d, trees=Q_TREES))
+    return _test_predictions(m, data)
+
+
+@register("forecast_boosted")
+def q_forecast_boosted(spark, sf):
+    m, data = _fit_on_train(spark, sf, lambda d: FC.forecast_boosted(d, rounds=Q_ROUNDS))
+    return _test_predictions(m, data)
+
+
+@register("forecast_boosted_no_sampling")
+def q_forecast_boosted_plain(spark, sf):
+    m, data = _fit_on_train(spark, sf, lambda d: FC.forecast_boosted(d, rounds=Q_ROUNDS, rows=1.0, cols=1.0))
+    return _test_predictions(m, data)
+
+
+def _comparison(spark, sf):
+    return FC.model_comparison(features(spark, sf), FC.default_models(trees=Q_TREES, rounds=Q_ROUNDS))
+
+
+@register("model_comparison")
+def q_model_comparison(spark, sf):
+    return _comparison(spark, sf)[0]
+
+
+@register("best_model")
+def q_best_model(spark, sf):
+    return FC.best_model(_comparison(spark, sf)[0])
+
+
+@register("walk_forward_cv")
+def q_walk_forward_cv(spark, sf):
+    return FC.walk_forward_cv(features(spark, sf), FC.forecast_linear)
+
+
+@register("what_if")
+def q_what_if(spark, sf):
+    m, _ = _fit_on_train(spark, sf, FC.forecast_linear)
+    return FC.what_if(m, features(spark, sf))
+
+
+@register("save_load_model")
+def q_save_load_model(spark, sf):
+    from pyspark.ml.regression import LinearRegressionModel
+
+    m, data = _fit_on_train(spark, sf, FC.forecast_linear)
+    path = FS.stage_path(spark, f"models/linear_{abs(hash(sf))}")
+    FC.save_model(m, path, {"best_model": "Linear Regression", "feature_cols": list(FORECAST_FEATURES)})
+    return _test_predictions(FC.load_model(path, LinearRegressionModel), data)
+
+
+def _tree_attr(spark, sf):
+    m, data = _fit_on_train(spark, sf, lambda d: FC.forecast_boosted(d, rounds=Q_ROUNDS))
+    return AT.shap_tree(m, data.filter(F.col("split") == "test"))
+
+
+@register("shap_tree")
+def q_shap_tree(spark, sf):
+    return _tree_attr(spark, sf)
+
+
+@register("shap_linear")
+def q_shap_linear(spark, sf):
+    m, data = _fit_on_train(spark, sf, FC.forecast_linear)
+    return AT.shap_linear(m, data.filter(F.col("split") == "test"), data.filter(F.col("split") == "train"))
+
+
+@register("shap_importance")
+def q_shap_importance(spark, sf):
+    return AT.shap_importance(_tree_attr(spark, sf))
+
+
+@register("explain_one_row")
+def q_explain_one_row(spark, sf):
+    return AT.explain_one_row(_tree_attr(spark, sf))
+
+
+# ---------------------------------------------------------------------------
+# 2.12 segmentation and churn
+# ---------------------------------------------------------------------------
+
+from tillsight.ml import churn as CH  # noqa: E402
+from tillsight.ml import segments as KS  # noqa: E402
+
+
+@register("standardize", sql("""
+SELECT CustomerID,
+       (recency - avg(recency) OVER ()) / nullif(stddev_pop(recency) OVER (), 0) AS recency_z,
+       (frequency - avg(frequency) OVER ()) / nullif(stddev_pop(frequency) OVER (), 0) AS frequency_z,
+       (monetary - avg(monetary) OVER ()) / nullif(stddev_pop(monetary) OVER (), 0) AS monetary_z
+FROM customer_features""", "customers"))
+def q_standardize(spark, sf):
+    return M.standardize(customers(spark, sf), ["recency", "frequency", "monetary"]).select(
+        "CustomerID", "recency_z", "frequency_z", "monetary_z")
+
+
+@register("balanced_weights", sql("""
+SELECT churned, (SELECT count(*) FROM churn) / (2.0 * count(*)) AS weight
+FROM churn GROUP BY churned""", "churn"))
+def q_balanced_weights(spark, sf):
+    return M.class_weights(churn(spark, sf), "churned")
+
+
+@register("binary_metrics", sql(f"""
+SELECT {R('(tp + tn) / nrows', 4)} AS Accuracy,
+       {R('coalesce(tp / nullif(tp + fp, 0), 0.0)', 4)} AS Precision,
+       {R('coalesce(tp / nullif(tp + fn, 0), 0.0)', 4)} AS Recall,
+       {R('coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0.0)', 4)} AS F1,
+       {R('u / (P * N)', 4)} AS ROC_AUC
+FROM (SELECT count(*) AS nrows,
+             sum(CASE WHEN churned = 1 AND prediction = 1 THEN 1 ELSE 0 END)::DOUBLE AS tp,
+             sum(CASE WHEN churned = 0 AND prediction = 1 THEN 1 ELSE 0 END)::DOUBLE AS fp,
+             sum(CASE WHEN churned = 1 AND prediction = 0 THEN 1 ELSE 0 END)::DOUBLE AS fn,
+             sum(CASE WHEN churned = 0 AND prediction = 0 THEN 1 ELSE 0 END)::DOUBLE AS tn
+      FROM scores2)
+CROSS JOIN (SELECT sum(pos * (negb + neg * 0.5)) AS u, sum(pos)::DOUBLE AS P, sum(neg)::DOUBLE AS N FROM (
+  SELECT *, coalesce(sum(neg) OVER (ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS negb
+  FROM (SELECT churn_probability AS s, sum(churned) AS pos, sum(1 - churned) AS neg
+        FROM scores2 GROUP BY 1)))""", "churn", extra=HEURISTIC_SQL))
+def q_binary_metrics(spark, sf):
+    s = heuristic_scores(spark, sf)
+    return M.binary_metrics(s, label="churned", prediction="prediction", score="churn_probability")
+
+
+@register("stratified_split")
+def q_stratified_split(spark, sf):
+    return (CH.stratified_split(churn(spark, sf)).groupBy("split", "churned")
+              .agg(F.count(F.lit(1)).alias("customers")))
+
+
+def _churn_fit(spark, sf):
+    return CH.churn_comparison(churn(spark, sf), trees=Q_TREES)
+
+
+@register("churn_logistic")
+def q_churn_logistic(spark, sf):
+    data = CH.prepare(churn(spark, sf)).persist()
+    train = data.filter(F.col("split") == "train")
+    m = CH.churn_logistic(train, train.count())
+    return CH.churn_score(m, data)
+
+
+@register("churn_forest")
+def q_churn_forest(spark, sf):
+    data = CH.prepare(churn(spark, sf)).persist()
+    m = CH.churn_forest(data.filter(F.col("split") == "train"), trees=Q_TREES)
+    return CH.churn_score(m, data)
+
+
+@register("churn_comparison")
+def q_churn_comparison(spark, sf):
+    return _churn_fit(spark, sf)[0]
+
+
+@register("churn_score")
+def q_churn_score(spark, sf):
+    table, models, data = _churn_fit(spark, sf)
+    best = table.first()["model"]
+    return CH.churn_score(models[best], data)
+
+
+@register("sorted_predictions")
+def q_sorted_predictions(spark, sf):
+    table, models, data = _churn_fit(spark, sf)
+    return CH.churn_score(models["Random Forest"], data).select(
+        "CustomerID", "churn_probability", "risk_level")
+
+
+@register("churn_importance")
+def q_churn_importance(spark, sf):
+    table, models, _ = _churn_fit(spark, sf)
+    best = table.first()["model"]
+    return CH.churn_importance(models[best])
+
+
+@register("kmeans_segments")
+def q_kmeans_segments(spark, sf):
+    return KS.kmeans_segments(scored(spark, sf), k=5, starts=3)[0]
+
+
+@register("k_sweep")
+def q_k_sweep(spark, sf):
+    return KS.k_sweep(scored(spark, sf), range(2, 9))
+
+
+# ---------------------------------------------------------------------------
+# 2.3 report figures (fit-free part; model figures come from model_comparison
+# and walk_forward_cv)
+# ---------------------------------------------------------------------------
+
+@register("report_figures", sql(f"""
+SELECT d.total_revenue, d.total_units, d.date_start, d.date_end,
+       (SELECT count(DISTINCT CustomerID) FROM segments) AS customers,
+       (SELECT count(DISTINCT Country) FROM clean) AS countries,
+       t.segment AS top_segment, t.customers AS top_segment_customers,
+       t.c / (SELECT sum({CENTS('monetary')}) FROM segments) * 100.0 AS top_segment_share_pct,
+       coalesce((SELECT count(*) FROM segments WHERE segment = 'At Risk'), 0) AS at_risk_customers,
+       coalesce((SELECT sum({CENTS('monetary')}) FROM segments WHERE segment = 'At Risk'), 0) / 100.0
+         AS at_risk_monetary,
+       (SELECT count(*) FROM rules) AS n_rules
+FROM (SELECT {MONEY_SUM('revenue')} AS total_revenue, sum(units_sold) AS total_units,
+             min(date) AS date_start, max(date) AS date_end FROM daily) d
+CROSS JOIN (SELECT segment, count(DISTINCT CustomerID) AS customers, sum({CENTS('monetary')}) AS c
+            FROM segments GROUP BY segment ORDER BY c DESC, segment LIMIT 1) t""",
+    "segments", "daily", extra=BASKETS_SQL))
+def q_report_figures(spark, sf):
+    s = sales(spark, sf)
+    seg = segmented(spark, sf)
+    rules = B.association_rules(B.frequent_itemsets(B.build_baskets(s, "ItemType", None)))
+    return RP.report_figures(D.daily_totals(s), s, seg, rules)
+
+
+# ---------------------------------------------------------------------------
+# 2.14 streaming (events table through Structured Streaming)
+# ---------------------------------------------------------------------------
+
+from tillsight.streaming import events as ST  # noqa: E402
+import os as _os  # noqa: E402
+
+
+def _events_stream(spark, sf):
+    return ST.read_events(spark, _os.path.join(sf, "events.parquet"))
+
+
+@register("stream_daily_totals", """
+SELECT CAST(ts AS DATE) AS date, count(*) AS events,
+       CAST(sum(CAST(round_even(value * 100.0, 0) AS BIGINT)) AS DOUBLE) / 100.0 AS value,
+       count(DISTINCT user_id) AS users
+FROM events
+WHERE CAST(CAST(ts AS DATE) AS TIMESTAMP) + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 1 DAY FROM events)
+GROUP BY 1""")
+def q_stream_daily_totals(spark, sf):
+    out = ST.run_available(ST.stream_daily_totals(_events_stream(spark, sf)), "daily_totals")
+    return spark.read.parquet(out)
+
+
+@register("stream_dedupe", "SELECT event_id, ts, user_id, event_type, value, props FROM events")
+def q_stream_dedupe(spark, sf):
+    out = ST.run_available(ST.stream_dedupe(_events_stream(spark, sf)), "dedupe")
+    return spark.read.parquet(out).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+
+
+@register("stream_customer_rfm", """
+SELECT user_id, count(*) AS frequency,
+       CAST(sum(CAST(round_even(value * 100.0, 0) AS BIGINT)) AS DOUBLE) / 100.0 AS monetary,
+       max(ts) AS last_event
+FROM events GROUP BY user_id""")
+def q_stream_customer_rfm(spark, sf):
+    table = ST.stream_customer_rfm(_events_stream(spark, sf))
+    return ST.latest_profiles(spark, table).withColumn("last_event", F.col("last_event").cast("timestamp_ntz"))
