@@ -50,7 +50,7 @@ def churn_forest(train: DataFrame, label: str = LABEL, trees: int = 300, depth:
     """Random forest, balanced weights, sqrt(#features) candidates per split."""
     return RandomForestClassifier(featuresCol="features", labelCol=label, weightCol="weight",
                                   numTrees=trees, maxDepth=depth, featureSubsetStrategy="sqrt",
-                                  seed=seed).fit(train)
+                                  seed=seed, maxMemoryInMB=1024, cacheNodeIds=True).fit(train)
 
 
 def prepare(feats: DataFrame, cols: Sequence[str] = CHURN_FEATURES, label: str = LABEL,
@@ -82,7 +82,8 @@ def churn_comparison(feats: DataFrame, trees: int = 300, seed: int = 42) -> tupl
     """Fit both models on the train split and evaluate the test split in one
     grouped metric job. Returns (table sorted by ROC_AUC desc, models,
     prepared data)."""
-    data = prepare(feats, seed=seed).persist()
+    data = prepare(feats, seed=seed)
+    data = data.repartition(data.sparkSession.sparkContext.defaultParallelism).persist()
     train = data.filter(F.col("split") == "train")
     test = data.filter(F.col("split") == "test")
     n_train = train.count()

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tillsight.functions.scalars import round_even, strip
+from tillsight.operators.quantiles import exact_quantiles
 
 # Rule names in the order they are applied (fixed values).
 RULES = ("duplicate", "missing_description", "cancelled", "invalid_quantity",
@@ -76,18 +77,20 @@ def quantile_bounds(df: DataFrame, cols: Sequence[str], lo: float = 0.01,
                     hi: float = 0.99, exact: bool = True) -> DataFrame:
     """One-row frame with ``{col}_lo`` / ``{col}_hi`` quantile bounds.
 
-    exact=True: ``percentile`` (linear interpolation, equal to pandas and
-    DuckDB ``quantile_cont``). Its partial buffers are value->count maps, so
-    memory grows with the number of *distinct* values, not rows; money and
-    quantity columns have few. exact=False: ``percentile_approx`` (bounded
-    sketch) for high-cardinality columns."""
-    aggs = []
-    for col in cols:
-        if exact:
-            q = F.percentile(F.col(col), F.array(F.lit(lo), F.lit(hi)))
-        else:
-            q = F.percentile_approx(F.col(col), F.array(F.lit(lo), F.lit(hi)), 10000)
-        aggs.append(q.alias(f"_{col}_q"))
+    exact=True: linear-interpolation quantiles (equal to pandas and DuckDB
+    ``quantile_cont``) computed by ``exact_quantiles`` as a distributed plan
+    over distinct values - no task ever holds all distinct values.
+    exact=False: ``percentile_approx`` (one pass, bounded sketch, rank error
+    below 1/10000)."""
+    if exact:
+        out = None
+        for col in cols:
+            q = exact_quantiles(df, col, [lo, hi], prefix=f"_{col}_")
+            q = q.select(F.col(f"_{col}_0").alias(f"{col}_lo"), F.col(f"_{col}_1").alias(f"{col}_hi"))
+            out = q if out is None else out.crossJoin(q)
+        return out
+    aggs = [F.percentile_approx(F.col(col), F.array(F.lit(lo), F.lit(hi)), 10000).alias(f"_{col}_q")
+            for col in cols]
     b = df.agg(*aggs)
     return b.select(*[x for col in cols for x in (
         F.col(f"_{col}_q")[0].cast("double").alias(f"{col}_lo"),

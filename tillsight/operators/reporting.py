@@ -129,17 +129,21 @@ def sales_by_dimension(df: DataFrame, dim: str) -> DataFrame:
 
 def describe(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """count / mean / std / min / quartiles / max per column, one row per
-    column, in one aggregate job (quartiles by exact ``percentile``)."""
-    aggs = []
+    column. Moments come from one aggregate; quartiles are exact
+    (``exact_quantiles``, distributed over distinct values)."""
+    from tillsight.operators.quantiles import exact_quantiles
+
+    rows = None
     for c in cols:
         x = F.col(c).cast("double")
-        aggs.append(F.struct(
-            F.lit(c).alias("column"), F.count(x).alias("count"), F.avg(x).alias("mean"),
-            F.stddev_samp(x).alias("std"), F.min(x).alias("min"),
-            F.percentile(x, F.lit(0.25)).alias("p25"), F.percentile(x, F.lit(0.5)).alias("p50"),
-            F.percentile(x, F.lit(0.75)).alias("p75"), F.max(x).alias("max")).alias(c))
-    wide = df.agg(*aggs)
-    return wide.select(F.inline(F.array(*[F.col(c) for c in cols])))
+        m = df.agg(F.count(x).alias("count"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"),
+                   F.min(x).alias("min"), F.max(x).alias("max"))
+        q = exact_quantiles(df, c, [0.25, 0.5, 0.75], prefix="_p")
+        r = m.crossJoin(q).select(F.lit(c).alias("column"), "count", "mean", "std", "min",
+                                  F.col("_p0").alias("p25"), F.col("_p1").alias("p50"),
+                                  F.col("_p2").alias("p75"), "max")
+        rows = r if rows is None else rows.unionByName(r)
+    return rows
 
 
 def target_correlation(features: DataFrame, cols: Sequence[str], target: str = "units_sold") -> DataFrame:

@@ -53,7 +53,30 @@ def filtered(spark, sf):
             .transform(C.drop_invalid_quantity).transform(C.drop_invalid_price))
 
 
+_STAGED: dict[str, str] = {}
+
+
+def stage_sales(spark, sf, path: str | None = None) -> str:
+    """Clean once and write ``sales_clean`` (sorted inside each file by
+    date) to the shared folder; later ``sales(spark, sf)`` calls read it.
+    This is the reference's own stage hand-over, as a Parquet table."""
+    from tillsight.sources import files as FS
+
+    path = path or FS.stage_path(spark, f"sales_clean_{abs(hash(sf))}")
+    FS.write_stage(C.clean_sales(raw(spark, sf)), path, sort_by=["InvoiceDate"])
+    _STAGED[sf] = path
+    return path
+
+
+def unstage_sales(sf) -> None:
+    _STAGED.pop(sf, None)
+
+
 def sales(spark, sf):
+    """Cleaned transactions: the staged table if one was written for this
+    folder in this process (``stage_sales``), else the cleaning plan."""
+    if sf in _STAGED:
+        return spark.read.parquet(_STAGED[sf])
     return C.clean_sales(raw(spark, sf))
 
 
@@ -697,7 +720,7 @@ Q_TREES, Q_ROUNDS = 40, 40
 
 
 def split_features(spark, sf):
-    return FC.feature_vector(D.chronological_split(features(spark, sf)))
+    return FC.spread(FC.feature_vector(D.chronological_split(features(spark, sf))))
 
 
 @register("regression_metrics", sql(f"""
@@ -871,7 +894,7 @@ def _churn_fit(spark, sf):
 
 @register("churn_logistic")
 def q_churn_logistic(spark, sf):
-    data = CH.prepare(churn(spark, sf)).persist()
+    data = FC.spread(CH.prepare(churn(spark, sf))).persist()
     train = data.filter(F.col("split") == "train")
     m = CH.churn_logistic(train, train.count())
     return CH.churn_score(m, data)
@@ -879,7 +902,7 @@ def q_churn_logistic(spark, sf):
 
 @register("churn_forest")
 def q_churn_forest(spark, sf):
-    data = CH.prepare(churn(spark, sf)).persist()
+    data = FC.spread(CH.prepare(churn(spark, sf))).persist()
     m = CH.churn_forest(data.filter(F.col("split") == "train"), trees=Q_TREES)
     return CH.churn_score(m, data)
 

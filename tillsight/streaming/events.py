@@ -59,11 +59,13 @@ def stream_dedupe(events: DataFrame, keys=("event_id",), delay: str = "1 hour")
 
 
 def run_available(df: DataFrame, name: str, mode: str = "append", root: str | None = None,
-                  partition_by=()) -> str:
+                  partition_by=(), base: str | None = None) -> str:
     """Run a streaming query over everything available now into a parquet
-    sink; return the output path."""
+    sink; return the output path. Passing the same ``base`` again resumes
+    from its checkpoint (new files only, watermark and state kept)."""
     spark = df.sparkSession
-    base = os.path.join(root or checkpoint_dir(spark), "streams", f"{name}-{uuid.uuid4().hex[:8]}")
+    base = base or os.path.join(root or checkpoint_dir(spark), "streams",
+                                f"{name}-{uuid.uuid4().hex[:8]}")
     out, ck = os.path.join(base, "out"), os.path.join(base, "checkpoint")
     w = df.writeStream.format("parquet").outputMode(mode).option("checkpointLocation", ck)
     if partition_by:
