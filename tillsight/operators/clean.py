@@ -83,12 +83,9 @@ def quantile_bounds(df: DataFrame, cols: Sequence[str], lo: float = 0.01,
     exact=False: ``percentile_approx`` (one pass, bounded sketch, rank error
     below 1/10000)."""
     if exact:
-        out = None
-        for col in cols:
-            q = exact_quantiles(df, col, [lo, hi], prefix=f"_{col}_")
-            q = q.select(F.col(f"_{col}_0").alias(f"{col}_lo"), F.col(f"_{col}_1").alias(f"{col}_hi"))
-            out = q if out is None else out.crossJoin(q)
-        return out
+        q = exact_quantiles(df, list(cols), [lo, hi], prefix="__")
+        return q.select(*[x for col in cols for x in (F.col(f"{col}__0").alias(f"{col}_lo"),
+                                                     F.col(f"{col}__1").alias(f"{col}_hi"))])
     aggs = [F.percentile_approx(F.col(col), F.array(F.lit(lo), F.lit(hi)), 10000).alias(f"_{col}_q")
             for col in cols]
     b = df.agg(*aggs)

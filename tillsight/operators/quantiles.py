@@ -45,47 +45,54 @@ def upper_bound(df: DataFrame, edges: str, value: str, out: str, n_edges: int) -
     return res
 
 
-def exact_quantiles(df: DataFrame, col: str, probs: Sequence[float], buckets: int = 256,
+def exact_quantiles(df: DataFrame, cols, probs: Sequence[float], buckets: int = 256,
                     prefix: str | None = None) -> DataFrame:
-    """One-row frame with column ``{prefix}{i}`` = the ``probs[i]`` quantile
-    of ``col`` (nulls and NaN ignored; null when there are no values)."""
-    prefix = prefix if prefix is not None else f"{col}_q"
+    """One-row frame of exact quantiles. ``cols`` is one column name or a
+    list; the result has ``{col}{prefix}{i}`` (default prefix ``_q``) = the
+    ``probs[i]`` quantile of each column (nulls and NaN ignored; null when a
+    column has no values). All columns share one plan: values are tagged with
+    their column index ``_k`` and every step is keyed by it."""
+    cols = [cols] if isinstance(cols, str) else list(cols)
+    prefix = "_q" if prefix is None else prefix
     probs = [float(p) for p in probs]
-    vc = (df.select(F.col(col).cast("double").alias("_v"))
-            .filter(F.col("_v").isNotNull() & ~F.isnan("_v"))
-            .groupBy("_v").agg(F.count(F.lit(1)).alias("_c")))
+    tagged = df.select(F.inline(F.array(*[
+        F.struct(F.lit(k).alias("_k"), F.col(c).cast("double").alias("_v")) for k, c in enumerate(cols)])))
+    vc = (tagged.filter(F.col("_v").isNotNull() & ~F.isnan("_v"))
+                .groupBy("_k", "_v").agg(F.count(F.lit(1)).alias("_c")))
     cuts = [i / buckets for i in range(1, buckets)]
-    sketch = vc.agg(F.percentile_approx("_v", cuts, 10 * buckets).alias("_e"),
-                    F.sum("_c").alias("_n"))
-    bucketed = upper_bound(vc.crossJoin(F.broadcast(sketch.select("_e"))), "_e", "_v", "_b",
+    sketch = vc.groupBy("_k").agg(F.percentile_approx("_v", cuts, 10 * buckets).alias("_e"),
+                                  F.sum("_c").alias("_n"))
+    # the sketch has one row per column: a proven-small broadcast
+    bucketed = upper_bound(vc.join(F.broadcast(sketch.select("_k", "_e")), "_k"), "_e", "_v", "_b",
                            buckets - 1).drop("_e")
-    totals = bucketed.groupBy("_b").agg(F.sum("_c").alias("_t"))
-    offsets = totals.withColumn(
-        "_o", F.coalesce(F.sum("_t").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)),
-                         F.lit(0)))
+    totals = bucketed.groupBy("_k", "_b").agg(F.sum("_c").alias("_t"))
+    offsets = totals.withColumn("_o", F.coalesce(F.sum("_t").over(
+        Window.partitionBy("_k").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     # target ranks (0-based): floor and ceil of (n - 1) * p for each p
-    targets = sketch.select("_n", F.inline(F.array(*[
+    targets = sketch.select("_k", "_n", F.inline(F.array(*[
         F.struct(F.lit(i).alias("_i"), F.lit(p).alias("_p")) for i, p in enumerate(probs)])))
     targets = (targets.withColumn("_h", (F.col("_n") - 1) * F.col("_p"))
-               .select("_i", "_h", F.inline(F.array(
-                   F.struct(F.lit(0).alias("_side"), F.floor("_h").cast("long").alias("_k")),
-                   F.struct(F.lit(1).alias("_side"), F.ceil("_h").cast("long").alias("_k"))))))
-    hit_buckets = (targets.crossJoin(F.broadcast(offsets))
-                   .filter((F.col("_o") <= F.col("_k")) & (F.col("_k") < F.col("_o") + F.col("_t")))
-                   .select("_i", "_h", "_side", "_k", "_b", "_o"))
-    in_bucket = Window.partitionBy("_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
-    cand = (bucketed.join(F.broadcast(hit_buckets.select("_b").distinct()), "_b", "left_semi")
+               .select("_k", "_i", "_h", F.inline(F.array(
+                   F.struct(F.lit(0).alias("_side"), F.floor("_h").cast("long").alias("_r")),
+                   F.struct(F.lit(1).alias("_side"), F.ceil("_h").cast("long").alias("_r"))))))
+    # offsets: one row per (column, bucket) - bounded by buckets x columns
+    hit_buckets = (targets.join(F.broadcast(offsets), "_k")
+                   .filter((F.col("_o") <= F.col("_r")) & (F.col("_r") < F.col("_o") + F.col("_t")))
+                   .select("_k", "_i", "_h", "_side", "_r", "_b", "_o"))
+    in_bucket = Window.partitionBy("_k", "_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
+    cand = (bucketed.join(F.broadcast(hit_buckets.select("_k", "_b").distinct()), ["_k", "_b"], "left_semi")
                     .withColumn("_before", F.coalesce(F.sum("_c").over(in_bucket), F.lit(0))))
-    hits = (cand.join(F.broadcast(hit_buckets), "_b")
-                .filter((F.col("_o") + F.col("_before") <= F.col("_k"))
-                        & (F.col("_k") < F.col("_o") + F.col("_before") + F.col("_c")))
-                .groupBy("_i", "_h")
+    hits = (cand.join(F.broadcast(hit_buckets), ["_k", "_b"])
+                .filter((F.col("_o") + F.col("_before") <= F.col("_r"))
+                        & (F.col("_r") < F.col("_o") + F.col("_before") + F.col("_c")))
+                .groupBy("_k", "_i", "_h")
                 .agg(F.max(F.when(F.col("_side") == 0, F.col("_v"))).alias("_lo"),
                      F.max(F.when(F.col("_side") == 1, F.col("_v"))).alias("_hi")))
     val = F.col("_lo") + (F.col("_hi") - F.col("_lo")) * (F.col("_h") - F.floor("_h"))
-    q = hits.select("_i", F.when(F.col("_hi") == F.col("_lo"), F.col("_lo")).otherwise(val).alias("_q"))
-    ids = sketch.select(F.inline(F.array(*[F.struct(F.lit(i).alias("_i")) for i in range(len(probs))])))
-    one = (ids.join(q, "_i", "left")
-              .agg(*[F.max(F.when(F.col("_i") == i, F.col("_q"))).alias(f"{prefix}{i}")
-                     for i in range(len(probs))]))
-    return one
+    q = hits.select("_k", "_i", F.when(F.col("_hi") == F.col("_lo"), F.col("_lo")).otherwise(val).alias("_q"))
+    # always one row, even when a column has no values
+    anchor = df.sparkSession.range(1).select(F.lit(-1).alias("_k"), F.lit(-1).alias("_i"),
+                                             F.lit(None).cast("double").alias("_q"))
+    return (anchor.unionByName(q)
+            .agg(*[F.max(F.when((F.col("_k") == k) & (F.col("_i") == i), F.col("_q"))).alias(f"{c}{prefix}{i}")
+                   for k, c in enumerate(cols) for i in range(len(probs))]))

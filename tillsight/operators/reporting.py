@@ -133,17 +133,20 @@ def describe(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     (``exact_quantiles``, distributed over distinct values)."""
     from tillsight.operators.quantiles import exact_quantiles
 
-    rows = None
+    q = exact_quantiles(df, list(cols), [0.25, 0.5, 0.75], prefix="__")
+    aggs = []
     for c in cols:
         x = F.col(c).cast("double")
-        m = df.agg(F.count(x).alias("count"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"),
-                   F.min(x).alias("min"), F.max(x).alias("max"))
-        q = exact_quantiles(df, c, [0.25, 0.5, 0.75], prefix="_p")
-        r = m.crossJoin(q).select(F.lit(c).alias("column"), "count", "mean", "std", "min",
-                                  F.col("_p0").alias("p25"), F.col("_p1").alias("p50"),
-                                  F.col("_p2").alias("p75"), "max")
-        rows = r if rows is None else rows.unionByName(r)
-    return rows
+        aggs += [F.count(x).alias(f"{c}__count"), F.avg(x).alias(f"{c}__mean"),
+                 F.stddev_samp(x).alias(f"{c}__std"), F.min(x).alias(f"{c}__min"),
+                 F.max(x).alias(f"{c}__max")]
+    wide = df.agg(*aggs).crossJoin(q)
+    rows = F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"{c}__count").alias("count"),
+                              F.col(f"{c}__mean").alias("mean"), F.col(f"{c}__std").alias("std"),
+                              F.col(f"{c}__min").alias("min"), F.col(f"{c}__0").alias("p25"),
+                              F.col(f"{c}__1").alias("p50"), F.col(f"{c}__2").alias("p75"),
+                              F.col(f"{c}__max").alias("max")) for c in cols])
+    return wide.select(F.inline(rows))
 
 
 def target_correlation(features: DataFrame, cols: Sequence[str], target: str = "units_sold") -> DataFrame:

@@ -1008,3 +1008,60 @@ FROM events GROUP BY user_id""")
 def q_stream_customer_rfm(spark, sf):
     table = ST.stream_customer_rfm(_events_stream(spark, sf))
     return ST.latest_profiles(spark, table).withColumn("last_event", F.col("last_event").cast("timestamp_ntz"))
+
+
+# ---------------------------------------------------------------------------
+# additions: semi join on the top-N set, country panels, CV summary
+# ---------------------------------------------------------------------------
+
+@register("semi_top_products", sql("""
+SELECT * FROM prod WHERE Description IN (
+  SELECT Description FROM prod GROUP BY Description ORDER BY sum(Quantity) DESC, Description LIMIT 200)""",
+    "products"))
+def q_semi_top_products(spark, sf):
+    s = RP.products(sales(spark, sf))
+    return B.keep_top_items(s, B.top_items(s, "Description", 200), "Description")
+
+
+_PANEL_SQL = f"""
+dailyc AS (
+  SELECT Country, CAST(InvoiceDate AS DATE) AS date, sum(Quantity) AS units_sold,
+         {MONEY_SUM('TotalPrice')} AS revenue,
+         count(DISTINCT InvoiceNo) AS num_invoices, count(DISTINCT CustomerID) AS num_customers
+  FROM clean GROUP BY 1, 2
+),
+featc AS (
+  SELECT Country, date, units_sold,
+    lag(units_sold, 1) OVER w AS lag_1, lag(units_sold, 7) OVER w AS lag_7,
+    lag(units_sold, 14) OVER w AS lag_14, lag(units_sold, 28) OVER w AS lag_28,
+    CASE WHEN count(units_sold) OVER w7 = 7 THEN avg(units_sold) OVER w7 END AS rolling_mean_7,
+    CASE WHEN count(units_sold) OVER w7 = 7 THEN stddev_samp(units_sold) OVER w7 END AS rolling_std_7,
+    CASE WHEN count(units_sold) OVER w30 = 30 THEN avg(units_sold) OVER w30 END AS rolling_mean_30,
+    CASE WHEN count(units_sold) OVER w30 = 30 THEN stddev_samp(units_sold) OVER w30 END AS rolling_std_30
+  FROM dailyc
+  WINDOW w AS (PARTITION BY Country ORDER BY date),
+         w7 AS (PARTITION BY Country ORDER BY date ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING),
+         w30 AS (PARTITION BY Country ORDER BY date ROWS BETWEEN 30 PRECEDING AND 1 PRECEDING)
+)"""
+
+
+@register("daily_totals_by_country", sql("SELECT * FROM dailyc", "clean", extra=_PANEL_SQL))
+def q_daily_totals_by_country(spark, sf):
+    return D.daily_totals(sales(spark, sf), keys=("Country",))
+
+
+@register("panel_features_by_country", sql("""
+SELECT * FROM featc WHERE lag_28 IS NOT NULL AND rolling_std_30 IS NOT NULL AND rolling_std_7 IS NOT NULL""",
+    "clean", extra=_PANEL_SQL))
+def q_panel_features_by_country(spark, sf):
+    """Lags and rolling stats per country series (windows partitioned by the
+    key, so the work spreads over tasks)."""
+    d = D.daily_totals(sales(spark, sf), keys=("Country",))
+    out = D.rolling_features(D.lag_features(d, keys=("Country",)), windows=(7, 30), keys=("Country",))
+    return out.select("Country", "date", "units_sold", "lag_1", "lag_7", "lag_14", "lag_28",
+                      "rolling_mean_7", "rolling_std_7", "rolling_mean_30", "rolling_std_30").dropna()
+
+
+@register("cv_summary")
+def q_cv_summary(spark, sf):
+    return FC.cv_summary(FC.walk_forward_cv(features(spark, sf), FC.forecast_linear))
