@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tillsight.functions.scalars import round_even
+from tillsight.operators.quantiles import running_total_before
 
 
 def regression_metrics(pred: DataFrame, label: str = "units_sold", prediction: str = "prediction",
@@ -38,9 +39,9 @@ def binary_metrics(scored: DataFrame, label: str = "label", prediction: str = "p
 
     AUC is the rank-sum statistic with tied scores sharing the average rank:
     P(score_pos > score_neg) + 0.5 P(tie). Rows are first grouped by
-    distinct score (partial aggregation), then the cumulative negatives below
-    each score come from a window over the distinct-score table; with scores
-    rounded to 4 dp that table has at most 10,001 rows per group."""
+    distinct score (partial aggregation); the negatives below each score are
+    a bucketed prefix sum (``running_total_before``), so no task holds all
+    distinct scores of a group."""
     y, p = F.col(label), F.col(prediction)
     g = scored.groupBy(*by) if by else scored
     conf = g.agg(
@@ -52,8 +53,7 @@ def binary_metrics(scored: DataFrame, label: str = "label", prediction: str = "p
     per_score = (scored.groupBy(*by, F.col(score).alias("_s"))
                  .agg(F.sum(F.when(y == 1, 1).otherwise(0)).alias("_pos"),
                       F.sum(F.when(y == 0, 1).otherwise(0)).alias("_neg")))
-    w = Window.partitionBy(*by).orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
-    below = per_score.withColumn("_negb", F.coalesce(F.sum("_neg").over(w), F.lit(0)))
+    below = running_total_before(per_score, "_s", "_neg", "_negb", by=by)
     auc = (below.groupBy(*by)
            .agg(F.sum(F.col("_pos") * (F.col("_negb") + F.col("_neg") * 0.5)).alias("_u"),
                 F.sum("_pos").alias("_P"), F.sum("_neg").alias("_N"))

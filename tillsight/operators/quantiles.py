@@ -96,3 +96,28 @@ def exact_quantiles(df: DataFrame, cols, probs: Sequence[float], buckets: int =
     return (anchor.unionByName(q)
             .agg(*[F.max(F.when((F.col("_k") == k) & (F.col("_i") == i), F.col("_q"))).alias(f"{c}{prefix}{i}")
                    for k, c in enumerate(cols) for i in range(len(probs))]))
+
+
+def running_total_before(df: DataFrame, order: str, value: str, out: str, by: Sequence[str] = (),
+                         buckets: int = 256) -> DataFrame:
+    """``out`` = sum of ``value`` over the rows of the same ``by`` group with
+    a smaller ``order`` (``order`` unique within a group), without a window
+    over a whole group: rows are range-bucketed by approximate quantile
+    edges of ``order`` (one sketch row per group), per-bucket totals give
+    bucket offsets (a window over the bucket table), and the running sum is
+    finished inside each bucket (a window per (group, bucket))."""
+    by = list(by)
+    cuts = [i / buckets for i in range(1, buckets)]
+    g = df.groupBy(*by) if by else df
+    sketch = g.agg(F.percentile_approx(F.col(order).cast("double"), cuts, 10 * buckets).alias("_e"))
+    joined = df.join(F.broadcast(sketch), by) if by else df.crossJoin(F.broadcast(sketch))
+    bucketed = upper_bound(joined.withColumn("_ov", F.col(order).cast("double")), "_e", "_ov", "_b",
+                           buckets - 1).drop("_e", "_ov")
+    totals = bucketed.groupBy(*by, "_b").agg(F.sum(value).alias("_bt"))
+    offs = totals.select(*by, "_b", F.coalesce(F.sum("_bt").over(
+        Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)),
+        F.lit(0)).alias("_bo"))
+    within = Window.partitionBy(*by, "_b").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    return (bucketed.join(F.broadcast(offs), [*by, "_b"])
+                    .withColumn(out, F.col("_bo") + F.coalesce(F.sum(value).over(within), F.lit(0)))
+                    .drop("_b", "_bo"))
