@@ -54,7 +54,7 @@ def fit_queries():
         return spark.createDataFrame([(len(m.trees),)], "x int")
 
     def kmeans(spark, sf):
-        data = KS.scaled_rfm(Q.scored(spark, sf)).persist()
+        data = KS.scaled_rfm(Q.customers(spark, sf)).persist()
         m = KMeans(k=5, seed=42, featuresCol="features", predictionCol="cluster").fit(data)
         s = ClusteringEvaluator(featuresCol="features", predictionCol="cluster").evaluate(m.transform(data))
         return spark.createDataFrame([(float(s),)], "x double")

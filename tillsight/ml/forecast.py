@@ -137,26 +137,29 @@ def cv_summary(cv: DataFrame) -> DataFrame:
     return cv.agg(F.avg("R2").alias("cv_mean_r2"), F.stddev_samp("R2").alias("cv_std_r2"))
 
 
-def scenario_table(spark, month_flags: bool = True) -> DataFrame:
+SCENARIO_COLS = ("day_of_week", "is_weekend", "is_month_start", "is_month_end")
+
+
+def scenarios(month_flags: bool = True) -> list[tuple]:
     """Every weekday x month-start x month-end combination (28 rows)."""
-    rows = [(d, int(d >= 5), s, e) for d in range(7)
-            for s in ((0, 1) if month_flags else (0,)) for e in ((0, 1) if month_flags else (0,))]
-    return spark.createDataFrame(rows, "day_of_week int, is_weekend int, is_month_start int, "
-                                       "is_month_end int")
+    flags = (0, 1) if month_flags else (0,)
+    return [(d, int(d >= 5), s, e) for d in range(7) for s in flags for e in flags]
 
 
-def what_if(model, features: DataFrame, scenarios: DataFrame | None = None,
+def what_if(model, features: DataFrame, cases: list[tuple] | None = None,
             cols: Sequence[str] = FORECAST_FEATURES) -> DataFrame:
-    """The newest feature row with calendar flags replaced by each scenario,
-    scored in one ``transform``; delta = prediction - last known units."""
+    """The newest feature row with its calendar flags replaced by each case
+    (day_of_week, is_weekend, is_month_start, is_month_end), scored in one
+    ``transform``; delta = prediction - last known units. The cases are a
+    literal array expanded with ``inline`` on the single newest row."""
     from tillsight.operators.daily import last_row
 
-    spark = features.sparkSession
-    scenarios = scenarios if scenarios is not None else scenario_table(spark)
-    last = last_row(features).drop(*scenarios.columns)
-    rows = last.crossJoin(F.broadcast(scenarios))
+    cases = cases if cases is not None else scenarios()
+    arr = F.array(*[F.struct(*[F.lit(int(v)).alias(c) for v, c in zip(case, SCENARIO_COLS)])
+                    for case in cases])
+    rows = last_row(features).drop(*SCENARIO_COLS).select("*", F.inline(arr))
     pred = model.transform(feature_vector(rows, cols))
-    return pred.select(*scenarios.columns, F.col("units_sold").alias("last_units_sold"),
+    return pred.select(*SCENARIO_COLS, F.col("units_sold").alias("last_units_sold"),
                        F.col("prediction").alias("predicted_units_sold"),
                        (F.col("prediction") - F.col("units_sold")).alias("delta"))
 
@@ -188,5 +191,5 @@ def load_meta(spark, path: str) -> dict:
 
 
 __all__ = ["feature_vector", "forecast_linear", "forecast_forest", "forecast_boosted",
-           "model_comparison", "best_model", "walk_forward_cv", "cv_summary", "what_if",
+           "model_comparison", "best_model", "walk_forward_cv", "cv_summary", "what_if", "scenarios",
            "save_model", "load_model", "load_meta", "PipelineModel"]

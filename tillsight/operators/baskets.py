@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import math
 
+from pyspark import StorageLevel
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -61,7 +62,10 @@ def frequent_itemsets(baskets: DataFrame, min_support: float = MIN_SUPPORT) -> D
 
     FP-growth's own threshold is ceil(minSupport * n), which rounding can
     push one above the exact one; it is run with a threshold just below and
-    the exact test is applied afterwards."""
+    the exact test is applied afterwards. The baskets are persisted (spill
+    to disk allowed; lost blocks are recomputed from lineage) so the count
+    and the FP-growth passes do not rebuild them from the transactions."""
+    baskets = baskets.persist(StorageLevel.MEMORY_AND_DISK)
     n = baskets.count()
     schema = "items array<string>, freq bigint, support double"
     if n == 0:

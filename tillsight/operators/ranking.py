@@ -113,8 +113,7 @@ def rfm_scores(cust: DataFrame, key: str = "CustomerID", buckets: int = 64,
     ranked = cust
     for col in cols:
         ranked = global_rank(ranked, col, key, out=f"_r_{col}", plan=plans[col])
-    n = ranked.agg(F.count(F.lit(1)).alias("_n"))
-    ranked = ranked.crossJoin(F.broadcast(n))
+    ranked = ranked.withColumn("_n", cust.agg(F.count(F.lit(1)).alias("_n")).scalar())
     nn = F.col("_n")
     return (ranked.withColumn("R_score", (6 - quintile_from_rank(F.col("_r_recency"), nn)).cast("int"))
                   .withColumn("F_score", quintile_from_rank(F.col("_r_frequency"), nn))
