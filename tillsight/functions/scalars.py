@@ -71,3 +71,17 @@ def ceil_div(a, b) -> Column:
     a, b = c(a).cast("long"), c(b).cast("long")
     q = ((a - F.pmod(a, b)) / b).cast("long")
     return q + F.when(F.pmod(a, b) > 0, F.lit(1)).otherwise(F.lit(0))
+
+
+def with_scalars(df, scalars):
+    """Attach the columns of a one-row frame (a global aggregate: quantile
+    bounds, a snapshot or cutoff date, a count) to every row of ``df``.
+
+    The one-row side is broadcast (its size is fixed at one row whatever the
+    data volume), so the join is a map-side BroadcastNestedLoopJoin with no
+    condition that emits exactly one output row per input row. Kept in the
+    same plan as ``df`` (rather than a scalar subquery) so AQE can reuse the
+    exchanges both sides share."""
+    from pyspark.sql import functions as F
+
+    return df.crossJoin(F.broadcast(scalars))

@@ -15,6 +15,7 @@ from tillsight.functions.scalars import round_even
 from tillsight.operators.metrics import balanced_weights, binary_metrics, standardize
 from tillsight.operators.reporting import risk_level
 from tillsight.schema import CHURN_FEATURES
+from tillsight.functions.scalars import with_scalars
 
 LABEL = "churned"
 
@@ -61,12 +62,11 @@ def prepare(feats: DataFrame, cols: Sequence[str] = CHURN_FEATURES, label: str =
     split = stratified_split(feats, label, seed=seed)
     train = split.filter(F.col("split") == "train")
     weights = (train.groupBy(label).agg(F.count(F.lit(1)).alias("_c")))
-    n = train.agg(F.count(F.lit(1))).scalar()
-    w = weights.select(label, (n / (F.lit(2.0) * F.col("_c"))).alias("weight"))
+    tot = train.agg(F.count(F.lit(1)).alias("_n"))
+    w = with_scalars(weights, tot).select(label, (F.col("_n") / (F.lit(2.0) * F.col("_c"))).alias("weight"))
     stats = train.agg(*[x for c in cols for x in (F.avg(c).alias(f"_m_{c}"),
                                                    F.stddev_pop(c).alias(f"_s_{c}"))])
-    out = split.join(F.broadcast(w), label, "left").select(
-        "*", *[stats.select(c).scalar().alias(c) for c in stats.columns])
+    out = with_scalars(split.join(F.broadcast(w), label, "left"), stats)
     for c in cols:
         s = F.col(f"_s_{c}")
         out = out.withColumn(f"{c}_z", (F.col(c) - F.col(f"_m_{c}")) / F.when(s == 0, 1.0).otherwise(s))

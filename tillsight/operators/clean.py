@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from tillsight.functions.scalars import round_even, strip
 from tillsight.operators.quantiles import exact_quantiles
+from tillsight.functions.scalars import with_scalars
 
 # Rule names in the order they are applied (fixed values).
 RULES = ("duplicate", "missing_description", "cancelled", "invalid_quantity",
@@ -98,14 +99,14 @@ def winsorize(df: DataFrame, cols: Sequence[str] = ("Quantity", "UnitPrice"),
               lo: float = 0.01, hi: float = 0.99, exact: bool = True) -> DataFrame:
     """Clip each column to its [lo, hi] quantiles (cap, don't drop).
 
-    The bounds are a one-row aggregate used as scalar subqueries (Spark
-    merges them into one subquery, computed once, no join)."""
+    The bounds are a one-row aggregate joined to every row; a one-row side is
+    a proven-size broadcast (BroadcastNestedLoopJoin with no condition)."""
     bounds = quantile_bounds(df, cols, lo, hi, exact)
-    out = df
+    out = with_scalars(df, bounds)
     for col in cols:
-        out = out.withColumn(col, F.least(F.greatest(F.col(col), bounds.select(f"{col}_lo").scalar()),
-                                          bounds.select(f"{col}_hi").scalar()))
-    return out
+        out = out.withColumn(col, F.least(F.greatest(F.col(col), F.col(f"{col}_lo")),
+                                          F.col(f"{col}_hi")))
+    return out.drop(*[f"{col}_{s}" for col in cols for s in ("lo", "hi")])
 
 
 def add_total_price(df: DataFrame) -> DataFrame:
@@ -156,7 +157,7 @@ def cap_audit(df: DataFrame, cols: Sequence[str] = ("Quantity", "UnitPrice"),
     """For filtered, typed rows: bounds, max before and after capping, and how
     many values each bound changed. One row per column."""
     bounds = quantile_bounds(df, cols, lo, hi)
-    j = df.select("*", *[bounds.select(c).scalar().alias(c) for c in bounds.columns])
+    j = with_scalars(df, bounds)
     aggs = []
     for col in cols:
         v, l, h = F.col(col), F.col(f"{col}_lo"), F.col(f"{col}_hi")

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tillsight.functions.scalars import round_even, to_cents, whole_days
 from tillsight.schema import HOLDOUT_DAYS
+from tillsight.functions.scalars import with_scalars
 
 
 def identified_only(df: DataFrame, drop_zero: bool = False) -> DataFrame:
@@ -56,7 +57,7 @@ def customer_features(df: DataFrame, snapshot=None, drop_zero: bool = True) -> D
     identified customer.
 
     snapshot: a timestamp literal/string; default max(InvoiceDate) + 1 day of
-    the identified rows, a one-row aggregate used as a scalar subquery.
+    the identified rows, computed as a one-row aggregate joined by broadcast.
     Rounding chain: monetary 2 dp; active_months = max(span/30, 1) to 1 dp;
     orders per month = frequency / rounded months, 2 dp; CLV = AOV(2 dp) x
     orders per month x months, 2 dp."""
@@ -64,7 +65,7 @@ def customer_features(df: DataFrame, snapshot=None, drop_zero: bool = True) -> D
     cust = _per_customer(invoice_summary(ident))
     if snapshot is None:
         snap = ident.agg(F.timestamp_add("DAY", F.lit(1), F.max("InvoiceDate")).alias("_snap"))
-        cust = cust.withColumn("_snap", snap.select("_snap").scalar())
+        cust = with_scalars(cust, snap)
     else:
         cust = cust.withColumn("_snap", F.lit(snapshot).cast("timestamp_ntz"))
     monetary = round_even(F.col("value_cents") / 100.0, 2)
@@ -83,22 +84,16 @@ def customer_features(df: DataFrame, snapshot=None, drop_zero: bool = True) -> D
             * F.col("purchase_frequency_per_month") * F.col("active_months"), 2)))
 
 
+def _guard_nonempty(n: F.Column, msg: str) -> F.Column:
+    return F.when(n > 0, F.lit(True)).otherwise(F.raise_error(F.lit(msg)).cast("boolean"))
+
+
 def churn_cutoff(df: DataFrame, holdout_days: int = HOLDOUT_DAYS) -> DataFrame:
     """One row: cutoff = max(InvoiceDate) - holdout days (identified rows)."""
     return (identified_only(df)
             .agg(F.timestamp_add("DAY", F.lit(-holdout_days), F.max("InvoiceDate")).alias("cutoff")))
 
 
-def checked_cutoff(df: DataFrame, holdout_days: int = HOLDOUT_DAYS) -> F.Column:
-    """The churn cutoff as a scalar subquery that fails (when the query runs)
-    if no identified customer bought before it."""
-    cut = churn_cutoff(df, holdout_days).select("cutoff").scalar()
-    n = identified_only(df).filter(F.col("InvoiceDate") < cut).agg(F.count(F.lit(1)).alias("_n"))
-    msg = "no customer has transactions before the churn cutoff; reduce holdout_days"
-    return n.select(F.when(F.col("_n") > 0, cut)
-                     .otherwise(F.raise_error(F.lit(msg)).cast("timestamp_ntz"))).scalar()
-
-
 def churn_dataset(df: DataFrame, holdout_days: int = HOLDOUT_DAYS) -> DataFrame:
     """Customer features strictly before the cutoff, label from on/after it.
 
@@ -107,12 +102,16 @@ def churn_dataset(df: DataFrame, holdout_days: int = HOLDOUT_DAYS) -> DataFrame:
     The returner list is a distinct projection joined by key (left join +
     null test), so its size never has to fit a broadcast."""
     ident = identified_only(df)
-    cut = checked_cutoff(df, holdout_days)
-    lines = ident.withColumn("cutoff", cut)
+    cut = churn_cutoff(df, holdout_days)
+    lines = with_scalars(ident, cut)
     before = lines.filter(F.col("InvoiceDate") < F.col("cutoff")).drop("cutoff")
     returners = (lines.filter(F.col("InvoiceDate") >= F.col("cutoff"))
                       .select("CustomerID").distinct().withColumn("_back", F.lit(1)))
-    cust = _per_customer(invoice_summary(before)).withColumn("cutoff", cut)
+    guard = (before.agg(F.count(F.lit(1)).alias("_n"))
+                   .filter(_guard_nonempty(F.col("_n"), "no customer has transactions before "
+                                           "the churn cutoff; reduce holdout_days"))
+                   .transform(lambda g: with_scalars(g, cut)))
+    cust = with_scalars(_per_customer(invoice_summary(before)), guard)
     months = F.greatest(whole_days("first_line", "last_line") / 30.0, F.lit(1.0))
     feats = cust.select(
         "CustomerID",
@@ -129,7 +128,7 @@ def churn_dataset(df: DataFrame, holdout_days: int = HOLDOUT_DAYS) -> DataFrame:
 def churned_customers(df: DataFrame, holdout_days: int = HOLDOUT_DAYS) -> DataFrame:
     """Customers seen before the cutoff and not after it (``left_anti``)."""
     ident = identified_only(df)
-    lines = ident.withColumn("cutoff", churn_cutoff(df, holdout_days).select("cutoff").scalar())
+    lines = with_scalars(ident, churn_cutoff(df, holdout_days))
     before = lines.filter(F.col("InvoiceDate") < F.col("cutoff")).select("CustomerID").distinct()
     after = lines.filter(F.col("InvoiceDate") >= F.col("cutoff")).select("CustomerID")
     return before.join(after, "CustomerID", "left_anti")

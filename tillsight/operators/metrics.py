@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tillsight.functions.scalars import round_even
 from tillsight.operators.quantiles import running_total_before
+from tillsight.functions.scalars import with_scalars
 
 
 def regression_metrics(pred: DataFrame, label: str = "units_sold", prediction: str = "prediction",
@@ -60,7 +61,7 @@ def binary_metrics(scored: DataFrame, label: str = "label", prediction: str = "p
            .select(*by, F.when((F.col("_P") > 0) & (F.col("_N") > 0),
                                F.col("_u") / (F.col("_P") * F.col("_N")))
                    .otherwise(F.lit(float("nan"))).alias("_auc")))
-    j = conf.withColumn("_auc", auc.select("_auc").scalar()) if not by else conf.join(auc, list(by))
+    j = with_scalars(conf, auc) if not by else conf.join(auc, list(by))
     tp, fp, fn = F.col("_tp"), F.col("_fp"), F.col("_fn")
     prec = F.coalesce(F.try_divide(tp, tp + fp), F.lit(0.0))
     rec = F.coalesce(F.try_divide(tp, tp + fn), F.lit(0.0))
@@ -93,7 +94,7 @@ def standardize(df: DataFrame, cols: Sequence[str], suffix: str = "_z") -> DataF
     centred value, as scikit-learn does), from one aggregate row."""
     stats = df.agg(*[x for c in cols for x in (F.avg(c).alias(f"_m_{c}"),
                                                 F.stddev_pop(c).alias(f"_s_{c}"))])
-    j = df.select("*", *[stats.select(c).scalar().alias(c) for c in stats.columns])
+    j = with_scalars(df, stats)
     for c in cols:
         s = F.col(f"_s_{c}")
         j = j.withColumn(f"{c}{suffix}", (F.col(c) - F.col(f"_m_{c}"))

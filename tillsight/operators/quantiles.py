@@ -26,6 +26,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from tillsight.functions.scalars import with_scalars
 
 
 def upper_bound(df: DataFrame, edges: str, value: str, out: str, n_edges: int) -> DataFrame:
@@ -110,7 +111,7 @@ def running_total_before(df: DataFrame, order: str, value: str, out: str, by: Se
     cuts = [i / buckets for i in range(1, buckets)]
     g = df.groupBy(*by) if by else df
     sketch = g.agg(F.percentile_approx(F.col(order).cast("double"), cuts, 10 * buckets).alias("_e"))
-    joined = df.join(F.broadcast(sketch), by) if by else df.withColumn("_e", sketch.select("_e").scalar())
+    joined = df.join(F.broadcast(sketch), by) if by else with_scalars(df, sketch)
     bucketed = upper_bound(joined.withColumn("_ov", F.col(order).cast("double")), "_e", "_ov", "_b",
                            buckets - 1).drop("_e", "_ov")
     totals = bucketed.groupBy(*by, "_b").agg(F.sum(value).alias("_bt"))

@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from tillsight.functions.scalars import ceil_div
 from tillsight.session import checkpoint_dir
+from tillsight.functions.scalars import with_scalars
 
 
 def _edges(df: DataFrame, exprs: dict, n: int, accuracy: int = 100000) -> dict:
@@ -113,7 +114,8 @@ def rfm_scores(cust: DataFrame, key: str = "CustomerID", buckets: int = 64,
     ranked = cust
     for col in cols:
         ranked = global_rank(ranked, col, key, out=f"_r_{col}", plan=plans[col])
-    ranked = ranked.withColumn("_n", cust.agg(F.count(F.lit(1)).alias("_n")).scalar())
+    n = ranked.agg(F.count(F.lit(1)).alias("_n"))
+    ranked = with_scalars(ranked, n)
     nn = F.col("_n")
     return (ranked.withColumn("R_score", (6 - quintile_from_rank(F.col("_r_recency"), nn)).cast("int"))
                   .withColumn("F_score", quintile_from_rank(F.col("_r_frequency"), nn))

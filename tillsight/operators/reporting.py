@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tillsight.functions.scalars import money_sum, round_even, safe_div, strip
+from tillsight.functions.scalars import with_scalars
 
 
 def filter_transactions(df: DataFrame, start: str | None = None, end: str | None = None,
@@ -58,18 +59,18 @@ def kpis_from_daily(daily: DataFrame, customers: DataFrame) -> DataFrame:
                   F.sum("units_sold").cast("long").alias("total_units_sold"),
                   F.sum("num_invoices").cast("long").alias("total_orders"),
                   F.count(F.lit(1)).alias("days_of_data"))
-    return d.withColumn("identified_customers",
-                        customers.agg(F.count_distinct("CustomerID")).scalar())
+    c = customers.agg(F.count_distinct("CustomerID").alias("identified_customers"))
+    return with_scalars(d, c)
 
 
 def quick_facts(sales: DataFrame, daily: DataFrame) -> DataFrame:
     """Days in range, distinct countries, units per day (units / max(days, 1))."""
-    s = sales.agg(F.count_distinct("Country").alias("countries"), F.sum("Quantity").alias("_units"))
-    return (daily.agg(F.count(F.lit(1)).alias("days"))
-                 .withColumns({"countries": s.select("countries").scalar(),
-                               "_units": s.select("_units").scalar()})
-                 .withColumn("units_per_day", F.col("_units") / F.greatest(F.col("days"), F.lit(1)))
-                 .drop("_units"))
+    d = daily.agg(F.count(F.lit(1)).alias("days"))
+    s = sales.agg(F.count_distinct("Country").alias("countries"),
+                  F.sum("Quantity").alias("_units"))
+    return (with_scalars(d, s)
+             .withColumn("units_per_day", F.col("_units") / F.greatest(F.col("days"), F.lit(1)))
+             .drop("_units"))
 
 
 def date_bounds(daily: DataFrame) -> DataFrame:
@@ -119,8 +120,8 @@ def top_share(df: DataFrame, n: int = 5) -> DataFrame:
     per = products(df).groupBy("Description").agg(
         F.sum(F.rint(F.col("TotalPrice") * 100).cast("long")).alias("cents"))
     top = per.orderBy(F.desc("cents"), F.asc("Description")).limit(n).agg(F.sum("cents").alias("top"))
-    total = per.agg(F.sum("cents")).scalar()
-    return top.select((F.col("top") / total * 100.0).alias("top_share_pct"))
+    tot = per.agg(F.sum("cents").alias("total"))
+    return with_scalars(top, tot).select((F.col("top") / F.col("total") * 100.0).alias("top_share_pct"))
 
 
 def sales_by_dimension(df: DataFrame, dim: str) -> DataFrame:
@@ -140,7 +141,7 @@ def describe(df: DataFrame, cols: Sequence[str]) -> DataFrame:
         aggs += [F.count(x).alias(f"{c}__count"), F.avg(x).alias(f"{c}__mean"),
                  F.stddev_samp(x).alias(f"{c}__std"), F.min(x).alias(f"{c}__min"),
                  F.max(x).alias(f"{c}__max")]
-    wide = df.agg(*aggs).select("*", *[q.select(c).scalar().alias(c) for c in q.columns])
+    wide = with_scalars(df.agg(*aggs), q)
     rows = F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"{c}__count").alias("count"),
                               F.col(f"{c}__mean").alias("mean"), F.col(f"{c}__std").alias("std"),
                               F.col(f"{c}__min").alias("min"), F.col(f"{c}__0").alias("p25"),
@@ -253,8 +254,7 @@ def report_figures(daily: DataFrame, sales: DataFrame, seg: DataFrame, rules: Da
                   F.coalesce(F.sum(F.when(F.col("segment") == "At Risk", cents)), F.lit(0)).alias("_risk_c"))
     countries = sales.agg(F.count_distinct("Country").alias("countries"))
     n_rules = rules.agg(F.count(F.lit(1)).alias("n_rules"))
-    parts = [(tot, tot.columns), (countries, ["countries"]), (top, top.columns), (n_rules, ["n_rules"])]
-    return (d.select("*", *[f.select(c).scalar().alias(c) for f, cs in parts for c in cs])
+    return (with_scalars(with_scalars(with_scalars(with_scalars(d, tot), countries), top), n_rules)
              .select("total_revenue", "total_units", "date_start", "date_end", "customers", "countries",
                      "top_segment", "top_segment_customers",
                      (F.col("_top_c") / F.col("_all_c") * 100.0).alias("top_segment_share_pct"),

@@ -499,7 +499,7 @@ FROM cid CROSS JOIN cut""", "churn"))
 def q_broadcast_scalars(spark, sf):
     s = CU.identified_only(sales(spark, sf))
     cut = CU.churn_cutoff(sales(spark, sf))
-    return (s.withColumn("cutoff", cut.select("cutoff").scalar())
+    return (with_scalars(s, cut)
              .select("InvoiceNo", "StockCode", "InvoiceDate", "cutoff",
                      (F.col("InvoiceDate") < F.col("cutoff")).alias("before_cutoff")))
 
@@ -591,7 +591,7 @@ SELECT date, fold, role FROM (
          nf, 90 + (k.fold - 1) * fs AS train_end, least(90 + (k.fold - 1) * fs + fs, n) AS test_end
   FROM (SELECT date, row_number() OVER (ORDER BY date) - 1 AS pos, count(*) OVER () AS n,
                greatest((count(*) OVER () - 90) // 5, 1) AS fs FROM features) f
-  CROSS JOIN (SELECT CAST(unnest(range(1, 6)) AS INTEGER) AS fold) k
+  CROSS JOIN (SELECT unnest(range(1, 6)) AS fold) k
   CROSS JOIN LATERAL (SELECT least(5, greatest((n - 90) // fs, 1)) AS nf)
 ) WHERE fold <= nf AND train_end < test_end AND role IS NOT NULL""", "features"))
 def q_walk_forward_splits(spark, sf):
@@ -976,6 +976,7 @@ def q_report_figures(spark, sf):
 
 from tillsight.streaming import events as ST  # noqa: E402
 import os as _os  # noqa: E402
+from tillsight.functions.scalars import with_scalars
 
 
 def _events_stream(spark, sf):
