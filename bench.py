@@ -19,7 +19,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 from pyspark.sql import functions as F  # noqa: E402
 
 from tillsight.plans import queries as Q  # noqa: E402
-from tillsight.session import get_session  # noqa: E402
+from tillsight.session import get_session, materialize  # noqa: E402
 
 HEADLINE = [
     "daily_totals", "daily_features", "customer_features", "rfm_scores",
@@ -39,7 +39,7 @@ def fit_queries():
     from tillsight.ml import segments as KS
 
     def train(spark, sf):
-        return Q.split_features(spark, sf).filter(F.col("split") == "train").persist()
+        return materialize(Q.split_features(spark, sf).filter(F.col("split") == "train"))
 
     def lin(spark, sf):
         m = FC.forecast_linear(train(spark, sf))
@@ -54,7 +54,7 @@ def fit_queries():
         return spark.createDataFrame([(len(m.trees),)], "x int")
 
     def kmeans(spark, sf):
-        data = KS.scaled_rfm(Q.customers(spark, sf)).persist()
+        data = materialize(KS.scaled_rfm(Q.customers(spark, sf)))
         m = KMeans(k=5, seed=42, featuresCol="features", predictionCol="cluster").fit(data)
         s = ClusteringEvaluator(featuresCol="features", predictionCol="cluster").evaluate(m.transform(data))
         return spark.createDataFrame([(float(s),)], "x double")

@@ -15,6 +15,7 @@ from tillsight.functions.scalars import round_even
 from tillsight.operators.metrics import balanced_weights, binary_metrics, standardize
 from tillsight.operators.reporting import risk_level
 from tillsight.schema import CHURN_FEATURES
+from tillsight.session import materialize
 from tillsight.functions.scalars import with_scalars
 
 LABEL = "churned"
@@ -84,7 +85,7 @@ def churn_comparison(feats: DataFrame, trees: int = 300, seed: int = 42) -> tupl
     grouped metric job. Returns (table sorted by ROC_AUC desc, models,
     prepared data)."""
     data = prepare(feats, seed=seed)
-    data = data.repartition(data.sparkSession.sparkContext.defaultParallelism).persist()
+    data = materialize(data.repartition(data.sparkSession.sparkContext.defaultParallelism))
     train = data.filter(F.col("split") == "train")
     test = data.filter(F.col("split") == "test")
     n_train = train.count()

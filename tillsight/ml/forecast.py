@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from tillsight.operators.daily import chronological_split, walk_forward_splits
 from tillsight.operators.metrics import regression_metrics
 from tillsight.schema import FORECAST_FEATURES, TARGET
+from tillsight.session import materialize
 
 FEATURES_COL = "features"
 
@@ -63,7 +64,7 @@ def forecast_boosted(train: DataFrame, label: str = TARGET, rounds: int = 400, d
     subset = "all" if cols >= 1.0 else str(cols)
     return GBTRegressor(featuresCol=FEATURES_COL, labelCol=label, maxIter=rounds, maxDepth=depth,
                         stepSize=step, subsamplingRate=rows, featureSubsetStrategy=subset,
-                        seed=seed).fit(train)
+                        seed=seed, cacheNodeIds=True, maxMemoryInMB=1024).fit(train)
 
 
 def default_models(trees: int = 300, rounds: int = 400) -> dict:
@@ -77,7 +78,7 @@ def default_models(trees: int = 300, rounds: int = 400) -> dict:
 
 
 def _prepared(features: DataFrame, keys: Sequence[str]) -> DataFrame:
-    return spread(feature_vector(chronological_split(features, keys=keys))).persist()
+    return materialize(spread(feature_vector(chronological_split(features, keys=keys))))
 
 
 def model_comparison(features: DataFrame, models: dict | None = None,
@@ -113,7 +114,7 @@ def walk_forward_cv(features: DataFrame, fit, n_folds: int = 5, min_train_days:
     fold is one MLlib fit; the test predictions of all folds are evaluated in
     a single grouped aggregate. Output: R2, RMSE, MAE, fold, train_days,
     test_days."""
-    folds = spread(feature_vector(walk_forward_splits(features, n_folds, min_train_days, keys))).persist()
+    folds = materialize(spread(feature_vector(walk_forward_splits(features, n_folds, min_train_days, keys))))
     n = [r["fold"] for r in folds.select("fold").distinct().collect()]
     scored = None
     for k in sorted(n):

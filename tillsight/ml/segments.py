@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from tillsight.operators.metrics import standardize
 from tillsight.operators.segments import label_clusters, map_labels
 from tillsight.schema import RFM_COLS
+from tillsight.session import materialize
 
 
 def scaled_rfm(cust: DataFrame, cols: Sequence[str] = RFM_COLS) -> DataFrame:
@@ -27,7 +28,7 @@ def kmeans_segments(scored: DataFrame, k: int = 5, starts: int = 10, seed: int =
     clusters labelled by mean RFM score. MLlib has one start per fit, so the
     restarts are a loop of distributed fits over the persisted vectors.
     Input needs RFM_score (``rfm_scores``). Returns (segments, model)."""
-    data = scaled_rfm(scored).persist()
+    data = materialize(scaled_rfm(scored))
     best, best_cost = None, None
     for i in range(starts):
         m = KMeans(k=k, seed=seed + i, maxIter=max_iter, featuresCol="features",
@@ -43,7 +44,7 @@ def k_sweep(scored: DataFrame, ks: Iterable[int] = range(2, 9), seed: int = 42)
     """Inertia and silhouette for each k (the elbow table); the best k by
     silhouette is flagged but not used. MLlib's silhouette works on squared
     distances, so values differ from the Euclidean one."""
-    data = scaled_rfm(scored).persist()
+    data = materialize(scaled_rfm(scored))
     ev = ClusteringEvaluator(featuresCol="features", predictionCol="cluster")
     rows = []
     for k in ks:

@@ -22,6 +22,7 @@ from tillsight.operators import reporting as RP
 from tillsight.operators import segments as SG
 from tillsight.plans.oracle import CENTS, MONEY_SUM, R, sql, with_stages
 from tillsight.schema import FORECAST_FEATURES
+from tillsight.session import materialize
 from tillsight.sources.fixtures import retail_raw
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -74,10 +75,13 @@ def unstage_sales(sf) -> None:
 
 def sales(spark, sf):
     """Cleaned transactions: the staged table if one was written for this
-    folder in this process (``stage_sales``), else the cleaning plan."""
+    folder in this process (``stage_sales``), else the cleaning chain run
+    now and written as a checkpoint in the shared folder. Downstream plans
+    (several of which read the cleaned table more than once) then scan one
+    written table instead of repeating the cleaning lineage."""
     if sf in _STAGED:
         return spark.read.parquet(_STAGED[sf])
-    return C.clean_sales(raw(spark, sf))
+    return materialize(C.clean_sales(raw(spark, sf)))
 
 
 def daily(spark, sf):
@@ -736,7 +740,9 @@ def q_regression_metrics(spark, sf):
 
 
 def _fit_on_train(spark, sf, fit):
-    data = split_features(spark, sf).persist()
+    from tillsight.session import materialize
+
+    data = materialize(split_features(spark, sf))
     return fit(data.filter(F.col("split") == "train")), data
 
 
@@ -894,7 +900,7 @@ def _churn_fit(spark, sf):
 
 @register("churn_logistic")
 def q_churn_logistic(spark, sf):
-    data = FC.spread(CH.prepare(churn(spark, sf))).persist()
+    data = materialize(FC.spread(CH.prepare(churn(spark, sf))))
     train = data.filter(F.col("split") == "train")
     m = CH.churn_logistic(train, train.count())
     return CH.churn_score(m, data)
@@ -902,7 +908,7 @@ def q_churn_logistic(spark, sf):
 
 @register("churn_forest")
 def q_churn_forest(spark, sf):
-    data = FC.spread(CH.prepare(churn(spark, sf))).persist()
+    data = materialize(FC.spread(CH.prepare(churn(spark, sf))))
     m = CH.churn_forest(data.filter(F.col("split") == "train"), trees=Q_TREES)
     return CH.churn_score(m, data)
 

@@ -24,6 +24,8 @@ BASE_CONF = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
+    # delete checkpoint files once their data is no longer referenced
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
@@ -61,3 +63,15 @@ def checkpoint_dir(spark: SparkSession) -> str:
         spark.conf.set("spark.checkpoint.dir", d)
     spark.sparkContext.setCheckpointDir(d)
     return d
+
+
+def materialize(df):
+    """Write ``df`` as a reliable checkpoint in the shared checkpoint folder
+    and return the re-read frame.
+
+    Used before iterative work (MLlib fits, repeated small jobs): it cuts
+    the logical plan, so every later job plans against a file scan instead
+    of re-analysing the whole cleaning lineage, and the data survives the
+    loss of an executor (unlike ``persist`` blocks or ``localCheckpoint``)."""
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
