@@ -101,7 +101,14 @@ def winsorize(df: DataFrame, cols: Sequence[str] = ("Quantity", "UnitPrice"),
 
     The bounds are a one-row aggregate joined to every row; a one-row side is
     a proven-size broadcast (BroadcastNestedLoopJoin with no condition)."""
-    bounds = quantile_bounds(df, cols, lo, hi, exact)
+    return clip_to_bounds(df, quantile_bounds(df, cols, lo, hi, exact), cols)
+
+
+def clip_to_bounds(df: DataFrame, bounds: DataFrame,
+                   cols: Sequence[str] = ("Quantity", "UnitPrice")) -> DataFrame:
+    """Clip each column to ``{col}_lo`` / ``{col}_hi`` of the one-row
+    ``bounds`` frame (``quantile_bounds``); a projection, fused into the
+    scan's codegen stage."""
     out = with_scalars(df, bounds)
     for col in cols:
         out = out.withColumn(col, F.least(F.greatest(F.col(col), F.col(f"{col}_lo")),
@@ -119,14 +126,27 @@ def clean_sales(df: DataFrame, exact_quantiles: bool = True) -> DataFrame:
     to write the file in order; a global sort is a range shuffle with no
     effect on any later result, so it is left to the writer
     (``sortWithinPartitions`` in ``write_stage``)."""
+    return (df.transform(clean_rows)
+              .transform(lambda d: winsorize(d, exact=exact_quantiles))
+              .transform(add_total_price))
+
+
+def clean_rows(df: DataFrame) -> DataFrame:
+    """The row-level part of the chain (every filter and the type
+    conversion), before the table-level winsorizing."""
     return (df.transform(drop_duplicates)
               .transform(drop_missing_description)
               .transform(drop_cancelled)
               .transform(drop_invalid_quantity)
               .transform(drop_invalid_price)
-              .transform(convert_types)
-              .transform(lambda d: winsorize(d, exact=exact_quantiles))
-              .transform(add_total_price))
+              .transform(convert_types))
+
+
+def finish_sales(rows: DataFrame, bounds: DataFrame) -> DataFrame:
+    """``clean_rows`` output + its ``quantile_bounds`` -> the cleaned table
+    (``clean_sales`` split in two, so the rows can be written once and the
+    bounds taken from the written table)."""
+    return add_total_price(clip_to_bounds(rows, bounds))
 
 
 def _first_failed_rule() -> F.Column:
