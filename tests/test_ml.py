@@ -98,3 +98,18 @@ def test_stream_watermark_drops_late_rows(spark, tmp_path):
     # watermark passed 2024-01-02 10:00 and is dropped
     assert got["2024-01-01"] == (1, 1)
     assert "2024-01-05" not in got          # its window is still open
+
+
+def test_kmeans_restarts_in_parallel_match_sequential(spark, monkeypatch):
+    from tillsight.ml import segments as KS
+    from tillsight.operators import ranking as RK
+    from tillsight.plans import queries as Q
+
+    scored = RK.rfm_scores(Q.customers(spark, "/root/testdata/sf0.001"))
+    got = {}
+    for par in (1, 4):
+        monkeypatch.setattr(KS, "FIT_PARALLELISM", par)
+        seg, model = KS.kmeans_segments(scored, k=3, starts=4, max_iter=20)
+        got[par] = (sorted(map(tuple, seg.select("CustomerID", "segment").collect())),
+                    model.summary.trainingCost)
+    assert got[1] == got[4]
