@@ -101,6 +101,7 @@ def test_stream_watermark_drops_late_rows(spark, tmp_path):
 
 
 def test_kmeans_restarts_in_parallel_match_sequential(spark, monkeypatch):
+    from tillsight.ml import parallel as PA
     from tillsight.ml import segments as KS
     from tillsight.operators import ranking as RK
     from tillsight.plans import queries as Q
@@ -108,7 +109,7 @@ def test_kmeans_restarts_in_parallel_match_sequential(spark, monkeypatch):
     scored = RK.rfm_scores(Q.customers(spark, "/root/testdata/sf0.001"))
     got = {}
     for par in (1, 4):
-        monkeypatch.setattr(KS, "FIT_PARALLELISM", par)
+        monkeypatch.setattr(PA, "FIT_PARALLELISM", par)
         seg, model = KS.kmeans_segments(scored, k=3, starts=4, max_iter=20)
         got[par] = (sorted(map(tuple, seg.select("CustomerID", "segment").collect())),
                     model.summary.trainingCost)

@@ -17,6 +17,7 @@ from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRe
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tillsight.ml.parallel import fit_all
 from tillsight.operators.daily import chronological_split, walk_forward_splits
 from tillsight.operators.metrics import regression_metrics
 from tillsight.schema import FORECAST_FEATURES, TARGET
@@ -110,18 +111,21 @@ def walk_forward_cv(features: DataFrame, fit, n_folds: int = 5, min_train_days:
                     keys: Sequence[str] = ()) -> DataFrame:
     """Refit ``fit`` on each expanding fold and evaluate its test block.
 
-    The fold table is built once (``walk_forward_splits``) and persisted; each
-    fold is one MLlib fit; the test predictions of all folds are evaluated in
+    The fold table is built once (``walk_forward_splits``) and checkpointed;
+    each fold is one MLlib fit (submitted together); the test predictions of all folds are evaluated in
     a single grouped aggregate. Output: R2, RMSE, MAE, fold, train_days,
     test_days."""
     folds = materialize(spread(feature_vector(walk_forward_splits(features, n_folds, min_train_days, keys))))
     n = [r["fold"] for r in folds.select("fold").distinct().collect()]
-    scored = None
-    for k in sorted(n):
+
+    def fold_fit(k):
         tr = folds.filter((F.col("fold") == k) & (F.col("role") == "train"))
         te = folds.filter((F.col("fold") == k) & (F.col("role") == "test"))
-        s = fit(tr).transform(te).select("fold", F.col(TARGET),
-                                         F.col("prediction").cast("double").alias("prediction"))
+        return fit(tr).transform(te).select("fold", F.col(TARGET),
+                                            F.col("prediction").cast("double").alias("prediction"))
+
+    scored = None
+    for s in fit_all(fold_fit, sorted(n)):     # the folds' fits run concurrently
         scored = s if scored is None else scored.unionByName(s)
     sizes = (folds.groupBy("fold")
                   .agg(F.count(F.when(F.col("role") == "train", 1)).alias("train_days"),

@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Sequence
-from concurrent.futures import ThreadPoolExecutor
+from collections.abc import Iterable, Sequence
 
-from pyspark import inheritable_thread_target
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tillsight.ml.parallel import fit_all
 from tillsight.operators.metrics import standardize
 from tillsight.operators.segments import label_clusters, map_labels
 from tillsight.schema import RFM_COLS
@@ -24,20 +23,6 @@ def scaled_rfm(cust: DataFrame, cols: Sequence[str] = RFM_COLS) -> DataFrame:
     return VectorAssembler(inputCols=[f"{c}_z" for c in cols], outputCol="features").transform(z)
 
 
-# Independent fits submitted at once (as CrossValidator's ``parallelism``
-# does): each fit is a series of small jobs over the customer table, so
-# running several keeps the executors busy instead of idling between jobs.
-FIT_PARALLELISM = 4
-
-
-def _fit_all(fit: Callable, args: Sequence, parallelism: int | None = None) -> list:
-    """``[fit(a) for a in args]``, run from a thread pool; results keep the
-    order of ``args``."""
-    parallelism = FIT_PARALLELISM if parallelism is None else parallelism
-    with ThreadPoolExecutor(max_workers=max(1, min(parallelism, len(args)))) as pool:
-        return list(pool.map(inheritable_thread_target(fit), args))
-
-
 def kmeans_segments(scored: DataFrame, k: int = 5, starts: int = 10, seed: int = 42,
                     max_iter: int = 300) -> tuple[DataFrame, object]:
     """Best of ``starts`` k-means runs (least within-cluster cost), then
@@ -53,7 +38,7 @@ def kmeans_segments(scored: DataFrame, k: int = 5, starts: int = 10, seed: int =
         return m.summary.trainingCost, i, m
 
     # least cost; equal costs go to the earlier start
-    _, _, best = min(_fit_all(fit, range(starts)), key=lambda r: (r[0], r[1]))
+    _, _, best = min(fit_all(fit, range(starts)), key=lambda r: (r[0], r[1]))
     clustered = best.transform(data).drop("features", *[f"{c}_z" for c in RFM_COLS])
     return map_labels(clustered, label_clusters(clustered)), best
 
@@ -68,7 +53,7 @@ def k_sweep(scored: DataFrame, ks: Iterable[int] = range(2, 9), seed: int = 42)
         ev = ClusteringEvaluator(featuresCol="features", predictionCol="cluster")
         return int(k), float(m.summary.trainingCost), float(ev.evaluate(m.transform(data)))
 
-    rows = _fit_all(fit, list(ks))
+    rows = fit_all(fit, list(ks))
     spark = scored.sparkSession
     out = spark.createDataFrame(rows, "k int, inertia double, silhouette double")
     best = max(rows, key=lambda r: r[2])[0] if rows else None
