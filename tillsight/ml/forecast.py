@@ -91,10 +91,11 @@ def model_comparison(features: DataFrame, models: dict | None = None,
     data = _prepared(features, keys)
     train = data.filter(F.col("split") == "train")
     test = data.filter(F.col("split") == "test")
-    fitted, scored = {}, None
-    for name, fit in models.items():
-        m = fit(train)
-        fitted[name] = m
+    names = list(models)
+    # the models' fits are independent: submitted together
+    fitted = dict(zip(names, fit_all(lambda name: models[name](train), names)))
+    scored = None
+    for name, m in fitted.items():
         s = m.transform(test).select(F.lit(name).alias("model"), F.col(TARGET),
                                      F.col("prediction").cast("double").alias("prediction"))
         scored = s if scored is None else scored.unionByName(s)
@@ -112,8 +113,8 @@ def walk_forward_cv(features: DataFrame, fit, n_folds: int = 5, min_train_days:
     """Refit ``fit`` on each expanding fold and evaluate its test block.
 
     The fold table is built once (``walk_forward_splits``) and checkpointed;
-    each fold is one MLlib fit (submitted together); the test predictions of all folds are evaluated in
-    a single grouped aggregate. Output: R2, RMSE, MAE, fold, train_days,
+    each fold is one MLlib fit (submitted together); the test predictions of
+    all folds are evaluated in a single grouped aggregate. Output: R2, RMSE, MAE, fold, train_days,
     test_days."""
     folds = materialize(spread(feature_vector(walk_forward_splits(features, n_folds, min_train_days, keys))))
     n = [r["fold"] for r in folds.select("fold").distinct().collect()]
