@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tillsight.functions.scalars import round_even
+from tillsight.ml.parallel import fit_all
 from tillsight.operators.metrics import balanced_weights, binary_metrics, standardize
 from tillsight.operators.reporting import risk_level
 from tillsight.schema import CHURN_FEATURES
@@ -89,8 +90,10 @@ def churn_comparison(feats: DataFrame, trees: int = 300, seed: int = 42) -> tupl
     train = data.filter(F.col("split") == "train")
     test = data.filter(F.col("split") == "test")
     n_train = train.count()
-    models = {"Logistic Regression": churn_logistic(train, n_train),
-              "Random Forest": churn_forest(train, trees=trees, seed=seed)}
+    fits = {"Logistic Regression": lambda: churn_logistic(train, n_train),
+            "Random Forest": lambda: churn_forest(train, trees=trees, seed=seed)}
+    # the two fits are independent: submitted together
+    models = dict(zip(fits, fit_all(lambda name: fits[name](), list(fits))))
     scored = None
     for name, m in models.items():
         s = m.transform(test).select(F.lit(name).alias("model"), F.col(LABEL).alias("label"),
