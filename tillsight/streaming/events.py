@@ -103,7 +103,9 @@ def stream_customer_rfm(events: DataFrame, name: str = "customer_rfm", root: str
 
 def latest_profiles(spark: SparkSession, table: str) -> DataFrame:
     """Newest row per user of a ``stream_customer_rfm`` table (an aggregate
-    ``max_by`` on batch id; no window)."""
+    ``max_by`` on batch id; no window). A micro-batch replayed after a
+    failure appends identical rows under the same batch id, so the result
+    is unchanged: the append sink is safe to retry."""
     t = spark.read.parquet(table)
     cols = [c for c in t.columns if c not in ("user_id", "batch_id")]
     return (t.groupBy("user_id").agg(F.max_by(F.struct(*cols), F.col("batch_id")).alias("r"))
