@@ -199,9 +199,9 @@ class Tokenizer:
         self.ids = Table(self)
 
     @classmethod
-    def load(cls, path: str) -> Tokenizer:
+    def load(cls, path: str, keep_labels: bool = True) -> Tokenizer:
         with open(path, encoding="utf-8") as f:
-            return cls(f.read())
+            return cls(f.read(), keep_labels)
 
     def words(self, text: str) -> list[str]:
         """Normalised pre-split words; special tokens stand for themselves."""
