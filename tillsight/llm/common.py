@@ -3,6 +3,7 @@ folder, and cutting Arrow batches into chunks of bounded text size."""
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import uuid
 
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 from tillsight.session import checkpoint_dir
 
 #: Text bytes handled by one vectorised step inside a task.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -47,6 +48,26 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def lean(batches):
+    """The batches of a task, in a worker that gives freed memory back to the
+    system at once: workers live on from task to task, and several share an
+    executor's memory with its JVM."""
+    pa.set_memory_pool(pa.system_memory_pool())
+    libc = ctypes.CDLL(None)
+    if hasattr(libc, "mallopt"):
+        libc.mallopt(-3, 1 << 20)  # blocks from 1 MB up are mapped and unmapped
+    try:
+        yield from batches
+    finally:
+        trim()
+
+
+def trim() -> None:
+    libc = ctypes.CDLL(None)
+    if hasattr(libc, "malloc_trim"):
+        libc.malloc_trim(0)
+
+
 def utf8(col: str) -> Column:
     """Column as binary UTF-8, null as empty."""
     return F.coalesce(F.col(col).cast("string"), F.lit("")).cast("binary")
@@ -85,3 +106,40 @@ def flat(arr: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     if buf is None or off[-1] == off[0]:
         return np.zeros(0, dtype=np.uint8), off - off[0]
     return np.frombuffer(buf, dtype=np.uint8)[off[0]:off[-1]], off - off[0]
+
+
+#: Bits of a membership map. It is sent to all executors whatever the number of
+#: members; more members only let more others through, to an exact join.
+MAP_BITS = 1 << 24
+
+
+def bitmap(df: DataFrame, col: str) -> np.ndarray:
+    """MAP_BITS bits, set for the values of a 64-bit hash column. Spark ors
+    them into MAP_BITS / 64 words at most, which the driver takes over."""
+    bit = F.col(col).bitwiseAND(F.lit(MAP_BITS - 1))
+    words = df.groupBy(F.shiftright(bit, 6).alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(`{col}` & 63 as int))")).alias("bits")).toPandas()
+    out = np.zeros(MAP_BITS // 64, dtype=np.int64)
+    out[words["word"].to_numpy()] = words["bits"].to_numpy()
+    return out.view(np.uint8)
+
+
+def in_bitmap(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
+    at = h.astype(np.uint64) & np.uint64(MAP_BITS - 1)
+    return bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8) & 1 > 0
+
+
+def split_by(df: DataFrame, key: Column, members: DataFrame, col: str) -> tuple[DataFrame, DataFrame]:
+    """Rows of ``df`` that may have their 64-bit ``key`` among ``members.col``,
+    and rows that surely don't. Only the former need a shuffle for the exact
+    join, so most texts stay where they are read."""
+    shared = df.sparkSession.sparkContext.broadcast(bitmap(members, col))
+
+    def pick(inside):
+        def run(batches):
+            for b in lean(batches):
+                hit = in_bitmap(shared.value, b.column(b.num_columns - 1).to_numpy())
+                b = b.drop_columns([b.schema.names[-1]])
+                yield b.filter(pa.array(hit if inside else ~hit))
+        return df.withColumn("_hash", key).mapInArrow(run, df.schema)
+
+    return pick(True), pick(False)

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tillsight.llm import textvec as tv
-from tillsight.llm.common import chunks, flat, stage, utf8
+from tillsight.llm.common import chunks, flat, lean, split_by, stage, unstage, utf8
 from tillsight.llm.components import connected_components
 
 N, PERCENT = 5, 80
@@ -84,16 +84,20 @@ def _frequent(buckets: int):
             by = np.argsort(of, kind="stable")
             cut = np.searchsorted(of[by], np.arange(buckets + 1))
             own = [b for b in range(buckets) if cut[b] < cut[b + 1]]
-            return pa.RecordBatch.from_arrays([
-                pa.array(own, pa.int32()), pa.array([keys[by[cut[b]:cut[b + 1]]].tobytes() for b in own], pa.binary()),
-                pa.array([np.minimum(count[by[cut[b]:cut[b + 1]]], 65535).astype(np.uint16).tobytes() for b in own], pa.binary())],
-                names=["bucket", "keys", "counts"])
-
-        for big in batches:
+            out = []
+            for b in own:  # first the keys counted more than once, with their counts
+                some = by[cut[b]:cut[b + 1]]
+                some = some[np.argsort(count[some] == 1, kind="stable")]
+                more = count[some][count[some] > 1]
+                out.append((keys[some].tobytes(), np.minimum(more, 65535).astype(np.uint16).tobytes()))
+            return pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), pa.array([x for x, _ in out], pa.binary()), pa.array([x for _, x in out], pa.binary())],
+                                              names=["bucket", "keys", "counts"])
+
+        for big in lean(batches):
             for b in chunks(big, "text"):
                 h, _ = shingles(*flat(b.column(b.schema.get_field_index("text"))))
                 held.append(np.unique((h >> U64(32)).astype(np.uint32), return_counts=True))
-                if sum(len(k) for k, _ in held) > 4 << 20:
+                if sum(len(k) for k, _ in held) > 1 << 20:
                     yield flush()
                     held.clear()
         if held:
@@ -111,7 +115,12 @@ def heavy_table(src: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
     def top(pdf: pd.DataFrame) -> pd.DataFrame:
         keys = np.concatenate([np.frombuffer(k, dtype=np.uint32) for k in pdf["keys"]])
-        count = np.concatenate([np.frombuffer(c, dtype=np.uint16) for c in pdf["counts"]])
+        count = np.ones(len(keys), dtype=np.int64)
+        at = 0
+        for k, c in zip(pdf["keys"], pdf["counts"], strict=True):
+            more = np.frombuffer(c, dtype=np.uint16)
+            count[at:at + len(more)] = more
+            at += len(k) // 4
         keys, inv = np.unique(keys, return_inverse=True)
         total = np.bincount(inv, weights=count).astype(np.int64)
         own = np.flatnonzero(total >= HEAVY_COUNT)
@@ -162,7 +171,7 @@ def _sets(shared, percent, whole: bool):
     """(id, node, n, prefix or whole set) of each document."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order = Order(shared.value)
-        for big in batches:
+        for big in lean(batches):
             for b in chunks(big, "text"):
                 h, at = shingles(*flat(b.column(b.schema.get_field_index("text"))))
                 keys = order(h)
@@ -181,8 +190,8 @@ def _sets(shared, percent, whole: bool):
 def _light(buckets):
     """Prefix n-grams that aren't frequent, as packed blocks for a bucket."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for part in chunks(b, "part", 8 << 20):
+        for b in lean(batches):
+            for part in chunks(b, "part", 1 << 20):
                 data, off = flat(part.column(part.schema.get_field_index("part")))
                 keys = np.frombuffer(data.tobytes(), dtype=np.uint64)
                 off //= 8
@@ -217,8 +226,8 @@ def _shared_keys(pdf: pd.DataFrame) -> pd.DataFrame:
 
 def _heavy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Postings of the frequent prefix n-grams, one row each."""
-    for b in batches:
-        for part in chunks(b, "part", 4 << 20):
+    for b in lean(batches):
+        for part in chunks(b, "part", 1 << 20):
             data, off = flat(part.column(part.schema.get_field_index("part")))
             keys = np.frombuffer(data.tobytes(), dtype=np.uint64)
             off //= 8
@@ -269,7 +278,7 @@ class Probe:
 
 def _verify(percent):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in lean(batches):
             first, second = b.column(0).to_numpy(), b.column(1).to_numpy()
             by = np.argsort(first, kind="stable")
             cut = np.flatnonzero(np.diff(first[by])) + 1
@@ -299,13 +308,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     shared = spark.sparkContext.broadcast(heavy_table(src))
     kind = "doc_id long, node long, n long, part binary"
     sets = stage(src.mapInArrow(_sets(shared, percent, False), kind), "sets")
-    classes = stage(sets.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("first"), F.first("n").alias("n"), F.first("part").alias("part")), "classes")
-    total = classes.agg(F.sum(F.octet_length("part"))).first()[0] or 0
+    prefixes = stage(sets.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("first"), F.first("n").alias("n"), F.first("part").alias("part")), "prefixes")
+    sets, whole_sets = stage(sets.drop("part"), "sizes"), sets
+    unstage(whole_sets)
+    classes = stage(prefixes.drop("part"), "classes")
+    total = prefixes.agg(F.sum(F.octet_length("part"))).first()[0] or 0
     buckets = max(32, total >> 23)  # about a million prefix n-grams each
-    light = classes.select("node", "n", "part").mapInArrow(_light(buckets), "bucket int, key binary, node binary, n binary, at binary").groupBy("bucket").applyInPandas(
+    light = prefixes.select("node", "n", "part").mapInArrow(_light(buckets), "bucket int, key binary, node binary, n binary, at binary").groupBy("bucket").applyInPandas(
         _shared_keys, "key long, node long, n long, at int")
-    heavy = classes.select("node", "n", "part").mapInArrow(_heavy, "key long, node long, n long, at int")
+    heavy = prefixes.select("node", "n", "part").mapInArrow(_heavy, "key long, node long, n long, at int")
     posts = stage(light.unionByName(heavy), "postings")
+    unstage(prefixes)
 
     # first round: each shared n-gram links its classes to one of them
     share = posts.groupBy("node").agg(F.count("*").alias("share"))
@@ -343,10 +356,10 @@ def _check(src, shared, classes, pairs, percent):
     """The pairs (a, b) of classes that are similar enough. Whole sets are
     made anew from the texts of the classes' first documents."""
     nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    wanted = stage(classes.join(nodes, "node").select("node", "first"), "wanted")
-    texts = src.join(wanted.select(F.col("first").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    wanted = stage(classes.join(nodes, "node").select(F.col("first").alias("doc_id"), F.xxhash64("first").alias("key")).distinct(), "wanted")
+    texts = split_by(src, F.xxhash64("doc_id"), wanted, "key")[0].join(wanted, "doc_id", "left_semi")
     whole = texts.mapInArrow(_sets(shared, percent, True), "doc_id long, node long, n long, part binary")
-    whole = stage(whole.where("node is not null").dropDuplicates(["node"]).select("node", "part"), "whole")
+    whole = stage(whole.where("node is not null").join(nodes, "node", "left_semi").dropDuplicates(["node"]).select("node", "part"), "whole")
     joined = pairs.join(whole.select(F.col("node").alias("b"), F.col("part").alias("part_b")), "b").join(
         whole.select(F.col("node").alias("a"), F.col("part").alias("part_a")), "a")
     return joined.select("a", "b", "part_a", "part_b").mapInArrow(_verify(percent), "a long, b long")
