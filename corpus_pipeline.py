@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillsight.llm.common import stage
+from tillsight.llm.common import split_by, stage
 from tillsight.llm.line_dedup import drop_lines
 from tillsight.llm.ngram_join import near_duplicates
 from tillsight.llm.packing import pack_documents
@@ -36,8 +36,9 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    later = near_duplicates(docs).where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(later, "doc_id", "left_anti").select(*docs.columns)
+    later = stage(near_duplicates(docs).where("doc_id <> component_id").select("doc_id", F.xxhash64("doc_id").alias("key")).distinct(), "later")
+    inside, outside = split_by(docs, F.xxhash64("doc_id"), later, "key")
+    return inside.join(later, "doc_id", "left_anti").select(*docs.columns).unionByName(outside)
 
 
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

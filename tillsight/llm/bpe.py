@@ -34,6 +34,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tillsight.llm.common import lean
 #: Distinct words whose tokens a worker keeps (twice as many where it keeps no
 #: labels); the table is emptied when it is full.
 CACHE_WORDS = 450_000
@@ -277,7 +278,7 @@ def broadcast_spec(spark, path: str):
 def _encode(spec):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = shared_tokenizer(spec)
-        for b in batches:
+        for b in lean(batches):
             for lo in range(0, b.num_rows, 512):
                 part = b.slice(lo, 512)
                 n, a, d = [], [], []
@@ -295,7 +296,7 @@ def _tokens(spec):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
         tok = shared_tokenizer(spec)
-        for b in batches:
+        for b in lean(batches):
             for lo in range(0, b.num_rows, 512):
                 part = b.slice(lo, 512)
                 pairs = [tok.encode_and_decode(x.as_py()) for x in part.column(1)]

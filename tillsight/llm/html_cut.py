@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tillsight.llm.common import lean
 from tillsight.llm.html_blocks import Block, scan
 
 BOILER_TAGS = frozenset("nav footer aside form menu dialog button select fieldset head noscript".split())
@@ -148,7 +149,7 @@ def main_text(source: str | None) -> str:
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in lean(batches):
         for lo in range(0, b.num_rows, 256):
             part = b.slice(lo, 256)
             texts = [main_text(x) for x in part.column(2).to_pylist()]

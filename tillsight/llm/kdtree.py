@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tillsight.llm.common import stage
+from tillsight.llm.common import lean, stage
 
 SHARD_ROWS, LEAF_ROWS = 4096, 96
 #: Queries in a block; bytes of query vectors that one wave broadcasts.
@@ -163,7 +163,7 @@ def _shards(scale):
                 "dim": [vecs.shape[1]], "n": [len(ids)], "ids": [ids.tobytes()], "vecs": [_pack(vecs)], "nodes": [nodes.tobytes()],
                 "low": [_pack(low)], "high": [_pack(high)], "least": [least.tobytes()]}, schema=_SHARD)
 
-        for b in batches:
+        for b in lean(batches):
             for lo in range(0, b.num_rows, SHARD_ROWS):
                 for ids, vecs in _rows(b.slice(lo, SHARD_ROWS), scale):
                     own = held.setdefault(vecs.shape[1], [])
@@ -183,7 +183,7 @@ SHARD = "dim int, n int, ids binary, vecs binary, nodes binary, low binary, high
 
 def _blocks(scale):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in lean(batches):
             for lo in range(0, b.num_rows, BLOCK_QUERIES):
                 for ids, vecs in _rows(b.slice(lo, BLOCK_QUERIES), scale):
                     yield pa.RecordBatch.from_pydict({"dim": [vecs.shape[1]], "queries": [len(ids)], "query_ids": [ids.tobytes()], "query_vecs": [_pack(vecs)]},
@@ -197,7 +197,7 @@ _HIT = pa.schema([("block", pa.int64()), ("number", pa.int32()), ("query_id", pa
 def _search(k):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, tuple] = {}  # block -> (ids, vectors, bests): at most one wave of blocks
-        for b in batches:
+        for b in lean(batches):
             for r in b.to_pylist():
                 block, dim = r["block"], r["dim"]
                 if block not in held:
@@ -222,7 +222,7 @@ def _floors(k):
     """The k-th best of each query of a block, from a first shard's hits."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hits: dict[int, dict] = {}
-        for b in batches:
+        for b in lean(batches):
             for block, number, _, vec, score in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 hits.setdefault(block, {}).setdefault(number, []).append((score, -vec))
         for block, by in hits.items():

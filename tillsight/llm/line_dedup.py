@@ -30,15 +30,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tillsight.llm import textvec as tv
-from tillsight.llm.common import chunks, flat, stage, utf8
+from tillsight.llm.common import bitmap, chunks, flat, in_bitmap, lean, split_by, stage, unstage, utf8
 
 #: Leading tokens that a leaf fixes; documents that make a template recur;
 #: tokens of the shortest template; constant part of a template; different
 #: surroundings for each document.
 DEPTH, MIN_DOCS, MIN_TOKENS, CONSTANT, SURROUNDINGS = 3, 5, 3, 0.7, 0.5
-#: Bits of the map of popular leaves that the second pass filters by. It lets
-#: some other leaves pass as well; they fail the counts later.
-MAP_BITS = 1 << 24
 U64 = np.uint64
 FIELD = U64(0x2545F4914F6CDD1D)  # the hash of any variable field
 VARIABLE = np.zeros(256, dtype=bool)
@@ -95,13 +92,13 @@ def _leaves(depth, min_tokens):
             n = np.bincount(inv, weights=np.concatenate([c for _, c in held])).astype(np.int64)
             return pa.RecordBatch.from_arrays([pa.array(leaf.astype(np.int64)), pa.array(n)], names=["leaf", "docs"])
 
-        for big in batches:
+        for big in lean(batches):
             for b in chunks(big, "text"):
                 x = Lines(*flat(b.column(b.schema.get_field_index("text"))), depth)
                 own = np.flatnonzero(x.count >= min_tokens)
                 _, one = np.unique(tv.mix(x.leaf[own] + x.doc[own].astype(np.uint64) * U64(0x9E3779B97F4A7C15)), return_index=True)
                 held.append(np.unique(x.leaf[own[one]], return_counts=True))
-                if sum(len(k) for k, _ in held) > 1 << 20:
+                if sum(len(k) for k, _ in held) > 1 << 19:
                     yield flush()
                     held.clear()
         if held:
@@ -113,11 +110,10 @@ def _popular(shared, depth, min_tokens):
     """The lines of popular leaves, with their token hashes."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = shared.value
-        for big in batches:
+        for big in lean(batches):
             for b in chunks(big, "text"):
                 x = Lines(*flat(b.column(b.schema.get_field_index("text"))), depth)
-                at = x.leaf & U64(MAP_BITS - 1)
-                own = np.flatnonzero((x.count >= min_tokens) & (seen[(at >> U64(3)).astype(np.int64)] >> (at & U64(7)).astype(np.uint8) & 1 > 0))
+                own = np.flatnonzero((x.count >= min_tokens) & in_bitmap(seen, x.leaf))
                 once = np.zeros(len(own), dtype=bool)
                 once[np.unique(tv.mix(x.line[own] + x.doc[own].astype(np.uint64) * U64(0x9E3779B97F4A7C15)), return_index=True)[1]] = True
                 size = x.count[own]
@@ -133,24 +129,15 @@ def _popular(shared, depth, min_tokens):
     return run
 
 
-def _bitmap(leaves: DataFrame) -> np.ndarray:
-    """MAP_BITS bits, set for the popular leaves; Spark ors them into at most
-    MAP_BITS / 64 words."""
-    bit = F.col("leaf").bitwiseAND(F.lit(MAP_BITS - 1))
-    words = leaves.groupBy(F.shiftright(bit, 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(leaf & 63 as int))")).alias("bits")).toPandas()
-    out = np.zeros(MAP_BITS // 64, dtype=np.int64)
-    out[words["word"].to_numpy()] = words["bits"].to_numpy()
-    return out.view(np.uint8)
-
-
 def recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = MIN_DOCS, depth: int = DEPTH,
                     min_tokens: int = MIN_TOKENS, constant: float = CONSTANT, surroundings: float = SURROUNDINGS) -> DataFrame:
-    """(doc_id, text_key, line_no) of every line whose template recurs."""
+    """(doc_id, text_key, numbers) of every document that has lines whose
+    template recurs, with their places."""
     spark = docs.sparkSession
     src = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("text_key"), utf8(text_col).alias("text"))
     kind = src.schema["doc_id"].dataType.simpleString()
     leaves = src.select("text").mapInArrow(_leaves(depth, min_tokens), "leaf long, docs long").groupBy("leaf").agg(F.sum("docs").alias("docs"))
-    shared = spark.sparkContext.broadcast(_bitmap(leaves.where(F.col("docs") >= min_docs)))
+    shared = spark.sparkContext.broadcast(bitmap(leaves.where(F.col("docs") >= min_docs), "leaf"))
     lines = stage(src.mapInArrow(_popular(shared, depth, min_tokens), f"doc_id {kind}, text_key long, line_no int, leaf long, line long, around long, "
                                  "once boolean, tokens array<long>"), "lines")
     # distinct lines, their documents and surroundings
@@ -168,12 +155,16 @@ def recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     often = template.groupBy("leaf", "template").agg(F.sum("docs").alias("docs")).where(F.col("docs") >= min_docs).join(around, ["leaf", "template"]).where(
         F.col("places") >= F.col("docs") * surroundings).select("leaf", "template")
     bad = template.join(often, ["leaf", "template"]).select("leaf", "line")
-    return lines.select("doc_id", "text_key", "line_no", "leaf", "line").join(bad, ["leaf", "line"]).select("doc_id", "text_key", "line_no")
+    found = lines.select("doc_id", "text_key", "line_no", "leaf", "line").join(bad, ["leaf", "line"])
+    out = stage(found.groupBy("doc_id", "text_key").agg(F.collect_set("line_no").alias("numbers")), "recurring")
+    unstage(lines)
+    unstage(kinds)
+    return out
 
 
 def _drop(names):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in lean(batches):
             text, numbers = (b.column(b.schema.get_field_index(c)).to_pylist() for c in ("_text", "_numbers"))
             out, total, gone = [], [], []
             for t, own in zip(text, numbers, strict=True):
@@ -190,10 +181,12 @@ def _drop(names):
 def drop_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """``docs`` with ``_kept`` (the text without recurring lines), ``_lines``
     and ``_gone`` (lines, and lines dropped) added."""
-    found = recurring_lines(docs, id_col, text_col, **how).groupBy("doc_id", "text_key").agg(F.collect_set("line_no").alias("_numbers")).select(
-        F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), "_numbers")
+    found = recurring_lines(docs, id_col, text_col, **how).select(
+        F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), F.col("numbers").alias("_numbers"))
     same = F.col(id_col).eqNullSafe(F.col("_id")) & (F.xxhash64(text_col) == F.col("_key"))
-    joined = docs.join(found, same, "left").select(*(F.col(f"`{c}`") for c in docs.columns), F.col(text_col).cast("string").alias("_text"), "_numbers")
+    inside, outside = split_by(docs, F.xxhash64(text_col), found, "_key")
+    whole = [F.col(f"`{c}`") for c in docs.columns] + [F.col(text_col).cast("string").alias("_text")]
+    joined = inside.join(found, same, "left").select(*whole, "_numbers").unionByName(outside.select(*whole, F.lit(None).cast("array<int>").alias("_numbers")))
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
     return joined.mapInArrow(_drop(docs.columns), f"{kinds}, _kept string, _lines long, _gone long")
 

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tillsight.llm.bpe import broadcast_spec, shared_tokenizer
-from tillsight.llm.common import stage
+from tillsight.llm.common import lean, stage
 
 CAPACITY = 2048
 #: Pricing rounds, weight rate, and the part of the scarcest length that a
@@ -138,7 +138,7 @@ def _pieces(spec, capacity):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = shared_tokenizer(spec, keep_labels=False)
         step = 4 * capacity
-        for b in batches:
+        for b in lean(batches):
             for lo in range(0, b.num_rows, 512):
                 part = b.slice(lo, 512)
                 row, piece, length, crc = [], [], [], []
@@ -185,7 +185,7 @@ def slots(plan) -> dict[int, tuple[np.ndarray, ...]]:
 def _assign(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = shared.value
-        for b in batches:
+        for b in lean(batches):
             names = b.schema.names
             length, rank = (b.column(names.index(c)).to_numpy() for c in ("length", "rank"))
             seq, off = np.zeros(len(length), dtype=np.int64), np.zeros(len(length), dtype=np.int64)

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tillsight.llm import textvec as tv
-from tillsight.llm.common import chunks, flat, stage, unstage, utf8
+from tillsight.llm.common import chunks, flat, lean, split_by, stage, unstage, utf8
 
 ORDER = 5
 #: Bytes that the broadcast model may take. Where all orders don't fit, the
@@ -112,7 +112,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, inv = np.unique(keys, return_inverse=True)
         return keys, np.bincount(inv, weights=n, minlength=len(keys)).astype(np.int64)
 
-    for big in batches:
+    for big in lean(batches):
         for b in chunks(big, "text"):
             data, off = flat(b.column(b.schema.get_field_index("text")))
             start, end, bounds = tv.words(data, off)
@@ -129,9 +129,9 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 keys, per = packed_grams(data, start[own[at]], end[own[at]])
                 keys, inv = np.unique(keys, return_inverse=True)
                 total.setdefault(lang, []).append((keys, np.bincount(inv, weights=np.repeat(n, per))))
-                if sum(len(x) for x, _ in total[lang]) > 1 << 20:
+                if sum(len(x) for x, _ in total[lang]) > 1 << 19:
                     total[lang] = [rows(lang)]
-                    if len(total[lang][0][0]) > 1 << 20:
+                    if len(total[lang][0][0]) > 1 << 19:
                         yield _gram_rows(lang, *total.pop(lang).pop())
     for lang in list(total):
         yield _gram_rows(lang, *rows(lang))
@@ -217,7 +217,7 @@ def _dup_lines(text: bytes) -> int:
 def _scorer(model):
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lm = model.value if model is not None else None
-        for big in batches:
+        for big in lean(batches):
             for b in chunks(big, "text"):
                 yield _score_chunk(b, lm)
     return score
@@ -310,10 +310,11 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", **how) -> DataFrame:
     """``docs`` without the rejected documents, all columns as they were."""
-    bad = quality_rules(docs, id_col, text_col, lang_col, **how).where(~F.col("kept")).select(
-        F.col("doc_id").alias("_bad_id"), F.col("text_key").alias("_bad_key")).distinct()
+    bad = stage(quality_rules(docs, id_col, text_col, lang_col, **how).where(~F.col("kept")).select(
+        F.col("doc_id").alias("_bad_id"), F.col("text_key").alias("_bad_key")).distinct(), "rejected")
     same = F.col(id_col).eqNullSafe(F.col("_bad_id")) & (F.xxhash64(text_col) == F.col("_bad_key"))
-    return docs.join(bad, same, "left_anti")
+    inside, outside = split_by(docs, F.xxhash64(text_col), bad, "_bad_key")
+    return inside.join(bad, same, "left_anti").unionByName(outside)
 
 
 def op10_quality_rules(spark, sf_dir):

@@ -28,6 +28,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tillsight.llm.common import lean, stage
+
 #: Rules whose strings take more than this are dealt out by digest range
 #: instead of being sent to every executor.
 BROADCAST_BYTES = 64 << 20
@@ -157,7 +159,7 @@ def suffixes(host: str) -> Iterator[str]:
 def _filter(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rules = shared.value.load()
-        for b in batches:
+        for b in lean(batches):
             parts = [split_url(u) for u in b.column(1).to_pylist()]
             hosts, paths = [p[0] for p in parts], [p[1] for p in parts]
             hit = rules.judge(hosts, paths)
@@ -186,7 +188,7 @@ def url_verdicts(urls: DataFrame, rules: DataFrame, id_col: str = "page_id", url
 
 
 def _probes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in lean(batches):
         rows = []
         for k, u, lengths in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
             host, path = split_url(u)
@@ -199,8 +201,6 @@ def _by_range(src, rules, default, kind):
     """Rules too many for one executor: their digest array is spread over the
     cluster by ranges of the 64-bit key, and distinct probes go to the range
     that would hold them; equal strings confirm the match."""
-    from tillsight.llm.common import stage
-
     src = stage(src.withColumn("row", F.monotonically_increasing_id()), "urls")
     lower = F.translate("host", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     table = (rules.withColumn("host", lower).groupBy("host", "path").agg(F.min_by("verdict", F.col("verdict") != "block").alias("verdict"))
@@ -213,7 +213,7 @@ def _by_range(src, rules, default, kind):
         "key", "url", F.concat("hit.host", "hit.path").alias("rule"), F.coalesce("hit.verdict", F.lit(default)).alias("verdict"))
 
     def hosts(batches):
-        for b in batches:
+        for b in lean(batches):
             parts = [split_url(u) for u in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([p[0] for p in parts], pa.string()), pa.array([p[1] for p in parts], pa.string()),
                                               b.column(2), b.column(3)], names=["key", "url", "host", "path", "rule", "verdict"])

@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tillsight.llm.common import lean
 from tillsight.llm.html_blocks import scan
 
 NAMESPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # the URL namespace of RFC 4122
@@ -89,7 +90,7 @@ def derivatives(record_id: str, uri: str | None, date: str | None, block: bytes)
 
 
 def _derive(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in lean(batches):
         for lo in range(0, b.num_rows, 256):
             rows, own = [], []
             for key, rid, uri, date, block in zip(*(b.column(i).slice(lo, 256).to_pylist() for i in range(5)), strict=True):
@@ -151,7 +152,7 @@ def records(data: bytes) -> Iterator[tuple[dict, bytes]]:
 
 
 def _responses(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in lean(batches):
         for data in b.column(0).to_pylist():
             for head, block in records(data):
                 if head.get("warc-type") == "response":
