@@ -50,12 +50,14 @@ def release(spark: SparkSession) -> None:
 
 def lean(batches):
     """The batches of a task, in a worker that gives freed memory back to the
-    system at once: workers live on from task to task, and several share an
-    executor's memory with its JVM."""
+    system when the task ends: workers live on from task to task, and several
+    share an executor's memory with its JVM. Within a task freed blocks are
+    reused, as mapping new ones costs more than the work on them."""
     pa.set_memory_pool(pa.system_memory_pool())
     libc = ctypes.CDLL(None)
     if hasattr(libc, "mallopt"):
-        libc.mallopt(-3, 1 << 20)  # blocks from 1 MB up are mapped and unmapped
+        libc.mallopt(-3, 32 << 20)  # M_MMAP_THRESHOLD
+        libc.mallopt(-1, 256 << 20)  # M_TRIM_THRESHOLD
     try:
         yield from batches
     finally:

@@ -59,7 +59,7 @@ class Column:
 
 
 class BucketQueue:
-    """Priority queue for few keys: a first-in first-out list a key, whose
+    """Priority queue for few keys (below 2^16): a first-in first-out list a key, whose
     parts go to a file when too many tuples wait."""
 
     def __init__(self, keys: int, memory: int):
@@ -68,7 +68,7 @@ class BucketQueue:
 
     def push(self, keys: np.ndarray, pos: np.ndarray, lcp: np.ndarray) -> None:
         x = np.empty(len(pos), dtype=_TUPLE)
-        by = np.argsort(keys, kind="stable")
+        by = np.argsort(keys.astype(np.uint16), kind="stable")
         x["pos"], x["lcp"], keys = pos[by], lcp[by], keys[by]
         cut = np.flatnonzero(np.diff(keys)) + 1
         for k, part in zip(keys[np.concatenate([[0], cut])].tolist() if len(keys) else (), np.split(x, cut), strict=False):
@@ -177,18 +177,32 @@ def smaller_than_next(t: np.ndarray) -> np.ndarray:
 
 
 def common_prefix(t: np.ndarray, a: np.ndarray, b: np.ndarray, limit: int) -> np.ndarray:
-    """Symbols that the suffixes at a and b share, ``limit`` at most."""
+    """Symbols that the suffixes at a and b share, ``limit`` at most. ``t``
+    holds 16-bit symbols; four are compared at a time."""
     n, out = len(t), np.zeros(len(a), dtype=np.int32)
-    todo = np.arange(len(a))
-    step = np.arange(16)
-    done = 0
-    while len(todo) and done < limit:
-        i, j = (x[todo][:, None] + done + step for x in (a, b))
-        same = (t[np.minimum(i, n - 1)] == t[np.minimum(j, n - 1)]) & (i < n) & (j < n)
-        run = np.where(same.all(axis=1), 16, same.argmin(axis=1))
-        out[todo] += run.astype(np.int32)
-        todo = todo[run == 16]
-        done += 16
+    words = np.lib.stride_tricks.as_strided(np.frombuffer(t, dtype=np.uint64, count=1), (n - 3,), (2,)) if n >= 4 else None
+    for lo in range(0, len(a), 1 << 16):
+        i, j = a[lo:lo + (1 << 16)].astype(np.int64), b[lo:lo + (1 << 16)].astype(np.int64)
+        own, todo, done = out[lo:lo + (1 << 16)], np.arange(len(i)), 0
+        while len(todo) and done < limit:
+            x, y = i[todo] + done, j[todo] + done
+            near = np.maximum(x, y) + 8 > n
+            if near.any():  # symbol by symbol at the end of the string
+                for k in np.flatnonzero(near):
+                    p, q, c = int(x[k]), int(y[k]), 0
+                    while c < limit and max(p, q) + c < n and t[p + c] == t[q + c]:
+                        c += 1
+                    own[todo[k]] += c
+                todo, x, y = todo[~near], x[~near], y[~near]
+            d = words[x] ^ words[y] if words is not None else x
+            e = words[x + 4] ^ words[y + 4] if words is not None else x
+            first = d == 0
+            d = np.where(first, e, d)
+            low = d & (~d + np.uint64(1))
+            run = np.where(d == 0, 4, np.log2(np.maximum(low, 1).astype(np.float64)).astype(np.int64) >> 4) + 4 * first
+            own[todo] += run.astype(np.int32)
+            todo = todo[run == 8]
+            done += 8
     return np.minimum(out, limit)
 
 
@@ -205,7 +219,7 @@ def names_of(t: np.ndarray, kind: np.ndarray, lms: np.ndarray, symbols: int) ->
             at = np.minimum(lms[todo] + k, n - 1)
             code = np.where(k < length[todo], (t[at].astype(np.int64) + 1) * 2 + kind[at], 0)
             key = (key << bits) | code
-        by = np.lexsort((key, rank[todo]))
+        by = np.lexsort((key, rank[todo])) if done else np.argsort(key)
         todo, key = todo[by], key[by]
         old = rank[todo]
         new_old = np.concatenate([[True], old[1:] != old[:-1]])
@@ -224,7 +238,7 @@ def order_in_memory(r: np.ndarray, limit: int) -> np.ndarray:
     """Suffixes of ``r`` sorted by their first ``limit`` symbols or more, by
     prefix doubling on the ties that are left."""
     m = len(r)
-    by = np.argsort(r, kind="stable")
+    by = np.argsort(r)
     rank = np.empty(m, dtype=np.int64)
     new = np.concatenate([[True], r[by][1:] != r[by][:-1]])
     rank[by] = np.maximum.accumulate(np.where(new, np.arange(m), 0))
@@ -236,7 +250,7 @@ def order_in_memory(r: np.ndarray, limit: int) -> np.ndarray:
         pos = place[todo]
         second = np.where(pos + span < m, rank[np.minimum(pos + span, m - 1)], -1)
         first = rank[pos]
-        s = np.lexsort((second, first))
+        s = np.argsort(first * (m + 1) + second + 1)
         pos, first, second = pos[s], first[s], second[s]
         place[todo] = pos
         new_first = np.concatenate([[True], first[1:] != first[:-1]])
@@ -263,7 +277,7 @@ class Carried:
         out = np.zeros(len(at), dtype=np.int32)
         now = np.minimum(self.least, lcp.min() if len(lcp) else self.limit)
         if len(at):
-            by = np.argsort(target, kind="stable")
+            by = np.argsort(target.astype(np.uint16), kind="stable")
             t = target[by]
             cut = np.flatnonzero(np.diff(t)) + 1
             long = np.append(lcp, np.int32(self.limit))

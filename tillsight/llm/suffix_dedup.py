@@ -36,13 +36,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tillsight.llm import textvec as tv
-from tillsight.llm.common import chunks, flat, release, stage, unstage
+from tillsight.llm.common import chunks, flat, lean, split_by, stage, unstage
 from tillsight.llm.induced import sorted_suffixes
 
-LENGTH, GRAM = 200, 41
+LENGTH, GRAM = 200, 32
 #: Text bytes that one shard sorts, about; copies in a chunk that are counted
 #: before the shuffle.
-SHARD_BYTES, COPIES = 12 << 20, 8
+SHARD_BYTES, COPIES = 3 << 19, 8
 U64 = np.uint64
 PLACE = U64((1 << 32) - 1)
 
@@ -87,7 +87,7 @@ def _anchors(buckets, length, gram):
     """Segments in packed blocks: bucket -1 holds those that are known to be
     copies, the other buckets one entry for each segment to be counted."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for big in batches:
+        for big in lean(batches):
             for b in chunks(big, "text"):
                 doc, s, e, key, own = segments(*flat(b.column(b.schema.get_field_index("text"))), length, gram)
                 if not len(doc):
@@ -144,7 +144,7 @@ def _repeated(pdf: pd.DataFrame) -> pd.DataFrame:
 
 def _known(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Entries of bucket -1, one row each."""
-    for b in batches:
+    for b in lean(batches):
         for i in range(b.num_rows):
             v = {c: np.frombuffer(b.column(b.schema.get_field_index(c))[i].as_py(), dtype=t) for c, t in _COLS}
             n = len(v["row"])
@@ -156,7 +156,7 @@ def _known(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _contents(length):
     """The bytes of chosen segments, cut out of their texts."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in lean(batches):
             for lo in range(0, b.num_rows, 256):
                 part = b.slice(lo, 256)
                 out = {"anchor": [], "segment": [], "copies": [], "content": []}
@@ -201,7 +201,7 @@ def _shard(length, how):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with tempfile.TemporaryFile() as f:
             anchor, segment, copies, size = [], [], [], []
-            for b in batches:
+            for b in lean(batches):
                 for a, s, n, text in zip(*(b.column(i) for i in range(4)), strict=True):
                     data = text.as_buffer()
                     anchor.append(a.as_py())
@@ -248,7 +248,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", len
     occur = stage(counted.unionByName(found.where("bucket < 0").mapInArrow(_known, _OCCUR)), "occurrences")
     unstage(found)
     wanted = occur.where("chosen").groupBy("row").agg(F.collect_list(F.struct("start", "size", "anchor", "segment", "copies")).alias("wanted"))
-    texts = src.join(wanted, "row").select("text", "wanted")
+    texts = split_by(src, F.col("row"), occur.where("chosen"), "row")[0].join(wanted, "row").select("text", "wanted")
     content = stage(texts.mapInArrow(_contents(length), "anchor long, segment long, copies long, content binary"), "segments")
     total = content.agg(F.sum(F.octet_length("content"))).first()[0] or 0
     shards = max(parallel, total // shard_bytes + 1)
@@ -257,7 +257,9 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", len
     unstage(content)
     placed = occur.select("row", "start", "anchor", "segment").join(spans, ["anchor", "segment"])
     runs = placed.select("row", F.expr("transform(arrays_zip(first, last), x -> struct(start + x.first AS a, start + x.last AS b))").alias("runs"))
-    return runs.select("row", F.explode("runs").alias("r")).groupBy("row").agg(F.collect_set("r").alias("spans"))
+    out = stage(runs.select("row", F.explode("runs").alias("r")).groupBy("row").agg(F.collect_set("r").alias("spans")), "repeats")
+    unstage(occur)
+    return out
 
 
 def row_key(id_col: str, text_col: str):
@@ -278,7 +280,7 @@ def _cover(spans, length: int) -> list[tuple[int, int]]:
 
 def _remove(names, length, form: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in lean(batches):
             for lo in range(0, b.num_rows, 512):
                 part = b.slice(lo, 512)
                 size, removed, count, kept = [], [], [], []
@@ -306,9 +308,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     the text), or the ``text`` they spell (null where it was null; pieces of a
     character that a removal has cut go too)."""
     found = repeats(docs, id_col, text_col, length, **how).select(F.col("row").alias("_row"), F.col("spans").alias("_spans"))
-    release(docs.sparkSession)
-    joined = docs.join(found, row_key(id_col, text_col) == F.col("_row"), "left").select(
-        *(F.col(f"`{c}`") for c in docs.columns), F.col(text_col).cast("string").cast("binary").alias("_text"), "_spans")
+    inside, outside = split_by(docs, row_key(id_col, text_col), found, "_row")
+    whole = [F.col(f"`{c}`") for c in docs.columns] + [F.col(text_col).cast("string").cast("binary").alias("_text")]
+    joined = inside.join(found, row_key(id_col, text_col) == F.col("_row"), "left").select(*whole, "_spans").unionByName(
+        outside.select(*whole, F.lit(None).cast(found.schema["_spans"].dataType).alias("_spans")))
     names = [c for c in docs.columns if not (form == "digest" and c == text_col)]
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in names)
     return joined.mapInArrow(_remove(names, length, form), f"{kinds}, _bytes long, _removed long, _runs long, _rest {'binary' if form == 'bytes' else 'string'}")
