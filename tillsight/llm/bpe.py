@@ -34,7 +34,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tillsight.llm.common import lean
+from tillsight.llm.common import HELD, lean
 #: Distinct words whose tokens a worker keeps (twice as many where it keeps no
 #: labels); the table is emptied when it is full.
 CACHE_WORDS = 450_000
@@ -257,16 +257,13 @@ class Tokenizer:
         return " ".join(self.automaton.labels[i] for i in ids)
 
 
-_LOADED: dict[tuple, Tokenizer] = {}
-
-
 def shared_tokenizer(spec, keep_labels: bool = True) -> Tokenizer:
-    """The tokenizer of a broadcast file, compiled once in each worker."""
+    """The tokenizer of a broadcast file, compiled once in each worker and
+    kept while the worker's tasks tokenize."""
     key = hash(spec.value), keep_labels
-    if key not in _LOADED:
-        _LOADED.clear()
-        _LOADED[key] = Tokenizer(spec.value, keep_labels)
-    return _LOADED[key]
+    if HELD.get("tokenizer", (None,))[0] != key:
+        HELD["tokenizer"] = key, Tokenizer(spec.value, keep_labels)
+    return HELD["tokenizer"][1]
 
 
 def broadcast_spec(spark, path: str):
@@ -278,7 +275,7 @@ def broadcast_spec(spark, path: str):
 def _encode(spec):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = shared_tokenizer(spec)
-        for b in lean(batches):
+        for b in lean(batches, keep="tokenizer"):
             for lo in range(0, b.num_rows, 512):
                 part = b.slice(lo, 512)
                 n, a, d = [], [], []
@@ -296,7 +293,7 @@ def _tokens(spec):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
         tok = shared_tokenizer(spec)
-        for b in lean(batches):
+        for b in lean(batches, keep="tokenizer"):
             for lo in range(0, b.num_rows, 512):
                 part = b.slice(lo, 512)
                 pairs = [tok.encode_and_decode(x.as_py()) for x in part.column(1)]

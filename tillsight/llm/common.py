@@ -48,26 +48,29 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def lean(batches):
+#: What a worker keeps from task to task, by kind.
+HELD: dict = {}
+
+
+def lean(batches, reuse: bool = False, keep: str = ""):
     """The batches of a task, in a worker that gives freed memory back to the
-    system when the task ends: workers live on from task to task, and several
-    share an executor's memory with its JVM. Within a task freed blocks are
-    reused, as mapping new ones costs more than the work on them."""
+    system: workers live on from task to task, and several share an executor's
+    memory with its JVM. With ``reuse`` freed blocks are kept until the task
+    ends, where mapping new ones would cost more than the work on them. Tables
+    that tasks of another kind have kept are dropped; ``keep`` names its own."""
+    for kind in [k for k in HELD if k != keep]:
+        del HELD[kind]
     pa.set_memory_pool(pa.system_memory_pool())
     libc = ctypes.CDLL(None)
     if hasattr(libc, "mallopt"):
-        libc.mallopt(-3, 32 << 20)  # M_MMAP_THRESHOLD
-        libc.mallopt(-1, 256 << 20)  # M_TRIM_THRESHOLD
+        libc.mallopt(-3, (32 if reuse else 1) << 20)  # M_MMAP_THRESHOLD
+        libc.mallopt(-1, (256 if reuse else 1) << 20)  # M_TRIM_THRESHOLD
     try:
         yield from batches
     finally:
-        trim()
-
-
-def trim() -> None:
-    libc = ctypes.CDLL(None)
-    if hasattr(libc, "malloc_trim"):
-        libc.malloc_trim(0)
+        gc.collect()
+        if hasattr(libc, "malloc_trim"):
+            libc.malloc_trim(0)
 
 
 def utf8(col: str) -> Column:

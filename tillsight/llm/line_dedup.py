@@ -185,10 +185,15 @@ def drop_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), F.col("numbers").alias("_numbers"))
     same = F.col(id_col).eqNullSafe(F.col("_id")) & (F.xxhash64(text_col) == F.col("_key"))
     inside, outside = split_by(docs, F.xxhash64(text_col), found, "_key")
-    whole = [F.col(f"`{c}`") for c in docs.columns] + [F.col(text_col).cast("string").alias("_text")]
-    joined = inside.join(found, same, "left").select(*whole, "_numbers").unionByName(outside.select(*whole, F.lit(None).cast("array<int>").alias("_numbers")))
+    own = [F.col(f"`{c}`") for c in docs.columns]
+    text = F.col(text_col).cast("string")
+    joined = inside.join(found, same, "left").select(*own, text.alias("_text"), "_numbers")
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return joined.mapInArrow(_drop(docs.columns), f"{kinds}, _kept string, _lines long, _gone long")
+    cut = joined.mapInArrow(_drop(docs.columns), f"{kinds}, _kept string, _lines long, _gone long")
+    # texts without recurring lines stay as they are
+    breaks = F.coalesce(F.char_length(text) - F.char_length(F.replace(text, F.lit("\n"), F.lit(""))), F.lit(0))
+    whole = outside.select(*own, text.alias("_kept"), (breaks + 1).cast("long").alias("_lines"), F.lit(0).cast("long").alias("_gone"))
+    return cut.unionByName(whole)
 
 
 def op7_line_templates(spark, sf_dir):

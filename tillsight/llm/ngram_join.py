@@ -31,7 +31,6 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -113,7 +112,9 @@ def heavy_table(src: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     most = max(1, HEAVY // buckets)
 
-    def top(pdf: pd.DataFrame) -> pd.DataFrame:
+    def top(pdf):
+        import pandas as pd
+
         keys = np.concatenate([np.frombuffer(k, dtype=np.uint32) for k in pdf["keys"]])
         count = np.ones(len(keys), dtype=np.int64)
         at = 0
@@ -211,8 +212,10 @@ def _light(buckets):
     return run
 
 
-def _shared_keys(pdf: pd.DataFrame) -> pd.DataFrame:
+def _shared_keys(pdf):
     """Postings of the keys of a bucket that two classes or more have."""
+    import pandas as pd
+
     key, node, n, at = (np.concatenate([np.frombuffer(x, dtype=t) for x in pdf[c]]) for c, t in (("key", np.uint64), ("node", np.int64), ("n", np.int32), ("at", np.int32)))
     by = np.argsort(key, kind="stable")
     key = key[by]

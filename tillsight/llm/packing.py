@@ -138,7 +138,7 @@ def _pieces(spec, capacity):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = shared_tokenizer(spec, keep_labels=False)
         step = 4 * capacity
-        for b in lean(batches):
+        for b in lean(batches, keep="tokenizer"):
             for lo in range(0, b.num_rows, 512):
                 part = b.slice(lo, 512)
                 row, piece, length, crc = [], [], [], []

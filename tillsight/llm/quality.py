@@ -190,7 +190,7 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", model_b
             for i in range(1, order + 1):
                 own = np.flatnonzero((lang == lg) & (n == i))
                 own = own[np.argsort(k[own])]
-                out[str(lg), i] = (k[own].astype(np.uint64), v[own].astype(np.float64))
+                out[str(lg), i] = (k[own].astype(np.uint64), v[own].astype(np.float32))
         return out
 
     if order:
@@ -200,7 +200,7 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", model_b
         ctx_keys, back = model.back[lang, n]
         w = back[np.searchsorted(ctx_keys, keys >> np.uint64(8))] if len(keys) else back
         if n == 1:
-            low = np.full(len(keys), 1 / 256)
+            low = np.full(len(keys), 1 / 256, dtype=np.float32)
         else:
             lk, lp = model.prob[lang, n - 1]
             low = lp[np.searchsorted(lk, keys & np.uint64((1 << 8 * (n - 1)) - 1))] if len(keys) else v
@@ -303,6 +303,7 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     scored = src.mapInArrow(_scorer(model), f"doc_id {kind}, text_key long, lang string, n_words long, word_chars long, "
                             "n_symbols long, n_dup_lines long, n_repeat_words long, bits double")
     scored = stage(scored.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))), "scored")
+    model.unpersist()
     out = scored.join(bands(scored, width, min_bits), "lang", "left")
     inside = F.col("bits").between(F.col("low_bits"), F.col("high_bits"))
     return out.withColumn("kept", ~F.col("base_failed") & F.coalesce(inside, F.lit(True))).withColumn("perplexity", F.pow(F.lit(2.0), F.col("bits")))

@@ -30,7 +30,6 @@ import tempfile
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -121,9 +120,11 @@ def _unpack(blobs, dtype):
 _OCCUR = "row long, start long, size int, anchor long, segment long, copies long, chosen boolean"
 
 
-def _repeated(pdf: pd.DataFrame) -> pd.DataFrame:
+def _repeated(pdf):
     """Entries of anchors that occur twice or more; the first of each segment
     is chosen to stand for it, with the copies of all."""
+    import pandas as pd
+
     v = {c: _unpack(pdf[c], t) for c, t in _COLS}
     by = np.lexsort((v["segment"], v["anchor"]))
     v = {c: x[by] for c, x in v.items()}
@@ -201,7 +202,7 @@ def _shard(length, how):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with tempfile.TemporaryFile() as f:
             anchor, segment, copies, size = [], [], [], []
-            for b in lean(batches):
+            for b in lean(batches, reuse=True):
                 for a, s, n, text in zip(*(b.column(i) for i in range(4)), strict=True):
                     data = text.as_buffer()
                     anchor.append(a.as_py())
@@ -309,12 +310,17 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     character that a removal has cut go too)."""
     found = repeats(docs, id_col, text_col, length, **how).select(F.col("row").alias("_row"), F.col("spans").alias("_spans"))
     inside, outside = split_by(docs, row_key(id_col, text_col), found, "_row")
-    whole = [F.col(f"`{c}`") for c in docs.columns] + [F.col(text_col).cast("string").cast("binary").alias("_text")]
-    joined = inside.join(found, row_key(id_col, text_col) == F.col("_row"), "left").select(*whole, "_spans").unionByName(
-        outside.select(*whole, F.lit(None).cast(found.schema["_spans"].dataType).alias("_spans")))
     names = [c for c in docs.columns if not (form == "digest" and c == text_col)]
+    raw = F.col(text_col).cast("string").cast("binary")
+    joined = inside.join(found, row_key(id_col, text_col) == F.col("_row"), "left").select(*(F.col(f"`{c}`") for c in docs.columns), raw.alias("_text"), "_spans")
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in names)
-    return joined.mapInArrow(_remove(names, length, form), f"{kinds}, _bytes long, _removed long, _runs long, _rest {'binary' if form == 'bytes' else 'string'}")
+    cut = joined.mapInArrow(_remove(names, length, form), f"{kinds}, _bytes long, _removed long, _runs long, _rest {'binary' if form == 'bytes' else 'string'}")
+    # texts without repeats stay as they are
+    full = F.coalesce(raw, F.lit("").cast("binary"))
+    rest = {"bytes": full, "digest": F.sha2(full, 256), "text": F.col(text_col).cast("string")}[form]
+    none = F.lit(0).cast("long")
+    whole = outside.select(*(F.col(f"`{c}`") for c in names), F.octet_length(full).cast("long").alias("_bytes"), none.alias("_removed"), none.alias("_runs"), rest.alias("_rest"))
+    return cut.unionByName(whole)
 
 
 def op4_suffix_dedup(spark, sf_dir):
