@@ -95,3 +95,14 @@ def test_standardize_population_std(spark):
     w = {r.churned: r.weight for r in M.class_weights(
         spark.createDataFrame([(1,), (1,), (1,), (0,)], "churned int")).collect()}
     assert w == {1: 4 / 6, 0: 2.0}
+
+
+def test_rules_of_a_large_itemset(spark):
+    """One itemset of 21 items among its 1- and 20-item subsets: only the
+    confident consequents are grown."""
+    from tillsight.operators.baskets import association_rules
+
+    names = [f"i{k:02d}" for k in range(21)]
+    rows = [(names, 0.1)] + [([n], 0.5) for n in names] + [(names[:k] + names[k + 1:], 0.2 if k else 0.1) for k in range(21)]
+    got = association_rules(spark.createDataFrame(rows, "items array<string>, support double"), 0.9)
+    assert [(r["consequents"], r["confidence"]) for r in got.collect()] == [("i00", 1.0)]

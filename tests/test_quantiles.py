@@ -9,9 +9,8 @@ from tillsight.operators.quantiles import exact_quantiles, running_total_before
 PROBS = [0.0, 0.01, 0.25, 0.5, 0.75, 0.99, 1.0]
 
 
-@pytest.mark.parametrize("map_limit", [0, 10**6], ids=["bucketed", "percentile"])
 @pytest.mark.parametrize("n,kind", [(1, "u"), (2, "u"), (7, "u"), (1000, "ties"), (4000, "heavy")])
-def test_exact_quantiles_match_pandas(spark, n, kind, map_limit):
+def test_exact_quantiles_match_pandas(spark, n, kind):
     rng = np.random.default_rng(n)
     if kind == "u":
         v = rng.random(n) * 100
@@ -21,16 +20,15 @@ def test_exact_quantiles_match_pandas(spark, n, kind, map_limit):
         v = np.where(rng.random(n) < 0.5, 3.0, rng.random(n) * 10)
     w = rng.integers(-50, 50, n).astype(float)
     df = spark.createDataFrame([(float(a), float(b)) for a, b in zip(v, w)], "x double, y double")
-    got = exact_quantiles(df, ["x", "y"], PROBS, buckets=8, map_limit=map_limit).first()
+    got = exact_quantiles(df, ["x", "y"], PROBS, buckets=8).first()
     for c, vals in (("x", v), ("y", w)):
         want = pd.Series(vals).quantile(PROBS).tolist()
         np.testing.assert_allclose([got[f"{c}_q{i}"] for i in range(len(PROBS))], want, rtol=0, atol=1e-12)
 
 
-@pytest.mark.parametrize("map_limit", [0, 10**6], ids=["bucketed", "percentile"])
-def test_exact_quantiles_empty_column_is_null(spark, map_limit):
+def test_exact_quantiles_empty_column_is_null(spark):
     df = spark.createDataFrame([(None, 1.0), (None, 2.0)], "x double, y double")
-    got = exact_quantiles(df, ["x", "y"], [0.5], map_limit=map_limit).first()
+    got = exact_quantiles(df, ["x", "y"], [0.5]).first()
     assert got["x_q0"] is None and got["y_q0"] == 1.5
 
 

@@ -43,17 +43,27 @@ def kmeans_segments(scored: DataFrame, k: int = 5, starts: int = 10, seed: int =
     return map_labels(clustered, label_clusters(clustered)), best
 
 
-def k_sweep(scored: DataFrame, ks: Iterable[int] = range(2, 9), seed: int = 42) -> DataFrame:
-    """Inertia and silhouette for each k (the elbow table); the best k by
+def k_sweep(scored: DataFrame, ks: Iterable[int] = range(2, 9), seed: int = 42, starts: int = 10,
+            max_iter: int = 300) -> DataFrame:
+    """Inertia and silhouette for each k (the elbow table), each the best of
+    ``starts`` fits; the best k by
     silhouette is flagged but not used. MLlib's silhouette works on squared
     distances, so values differ from the Euclidean one."""
     data = materialize(scaled_rfm(scored))
-    def fit(k):
-        m = KMeans(k=k, seed=seed, featuresCol="features", predictionCol="cluster").fit(data)
+    ks = list(ks)
+
+    def fit(job):
+        k, i = job
+        m = KMeans(k=k, seed=seed + i, maxIter=max_iter, featuresCol="features", predictionCol="cluster").fit(data)
+        return k, m.summary.trainingCost, i, m
+
+    def judge(k):
+        _, cost, _, m = min((r for r in fits if r[0] == k), key=lambda r: (r[1], r[2]))
         ev = ClusteringEvaluator(featuresCol="features", predictionCol="cluster")
-        return int(k), float(m.summary.trainingCost), float(ev.evaluate(m.transform(data)))
+        return int(k), float(cost), float(ev.evaluate(m.transform(data)))
 
-    rows = fit_all(fit, list(ks))
+    fits = fit_all(fit, [(k, i) for k in ks for i in range(starts)])
+    rows = fit_all(judge, ks)
     spark = scored.sparkSession
     out = spark.createDataFrame(rows, "k int, inertia double, silhouette double")
     best = max(rows, key=lambda r: r[2])[0] if rows else None

@@ -1,9 +1,8 @@
 """Market-basket analysis: baskets, frequent itemsets, association rules.
 
 Frequent itemsets come from MLlib's parallel FP-growth. Rules are generated
-as a DataFrame job: every proper non-empty subset of a frequent itemset is an
-antecedent (bit masks from ``sequence`` + indexed ``filter``), and the two
-supports are looked up by joining on the sorted item array. This yields
+as DataFrame jobs that grow consequents item by item, and the two supports are
+looked up by joining on the sorted item array. This yields
 rules with multi-item consequents too, which ``FPGrowthModel.associationRules``
 does not.
 """
@@ -19,8 +18,7 @@ from pyspark.sql import functions as F
 
 from tillsight.operators.reporting import products
 from tillsight.schema import MIN_CONFIDENCE, MIN_SUPPORT, TOP_N_PRODUCTS_FOR_RULES
-
-MAX_ITEMSET = 20  # 2^k subsets per itemset: refuse absurd itemset sizes
+from tillsight.session import materialize
 
 
 def top_items(df: DataFrame, item: str = "Description", n: int = TOP_N_PRODUCTS_FOR_RULES) -> DataFrame:
@@ -83,19 +81,32 @@ def association_rules(itemsets: DataFrame, min_confidence: float = MIN_CONFIDENC
     every split of every frequent itemset with confidence >= threshold.
 
     support = supp(A u C), confidence = supp(A u C) / supp(A),
-    lift = confidence / supp(C). No itemsets -> empty table."""
-    multi = check_itemset_size(itemsets.filter(F.size("items") >= 2))
-    masks = multi.withColumn("_m", F.explode(F.expr("sequence(1L, shiftleft(1L, size(items)) - 2)")))
-    splits = masks.select(
-        F.expr("filter(items, (x, i) -> shiftright(_m, i) & 1 = 1)").alias("_a"),
-        F.expr("filter(items, (x, i) -> shiftright(_m, i) & 1 = 0)").alias("_c"),
-        F.col("support"))
+    lift = confidence / supp(C). No itemsets -> empty table.
+
+    Consequents grow item by item: confidence cannot rise as items move from
+    the antecedent to the consequent, so only consequents that reach the
+    threshold are extended, and the work follows the rules found instead of
+    the 2^k splits of a large itemset."""
     sup = itemsets.select("items", "support")
-    rules = (splits.join(sup.withColumnsRenamed({"items": "_a", "support": "_sa"}), "_a")
-                   .join(sup.withColumnsRenamed({"items": "_c", "support": "_sc"}), "_c")
-                   .withColumn("confidence", F.col("support") / F.col("_sa"))
-                   .withColumn("lift", F.col("confidence") / F.col("_sc"))
-                   .filter(F.col("confidence") >= F.lit(min_confidence)))
+    ante = sup.withColumnsRenamed({"items": "_a", "support": "_sa"})
+
+    def confident(splits):
+        return (splits.withColumn("_a", F.array_except("items", "_c")).filter(F.size("_a") > 0).join(ante, "_a")
+                .withColumn("confidence", F.col("support") / F.col("_sa")).filter(F.col("confidence") >= F.lit(min_confidence)))
+
+    cols = ["items", "support", "_c", "_last", "_a", "confidence"]
+    multi = itemsets.filter(F.size("items") >= 2).select("items", "support")
+    found = [materialize(confident(multi.select("*", F.posexplode("items").alias("_last", "_i"))
+                                   .withColumn("_c", F.array("_i"))).select(cols))]
+    while not found[-1].isEmpty():
+        longer = found[-1].select("items", "support", "_c", F.col("_last").alias("_before")).select(
+            "*", F.posexplode("items").alias("_last", "_i")).filter("_last > _before")
+        found.append(materialize(confident(longer.withColumn("_c", F.array_append("_c", F.col("_i")))).select(cols)))
+    rules = found[0]
+    for more in found[1:-1]:
+        rules = rules.unionByName(more)
+    rules = (rules.join(sup.withColumnsRenamed({"items": "_c", "support": "_sc"}), "_c")
+                  .withColumn("lift", F.col("confidence") / F.col("_sc")))
     return rules.select(F.array_join("_a", ", ").alias("antecedents"),
                         F.array_join("_c", ", ").alias("consequents"),
                         "support", "confidence", "lift")
@@ -103,10 +114,3 @@ def association_rules(itemsets: DataFrame, min_confidence: float = MIN_CONFIDENC
 
 def filter_rules(rules: DataFrame, min_confidence: float) -> DataFrame:
     return rules.filter(F.col("confidence") >= F.lit(min_confidence))
-
-
-def check_itemset_size(itemsets: DataFrame) -> DataFrame:
-    """Fail (lazily) if an itemset is too large to enumerate its splits."""
-    return itemsets.filter(F.when(F.size("items") <= MAX_ITEMSET, F.lit(True))
-                            .otherwise(F.raise_error(F.lit("itemset too large for rule "
-                                                          "enumeration")).cast("boolean")))

@@ -49,24 +49,17 @@ def upper_bound(df: DataFrame, edges: str, value: str, out: str, n_edges: int) -
     return res
 
 
-# Largest (column, distinct value) table merged in one task by the built-in
-# ``percentile`` (a value -> count map: ~50 MB at this size).
-MAP_LIMIT = 1_000_000
-
-
 def exact_quantiles(df: DataFrame, cols, probs: Sequence[float], buckets: int = 256,
-                    prefix: str | None = None, map_limit: int = MAP_LIMIT) -> DataFrame:
+                    prefix: str | None = None) -> DataFrame:
     """One-row frame of exact quantiles. ``cols`` is one column name or a
     list; the result has ``{col}{prefix}{i}`` (default prefix ``_q``) = the
     ``probs[i]`` quantile of each column (nulls and NaN ignored; null when a
     column has no values). All columns share one plan: values are tagged with
     their column index ``_k`` and every step is keyed by it.
 
-    After step 1 the size of the (column, value, count) table is checked
-    (a count of the checkpoint). Up to ``map_limit`` rows, the built-in
-    exact ``percentile`` with the counts as frequencies finishes in one
-    aggregate; beyond it the bucketed plan (steps 2-5) runs, which never
-    holds all distinct values in one task."""
+    One plan at every size: distinct values with their counts, range buckets
+    by approximate edges, bucket offsets, and an ordering of only those
+    buckets that hold a target rank. No task holds all distinct values."""
     cols = [cols] if isinstance(cols, str) else list(cols)
     prefix = "_q" if prefix is None else prefix
     probs = [float(p) for p in probs]
@@ -78,11 +71,6 @@ def exact_quantiles(df: DataFrame, cols, probs: Sequence[float], buckets: int =
     # plan (scan, joins, dedupe shuffle) up to this aggregate.
     vc = materialize(tagged.filter(F.col("_v").isNotNull() & ~F.isnan("_v"))
                            .groupBy("_k", "_v").agg(F.count(F.lit(1)).alias("_c")))
-    if vc.count() <= map_limit:
-        return vc.agg(*[F.percentile(F.when(F.col("_k") == k, F.col("_v")), probs, F.col("_c"))
-                         .alias(f"_a{k}") for k in range(len(cols))]) \
-                 .select(*[F.col(f"_a{k}")[i].alias(f"{c}{prefix}{i}")
-                           for k, c in enumerate(cols) for i in range(len(probs))])
     cuts = [i / buckets for i in range(1, buckets)]
     sketch = vc.groupBy("_k").agg(F.percentile_approx("_v", cuts, 10 * buckets).alias("_e"),
                                   F.sum("_c").alias("_n"))

@@ -954,7 +954,7 @@ def q_churn_importance(spark, sf):
 
 @register("kmeans_segments")
 def q_kmeans_segments(spark, sf):
-    return KS.kmeans_segments(scored(spark, sf), k=5, starts=3)[0]
+    return KS.kmeans_segments(scored(spark, sf), k=5)[0]
 
 
 @register("k_sweep")

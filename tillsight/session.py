@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -56,6 +57,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
     scratch folder created and registered, so lineage cuts still work.
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
+    if not d and not spark.sparkContext.getCheckpointDir() and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if not d:
         d = spark.sparkContext.getCheckpointDir()
     if not d:
@@ -66,12 +69,14 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def materialize(df):
-    """Write ``df`` as a reliable checkpoint in the shared checkpoint folder
-    and return the re-read frame.
+    """Write ``df`` as a Parquet table in the shared checkpoint folder and
+    return the reread frame.
 
-    Used before iterative work (MLlib fits, repeated small jobs): it cuts
-    the logical plan, so every later job plans against a file scan instead
-    of re-analysing the whole cleaning lineage, and the data survives the
-    loss of an executor (unlike ``persist`` blocks or ``localCheckpoint``)."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    It cuts the logical plan, so every later job plans against a file scan
+    instead of re-analysing the whole lineage; the scan reads only the columns
+    and row groups that a query asks for; and the data survives the loss of an
+    executor (unlike ``persist`` blocks or ``localCheckpoint``)."""
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark).rstrip('/')}/tables/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
