@@ -304,7 +304,8 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                             "n_symbols long, n_dup_lines long, n_repeat_words long, bits double")
     scored = stage(scored.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))), "scored")
     model.unpersist()
-    out = scored.join(bands(scored, width, min_bits), "lang", "left")
+    # written first, so that the planner sees its size and needn't deal documents out by language
+    out = scored.join(stage(bands(scored, width, min_bits), "bands"), "lang", "left")
     inside = F.col("bits").between(F.col("low_bits"), F.col("high_bits"))
     return out.withColumn("kept", ~F.col("base_failed") & F.coalesce(inside, F.lit(True))).withColumn("perplexity", F.pow(F.lit(2.0), F.col("bits")))
 
