@@ -106,7 +106,13 @@ def fill(room: int, lengths: np.ndarray, left: np.ndarray) -> dict[int, int]:
 
 
 def solve(histogram: dict[int, int], capacity: int = CAPACITY, rounds: int = ROUNDS) -> list[tuple[dict[int, int], int]]:
-    """[({length: count}, number of sequences)] that hold the histogram exactly."""
+    """[({length: count}, number of sequences)] that hold the histogram
+    exactly. Where long pieces prevail and rounding costs more than the program
+    gains, the plan that rounds everything down to nothing is the smaller."""
+    return min((_rounded(histogram, capacity, r) for r in (rounds, 0)), key=lambda plan: sum(m for _, m in plan))
+
+
+def _rounded(histogram: dict[int, int], capacity: int, rounds: int) -> list[tuple[dict[int, int], int]]:
     plan = []
     if histogram.get(capacity):
         plan.append(({capacity: 1}, histogram[capacity]))
