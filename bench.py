@@ -25,7 +25,7 @@ HEADLINE = [
     "daily_totals", "daily_features", "customer_features", "rfm_scores",
     "cohort_retention", "churn_dataset", "kpis", "revenue_by_country", "popular_products",
     "top_customers", "top_products_by_segment", "build_baskets", "association_rules",
-    "binary_metrics", "regression_metrics", "walk_forward_cv", "stream_daily_totals",
+    "binary_metrics", "regression_metrics", "stream_daily_totals",
 ]
 
 
@@ -59,7 +59,10 @@ def fit_queries():
         s = ClusteringEvaluator(featuresCol="features", predictionCol="cluster").evaluate(m.transform(data))
         return spark.createDataFrame([(float(s),)], "x double")
 
-    return {"fit_linear": lin, "fit_forest_300": forest, "fit_boosted_40": boosted,
+    def folds(spark, sf):
+        return FC.walk_forward_cv(Q.features(spark, sf), FC.forecast_linear)
+
+    return {"walk_forward_cv": folds, "fit_linear": lin, "fit_forest_300": forest, "fit_boosted_40": boosted,
             "fit_kmeans_k5_silhouette": kmeans}
 
 

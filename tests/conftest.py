@@ -26,6 +26,16 @@ def spark():
     yield s
 
 
+@pytest.fixture(autouse=True, scope="session")
+def small_models():
+    """What the suite checks about fitted models (folds, reloads, sums of
+    attributions) holds at any size; the registered sizes take minutes."""
+    from tillsight.ml import forecast as FC
+    from tillsight.plans import queries as Q
+
+    Q.MODELS.update(FC.default_models(trees=20, rounds=5))
+
+
 TX_SCHEMA = ("InvoiceNo string, StockCode string, Description string, Quantity double, "
              "InvoiceDate timestamp_ntz, UnitPrice double, CustomerID long, Country string")
 

@@ -1,5 +1,7 @@
 """Cleaning rules on hand-made edge rows."""
 
+import datetime as dt
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -115,13 +117,50 @@ def test_staged_and_checkpointed_sales_equal_clean_sales(spark):
     cols = ["InvoiceNo", "StockCode", "Description", "Quantity", "InvoiceDate", "UnitPrice",
             "CustomerID", "Country", "ItemType", "TotalPrice"]
     want = C.clean_sales(Q.raw(spark, SF_SMALL)).select(*cols)
-    Q.unstage_sales(SF_SMALL)
-    ck = Q.sales(spark, SF_SMALL).select(*cols)
-    Q.stage_sales(spark, SF_SMALL)
-    try:
-        staged = Q.sales(spark, SF_SMALL).select(*cols)
-        for got in (ck, staged):
-            assert got.count() == want.count()
-            assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
-    finally:
-        Q.unstage_sales(SF_SMALL)
+    for got in (Q.sales(spark, SF_SMALL).select(*cols), Q.sales(spark, SF_SMALL).select(*cols)):
+        assert got.count() == want.count()
+        assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
+
+
+def test_stage_scan_is_pruned(spark):
+    from conftest import SF_SMALL
+
+    from tillsight.operators import reporting as RP
+    from tillsight.plans import queries as Q
+
+    def plan(df):
+        spark.conf.set("spark.sql.maxMetadataStringLength", 10_000)
+        try:
+            return df._jdf.queryExecution().executedPlan().toString()
+        finally:
+            spark.conf.unset("spark.sql.maxMetadataStringLength")
+
+    p = plan(Q.QUERIES["filter_transactions"](spark, SF_SMALL))
+    assert "FileScan parquet" in p and "EqualTo(Country,NATION_7)" in p and "GreaterThanOrEqual(InvoiceDate" in p
+    assert "ReadSchema: struct<Country:string>" in plan(RP.country_list(Q.sales(spark, SF_SMALL)))
+
+
+def test_read_transactions_quotes_breaks_orders_and_null_words(spark, tmp_path):
+    a, b = tmp_path / "a.csv", tmp_path / "b.csv"
+    a.write_bytes(b'Invoice,StockCode,Description,Quantity,InvoiceDate,Price,Customer ID,Country\r\n'
+                  b'1,10,"ASSORTED ""LEIS"", RED",6,2010-12-01T08:26:00,2.5,17850.0,UK\r\n'
+                  b'2,11,"TWO\nLINES",1,01-Dec-2010 08:26,1.0,NA,UK\r\n')
+    b.write_bytes(b'StockCode,Invoice,Price,Quantity,Description,InvoiceDate,Customer ID,Country\n'
+                  b'12,3,4.5,2,NA,2010-12-01 08:26:00.250,null,UK\n')
+    got = {r.InvoiceNo: r for r in C.convert_types(FS.read_transactions(spark, [str(a), str(b)])).collect()}
+    assert got["1"].Description == 'ASSORTED "LEIS", RED' and got["1"].Quantity == 6 and got["1"].CustomerID == 17850
+    assert got["2"].Description == "TWO\nLINES" and got["2"].CustomerID is None
+    assert (got["3"].StockCode, got["3"].UnitPrice, got["3"].Quantity, got["3"].Description) == ("12", 4.5, 2, None)
+    at = dt.datetime(2010, 12, 1, 8, 26)
+    assert [got[i].InvoiceDate for i in "123"] == [at, at, at + dt.timedelta(milliseconds=250)]
+
+
+def test_dates_that_do_not_parse(spark):
+    rows = spark.createDataFrame([("1", "7", "12/1/2010 8:26"), ("1", "7", " "), ("1", "7", None)],
+                                 "StockCode string, CustomerID string, InvoiceDate string")
+    at = dt.datetime(2010, 12, 1, 8, 26)
+    assert [r.InvoiceDate for r in C.convert_types(rows).collect()] == [at, None, None]
+    bad = rows.limit(1).withColumn("InvoiceDate", F.lit("soon"))
+    assert C.convert_types(bad, strict_dates=False).first().InvoiceDate is None
+    with pytest.raises(Exception, match="InvoiceDate is no date: soon"):
+        C.convert_types(bad).collect()

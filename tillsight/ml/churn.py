@@ -8,12 +8,13 @@ from collections.abc import Sequence
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tillsight.functions.scalars import round_even
 from tillsight.ml.parallel import fit_all
 from tillsight.operators.metrics import balanced_weights, binary_metrics, standardize
+from tillsight.operators.ranking import global_rank
 from tillsight.operators.reporting import risk_level
 from tillsight.schema import CHURN_FEATURES
 from tillsight.session import materialize
@@ -24,15 +25,28 @@ LABEL = "churned"
 
 def stratified_split(df: DataFrame, label: str = LABEL, train_frac: float = 0.75, seed: int = 42,
                      key: str = "CustomerID") -> DataFrame:
-    """Add ``split`` = train/test from a seeded hash of the key.
-
-    The hash is drawn independently of the label, so each class is split in
-    the same expected ratio (stratified in expectation) with no sort, no
-    window and no driver round trip; the assignment is stable across reruns
-    and executor loss. Exact per-class quotas would need a global rank per
-    class; the ratio here deviates by O(sqrt(n)) rows."""
-    u = F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(1_000_000)) / 1_000_000.0
-    return df.withColumn("split", F.when(u < train_frac, F.lit("train")).otherwise(F.lit("test")))
+    """Add ``split`` = train/test: of each class, the ``train_frac`` of the rows
+    (rounded half up) with the smallest hash of (key, seed).
+
+    Where some class has a single row, the classes are not told apart. The
+    keys are unique; a null label is a class of its own. The rank in a class
+    comes from one bucketed rank of class + hash over all rows
+    (``global_rank``), so that no class is sorted in one task; the broadcast
+    table has one row a class."""
+    hashed = F.md5(F.concat_ws(":", F.col(key).cast("string"), F.lit(str(seed))))
+    u = F.conv(F.substring(hashed, 1, 9), 16, 10).cast("double") / float(16 ** 9)
+    rows = materialize(df.withColumn("_cls", F.coalesce(F.col(label).cast("double"), F.lit(-1.0))))
+    everything = Window.partitionBy()
+    classes = (rows.groupBy("_cls").agg(F.count(F.lit(1)).alias("_n"))
+               .withColumn("_apart", F.min("_n").over(everything) > 1)
+               .withColumn("_before", F.sum("_n").over(Window.orderBy("_cls")) - F.col("_n"))
+               .select("_cls", F.when(F.col("_apart"), F.col("_cls")).otherwise(0.0).alias("_base"),
+                       F.when(F.col("_apart"), F.col("_before")).otherwise(0).alias("_skip"),
+                       F.when(F.col("_apart"), F.col("_n")).otherwise(F.sum("_n").over(everything)).alias("_of")))
+    ranked = global_rank(rows.join(F.broadcast(classes), "_cls").withColumn("_at", F.col("_base") + u),
+                         "_at", key, out="_rank")
+    inside = F.col("_rank") - F.col("_skip") <= F.floor(F.col("_of") * F.lit(train_frac) + F.lit(0.5))
+    return ranked.select(*df.columns, F.when(inside, F.lit("train")).otherwise(F.lit("test")).alias("split"))
 
 
 def assemble(df: DataFrame, cols: Sequence[str], out: str = "features") -> DataFrame:

@@ -104,8 +104,10 @@ def model_comparison(features: DataFrame, models: dict | None = None,
 
 
 def best_model(comparison: DataFrame, metric: str = "R2") -> DataFrame:
-    """The row with the highest metric (an aggregate ``max_by``, no sort)."""
-    return comparison.agg(F.max_by(F.struct(*comparison.columns), F.col(metric)).alias("b")).select("b.*")
+    """The row with the highest metric, ties to the first name (an aggregate
+    ``min_by``, no sort); a row without the metric only wins against its like."""
+    order = F.struct(F.col(metric).isNull(), -F.col(metric), F.col("model"))
+    return comparison.agg(F.min_by(F.struct(*comparison.columns), order).alias("b")).select("b.*")
 
 
 def walk_forward_cv(features: DataFrame, fit, n_folds: int = 5, min_train_days: int = 90,
@@ -129,8 +131,8 @@ def walk_forward_cv(features: DataFrame, fit, n_folds: int = 5, min_train_days:
     for s in fit_all(fold_fit, sorted(n)):     # the folds' fits run concurrently
         scored = s if scored is None else scored.unionByName(s)
     sizes = (folds.groupBy("fold")
-                  .agg(F.count(F.when(F.col("role") == "train", 1)).alias("train_days"),
-                       F.count(F.when(F.col("role") == "test", 1)).alias("test_days")))
+                  .agg(F.count_distinct(F.when(F.col("role") == "train", F.col("date"))).alias("train_days"),
+                       F.count_distinct(F.when(F.col("role") == "test", F.col("date"))).alias("test_days")))
     if scored is None:
         return features.sparkSession.createDataFrame(
             [], "R2 double, RMSE double, MAE double, fold int, train_days long, test_days long")
@@ -171,12 +173,13 @@ def what_if(model, features: DataFrame, cases: list[tuple] | None = None,
 
 
 def save_model(model, path: str, meta: dict | None = None) -> str:
-    """ML persistence (overwrite) plus a one-row JSON metadata table."""
+    """ML persistence (overwrite, as a one-stage pipeline, which records the
+    model's class) plus a one-row JSON metadata table."""
     import json
 
     from pyspark.sql import SparkSession
 
-    model.write().overwrite().save(path)
+    PipelineModel(stages=[model]).write().overwrite().save(path)
     if meta is not None:
         spark = SparkSession.getActiveSession()
         spark.createDataFrame([(json.dumps(meta),)], "meta string").coalesce(1) \
@@ -184,9 +187,9 @@ def save_model(model, path: str, meta: dict | None = None) -> str:
     return path
 
 
-def load_model(path: str, kind):
-    """Load a saved model with its class (e.g. ``LinearRegressionModel``)."""
-    return kind.load(path)
+def load_model(path: str):
+    """The model that ``save_model`` wrote, whatever its class."""
+    return PipelineModel.load(path).stages[0]
 
 
 def load_meta(spark, path: str) -> dict:

@@ -52,18 +52,31 @@ def drop_invalid_price(df: DataFrame) -> DataFrame:
     return df.filter(F.col("UnitPrice") > 0)
 
 
-def convert_types(df: DataFrame) -> DataFrame:
-    """InvoiceDate -> timestamp_ntz, CustomerID -> long (unparsable -> null),
-    StockCode -> string. Already-typed columns pass through unchanged."""
+# Date forms besides ISO (month first when both parts could be a month).
+DATE_FORMS = ("M/d/yyyy[ H:mm[:ss]]", "M/d/yy[ H:mm[:ss]]", "d-MMM-yyyy[ H:mm[:ss]]", "d MMM yyyy[ H:mm[:ss]]")
+
+
+def parse_dates(text: F.Column, strict: bool = True) -> F.Column:
+    """Text to timestamp_ntz: ISO 8601 (blank or ``T``, with or without time
+    and fraction) or one of ``DATE_FORMS``. Null and blank text give null;
+    other text fails the job, or gives null if not ``strict``."""
+    bare = strip(text)
+    parsed = F.coalesce(bare.try_cast("timestamp_ntz"),
+                        *[F.try_to_timestamp(bare, F.lit(f)).cast("timestamp_ntz") for f in DATE_FORMS])
+    if not strict:
+        return parsed
+    return (F.when(parsed.isNotNull() | text.isNull() | (bare == ""), parsed)
+             .otherwise(F.raise_error(F.concat(F.lit("InvoiceDate is no date: "), text)).cast("timestamp_ntz")))
+
+
+def convert_types(df: DataFrame, strict_dates: bool = True) -> DataFrame:
+    """InvoiceDate -> timestamp_ntz (``parse_dates``), CustomerID -> long
+    (unparsable -> null), StockCode -> string. Already-typed columns pass
+    through unchanged."""
     types = dict(df.dtypes)
     out = df
     if types.get("InvoiceDate") == "string":
-        s = F.col("InvoiceDate")
-        out = out.withColumn("InvoiceDate", F.coalesce(
-            F.try_to_timestamp(s, F.lit("yyyy-MM-dd HH:mm:ss")),
-            F.try_to_timestamp(s, F.lit("yyyy-MM-dd HH:mm")),
-            F.try_to_timestamp(s, F.lit("M/d/yyyy H:mm")),
-            F.try_to_timestamp(s, F.lit("yyyy-MM-dd"))).cast("timestamp_ntz"))
+        out = out.withColumn("InvoiceDate", parse_dates(F.col("InvoiceDate"), strict_dates))
     elif types.get("InvoiceDate") != "timestamp_ntz":
         out = out.withColumn("InvoiceDate", F.col("InvoiceDate").cast("timestamp_ntz"))
     if types.get("CustomerID") != "bigint":

@@ -17,7 +17,7 @@ def customer_months(df: DataFrame) -> DataFrame:
     The pair aggregate shrinks lines to at most one row per customer-month
     before anything is keyed by customer alone, so even a customer with a
     third of all lines is only ``#months`` rows in the cohort window."""
-    pairs = (df.filter(F.col("CustomerID").isNotNull())
+    pairs = (df.filter(F.col("CustomerID").isNotNull() & F.col("InvoiceDate").isNotNull())
                .select("CustomerID", month_start("InvoiceDate").alias("order_month")).distinct())
     return pairs.withColumn("cohort", F.min("order_month").over(Window.partitionBy("CustomerID")))
 
@@ -46,8 +46,13 @@ def cohort_retention_long(df: DataFrame) -> DataFrame:
 
 def cohort_retention(df: DataFrame, periods: Sequence[int] | None = None) -> DataFrame:
     """Wide table: one row per cohort, one column per period ("0", "1", ...);
-    a cohort with no customer in a period has null there."""
+    a cohort with no customer in a period has null there. ``periods`` saves
+    the job that looks for them; one that it leaves out fails the query."""
     long = cohort_retention_long(df)
+    if periods is not None:
+        p = F.col("period_number")
+        long = long.withColumn("period_number", F.when(p.isin(*periods), p).otherwise(
+            F.raise_error(F.concat(F.lit("period not listed: "), p.cast("string"))).cast("int")))
     g = long.groupBy("cohort_month")
     p = g.pivot("period_number", list(periods)) if periods is not None else g.pivot("period_number")
     return p.agg(F.first("retention"))

@@ -42,7 +42,7 @@ def _edges(df: DataFrame, exprs: dict, n: int, accuracy: int = 100000) -> dict:
 def _plan(edges: list) -> tuple[list, list]:
     heavy = sorted({e for e in edges if edges.count(e) > 1})
     splits = sorted(set(edges) | {math.nextafter(e, math.inf) for e in heavy})
-    return heavy, [-math.inf] + [s for s in splits if math.isfinite(s)] + [math.inf]
+    return heavy, [-math.inf] + ([s for s in splits if math.isfinite(s)] or [0.0]) + [math.inf]
 
 
 def rank_edges(df: DataFrame, values: list, key: str, buckets: int = 64) -> dict:

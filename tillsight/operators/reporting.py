@@ -40,9 +40,14 @@ def products(df: DataFrame) -> DataFrame:
     return df.filter(F.col("Description").isNotNull() & (strip("Description") != ""))
 
 
-def kpis(df: DataFrame) -> DataFrame:
-    """One row: revenue, units, distinct orders, AOV (0 without orders),
-    identified customers (non-null, non-zero ids)."""
+def kpis(df: DataFrame, segments: DataFrame | None = None) -> DataFrame:
+    """One row: revenue, units, distinct orders, AOV (0 without orders) of
+    ``df``, and customers: those of the segment table, whatever ``df`` is
+    filtered by, or without one the identified customers of ``df`` (non-null,
+    non-zero ids)."""
+    if segments is not None:
+        n = segments.agg(F.count_distinct("CustomerID").alias("customers"))
+        return with_scalars(kpis(df).drop("customers"), n)
     ident = F.when(F.col("CustomerID").isNotNull() & (F.col("CustomerID") != 0), F.col("CustomerID"))
     return (df.agg(money_sum("TotalPrice").alias("total_revenue"),
                    F.sum("Quantity").alias("total_units"),
@@ -237,8 +242,8 @@ def report_figures(daily: DataFrame, sales: DataFrame, seg: DataFrame, rules: Da
     """One row of headline figures: totals and date span (daily table),
     identified customers (segment table), countries, the segment with the
     largest spend and its share, the 'At Risk' segment's size and spend (0
-    when absent), and the number of association rules. Each figure is a
-    small aggregate; the one-row results are cross-joined."""
+    when absent), the number of association rules, and the five largest
+    products' share of revenue. Each figure is a small aggregate; the one-row results are cross-joined."""
     d = daily.agg(F.sum(F.rint(F.col("revenue") * 100).cast("long")).alias("_rc"),
                   F.sum("units_sold").alias("total_units"),
                   F.min("date").alias("date_start"), F.max("date").alias("date_end")) \
@@ -254,9 +259,11 @@ def report_figures(daily: DataFrame, sales: DataFrame, seg: DataFrame, rules: Da
                   F.coalesce(F.sum(F.when(F.col("segment") == "At Risk", cents)), F.lit(0)).alias("_risk_c"))
     countries = sales.agg(F.count_distinct("Country").alias("countries"))
     n_rules = rules.agg(F.count(F.lit(1)).alias("n_rules"))
-    return (with_scalars(with_scalars(with_scalars(with_scalars(d, tot), countries), top), n_rules)
+    for one in (tot, countries, top, n_rules, top_share(sales, 5)):
+        d = with_scalars(d, one)
+    return (d
              .select("total_revenue", "total_units", "date_start", "date_end", "customers", "countries",
                      "top_segment", "top_segment_customers",
                      (F.col("_top_c") / F.col("_all_c") * 100.0).alias("top_segment_share_pct"),
                      "at_risk_customers", (F.col("_risk_c") / 100.0).alias("at_risk_monetary"),
-                     "n_rules"))
+                     "n_rules", "top_share_pct"))

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,7 +24,8 @@ from tillsight.operators import segments as SG
 from tillsight.plans.oracle import CENTS, MONEY_SUM, R, sql, with_stages
 from tillsight.schema import FORECAST_FEATURES
 from tillsight.session import materialize
-from tillsight.sources.fixtures import retail_raw
+from tillsight.sources import files as FS
+from tillsight.sources.fixtures import SOURCE_TABLES, retail_raw, table_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -54,45 +56,57 @@ def filtered(spark, sf):
             .transform(C.drop_invalid_quantity).transform(C.drop_invalid_price))
 
 
-_STAGED: dict[str, tuple[str, DataFrame]] = {}
 WINSOR_COLS = ("Quantity", "UnitPrice")
 
+# What a session has derived from a set of source tables, for its later queries.
+_DERIVED: dict[tuple, object] = {}
 
-def stage_sales(spark, sf, path: str | None = None) -> str:
-    """Clean once and hand the result over as a Parquet table in the shared
-    folder (the reference's own stage hand-over); later ``sales(spark, sf)``
-    calls read it.
+
+def once(spark, sf, what: str, make: Callable):
+    """``make()``, kept for the session and for as long as the source tables
+    stay the same files (path, bytes, modification time)."""
+    key = (spark.sparkContext.applicationId, sf, what,
+           FS.source_stamp(spark, [table_path(sf, t) for t in SOURCE_TABLES]))
+    if key not in _DERIVED:
+        _DERIVED[key] = make()
+    return _DERIVED[key]
+
+
+def stage_sales(spark, sf) -> tuple[DataFrame, DataFrame]:
+    """Clean the transactions once and hand them over as a Parquet table in
+    the shared folder; every ``sales(spark, sf)`` reads it.
 
     What is written is the filtered, typed rows (sorted inside each file by
     date), so the expensive part - scan, joins, the all-column dedupe
     shuffle - runs once. The winsorizing bounds are then computed from the
-    written table (a two-column scan) and kept as a one-row checkpoint; the
-    clip and the total price are a projection applied on read."""
-    from tillsight.sources import files as FS
-
-    path = path or FS.stage_path(spark, f"sales_clean_{abs(hash(sf))}")
-    FS.write_stage(C.clean_rows(raw(spark, sf)), path, sort_by=["InvoiceDate"])
-    bounds = materialize(C.quantile_bounds(spark.read.parquet(path), WINSOR_COLS))
-    _STAGED[sf] = (path, bounds)
-    return path
+    written table (a two-column scan) and written as a one-row table beside
+    it; the clip and the total price are a projection applied on read."""
+    def make():
+        path = FS.fresh_path(spark, "sales_clean")
+        rows = C.clean_rows(raw(spark, sf))
+        FS.write_stage(rows, f"{path}/rows", sort_by=["InvoiceDate"])
+        rows = spark.read.schema(rows.schema).parquet(f"{path}/rows")
+        bounds = C.quantile_bounds(rows, WINSOR_COLS)
+        FS.write_stage(bounds, f"{path}/bounds")
+        return path, rows, spark.read.schema(bounds.schema).parquet(f"{path}/bounds")
+
+    path, rows, bounds = once(spark, sf, "sales", make)
+    if not FS.path_exists(spark, f"{path}/bounds/_SUCCESS"):  # the shared folder was emptied
+        unstage_sales(sf)
+        path, rows, bounds = once(spark, sf, "sales", make)
+    return rows, bounds
 
 
 def unstage_sales(sf) -> None:
-    _STAGED.pop(sf, None)
+    """Forget what was derived from the folder's tables."""
+    for key in [k for k in _DERIVED if k[1] == sf]:
+        del _DERIVED[key]
 
 
 def sales(spark, sf):
-    """Cleaned transactions: from the staged table if one was written for
-    this folder in this process (``stage_sales``); else the filtered rows
-    are written as a checkpoint in the shared folder, and the bounds taken
-    from it (one-row checkpoint). Either way downstream plans (several read
-    the cleaned table more than once) scan one written table instead of
-    repeating the cleaning lineage."""
-    if sf in _STAGED:
-        path, bounds = _STAGED[sf]
-        return C.finish_sales(spark.read.parquet(path), bounds)
-    rows = materialize(C.clean_rows(raw(spark, sf)))
-    return C.finish_sales(rows, materialize(C.quantile_bounds(rows, WINSOR_COLS)))
+    """Cleaned transactions, from the written stage: no job once it exists,
+    and filters and column selections reach its scan."""
+    return C.finish_sales(*stage_sales(spark, sf))
 
 
 def daily(spark, sf):
@@ -187,7 +201,12 @@ def q_drop_invalid_price(spark, sf):
 
 @register("convert_types", with_stages("priceok", "SELECT * FROM priceok"))
 def q_convert_types(spark, sf):
-    return filtered(spark, sf).transform(C.convert_types)
+    """Text columns as exports hold them: four date forms, ids as decimals."""
+    forms = ("yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss.SSS", "M/d/yyyy H:mm:ss", "dd-MMM-yyyy HH:mm:ss")
+    texts = filtered(spark, sf).withColumns({
+        "InvoiceDate": F.array(*[F.date_format("InvoiceDate", f) for f in forms])[F.length("StockCode") % 4],
+        "CustomerID": F.concat(F.col("CustomerID").cast("string"), F.lit(".0"))})
+    return texts.transform(C.convert_types)
 
 
 @register("winsorize", with_stages("clean", "SELECT * EXCLUDE (TotalPrice) FROM clean"))
@@ -261,9 +280,9 @@ def q_daily_sales_range(spark, sf):
 @register("invoice_summary", sql(f"""
 SELECT CustomerID, InvoiceNo, min(InvoiceDate) AS invoice_date,
        {MONEY_SUM('TotalPrice')} AS invoice_value, count(DISTINCT StockCode) AS basket_size
-FROM clean GROUP BY CustomerID, InvoiceNo""", "clean"))
+FROM clean WHERE CustomerID IS NOT NULL GROUP BY CustomerID, InvoiceNo""", "clean"))
 def q_invoice_summary(spark, sf):
-    inv = CU.invoice_summary(sales(spark, sf))
+    inv = CU.invoice_summary(CU.identified_only(sales(spark, sf)))
     return inv.select("CustomerID", "InvoiceNo", "invoice_date",
                       (F.col("value_cents") / 100.0).alias("invoice_value"), "basket_size")
 
@@ -285,11 +304,15 @@ def q_cohort_retention_long(spark, sf):
     return CO.cohort_retention_long(sales(spark, sf))
 
 
-@register("cohort_retention", sql("""
-PIVOT (SELECT cohort_month, period_number, retention FROM cohort_long)
-ON period_number USING first(retention) GROUP BY cohort_month""", "cohorts"))
+# The months that the fixture's order dates span, from a cohort's first on.
+PERIODS = range(84)
+
+
+@register("cohort_retention", sql("SELECT cohort_month, " + ", ".join(
+    f'max(CASE WHEN period_number = {p} THEN retention END) AS "{p}"' for p in PERIODS)
+    + " FROM cohort_long GROUP BY cohort_month", "cohorts"))
 def q_cohort_retention(spark, sf):
-    return CO.cohort_retention(sales(spark, sf))
+    return CO.cohort_retention(sales(spark, sf), PERIODS)
 
 
 @register("first_purchase_month", sql("""
@@ -309,6 +332,18 @@ def q_kpis(spark, sf):
     return RP.kpis(sales(spark, sf))
 
 
+@register("kpis_filtered", sql(f"""
+SELECT {MONEY_SUM('TotalPrice')} AS total_revenue, sum(Quantity) AS total_units,
+       count(DISTINCT InvoiceNo) AS n_orders, (SELECT count(DISTINCT CustomerID) FROM segments) AS customers,
+       coalesce({MONEY_SUM('TotalPrice')} / nullif(count(DISTINCT InvoiceNo), 0), 0.0) AS avg_order_value
+FROM clean WHERE CAST(InvoiceDate AS DATE) BETWEEN DATE '1997-01-01' AND DATE '1998-12-31'
+  AND Country = 'NATION_7'""", "segments"))
+def q_kpis_filtered(spark, sf):
+    """The filtered lines' figures beside the segment table's customers."""
+    lines = RP.filter_transactions(sales(spark, sf), "1997-01-01", "1998-12-31", "NATION_7")
+    return RP.kpis(lines, segmented(spark, sf))
+
+
 @register("kpis_from_daily", sql(f"""
 SELECT {R('CAST(sum(CAST(round_even(revenue * 100.0, 0) AS BIGINT)) AS DOUBLE) / 100.0', 2)} AS total_revenue,
        CAST(sum(units_sold) AS BIGINT) AS total_units_sold,
@@ -675,20 +710,23 @@ def q_filter_rules(spark, sf):
 # 2.1 sources and sinks (data derived from the test tables by Spark)
 # ---------------------------------------------------------------------------
 
-from tillsight.sources import files as FS  # noqa: E402
-
-
-@register("scan_transactions", sql("SELECT * FROM retail_raw", "raw"))
+@register("scan_transactions", sql("""
+SELECT * REPLACE (Description || ', "LEIS",' || chr(10) || 'RED' AS Description) FROM retail_raw""", "raw"))
 def q_scan_transactions(spark, sf):
-    """Export the raw view as a Latin-1 CSV with header variants, then read
-    it back through the CSV source (aliases, text-first, casts by name)."""
+    """Export the raw view as two Latin-1 CSV folders with header variants,
+    another column order, and quotes, commas and line breaks inside the
+    descriptions, then read both through the CSV source."""
     export = raw(spark, sf).withColumnsRenamed(
-        {"InvoiceNo": "Invoice", "UnitPrice": "Price", "CustomerID": "Customer ID"})
-    path = FS.stage_path(spark, f"raw_csv_{abs(hash(sf))}")
-    (export.write.mode("overwrite").option("header", True).option("encoding", "ISO-8859-1")
-           .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
-           .option("timestampNTZFormat", "yyyy-MM-dd HH:mm:ss").csv(path))
-    return C.convert_types(FS.read_transactions(spark, path)).select(
+        {"InvoiceNo": "Invoice", "UnitPrice": "Price", "CustomerID": "Customer ID"}).withColumn(
+        "Description", F.concat("Description", F.lit(', "LEIS",\nRED')))
+    path = FS.fresh_path(spark, "raw_csv")
+    early = F.year("InvoiceDate") < 1998
+    for name, part in (("early", export.filter(early)),
+                       ("late", export.filter(~early).select(*reversed(export.columns)))):
+        (part.write.option("header", True).option("encoding", "ISO-8859-1").option("escape", '"')
+             .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
+             .option("timestampNTZFormat", "yyyy-MM-dd HH:mm:ss").csv(f"{path}/{name}"))
+    return C.convert_types(FS.read_transactions(spark, [f"{path}/early", f"{path}/late"])).select(
         "InvoiceNo", "StockCode", "Description", "Quantity", "InvoiceDate", "UnitPrice",
         "CustomerID", "Country", "ItemType")
 
@@ -714,7 +752,7 @@ def q_union_sources(spark, sf):
 
 @register("write_stage", sql("SELECT *, strftime(InvoiceDate, '%Y-%m') AS InvoiceMonth FROM clean", "clean"))
 def q_write_stage(spark, sf):
-    path = FS.stage_path(spark, f"sales_clean_{abs(hash(sf))}")
+    path = FS.fresh_path(spark, "sales_by_month")
     staged = sales(spark, sf).withColumn("InvoiceMonth", F.date_format("InvoiceDate", "yyyy-MM"))
     FS.write_stage(staged, path, by=["InvoiceMonth"], sort_by=["InvoiceDate"])
     return FS.read_stage(spark, path).withColumn("InvoiceMonth", F.col("InvoiceMonth").cast("string"))
@@ -729,11 +767,9 @@ from tillsight.ml import attribution as AT  # noqa: E402
 from tillsight.ml import forecast as FC  # noqa: E402
 from tillsight.operators import metrics as M  # noqa: E402
 
-# Model sizes for the registered runs. Forests use the reference's size
-# (300 trees). Boosting uses 40 of the reference's 400 rounds: 400 rounds
-# take 132 s per fit at sf0.01 (18 s at 40), and about eight registered
-# queries (TreeSHAP included) refit it. The operators themselves default to 400 rounds.
-Q_TREES, Q_ROUNDS = 300, 40
+# Models have the reference's sizes (300 trees, 400 rounds). Each is fitted
+# once a session and source, and shared by the queries that need it.
+MODELS = FC.default_models()
 
 
 def split_features(spark, sf):
@@ -752,85 +788,158 @@ def q_regression_metrics(spark, sf):
     return M.regression_metrics(t.withColumn("prediction", F.col("lag_7")))
 
 
-def _fit_on_train(spark, sf, fit):
-    from tillsight.session import materialize
+def split_table(spark, sf):
+    return once(spark, sf, "split features", lambda: materialize(split_features(spark, sf)))
 
-    data = materialize(split_features(spark, sf))
-    return fit(data.filter(F.col("split") == "train")), data
 
+def fitted(spark, sf, name):
+    """The named model on the training days."""
+    train = split_table(spark, sf).filter(F.col("split") == "train")
+    return once(spark, sf, f"model {name}", lambda: MODELS[name](train))
 
-def _test_predictions(model, data):
-    return model.transform(data.filter(F.col("split") == "test")).select(
-        "date", "units_sold", F.col("prediction").cast("double").alias("prediction"))
 
+def test_days(spark, sf):
+    return split_table(spark, sf).filter(F.col("split") == "test")
 
-@register("feature_vector")
+
+def predictions(model, days):
+    return model.transform(days).select("date", "units_sold", F.col("prediction").cast("double").alias("prediction"))
+
+
+_SPLIT_SQL = """
+SELECT date, {} FROM (SELECT *, row_number() OVER (ORDER BY date) - 1 AS pos, count(*) OVER () AS n FROM features)
+"""
+_TEST_DAYS = " WHERE pos >= n - least(60, greatest(n // 5, 1))"
+
+
+@register("feature_vector", sql(_SPLIT_SQL.format(
+    "CASE WHEN pos >= n - least(60, greatest(n // 5, 1)) THEN 'test' ELSE 'train' END AS split, "
+    + ", ".join(f"CAST({c} AS DOUBLE) AS {c}" for c in FORECAST_FEATURES)), "features"))
 def q_feature_vector(spark, sf):
-    return split_features(spark, sf).select("date", "split", "features")
+    parts = vector_to_array("features")
+    return split_features(spark, sf).select("date", "split", *[parts[i].alias(c) for i, c in enumerate(FORECAST_FEATURES)])
 
 
 @register("forecast_linear")
 def q_forecast_linear(spark, sf):
-    m, data = _fit_on_train(spark, sf, FC.forecast_linear)
-    return _test_predictions(m, data)
+    return predictions(fitted(spark, sf, "Linear Regression"), test_days(spark, sf))
 
 
 @register("forecast_forest")
 def q_forecast_forest(spark, sf):
-    m, data = _fit_on_train(spark, sf, lambda d: FC.forecast_forest(d, trees=Q_TREES))
-    return _test_predictions(m, data)
+    return predictions(fitted(spark, sf, "Random Forest"), test_days(spark, sf))
 
 
 @register("forecast_boosted")
 def q_forecast_boosted(spark, sf):
-    m, data = _fit_on_train(spark, sf, lambda d: FC.forecast_boosted(d, rounds=Q_ROUNDS))
-    return _test_predictions(m, data)
+    return predictions(fitted(spark, sf, "Boosted Trees"), test_days(spark, sf))
 
 
 @register("forecast_boosted_no_sampling")
 def q_forecast_boosted_plain(spark, sf):
-    m, data = _fit_on_train(spark, sf, lambda d: FC.forecast_boosted(d, rounds=Q_ROUNDS, rows=1.0, cols=1.0))
-    return _test_predictions(m, data)
+    return predictions(fitted(spark, sf, "Boosted Trees (no sampling)"), test_days(spark, sf))
+
+
+def comparison(spark, sf):
+    split_table(spark, sf)  # before the fits ask for it side by side
+    return once(spark, sf, "comparison", lambda: materialize(FC.model_comparison(
+        features(spark, sf), {name: lambda _, name=name: fitted(spark, sf, name) for name in MODELS})[0]))
+
+
+def winner(spark, sf) -> str:
+    return once(spark, sf, "winner", lambda: FC.best_model(comparison(spark, sf)).first()["model"])
+
+
+def validation(spark, sf):
+    """Walk-forward folds of the winner."""
+    return once(spark, sf, "validation", lambda: materialize(
+        FC.walk_forward_cv(features(spark, sf), MODELS[winner(spark, sf)])))
 
 
-def _comparison(spark, sf):
-    return FC.model_comparison(features(spark, sf), FC.default_models(trees=Q_TREES, rounds=Q_ROUNDS))
+def reloaded(spark, sf):
+    """The winner, saved with its metadata and loaded again."""
+    def make():
+        name, path = winner(spark, sf), FS.fresh_path(spark, "models/best")
+        FC.save_model(fitted(spark, sf, name), path, {"best_model": name, "feature_cols": list(FORECAST_FEATURES)})
+        return FC.load_model(path), FC.load_meta(spark, path)
+
+    return once(spark, sf, "reloaded", make)
 
 
 @register("model_comparison")
 def q_model_comparison(spark, sf):
-    return _comparison(spark, sf)[0]
+    return comparison(spark, sf).orderBy(F.desc("R2"), F.asc("model"))
 
 
 @register("best_model")
 def q_best_model(spark, sf):
-    return FC.best_model(_comparison(spark, sf)[0])
+    return FC.best_model(comparison(spark, sf))
 
 
 @register("walk_forward_cv")
 def q_walk_forward_cv(spark, sf):
-    return FC.walk_forward_cv(features(spark, sf), FC.forecast_linear)
+    return validation(spark, sf)
+
+
+@register("walk_forward_cv_days", sql("""
+SELECT CAST(k.fold AS INTEGER) AS fold, 90 + (k.fold - 1) * fs AS train_days,
+       least(90 + k.fold * fs, n) - (90 + (k.fold - 1) * fs) AS test_days
+FROM (SELECT count(*) AS n, greatest((count(*) - 90) // 5, 1) AS fs FROM features)
+CROSS JOIN (SELECT unnest(range(1, 6)) AS fold) k
+WHERE 90 + (k.fold - 1) * fs < n""", "features"))
+def q_walk_forward_cv_days(spark, sf):
+    """The part of the folds that does not depend on the fit."""
+    return validation(spark, sf).select("fold", "train_days", "test_days")
 
 
 @register("what_if")
 def q_what_if(spark, sf):
-    m, _ = _fit_on_train(spark, sf, FC.forecast_linear)
-    return FC.what_if(m, features(spark, sf))
+    return FC.what_if(reloaded(spark, sf)[0], features(spark, sf))
+
+
+@register("what_if_cases", sql("""
+SELECT CAST(d AS INTEGER) AS day_of_week, CAST(d >= 5 AS INTEGER) AS is_weekend, CAST(s AS INTEGER) AS is_month_start,
+       CAST(e AS INTEGER) AS is_month_end, units_sold AS last_units_sold, TRUE AS delta_fits
+FROM (SELECT unnest(range(7)) AS d) CROSS JOIN (SELECT unnest(range(2)) AS s) CROSS JOIN (SELECT unnest(range(2)) AS e)
+CROSS JOIN (SELECT units_sold FROM features ORDER BY date DESC LIMIT 1)""", "features"))
+def q_what_if_cases(spark, sf):
+    """The cases and the last day behind ``what_if``, whatever the model."""
+    fits = F.col("delta") == F.col("predicted_units_sold") - F.col("last_units_sold")
+    return q_what_if(spark, sf).select(*FC.SCENARIO_COLS, "last_units_sold", fits.alias("delta_fits"))
 
 
 @register("save_load_model")
 def q_save_load_model(spark, sf):
-    from pyspark.ml.regression import LinearRegressionModel
+    return predictions(reloaded(spark, sf)[0], test_days(spark, sf))
+
 
-    m, data = _fit_on_train(spark, sf, FC.forecast_linear)
-    path = FS.stage_path(spark, f"models/linear_{abs(hash(sf))}")
-    FC.save_model(m, path, {"best_model": "Linear Regression", "feature_cols": list(FORECAST_FEATURES)})
-    return _test_predictions(FC.load_model(path, LinearRegressionModel), data)
+@register("save_load_model_same", sql(_SPLIT_SQL.format("units_sold, TRUE AS same_prediction") + _TEST_DAYS, "features"))
+def q_save_load_model_same(spark, sf):
+    """Does the reloaded model, named by its metadata, predict what the fitted
+    one does?"""
+    model, meta = reloaded(spark, sf)
+    before = predictions(fitted(spark, sf, meta["best_model"]), test_days(spark, sf)).select(
+        "date", F.col("prediction").alias("_before"))
+    return predictions(model, test_days(spark, sf)).join(before, "date").select(
+        "date", "units_sold", (F.col("prediction") == F.col("_before")).alias("same_prediction"))
 
 
 def _tree_attr(spark, sf):
-    m, data = _fit_on_train(spark, sf, lambda d: FC.forecast_boosted(d, rounds=Q_ROUNDS))
-    return AT.shap_tree(m, data.filter(F.col("split") == "test"))
+    return once(spark, sf, "tree attributions", lambda: materialize(
+        AT.shap_tree(fitted(spark, sf, "Boosted Trees"), test_days(spark, sf))))
+
+
+def _linear_attr(spark, sf):
+    return AT.shap_linear(fitted(spark, sf, "Linear Regression"), test_days(spark, sf),
+                          split_table(spark, sf).filter(F.col("split") == "train"))
+
+
+def _adds_up(attr, predicted):
+    """Do base value and attributions add up to the model's own prediction?"""
+    total = sum((F.col(c) for c in FORECAST_FEATURES), F.col("base_value"))
+    want = predicted.select("date", F.col("prediction").alias("_model"))
+    off = F.abs(total - F.col("_model")) / F.greatest(F.abs("_model"), F.lit(1.0))
+    return attr.join(want, "date").select("date", (off < 1e-6).alias("adds_up"))
 
 
 @register("shap_tree")
@@ -838,10 +947,19 @@ def q_shap_tree(spark, sf):
     return _tree_attr(spark, sf)
 
 
+@register("shap_tree_adds_up", sql(_SPLIT_SQL.format("TRUE AS adds_up") + _TEST_DAYS, "features"))
+def q_shap_tree_adds_up(spark, sf):
+    return _adds_up(_tree_attr(spark, sf), q_forecast_boosted(spark, sf))
+
+
 @register("shap_linear")
 def q_shap_linear(spark, sf):
-    m, data = _fit_on_train(spark, sf, FC.forecast_linear)
-    return AT.shap_linear(m, data.filter(F.col("split") == "test"), data.filter(F.col("split") == "train"))
+    return _linear_attr(spark, sf)
+
+
+@register("shap_linear_adds_up", sql(_SPLIT_SQL.format("TRUE AS adds_up") + _TEST_DAYS, "features"))
+def q_shap_linear_adds_up(spark, sf):
+    return _adds_up(_linear_attr(spark, sf), q_forecast_linear(spark, sf))
 
 
 @register("shap_importance")
@@ -901,29 +1019,34 @@ def q_binary_metrics(spark, sf):
     return M.binary_metrics(s, label="churned", prediction="prediction", score="churn_probability")
 
 
-@register("stratified_split")
+@register("stratified_split", sql("""
+SELECT CustomerID, churned, CASE WHEN row_number() OVER (PARTITION BY churned ORDER BY u, CustomerID)
+         <= floor(0.75 * count(*) OVER (PARTITION BY churned) + 0.5) THEN 'train' ELSE 'test' END AS split
+FROM (SELECT *, ('0x' || substr(md5(CustomerID || ':42'), 1, 9))::BIGINT AS u FROM churn)""", "churn"))
 def q_stratified_split(spark, sf):
-    return (CH.stratified_split(churn(spark, sf)).groupBy("split", "churned")
-              .agg(F.count(F.lit(1)).alias("customers")))
+    return CH.stratified_split(churn(spark, sf)).select("CustomerID", "churned", "split")
 
 
 def _churn_fit(spark, sf):
-    return CH.churn_comparison(churn(spark, sf), trees=Q_TREES)
+    """(comparison, models, prepared customers), fitted once."""
+    return once(spark, sf, "churn models", lambda: CH.churn_comparison(churn(spark, sf)))
+
+
+def _churn_winner(spark, sf):
+    table, models, data = _churn_fit(spark, sf)
+    return models[once(spark, sf, "churn winner", lambda: table.first()["model"])], data
 
 
 @register("churn_logistic")
 def q_churn_logistic(spark, sf):
-    data = materialize(FC.spread(CH.prepare(churn(spark, sf))))
-    train = data.filter(F.col("split") == "train")
-    m = CH.churn_logistic(train, train.count())
-    return CH.churn_score(m, data)
+    _, models, data = _churn_fit(spark, sf)
+    return CH.churn_score(models["Logistic Regression"], data)
 
 
 @register("churn_forest")
 def q_churn_forest(spark, sf):
-    data = materialize(FC.spread(CH.prepare(churn(spark, sf))))
-    m = CH.churn_forest(data.filter(F.col("split") == "train"), trees=Q_TREES)
-    return CH.churn_score(m, data)
+    _, models, data = _churn_fit(spark, sf)
+    return CH.churn_score(models["Random Forest"], data)
 
 
 @register("churn_comparison")
@@ -933,23 +1056,31 @@ def q_churn_comparison(spark, sf):
 
 @register("churn_score")
 def q_churn_score(spark, sf):
-    table, models, data = _churn_fit(spark, sf)
-    best = table.first()["model"]
-    return CH.churn_score(models[best], data)
+    return CH.churn_score(*_churn_winner(spark, sf))
+
+
+@register("churn_score_levels", sql("""
+SELECT CustomerID, recency, frequency, monetary, avg_basket_size, purchase_frequency_per_month, churned,
+       TRUE AS level_fits FROM churn""", "churn"))
+def q_churn_score_levels(spark, sf):
+    """The scored customers, and whether each risk level follows from the
+    probability."""
+    p = F.col("churn_probability")
+    level = F.when(p <= 0.3, "Low").when(p <= 0.6, "Medium").otherwise("High")
+    fits = p.between(0, 1) & (F.col("risk_level") == level)
+    return q_churn_score(spark, sf).select("CustomerID", "recency", "frequency", "monetary", "avg_basket_size",
+                                           "purchase_frequency_per_month", "churned", fits.alias("level_fits"))
 
 
 @register("sorted_predictions")
 def q_sorted_predictions(spark, sf):
-    table, models, data = _churn_fit(spark, sf)
-    return CH.churn_score(models["Random Forest"], data).select(
+    return CH.churn_score(*_churn_winner(spark, sf)).select(
         "CustomerID", "churn_probability", "risk_level")
 
 
 @register("churn_importance")
 def q_churn_importance(spark, sf):
-    table, models, _ = _churn_fit(spark, sf)
-    best = table.first()["model"]
-    return CH.churn_importance(models[best])
+    return CH.churn_importance(_churn_winner(spark, sf)[0])
 
 
 @register("kmeans_segments")
@@ -976,12 +1107,15 @@ SELECT d.total_revenue, d.total_units, d.date_start, d.date_end,
        coalesce((SELECT count(*) FROM segments WHERE segment = 'At Risk'), 0) AS at_risk_customers,
        coalesce((SELECT sum({CENTS('monetary')}) FROM segments WHERE segment = 'At Risk'), 0) / 100.0
          AS at_risk_monetary,
-       (SELECT count(*) FROM rules) AS n_rules
+       (SELECT count(*) FROM rules) AS n_rules,
+       (SELECT sum(c) FROM (SELECT c FROM pc ORDER BY c DESC, Description LIMIT 5))
+         / (SELECT sum(c) FROM pc) * 100.0 AS top_share_pct
 FROM (SELECT {MONEY_SUM('revenue')} AS total_revenue, sum(units_sold) AS total_units,
              min(date) AS date_start, max(date) AS date_end FROM daily) d
 CROSS JOIN (SELECT segment, count(DISTINCT CustomerID) AS customers, sum({CENTS('monetary')}) AS c
             FROM segments GROUP BY segment ORDER BY c DESC, segment LIMIT 1) t""",
-    "segments", "daily", extra=BASKETS_SQL))
+    "segments", "daily", "products", extra=BASKETS_SQL + f""",
+pc AS (SELECT Description, sum({CENTS('TotalPrice')}) AS c FROM prod GROUP BY Description)"""))
 def q_report_figures(spark, sf):
     s = sales(spark, sf)
     seg = segmented(spark, sf)
@@ -989,6 +1123,15 @@ def q_report_figures(spark, sf):
     return RP.report_figures(D.daily_totals(s), s, seg, rules)
 
 
+@register("report_figures_models")
+def q_report_figures_models(spark, sf):
+    """The whole report row: the figures above, the best model with R2 and
+    MAE, and mean and deviation of its folds."""
+    best = FC.best_model(comparison(spark, sf)).select(
+        F.col("model").alias("best_model"), F.col("R2").alias("best_r2"), F.col("MAE").alias("best_mae"))
+    return with_scalars(with_scalars(q_report_figures(spark, sf), best), FC.cv_summary(validation(spark, sf)))
+
+
 # ---------------------------------------------------------------------------
 # 2.14 streaming (events table through Structured Streaming)
 # ---------------------------------------------------------------------------
@@ -1014,9 +1157,12 @@ def q_stream_daily_totals(spark, sf):
     return spark.read.parquet(out)
 
 
-@register("stream_dedupe", "SELECT event_id, ts, user_id, event_type, value, props FROM events")
+@register("stream_dedupe", "SELECT DISTINCT event_id, ts, user_id, event_type, value, props FROM events")
 def q_stream_dedupe(spark, sf):
-    out = ST.run_available(ST.stream_dedupe(_events_stream(spark, sf)), "dedupe")
+    """Every event arrives once, every third one again."""
+    copies = F.sequence(F.lit(1), F.when(F.col("event_id") % 3 == 0, 2).otherwise(1))
+    twice = _events_stream(spark, sf).withColumn("_copy", F.explode(copies)).drop("_copy")
+    out = ST.run_available(ST.stream_dedupe(twice), "dedupe")
     return spark.read.parquet(out).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
 
 
@@ -1084,4 +1230,4 @@ def q_panel_features_by_country(spark, sf):
 
 @register("cv_summary")
 def q_cv_summary(spark, sf):
-    return FC.cv_summary(FC.walk_forward_cv(features(spark, sf), FC.forecast_linear))
+    return FC.cv_summary(validation(spark, sf))

@@ -59,3 +59,7 @@ TRANSACTION_SCHEMA = T.StructType([
     T.StructField("CustomerID", T.LongType(), True),
     T.StructField("Country", T.StringType(), True),
 ])
+
+# Texts that a CSV field may hold for null (fixed values of the pandas reader).
+NULL_WORDS = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN",
+              "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null")

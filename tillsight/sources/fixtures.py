@@ -25,8 +25,16 @@ DUP_PART_MOD = 50            # lines of these parts appear twice
 SECONDS_MULT, SECONDS_MOD, SECONDS_BASE, SECONDS_PER_LINE = 7919, 43200, 28800, 60
 
 
+# The tables that the view reads.
+SOURCE_TABLES = ("lineitem", "orders", "customer", "nation", "part")
+
+
+def table_path(sf_dir: str, name: str) -> str:
+    return os.path.join(sf_dir, f"{name}.parquet")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+    return spark.read.parquet(table_path(sf_dir, name))
 
 
 def retail_raw(spark: SparkSession, sf_dir: str, with_item_type: bool = True) -> DataFrame:

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tillsight.session import checkpoint_dir
+from tillsight.sources.files import is_folder
 
 EVENT_SCHEMA = ("event_id long, ts timestamp_ntz, user_id long, event_type string, "
                 "value double, props string")
@@ -24,11 +25,12 @@ EVENT_SCHEMA = ("event_id long, ts timestamp_ntz, user_id long, event_type strin
 
 def read_events(spark: SparkSession, path: str, max_files: int | None = None) -> DataFrame:
     """A streaming read of parquet event files; ``ts`` is cast to TIMESTAMP
-    because watermarks do not accept TIMESTAMP_NTZ."""
+    because watermarks do not accept TIMESTAMP_NTZ. ``path`` is a folder or
+    one file, on any file system that Spark reads."""
     r = spark.readStream.schema(EVENT_SCHEMA)
     if max_files:
         r = r.option("maxFilesPerTrigger", max_files)
-    if path.endswith(".parquet") and not os.path.isdir(path):
+    if path.endswith(".parquet") and not is_folder(spark, path):
         # a single file: stream its folder, filtered to that file name
         r = r.option("pathGlobFilter", os.path.basename(path))
         path = os.path.dirname(path)
