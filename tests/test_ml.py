@@ -56,7 +56,8 @@ def test_tree_shap_equals_exact_shapley(spark, toy):
     M = 3
     for x in np.random.default_rng(2).random((5, 3)):
         phi = np.zeros(M)
-        AT.tree_shap_row(t, x, phi)
+        for leaf in AT.leaf_paths(t):
+            AT.add_leaf(leaf, x[None], phi[None], 1.0)
         exact = np.zeros(M)
         for i in range(M):
             others = [k for k in range(M) if k != i]
@@ -67,6 +68,20 @@ def test_tree_shap_equals_exact_shapley(spark, toy):
         np.testing.assert_allclose(phi, exact, atol=1e-9)
 
 
+def test_attributions_of_a_panel_keep_their_rows_apart(toy):
+    m = FC.GBTRegressor(featuresCol="features", labelCol="y", maxIter=4, maxDepth=3, seed=1).fit(toy)
+    panel = toy.withColumn("Country", F.lit("A")).unionByName(toy.withColumns({"Country": F.lit("B"), "a": F.col("a") + 1}))
+    cols, keys = ["a", "b", "c"], ["Country", "date"]
+    attr = AT.shap_tree(m, panel, cols=cols, key=keys)
+    alone = {r["date"]: r for r in AT.shap_tree(m, toy, cols=cols).collect()}
+    got = attr.where("Country = 'A'").collect()
+    assert attr.count() == 2 * len(got) == 2 * len(alone)
+    assert all(abs(r[c] - alone[r["date"]][c]) < 1e-12 for r in got for c in cols)
+    one = AT.explain_one_row(attr, cols, keys, at=("A", got[0]["date"])).collect()
+    assert {r["feature"]: r["shap"] for r in one} == {c: got[0][c] for c in cols}
+    assert {r["Country"] for r in AT.explain_one_row(attr, cols, keys).collect()} == {"A"}
+
+
 def test_linear_fit_and_shap(spark, toy):
     m = FC.LinearRegression(featuresCol="features", labelCol="y", regParam=0.0, solver="normal").fit(toy)
     X = np.array(toy.select("a", "b", "c").toPandas())
