@@ -83,6 +83,22 @@ def test_suffix_dedup(docs, none):
     assert [r["_rest"] for r in texts if r["doc_id"] == 4] == [None]
 
 
+def test_suffix_dedup_splits_anchors_beyond_a_shard(spark):
+    rnd = random.Random(9)
+
+    def noise(n):
+        return "".join(rnd.choice("abcdefgh ") for _ in range(n))
+
+    passages = [noise(260), noise(230), "xy" * 150, noise(199)]
+    lefts, rights = [noise(90) for _ in range(4)], [noise(90) for _ in range(4)]
+    rows = [(k, noise(rnd.randint(0, 120)) + rnd.choice(lefts)[rnd.randint(0, 90):] + passages[k % 4] + rnd.choice(rights)[:rnd.randint(0, 90)] + noise(rnd.randint(0, 120)), "x") for k in range(90)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, shift string").repartition(4)
+    want = [(i, *w) for (i, _, _), w in zip(rows, brute_windows([t.encode() for _, t, _ in rows], 200))]
+    for most in (100, 3000, 1 << 20):
+        got = suffix_dedup.remove_repeats(docs, form="digest", shard_bytes=most)
+        assert sorted((r["doc_id"], r["_bytes"], r["_removed"], r["_runs"], r["_rest"]) for r in got.collect()) == want
+
+
 def shingle_set(text):
     w = WORD.findall("".join(c.lower() if c.isascii() else c for c in text or ""))
     return frozenset(zip(*(w[k:] for k in range(5)))) if len(w) >= 5 else frozenset([tuple(w)] if w else [])

@@ -15,7 +15,9 @@ window that fits its segment is repeated if a neighbour in the order shares
 ``length`` bytes with it, or its segment stands for several.
 
 A group of copies counts once in each task before anything is shuffled, so a
-passage in a third of all documents costs a shard one segment a task.
+passage in a third of all documents costs a shard one segment a task. Where the
+contexts of a passage make more segments of one anchor than a shard may hold,
+``split_hot`` deals their windows out by what lies around them.
 
 Defined results: a null text counts as empty; matches never cross documents;
 texts shorter than ``length`` lose nothing; repeated rows are documents of
@@ -236,6 +238,80 @@ def _shard(length, how):
     return run
 
 
+def _halves(length, gram):
+    """Each part (a run of windows of a segment, ``low`` to ``high`` bytes before
+    their anchor) as two, which are keyed by the bytes that all windows of the
+    half share, whatever the segment."""
+    cols = ("of_anchor", "of_segment", "shift", "low", "high", "copies")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for big in lean(batches):
+            for b in chunks(big, "content"):
+                v = {c: b.column(b.schema.get_field_index(c)).to_numpy() for c in cols}
+                content = b.column(b.schema.get_field_index("content"))
+                data, off = flat(content)
+                prefix = tv.prefix_hash(data)
+                # the anchor is the first place with its hash
+                at = np.arange(max(0, len(data) - gram + 1))
+                own = np.repeat(np.arange(b.num_rows), np.diff(off))[:len(at)]
+                same = np.flatnonzero(tv.span_hash(prefix, at, at + gram) == v["of_anchor"].astype(np.uint64)[own])
+                a = same[np.searchsorted(same, off[:-1])] if len(same) else off[:0]
+                most = a - off[:-1]
+                least = a + length - off[1:]
+                mid = (v["low"] + v["high"]) // 2
+                for low, high in ((v["low"], mid), (mid + 1, v["high"])):
+                    lo, hi = np.maximum(low, least), np.minimum(high, most)
+                    some = np.flatnonzero((low <= high) & (lo <= hi))
+                    if not len(some):
+                        continue
+                    c, k, lo, hi, low, high = a[some], v["of_anchor"].astype(np.uint64)[some], lo[some], hi[some], low[some], high[some]
+                    start, end = c - hi, c - lo + length
+                    shared = tv.span_hash(prefix, c - low, c - high + length)
+                    key = tv.mix(shared ^ tv.mix(k + (low * (length + 1) + high).astype(np.uint64) * U64(0x9E3779B97F4A7C15)))
+                    part = tv.mix(tv.span_hash(prefix, start, end) + hi.astype(np.uint64) * U64(0x9E3779B97F4A7C15))
+                    yield pa.RecordBatch.from_arrays([
+                        pa.array(v["of_anchor"][some]), pa.array(v["of_segment"][some]), pa.array(v["shift"][some] + start - off[:-1][some]), pa.array(low), pa.array(high),
+                        pa.array(v["copies"][some]), pa.array(key.astype(np.int64)), pa.array(part.astype(np.int64)),
+                        pa.array([data[x:y].tobytes() for x, y in zip(start, end, strict=True)], pa.binary())],
+                        names=[*cols, "anchor", "segment", "content"])
+    return run
+
+
+_PART = "of_anchor long, of_segment long, shift long, low long, high long, copies long, anchor long, segment long, content binary"
+
+
+def split_hot(content: DataFrame, hot: DataFrame, shard_bytes: int, length: int, gram: int) -> tuple[DataFrame, DataFrame]:
+    """Segments for the shards, and where parts of segments stand in them.
+
+    A passage that many texts share has one segment for each of its contexts
+    with the same anchor, more than a shard may hold. The windows of such
+    segments are halved by their distance to the anchor, and keyed by what all
+    windows of the half have in common. Only halves that reach over the
+    passage's edge on one side are still alike in key and unlike in content;
+    they are halved again, until a half is a single window. Equal windows stay
+    together in every step, and a segment leaves a few parts each time."""
+    parts = content.join(hot, "anchor", "left_semi").select(
+        F.col("anchor").alias("of_anchor"), F.col("segment").alias("of_segment"), F.lit(0).cast("long").alias("shift"), F.lit(0).cast("long").alias("low"),
+        F.lit(length - gram).cast("long").alias("high"), "copies", "anchor", "segment", "content")
+    done = []
+    while True:
+        parts = stage(parts.mapInArrow(_halves(length, gram), _PART), "parts")
+        each = parts.groupBy("anchor", "segment").agg(F.max(F.octet_length("content")).alias("bytes"), F.max(F.col("high") - F.col("low")).alias("width"))
+        over = each.groupBy("anchor").agg(F.sum("bytes").alias("bytes"), F.max("width").alias("width"))
+        over = stage(over.where((F.col("bytes") > shard_bytes) & (F.col("width") > 0)).select("anchor"), "over")
+        if over.isEmpty():
+            done.append(parts)
+            break
+        done.append(parts.join(over, "anchor", "left_anti"))
+        parts = parts.join(over, "anchor", "left_semi")
+    made = done[0].select(*parts.columns)
+    for more in done[1:]:
+        made = made.unionByName(more)
+    once = made.groupBy("anchor", "segment").agg(F.sum("copies").alias("copies"), F.first("content").alias("content"))
+    cold = content.join(hot, "anchor", "left_anti").select("anchor", "segment", "copies", "content")
+    return stage(cold.unionByName(once), "segments"), made.select("of_anchor", "of_segment", "shift", "anchor", "segment")
+
+
 def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, shard_bytes: int = SHARD_BYTES, **how) -> DataFrame:
     """(row, spans): for every document that has repeated windows, their first
     places, as runs (from, to behind the last). ``row`` is ``row_key``."""
@@ -251,11 +327,19 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", len
     wanted = occur.where("chosen").groupBy("row").agg(F.collect_list(F.struct("start", "size", "anchor", "segment", "copies")).alias("wanted"))
     texts = split_by(src, F.col("row"), occur.where("chosen"), "row")[0].join(wanted, "row").select("text", "wanted")
     content = stage(texts.mapInArrow(_contents(length), "anchor long, segment long, copies long, content binary"), "segments")
-    total = content.agg(F.sum(F.octet_length("content"))).first()[0] or 0
+    sizes = content.groupBy("anchor").agg(F.sum(F.octet_length("content")).alias("bytes"))
+    total, most = (x or 0 for x in sizes.agg(F.sum("bytes"), F.max("bytes")).first())
+    parts = None
+    if most > shard_bytes:
+        hot = stage(sizes.where(F.col("bytes") > shard_bytes).select("anchor"), "hot")
+        content, parts = split_hot(content, hot, shard_bytes, length, gram)
     shards = max(parallel, total // shard_bytes + 1)
     spans = content.repartition(int(shards), "anchor").mapInArrow(_shard(length, how), "anchor long, segment long, first array<int>, last array<int>")
     spans = stage(spans, "spans")
     unstage(content)
+    if parts is not None:
+        shifted = [F.transform(c, lambda x: x + F.col("shift").cast("int")).alias(c) for c in ("first", "last")]
+        spans = spans.unionByName(parts.join(spans, ["anchor", "segment"]).select(F.col("of_anchor").alias("anchor"), F.col("of_segment").alias("segment"), *shifted))
     placed = occur.select("row", "start", "anchor", "segment").join(spans, ["anchor", "segment"])
     runs = placed.select("row", F.expr("transform(arrays_zip(first, last), x -> struct(start + x.first AS a, start + x.last AS b))").alias("runs"))
     out = stage(runs.select("row", F.explode("runs").alias("r")).groupBy("row").agg(F.collect_set("r").alias("spans")), "repeats")
