@@ -33,7 +33,7 @@ def invoice_summary(df: DataFrame) -> DataFrame:
                    F.count_distinct("StockCode").alias("basket_size")))
 
 
-def _per_customer(inv: DataFrame) -> DataFrame:
+def _per_customer(inv: DataFrame, *more: F.Column) -> DataFrame:
     """Customer aggregates from the invoice summary. A null InvoiceNo group
     counts for the span only (grouping drops it in the reference)."""
     has_inv = F.col("InvoiceNo").isNotNull()
@@ -43,7 +43,7 @@ def _per_customer(inv: DataFrame) -> DataFrame:
                     F.max("last_line").alias("last_line"),
                     F.count("InvoiceNo").alias("frequency"),
                     F.sum(F.when(has_inv, F.col("value_cents"))).alias("value_cents"),
-                    F.avg(F.when(has_inv, F.col("basket_size"))).alias("avg_basket")))
+                    F.avg(F.when(has_inv, F.col("basket_size"))).alias("avg_basket"), *more))
 
 
 def customer_span(df: DataFrame) -> DataFrame:
@@ -84,8 +84,8 @@ def customer_features(df: DataFrame, snapshot=None, drop_zero: bool = True) -> D
             * F.col("purchase_frequency_per_month") * F.col("active_months"), 2)))
 
 
-def _guard_nonempty(n: F.Column, msg: str) -> F.Column:
-    return F.when(n > 0, F.lit(True)).otherwise(F.raise_error(F.lit(msg)).cast("boolean"))
+def _guard(holds: F.Column, msg: str) -> F.Column:
+    return F.when(holds, F.lit(True)).otherwise(F.raise_error(F.lit(msg)).cast("boolean"))
 
 
 def churn_cutoff(df: DataFrame, holdout_days: int = HOLDOUT_DAYS) -> DataFrame:
@@ -99,30 +99,32 @@ def churn_dataset(df: DataFrame, holdout_days: int = HOLDOUT_DAYS) -> DataFrame:
 
     churned = 1 when the customer has no line in the holdout window. Customer
     0 is kept. Fails (lazily, when run) if nobody bought before the cutoff.
-    The returner list is a distinct projection joined by key (left join +
-    null test), so its size never has to fit a broadcast."""
+    Two scans: the dates for the cutoff, then one grouping whose conditional
+    aggregates give features and label together."""
     ident = identified_only(df)
-    cut = churn_cutoff(df, holdout_days)
-    lines = with_scalars(ident, cut)
-    before = lines.filter(F.col("InvoiceDate") < F.col("cutoff")).drop("cutoff")
-    returners = (lines.filter(F.col("InvoiceDate") >= F.col("cutoff"))
-                      .select("CustomerID").distinct().withColumn("_back", F.lit(1)))
-    guard = (before.agg(F.count(F.lit(1)).alias("_n"))
-                   .filter(_guard_nonempty(F.col("_n"), "no customer has transactions before "
-                                           "the churn cutoff; reduce holdout_days"))
-                   .transform(lambda g: with_scalars(g, cut)))
-    cust = with_scalars(_per_customer(invoice_summary(before)), guard)
+    cut = ident.agg(F.timestamp_add("DAY", F.lit(-holdout_days), F.max("InvoiceDate")).alias("cutoff"),
+                    F.min("InvoiceDate").alias("_first"))
+    cut = cut.filter(_guard(F.col("_first") < F.col("cutoff"), "no customer has transactions before "
+                            "the churn cutoff; reduce holdout_days")).drop("_first")
+    early = F.col("InvoiceDate") < F.col("cutoff")
+    inv = (with_scalars(ident, cut).groupBy("CustomerID", "InvoiceNo")
+           .agg(F.min(F.when(early, F.col("InvoiceDate"))).alias("invoice_date"),
+                F.max(F.when(early, F.col("InvoiceDate"))).alias("last_line"),
+                F.sum(F.when(early, to_cents("TotalPrice"))).alias("value_cents"),
+                F.count_distinct(F.when(early, F.col("StockCode"))).alias("basket_size"),
+                F.max(F.when(F.col("InvoiceDate") >= F.col("cutoff"), 1).otherwise(0)).alias("_back")))
+    # an invoice of the holdout window counts for the label only
+    inv = inv.withColumn("InvoiceNo", F.when(F.col("invoice_date").isNotNull(), F.col("InvoiceNo")))
+    cust = with_scalars(_per_customer(inv, F.max("_back").alias("_back")).filter(F.col("first_line").isNotNull()), cut)
     months = F.greatest(whole_days("first_line", "last_line") / 30.0, F.lit(1.0))
-    feats = cust.select(
+    return cust.select(
         "CustomerID",
         whole_days("last_invoice", "cutoff").alias("recency"),
         F.col("frequency").cast("long").alias("frequency"),
         round_even(F.col("value_cents") / 100.0, 2).alias("monetary"),
         round_even("avg_basket", 1).alias("avg_basket_size"),
-        round_even(F.col("frequency") / months, 2).alias("purchase_frequency_per_month"))
-    return (feats.join(returners, "CustomerID", "left")
-                 .withColumn("churned", F.when(F.col("_back").isNull(), F.lit(1)).otherwise(F.lit(0)))
-                 .drop("_back"))
+        round_even(F.col("frequency") / months, 2).alias("purchase_frequency_per_month"),
+        (1 - F.col("_back")).cast("int").alias("churned"))
 
 
 def churned_customers(df: DataFrame, holdout_days: int = HOLDOUT_DAYS) -> DataFrame:

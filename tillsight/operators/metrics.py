@@ -39,36 +39,33 @@ def binary_metrics(scored: DataFrame, label: str = "label", prediction: str = "p
     class), all to 4 dp.
 
     AUC is the rank-sum statistic with tied scores sharing the average rank:
-    P(score_pos > score_neg) + 0.5 P(tie). Rows are first grouped by
-    distinct score (partial aggregation); the negatives below each score are
-    a bucketed prefix sum (``running_total_before``), so no task holds all
-    distinct scores of a group."""
+    P(score_pos > score_neg) + 0.5 P(tie). The rows are grouped once, by
+    distinct score, and everything is a sum over that table; the negatives
+    below each score are a bucketed prefix sum (``running_total_before``), so
+    no task holds all distinct scores of a group. Scores must be non-null."""
     y, p = F.col(label), F.col(prediction)
-    g = scored.groupBy(*by) if by else scored
-    conf = g.agg(
-        F.count(F.lit(1)).alias("_n"),
-        F.sum(F.when((y == 1) & (p == 1), 1).otherwise(0)).alias("_tp"),
-        F.sum(F.when((y == 0) & (p == 1), 1).otherwise(0)).alias("_fp"),
-        F.sum(F.when((y == 1) & (p == 0), 1).otherwise(0)).alias("_fn"),
-        F.sum(F.when((y == 0) & (p == 0), 1).otherwise(0)).alias("_tn"))
     per_score = (scored.groupBy(*by, F.col(score).alias("_s"))
-                 .agg(F.sum(F.when(y == 1, 1).otherwise(0)).alias("_pos"),
-                      F.sum(F.when(y == 0, 1).otherwise(0)).alias("_neg")))
+                 .agg(F.count(F.lit(1)).alias("_rows"),
+                      F.sum(F.when(y == 1, 1).otherwise(0)).alias("_pos"),
+                      F.sum(F.when(y == 0, 1).otherwise(0)).alias("_neg"),
+                      F.sum(F.when((y == 1) & (p == 1), 1).otherwise(0)).alias("_tp"),
+                      F.sum(F.when((y == 0) & (p == 1), 1).otherwise(0)).alias("_fp"),
+                      F.sum(F.when((y == 1) & (p == 0), 1).otherwise(0)).alias("_fn"),
+                      F.sum(F.when((y == 0) & (p == 0), 1).otherwise(0)).alias("_tn")))
     below = running_total_before(per_score, "_s", "_neg", "_negb", by=by)
-    auc = (below.groupBy(*by)
-           .agg(F.sum(F.col("_pos") * (F.col("_negb") + F.col("_neg") * 0.5)).alias("_u"),
-                F.sum("_pos").alias("_P"), F.sum("_neg").alias("_N"))
-           .select(*by, F.when((F.col("_P") > 0) & (F.col("_N") > 0),
-                               F.col("_u") / (F.col("_P") * F.col("_N")))
-                   .otherwise(F.lit(float("nan"))).alias("_auc")))
-    j = with_scalars(conf, auc) if not by else conf.join(auc, list(by))
+    j = (below.groupBy(*by)
+         .agg(F.sum(F.col("_pos") * (F.col("_negb") + F.col("_neg") * 0.5)).alias("_u"),
+              F.sum("_pos").alias("_P"), F.sum("_neg").alias("_N"),
+              *[F.sum(c).alias(c) for c in ("_rows", "_tp", "_fp", "_fn", "_tn")])
+         .withColumn("_auc", F.when((F.col("_P") > 0) & (F.col("_N") > 0), F.col("_u") / (F.col("_P") * F.col("_N")))
+                     .otherwise(F.lit(float("nan")))))
     tp, fp, fn = F.col("_tp"), F.col("_fp"), F.col("_fn")
     prec = F.coalesce(F.try_divide(tp, tp + fp), F.lit(0.0))
     rec = F.coalesce(F.try_divide(tp, tp + fn), F.lit(0.0))
     f1 = F.coalesce(F.try_divide(2 * tp, 2 * tp + fp + fn), F.lit(0.0))
     return j.select(
         *by,
-        round_even((tp + F.col("_tn")) / F.col("_n"), 4).alias("Accuracy"),
+        round_even((tp + F.col("_tn")) / F.col("_rows"), 4).alias("Accuracy"),
         round_even(prec, 4).alias("Precision"),
         round_even(rec, 4).alias("Recall"),
         round_even(f1, 4).alias("F1"),

@@ -122,7 +122,8 @@ def running_total_before(df: DataFrame, order: str, value: str, out: str, by: Se
     cuts = [i / buckets for i in range(1, buckets)]
     g = df.groupBy(*by) if by else df
     sketch = g.agg(F.percentile_approx(F.col(order).cast("double"), cuts, 10 * buckets).alias("_e"))
-    joined = df.join(F.broadcast(sketch), by) if by else with_scalars(df, sketch)
+    # groups may be many: their tables are broadcast only if the planner finds them small
+    joined = df.join(sketch, by) if by else with_scalars(df, sketch)
     bucketed = upper_bound(joined.withColumn("_ov", F.col(order).cast("double")), "_e", "_ov", "_b",
                            buckets - 1).drop("_e", "_ov")
     totals = bucketed.groupBy(*by, "_b").agg(F.sum(value).alias("_bt"))
@@ -130,6 +131,6 @@ def running_total_before(df: DataFrame, order: str, value: str, out: str, by: Se
         Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)),
         F.lit(0)).alias("_bo"))
     within = Window.partitionBy(*by, "_b").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    return (bucketed.join(F.broadcast(offs), [*by, "_b"])
+    return (bucketed.join(offs if by else F.broadcast(offs), [*by, "_b"])
                     .withColumn(out, F.col("_bo") + F.coalesce(F.sum(value).over(within), F.lit(0)))
                     .drop("_b", "_bo"))

@@ -18,14 +18,18 @@ Every step is a DataFrame job; the driver only sees the edge lists.
 from __future__ import annotations
 
 import math
+from collections import Counter
 
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tillsight.functions.scalars import ceil_div
-from tillsight.session import checkpoint_dir
-from tillsight.functions.scalars import with_scalars
+from tillsight.functions.scalars import ceil_div, with_scalars
+from tillsight.session import materialize
+
+
+#: Rows that one bucket sorts, about, and the least number of buckets.
+BUCKET_ROWS, LEAST_BUCKETS = 250_000, 64
 
 
 def _edges(df: DataFrame, exprs: dict, n: int, accuracy: int = 100000) -> dict:
@@ -34,21 +38,23 @@ def _edges(df: DataFrame, exprs: dict, n: int, accuracy: int = 100000) -> dict:
     probs = [i / n for i in range(1, n)]
     if not probs or not exprs:
         return {k: [] for k in exprs}
-    row = df.agg(*[F.percentile_approx(e.cast("double"), probs, accuracy).alias(k)
+    row = df.agg(*[F.percentile_approx(e.cast("double"), probs, max(accuracy, 10 * n)).alias(k)
                    for k, e in exprs.items()]).first()
     return {k: [x for x in (row[k] or []) if x is not None] for k in exprs}
 
 
 def _plan(edges: list) -> tuple[list, list]:
-    heavy = sorted({e for e in edges if edges.count(e) > 1})
+    heavy = sorted(e for e, n in Counter(edges).items() if n > 1)
     splits = sorted(set(edges) | {math.nextafter(e, math.inf) for e in heavy})
     return heavy, [-math.inf] + ([s for s in splits if math.isfinite(s)] or [0.0]) + [math.inf]
 
 
-def rank_edges(df: DataFrame, values: list, key: str, buckets: int = 64) -> dict:
+def rank_edges(df: DataFrame, values: list, key: str, buckets: int | None = None) -> dict:
     """Bucket plans for ranking ``df`` by each of ``values`` (ties by key):
     {value: (heavy values, value splits, key splits)}. Two small jobs in all:
-    one for the value edges, one for the key edges inside heavy values."""
+    one for the value edges, one for the key edges inside heavy values. The
+    number of buckets follows the rows unless it is given."""
+    buckets = buckets or max(LEAST_BUCKETS, -(-df.count() // BUCKET_ROWS))
     vedges = _edges(df, {v: F.col(v) for v in values}, buckets)
     plans = {v: _plan(vedges[v]) for v in values}
     need = {v: F.when(F.col(v).cast("double").isin(plans[v][0]), F.col(key))
@@ -63,7 +69,7 @@ def rank_edges(df: DataFrame, values: list, key: str, buckets: int = 64) -> dict
 
 
 def global_rank(df: DataFrame, value: str, key: str, out: str = "rank",
-                buckets: int = 64, plan: tuple | None = None) -> DataFrame:
+                buckets: int | None = None, plan: tuple | None = None) -> DataFrame:
     """Add ``out`` = 1-based position of each row in (value, key) order.
 
     Ties on ``value`` are broken by ``key`` ascending (``key`` must be
@@ -98,23 +104,22 @@ def quintile_from_rank(rank: F.Column, n: F.Column) -> F.Column:
     return F.greatest(F.lit(1), raw).cast("int")
 
 
-def rfm_scores(cust: DataFrame, key: str = "CustomerID", buckets: int = 64,
+def rfm_scores(cust: DataFrame, key: str = "CustomerID", buckets: int | None = None,
                checkpoint: bool = True) -> DataFrame:
     """R/F/M scores 1..5 (5 = best) from ranks (ties by ``key``), and their sum.
 
     Recency is reversed (recent = 5). ``ntile(5)`` is not used: it sizes bins
-    differently from quantile cuts. The customer table is checkpointed first
-    (reliable checkpoint in ``spark.checkpoint.dir``), so the edge jobs and
-    the ranking read it instead of recomputing it from the transactions."""
+    differently from quantile cuts. The customer table is written first (to the
+    folder of ``spark.checkpoint.dir``), so the edge jobs and the ranking read
+    its columns instead of recomputing it from the transactions."""
     if checkpoint:
-        checkpoint_dir(cust.sparkSession)
-        cust = cust.checkpoint(eager=True)
+        cust = materialize(cust)
     cols = ["recency", "frequency", "monetary"]
     plans = rank_edges(cust, cols, key, buckets)
     ranked = cust
     for col in cols:
         ranked = global_rank(ranked, col, key, out=f"_r_{col}", plan=plans[col])
-    n = ranked.agg(F.count(F.lit(1)).alias("_n"))
+    n = cust.agg(F.count(F.lit(1)).alias("_n"))
     ranked = with_scalars(ranked, n)
     nn = F.col("_n")
     return (ranked.withColumn("R_score", (6 - quintile_from_rank(F.col("_r_recency"), nn)).cast("int"))

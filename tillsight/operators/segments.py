@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tillsight.operators.reporting import products
 from tillsight.schema import SEGMENT_LABELS
+from tillsight.session import materialize
 
 
 def score_clusters(scored: DataFrame) -> DataFrame:
@@ -44,8 +45,9 @@ def map_labels(df: DataFrame, label_table: DataFrame) -> DataFrame:
 
 
 def segment_customers(scored: DataFrame) -> DataFrame:
-    """Scored customers with a rule cluster and its name."""
-    clustered = score_clusters(scored)
+    """Scored customers with a rule cluster and its name. The scores are read
+    twice (label means, join), so they are written first: their ranks run once."""
+    clustered = materialize(score_clusters(scored))
     return map_labels(clustered, label_clusters(clustered))
 
 
