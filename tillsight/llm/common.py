@@ -22,16 +22,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to a fresh folder of the shared checkpoint directory and
-    return the reread table: lineage ends there, any executor can read it, and
+def stage(df: DataFrame, name: str, *by: str) -> DataFrame:
+    """Write ``df`` to a fresh folder of the shared checkpoint directory, in
+    subfolders by the columns ``by``, and return the reread table: lineage ends there, any executor can read it, and
     losing one costs nothing. Shuffle files of the finished job are then free
     to go, so the driver's garbage is collected at once."""
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/llm/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.partitionBy(*by).parquet(path)
     release(spark)
-    return spark.read.parquet(path)
+    return (spark.read.schema(df.schema) if by else spark.read).parquet(path)
 
 
 def unstage(df: DataFrame) -> None:

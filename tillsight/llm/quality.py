@@ -3,8 +3,11 @@
 Base rules count words, symbols, repeated lines and repeated word windows of
 each whole text. The language model is a byte n-gram model with modified
 Kneser-Ney smoothing. Spark counts its n-grams over every document, separately
-for each language, and the model is kept as sorted arrays of packed n-gram keys
-that are probed by binary search. A document is rejected when its perplexity
+for each language, and interpolates all orders by joins. Every n-gram of a scored
+document was counted, so scoring needs the highest order's probabilities alone.
+They are split into parts of bounded size, sorted arrays of packed n-gram keys;
+a task probes them by binary search, one part at a time for a wave of documents,
+whatever the size of the whole model. A document is rejected when its perplexity
 lies outside the band of its language.
 
 Defined results: a null text counts as empty (0 words, fails the base rules); a
@@ -27,10 +30,10 @@ from tillsight.llm import textvec as tv
 from tillsight.llm.common import chunks, flat, lean, split_by, stage, unstage, utf8
 
 ORDER = 5
-#: Bytes that the broadcast model may take. Where all orders don't fit, the
-#: highest orders are left out (an exact Kneser-Ney model of a lower order).
-MODEL_BYTES = 128 << 20
 ROW_BYTES = 24
+#: N-grams in one part of the model, about, and text bytes that a task scores
+#: against all parts at once. The number of parts grows with the model.
+PART_ROWS, WAVE_BYTES = 1 << 20, 16 << 20
 #: Half width of a band: this many robust standard deviations of the language's
 #: log2 perplexity, and at least MIN_BITS.
 WIDTH, MIN_BITS = 5.0, 0.2
@@ -158,72 +161,136 @@ def count_grams(docs: DataFrame, text_col: str = "text", lang_col: str = "lang")
     return out
 
 
-def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", model_bytes: int = MODEL_BYTES) -> LanguageModel:
-    """Modified Kneser-Ney over all documents. Counts, discounts and context
-    sums are Spark aggregates; the driver takes over a table whose size was
-    checked against ``model_bytes``, and interpolates it from order 1 up."""
+def smoothed(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> tuple[DataFrame, DataFrame]:
+    """The staged n-grams, (lang, n, g, v, back), and their counts by order.
+    v is an n-gram's discounted share of its context, back its context's weight
+    of the lower order (modified Kneser-Ney)."""
     adj = stage(count_grams(docs, text_col, lang_col), "adjusted")
-    sizes = dict(adj.groupBy("n").count().collect())
-    order = 0
-    while order < ORDER and sum(sizes.get(i, 0) for i in range(1, order + 2)) * ROW_BYTES <= model_bytes:
-        order += 1
-    adj = adj.where(F.col("n") <= order)
     ones = [F.sum((F.col("c") == k).cast("long")).alias(f"n{k}") for k in (1, 2, 3, 4)]
     y = F.expr("n1 / nullif(n1 + 2 * n2, 0)")
     disc = adj.groupBy("lang", "n").agg(*ones).withColumn("y", F.coalesce(y, F.lit(0.0)))
     for k in (1, 2, 3):
         d = F.lit(float(k)) - F.lit(k + 1.0) * F.col("y") * F.expr(f"coalesce(n{k + 1} / nullif(n{k}, 0), 0)")
         disc = disc.withColumn(f"d{k}", F.when(F.col("y") > 0, F.least(F.greatest(d, F.lit(0.1)), F.lit(k - 0.05))).otherwise(F.lit(0.5)))
-    disc = F.broadcast(disc.select("lang", "n", "d1", "d2", "d3"))  # one row a language and order
+    # written first, so that the planner sees its size: one row a language and order
+    disc = stage(disc.select("lang", "n", "d1", "d2", "d3"), "discounts")
     cut = F.when(F.col("c") == 1, F.col("d1")).when(F.col("c") == 2, F.col("d2")).otherwise(F.col("d3"))
-    grams = adj.join(disc, ["lang", "n"]).withColumn("x", F.shiftright("g", 8))
-    ctx = grams.groupBy("lang", "n", "x").agg((F.sum(cut) / F.sum("c")).alias("back"), F.sum("c").alias("s"))
-    probs = grams.join(ctx, ["lang", "n", "x"]).select("lang", "n", "g", ((F.col("c") - cut) / F.col("s")).alias("v"))
-    model = LanguageModel(order)
+    grams = adj.join(disc, ["lang", "n"]).withColumn("cut", cut).withColumn("x", F.shiftright("g", 8))
+    ctx = Window.partitionBy("lang", "n", "x")  # a byte follows: 256 rows at most
+    total = F.sum("c").over(ctx)
+    out = stage(grams.select("lang", "n", "g", ((F.col("c") - F.col("cut")) / total).alias("v"), (F.sum("cut").over(ctx) / total).alias("back")), "smoothed")
+    unstage(adj)
+    unstage(disc)
+    return out, out.groupBy("n").count()
 
-    def sorted_arrays(df, key):
-        t = df.toArrow()
-        lang = t.column("lang").to_numpy(zero_copy_only=False).astype(str)
-        n, k, v = (t.column(c).to_numpy() for c in ("n", key, "v"))
-        out = {}
-        for lg in np.unique(lang):
-            for i in range(1, order + 1):
-                own = np.flatnonzero((lang == lg) & (n == i))
-                own = own[np.argsort(k[own])]
-                out[str(lg), i] = (k[own].astype(np.uint64), v[own].astype(np.float32))
-        return out
 
-    if order:
-        model.prob = sorted_arrays(probs, "g")
-        model.back = sorted_arrays(ctx.select("lang", "n", "x", F.col("back").alias("v")), "x")
-    for (lang, n), (keys, v) in sorted(model.prob.items(), key=lambda e: e[0][1]):
-        ctx_keys, back = model.back[lang, n]
-        w = back[np.searchsorted(ctx_keys, keys >> np.uint64(8))] if len(keys) else back
+def interpolated(grams: DataFrame, order: int) -> list[DataFrame]:
+    """(lang, g, p) of each order from 1 up to ``order``."""
+    levels: list[DataFrame] = []
+    for n in range(1, order + 1):
+        own = grams.where(F.col("n") == n)
         if n == 1:
-            low = np.full(len(keys), 1 / 256, dtype=np.float32)
-        else:
-            lk, lp = model.prob[lang, n - 1]
-            low = lp[np.searchsorted(lk, keys & np.uint64((1 << 8 * (n - 1)) - 1))] if len(keys) else v
-        model.prob[lang, n] = (keys, v + w * low)
-    unstage(adj)
+            levels.append(own.select("lang", "g", (F.col("v") + F.col("back") / 256).alias("p")))
+            continue
+        own = own.withColumn("tail", F.col("g").bitwiseAND(F.lit((1 << 8 * (n - 1)) - 1)))
+        low = levels[-1].select("lang", F.col("g").alias("tail"), F.col("p").alias("low"))
+        levels.append(own.join(low, ["lang", "tail"]).select("lang", "g", (F.col("v") + F.col("back") * F.col("low")).alias("p")))
+    return levels
+
+
+def _by_lang(t: pa.Table, key: str, value: str) -> dict:
+    """Sorted keys and values of each language."""
+    lang = t.column("lang").combine_chunks()
+    lang = (lang.combine_chunks() if isinstance(lang, pa.ChunkedArray) else lang).dictionary_encode()
+    of, k, v = lang.indices.to_numpy(), t.column(key).to_numpy(), t.column(value).to_numpy()
+    by = np.lexsort((k, of))
+    ends = np.searchsorted(of[by], np.arange(len(lang.dictionary) + 1))
+    return {name: (k[by[a:z]].astype(np.uint64), v[by[a:z]].astype(np.float32))
+            for name, a, z in zip(lang.dictionary.to_pylist(), ends, ends[1:])}
+
+
+def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", model_bytes: int | None = None) -> LanguageModel:
+    """The whole model in one process, with the weights that unseen n-grams
+    need. A caller with few bytes may ask for the orders that ``model_bytes``
+    hold; ``quality_rules`` doesn't use this and always scores with all."""
+    grams, counts = smoothed(docs, text_col, lang_col)
+    sizes = dict(counts.collect())
+    order = 0
+    while order < ORDER and (model_bytes is None or sum(sizes.get(i, 0) for i in range(1, order + 2)) * ROW_BYTES <= model_bytes):
+        order += 1
+    model = LanguageModel(order)
+    for n, level in enumerate(interpolated(grams, order), 1):
+        model.prob.update(((lang, n), e) for lang, e in _by_lang(level.toArrow(), "g", "p").items())
+        ctx = grams.where(F.col("n") == n).groupBy("lang", F.shiftright("g", 8).alias("x")).agg(F.max("back").alias("back"))
+        model.back.update(((lang, n), e) for lang, e in _by_lang(ctx.toArrow(), "x", "back").items())
+    unstage(grams)
     return model
 
 
+def model_parts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", part_rows: int = PART_ROWS) -> list:
+    """Broadcasts of the highest order, {lang: (sorted n-grams, bits)}; part i
+    of P has the n-grams that leave i when divided by P. The driver holds one
+    part at a time, and so do tasks."""
+    spark = docs.sparkSession
+    grams, counts = smoothed(docs, text_col, lang_col)
+    # odd, so that the last bytes of n-grams spread over the parts
+    many = -(-dict(counts.collect()).get(ORDER, 0) // part_rows) | 1
+    top = interpolated(grams, ORDER)[-1].select("lang", "g", (-F.log2("p")).cast("float").alias("bits"), (F.col("g") % many).cast("int").alias("part"))
+    top = stage(top, "model", "part")
+    unstage(grams)
+    parts = [spark.sparkContext.broadcast(_by_lang(top.where(F.col("part") == i).select("lang", "g", "bits").toArrow(), "g", "bits")) for i in range(many)]
+    unstage(top)
+    return parts
+
+
 def _dup_lines(text: bytes) -> int:
     lines = [x for x in text.split(b"\n") if x.strip(b" \t\n\x0b\x0c\r")]
     return len(lines) - len(set(lines))
 
 
-def _scorer(model):
+def _scorer(parts):
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lm = model.value if model is not None else None
+        wave, size = [], 0
         for big in lean(batches):
             for b in chunks(big, "text"):
-                yield _score_chunk(b, lm)
+                wave.append(_judge_chunk(b))
+                size += int(np.diff(flat(b.column(b.schema.get_field_index("text")))[1]).sum())
+                if size >= WAVE_BYTES:
+                    yield from _score_wave(wave, parts)
+                    wave, size = [], 0
+        yield from _score_wave(wave, parts)
     return score
 
 
-def _score_chunk(b: pa.RecordBatch, lm) -> pa.RecordBatch:
+def _score_wave(wave: list, parts: list) -> Iterator[pa.RecordBatch]:
+    """Looks up the wave's n-grams part by part, then sums them by document."""
+    want: dict[str, list] = {}
+    for _, grams in wave:
+        for lang, keys, *_ in grams:
+            want.setdefault(lang, []).append(keys)
+    keys = {lang: np.unique(np.concatenate(k)) for lang, k in want.items()}
+    bits = {lang: np.full(len(k), 8.0, dtype=np.float32) for lang, k in keys.items()}  # uniform over 256 bytes
+    for i, part in enumerate(parts if keys else []):
+        table = part.value
+        for lang, k in keys.items():
+            own = np.flatnonzero(k % np.uint64(len(parts)) == i)
+            hit, v = LanguageModel._find(table.get(lang), k[own])
+            if v is not None:
+                bits[lang][own[hit]] = v[hit]
+        if part._path is not None and len(parts) > 1:
+            del part._value, table  # loaded again by the next wave
+    while wave:
+        out, grams = wave.pop(0)
+        mean = np.zeros(out.num_rows)
+        for lang, own, inv, docs, per in grams:
+            v = bits[lang][np.searchsorted(keys[lang], own)].astype(np.float64)[inv]
+            mean[docs] = np.add.reduceat(v, np.cumsum(per) - per) / per
+        yield pa.RecordBatch.from_arrays([*out.columns, pa.array(mean)], names=[*out.schema.names, "bits"])
+
+
+def _judge_chunk(b: pa.RecordBatch) -> tuple[pa.RecordBatch, list]:
+    """The base counts, and for each language its distinct n-grams, the place
+    of each window among them, its documents and their numbers of windows."""
     col = b.column(b.schema.get_field_index("text"))
     data, off = flat(col)
     docs = b.num_rows
@@ -250,25 +317,21 @@ def _score_chunk(b: pa.RecordBatch, lm) -> pa.RecordBatch:
             marked[hit + k] = True
     c = np.concatenate([[0], np.cumsum(marked)])
     repeat = c[bounds[1:]] - c[bounds[:-1]]
-    bits = np.zeros(docs)
-    if lm is not None and len(h):
-        logs, made = np.zeros(docs), np.zeros(docs)
+    grams = []
+    if len(h):
+        keys, per = packed_grams(data, start, end)
+        made = np.bincount(doc, weights=per, minlength=docs).astype(np.int64)
+        first = np.cumsum(made) - made
         kinds, number = _languages(b, "lang")
-        of_word = number[doc]
         for k, lang in enumerate(kinds):
-            own = np.flatnonzero(of_word == k) if len(kinds) > 1 else np.arange(len(h))
-            if not len(own):
-                continue
-            _, at, inv = np.unique(h[own], return_index=True, return_inverse=True)
-            keys, per = packed_grams(data, start[own[at]], end[own[at]])
-            sums = np.add.reduceat(lm.log2(lang, keys), np.cumsum(per) - per)
-            logs += np.bincount(doc[own], weights=sums[inv], minlength=docs)
-            made += np.bincount(doc[own], weights=per[inv], minlength=docs)
-        bits = np.where(made > 0, -logs / np.maximum(made, 1), 0.0)
+            own = np.flatnonzero((number == k) & (made > 0))
+            if len(own):
+                distinct, inv = np.unique(np.concatenate([keys[first[d]:first[d] + made[d]] for d in own]), return_inverse=True)
+                grams.append((str(lang), distinct, inv.astype(np.int32), own, made[own]))
     keep = [b.column(i) for i, name in enumerate(b.schema.names) if name != "text"]
     names = [name for name in b.schema.names if name != "text"]
     new = {"n_words": n_words, "word_chars": word_chars, "n_symbols": symbols, "n_dup_lines": dup, "n_repeat_words": repeat}
-    return pa.RecordBatch.from_arrays(keep + [pa.array(x.astype(np.int64)) for x in new.values()] + [pa.array(bits)], names=names + [*new, "bits"])
+    return pa.RecordBatch.from_arrays(keep + [pa.array(x.astype(np.int64)) for x in new.values()], names=names + [*new]), grams
 
 
 def bands(scored: DataFrame, width: float = WIDTH, min_bits: float = MIN_BITS) -> DataFrame:
@@ -292,18 +355,18 @@ def bands(scored: DataFrame, width: float = WIDTH, min_bits: float = MIN_BITS) -
 
 
 def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
-                  width: float = WIDTH, min_bits: float = MIN_BITS, model_bytes: int = MODEL_BYTES) -> DataFrame:
+                  width: float = WIDTH, min_bits: float = MIN_BITS, part_rows: int = PART_ROWS) -> DataFrame:
     """One row a document: base counts, log2 perplexity with its language's
     band, ``base_failed`` and ``kept``; ``text_key`` is the text's hash."""
-    spark = docs.sparkSession
-    model = spark.sparkContext.broadcast(fit(docs, text_col, lang_col, model_bytes))
+    parts = model_parts(docs, text_col, lang_col, part_rows)
     src = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("text_key"),
                       F.coalesce(F.col(lang_col).cast("string"), F.lit("")).alias("lang"), utf8(text_col).alias("text"))
     kind = src.schema["doc_id"].dataType.simpleString()
-    scored = src.mapInArrow(_scorer(model), f"doc_id {kind}, text_key long, lang string, n_words long, word_chars long, "
+    scored = src.mapInArrow(_scorer(parts), f"doc_id {kind}, text_key long, lang string, n_words long, word_chars long, "
                             "n_symbols long, n_dup_lines long, n_repeat_words long, bits double")
     scored = stage(scored.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))), "scored")
-    model.unpersist()
+    for part in parts:
+        part.unpersist()
     # written first, so that the planner sees its size and needn't deal documents out by language
     out = scored.join(stage(bands(scored, width, min_bits), "bands"), "lang", "left")
     inside = F.col("bits").between(F.col("low_bits"), F.col("high_bits"))
