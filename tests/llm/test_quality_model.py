@@ -13,12 +13,11 @@ WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
 
 def windows(text):
-    """The 5 bytes that end at each byte of each word and the space behind it."""
-    out = []
-    for w in WORD.findall((text or "").encode()):
-        run = b"\0\0\0 " + w + b" "
-        out += [run[k - 4:k + 1] for k in range(4, len(run))]
-    return out
+    """The 5 bytes that end at each byte of each word and the space behind it,
+    run through the text."""
+    words = WORD.findall((text or "").encode())
+    run = b"\0\0\0 " + b" ".join(words) + b" "
+    return [run[k - 4:k + 1] for k in range(4, len(run))] if words else []
 
 
 def brute_bits(rows):
@@ -58,3 +57,31 @@ def test_all_orders_whatever_the_parts(spark, monkeypatch, part_rows):
     got = {r["doc_id"]: r["bits"] for r in quality.quality_rules(docs, part_rows=part_rows).collect()}
     for (i, *_), want in zip(rows, brute_bits(rows)):
         assert math.isclose(got[i], want, rel_tol=1e-4, abs_tol=1e-4), i
+
+
+def test_word_order_counts(spark):
+    """Word salad made of ordinary words stands out, though every word is common."""
+    rnd = random.Random(6)
+    mid = [a + b for a in "bcdfgklm" for b in "aeiou"]
+    kinds = [["a" + x for x in mid], [x + "eo" for x in mid], [x + "us" for x in mid], ["i" + x + "t" for x in mid]]
+    rows = [(i, " ".join(rnd.choice(kinds[k % 4]) for k in range(400)), "en") for i in range(80)]
+    salad = rows[0][1].split()
+    rnd.shuffle(salad)
+    docs = spark.createDataFrame([*rows, (99, " ".join(salad), "en")], "doc_id long, text string, lang string")
+    assert {r["doc_id"] for r in quality.quality_rules(docs).where("kept").collect()} == set(range(80))
+
+
+def test_bands_by_language_and_size(spark):
+    """Bands follow the spread of their size; copies don't narrow them."""
+    rnd = random.Random(7)
+    rows = [(f"{size}-{i}", size, 2 + rnd.uniform(-spread, spread)) for size, spread in ((6, 0.4), (9, 0.12)) for i in range(200)]
+    rows += [("copy", 6, 2.0)] * 900
+    scored = spark.createDataFrame([("en", s, hash(k) if k == "copy" else n, b, False) for n, (k, s, b) in enumerate(rows)], "lang string, size int, text_key long, bits double, base_failed boolean")
+    got = {r["size"]: r for r in quality.bands(scored, ["lang", "size"]).collect()}
+    for size in (6, 9):
+        v = sorted({(k, b) for k, s, b in rows if s == size}, key=lambda x: x[1])
+        mid = v[(len(v) - 1) // 2][1]
+        mad = sorted(abs(b - mid) for _, b in v)[(len(v) - 1) // 2]
+        half = max(quality.WIDTH * 1.4826 * mad, quality.MIN_BITS)
+        assert got[size]["texts"] == len(v)
+        assert math.isclose(got[size]["low_bits"], mid - half, abs_tol=0.01) and math.isclose(got[size]["high_bits"], mid + half, abs_tol=0.01)

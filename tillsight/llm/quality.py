@@ -2,13 +2,15 @@
 
 Base rules count words, symbols, repeated lines and repeated word windows of
 each whole text. The language model is a byte n-gram model with modified
-Kneser-Ney smoothing. Spark counts its n-grams over every document, separately
+Kneser-Ney smoothing. Its windows run through the text across words, so word
+order counts. Spark counts its n-grams over every document, separately
 for each language, and interpolates all orders by joins. Every n-gram of a scored
 document was counted, so scoring needs the highest order's probabilities alone.
 They are split into parts of bounded size, sorted arrays of packed n-gram keys;
 a task probes them by binary search, one part at a time for a wave of documents,
 whatever the size of the whole model. A document is rejected when its perplexity
-lies outside the band of its language.
+lies outside the band of documents of its language and size: a mean over few
+words strays further.
 
 Defined results: a null text counts as empty (0 words, fails the base rules); a
 null language is a language of its own; a null id is kept as null; repeated
@@ -34,11 +36,12 @@ ROW_BYTES = 24
 #: N-grams in one part of the model, about, and text bytes that a task scores
 #: against all parts at once. The number of parts grows with the model.
 PART_ROWS, WAVE_BYTES = 1 << 20, 16 << 20
-#: Half width of a band: this many robust standard deviations of the language's
-#: log2 perplexity, and at least MIN_BITS.
-WIDTH, MIN_BITS = 5.0, 0.2
+#: Half width of a band: this many robust standard deviations of the log2
+#: perplexity, and at least MIN_BITS. Where fewer than MIN_GROUP documents share
+#: a language and size, the band of the whole language holds.
+WIDTH, MIN_BITS, MIN_GROUP = 3.0, 0.1, 50
 MIN_WORDS = 50
-BINS = 256  # bins a bit, for the medians
+BINS = 1024  # bins a bit, for the medians
 
 SYMBOL = np.zeros(256, dtype=bool)
 SYMBOL[list(b"#*$%&|<>")] = True
@@ -80,24 +83,32 @@ class LanguageModel:
         return out
 
 
-def packed_grams(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def packed_grams(data: np.ndarray, start: np.ndarray, end: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The ORDER-byte window that ends at each byte of each word and at the
-    space behind it, packed into an integer; windows per word. A word is
-    preceded by a space and zero bytes."""
+    space behind it, packed into an integer; windows per document. Windows run
+    through the text, with one space between words; the first word is preceded
+    by a space and zero bytes."""
+    doc = tv.doc_of(bounds)
     size = end - start
-    per = size + 1
-    first = np.cumsum(per) - per
-    at = np.arange(int(per.sum())) - np.repeat(first, per)  # 0 .. len of the word
-    base = np.repeat(start, per)
-    length = np.repeat(size, per)
-    key = np.zeros(len(at), dtype=np.uint64)
-    top = max(len(data) - 1, 0)
-    for back in range(ORDER - 1, -1, -1):
-        i = at - back
-        byte = np.where((i >= 0) & (i < length), data[np.clip(base + i, 0, top)] if len(data) else 0, 0).astype(np.uint64)
-        byte[(i == -1) | (i == length)] = 0x20
-        key = (key << np.uint64(8)) | byte
-    return key, per
+    opens = np.ones(len(doc), dtype=bool)
+    opens[1:] = doc[1:] != doc[:-1]
+    pad = ORDER - 1
+    stop = np.cumsum(size + 1 + pad * opens)  # behind each word's space
+    run = np.full(int(stop[-1]) if len(stop) else 0, 0x20, dtype=np.uint8)
+    solid = np.ones(len(run), dtype=bool)
+    solid[stop - 1] = False
+    window = np.ones(len(run), dtype=bool)
+    head = (stop - size - 1 - pad)[opens]
+    for k in range(pad):
+        solid[head + k] = window[head + k] = False
+        run[head + k] = 0x20 if k == pad - 1 else 0
+    run[solid] = data[~tv.SPACE[data]]
+    key = np.zeros(max(len(run) - pad, 0), dtype=np.uint64)
+    for k in range(ORDER):
+        key <<= np.uint64(8)
+        key |= run[k:k + len(key)]
+    per = np.bincount(doc, weights=size + 1, minlength=len(bounds) - 1).astype(np.int64)
+    return key[window[pad:]], per
 
 
 def _languages(batch: pa.RecordBatch, col: str):
@@ -106,14 +117,26 @@ def _languages(batch: pa.RecordBatch, col: str):
     return kinds, number
 
 
+def _windows(b: pa.RecordBatch, data, start, end, bounds) -> Iterator[tuple]:
+    """(language, windows, documents, windows per document) of each language."""
+    keys, per = packed_grams(data, start, end, bounds)
+    first = np.cumsum(per) - per
+    kinds, number = _languages(b, "lang")
+    for k, lang in enumerate(kinds):
+        own = np.flatnonzero((number == k) & (per > 0))
+        if len(own):
+            yield str(lang), np.concatenate([keys[first[d]:first[d] + per[d]] for d in own]) if len(kinds) > 1 else keys, own, per[own]
+
+
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total: dict[str, list] = {}
 
     def rows(lang):
         keys = np.concatenate([k for k, _ in total[lang]])
         n = np.concatenate([c for _, c in total[lang]])
-        keys, inv = np.unique(keys, return_inverse=True)
-        return keys, np.bincount(inv, weights=n, minlength=len(keys)).astype(np.int64)
+        by = np.argsort(keys)
+        keys, first = np.unique(keys[by], return_index=True)
+        return keys, np.add.reduceat(n[by], first)
 
     for big in lean(batches):
         for b in chunks(big, "text"):
@@ -121,17 +144,8 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             start, end, bounds = tv.words(data, off)
             if not len(start):
                 continue
-            h = tv.span_hash(tv.prefix_hash(data), start, end)
-            kinds, number = _languages(b, "lang")
-            of_word = number[tv.doc_of(bounds)]
-            for k, lang in enumerate(kinds):
-                own = np.flatnonzero(of_word == k) if len(kinds) > 1 else np.arange(len(h))
-                if not len(own):
-                    continue
-                _, at, n = np.unique(h[own], return_index=True, return_counts=True)
-                keys, per = packed_grams(data, start[own[at]], end[own[at]])
-                keys, inv = np.unique(keys, return_inverse=True)
-                total.setdefault(lang, []).append((keys, np.bincount(inv, weights=np.repeat(n, per))))
+            for lang, keys, *_ in _windows(b, data, start, end, bounds):
+                total.setdefault(lang, []).append(np.unique(keys, return_counts=True))
                 if sum(len(x) for x, _ in total[lang]) > 1 << 19:
                     total[lang] = [rows(lang)]
                     if len(total[lang][0][0]) > 1 << 19:
@@ -318,57 +332,57 @@ def _judge_chunk(b: pa.RecordBatch) -> tuple[pa.RecordBatch, list]:
     c = np.concatenate([[0], np.cumsum(marked)])
     repeat = c[bounds[1:]] - c[bounds[:-1]]
     grams = []
-    if len(h):
-        keys, per = packed_grams(data, start, end)
-        made = np.bincount(doc, weights=per, minlength=docs).astype(np.int64)
-        first = np.cumsum(made) - made
-        kinds, number = _languages(b, "lang")
-        for k, lang in enumerate(kinds):
-            own = np.flatnonzero((number == k) & (made > 0))
-            if len(own):
-                distinct, inv = np.unique(np.concatenate([keys[first[d]:first[d] + made[d]] for d in own]), return_inverse=True)
-                grams.append((str(lang), distinct, inv.astype(np.int32), own, made[own]))
+    for lang, keys, own, per in _windows(b, data, start, end, bounds) if len(h) else ():
+        distinct, inv = np.unique(keys, return_inverse=True)
+        grams.append((lang, distinct, inv.astype(np.int32), own, per))
     keep = [b.column(i) for i, name in enumerate(b.schema.names) if name != "text"]
     names = [name for name in b.schema.names if name != "text"]
     new = {"n_words": n_words, "word_chars": word_chars, "n_symbols": symbols, "n_dup_lines": dup, "n_repeat_words": repeat}
     return pa.RecordBatch.from_arrays(keep + [pa.array(x.astype(np.int64)) for x in new.values()], names=names + [*new]), grams
 
 
-def bands(scored: DataFrame, width: float = WIDTH, min_bits: float = MIN_BITS) -> DataFrame:
-    """(lang, low_bits, high_bits): median of log2 perplexity, plus or minus
-    ``width`` robust standard deviations (1.4826 times the median absolute
-    deviation), over all documents that pass the base rules. Medians are taken
-    on bins of 1/256 bit, so the windows see a bounded number of rows."""
-    hist = scored.where(~F.col("base_failed")).groupBy("lang", F.floor(F.col("bits") * BINS).alias("bin")).agg(F.count("*").alias("k"))
+def bands(scored: DataFrame, keys: list[str], width: float = WIDTH, min_bits: float = MIN_BITS) -> DataFrame:
+    """(keys, low_bits, high_bits, texts): median of log2 perplexity, plus or
+    minus ``width`` robust standard deviations (1.4826 times the median absolute
+    deviation), over all different texts that pass the base rules. Copies count
+    once, so that a group of them can't narrow a band. Medians are taken on bins
+    of 1/1024 bit, so the windows see a bounded number of rows."""
+    texts = scored.where(~F.col("base_failed")).groupBy("lang", "size", "text_key").agg(F.min("bits").alias("bits"))
+    hist = texts.groupBy(*keys, F.floor(F.col("bits") * BINS).alias("bin")).agg(F.count("*").alias("k"))
 
     def median(df, value, name):
-        w = Window.partitionBy("lang")
+        w = Window.partitionBy(*keys)
         run = df.withColumn("cum", F.sum("k").over(w.orderBy(value))).withColumn("all", F.sum("k").over(w))
-        return run.where(F.col("cum") * 2 >= F.col("all")).groupBy("lang").agg(F.min(value).alias(name))
+        return run.where(F.col("cum") * 2 >= F.col("all")).groupBy(*keys).agg(F.min(value).alias(name), F.first("all").alias("texts"))
 
     mid = median(hist, "bin", "mid")
-    away = hist.join(mid, "lang").withColumn("away", F.abs(F.col("bin") - F.col("mid"))).groupBy("lang", "mid", "away").agg(F.sum("k").alias("k"))
-    mad = median(away, "away", "mad").join(mid, "lang")
+    away = hist.join(mid, keys).withColumn("away", F.abs(F.col("bin") - F.col("mid"))).groupBy(*keys, "mid", "away").agg(F.sum("k").alias("k"))
+    mad = median(away, "away", "mad").join(mid.drop("texts"), keys)
     half = F.greatest(F.lit(width * 1.4826) * (F.col("mad") + 1) / BINS, F.lit(min_bits))
     centre = (F.col("mid") + 0.5) / BINS
-    return mad.select("lang", (centre - half).alias("low_bits"), (centre + half).alias("high_bits"))
+    return mad.select(*keys, (centre - half).alias("low_bits"), (centre + half).alias("high_bits"), "texts")
 
 
 def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
                   width: float = WIDTH, min_bits: float = MIN_BITS, part_rows: int = PART_ROWS) -> DataFrame:
-    """One row a document: base counts, log2 perplexity with its language's
-    band, ``base_failed`` and ``kept``; ``text_key`` is the text's hash."""
+    """One row a document: base counts, log2 perplexity with its band
+    by language and size (number of words, to a power of two), ``base_failed`` and ``kept``; ``text_key`` is the text's hash."""
     parts = model_parts(docs, text_col, lang_col, part_rows)
     src = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("text_key"),
                       F.coalesce(F.col(lang_col).cast("string"), F.lit("")).alias("lang"), utf8(text_col).alias("text"))
     kind = src.schema["doc_id"].dataType.simpleString()
     scored = src.mapInArrow(_scorer(parts), f"doc_id {kind}, text_key long, lang string, n_words long, word_chars long, "
                             "n_symbols long, n_dup_lines long, n_repeat_words long, bits double")
-    scored = stage(scored.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))), "scored")
+    scored = stage(scored.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))).withColumn(
+        "size", F.length(F.bin("n_words"))), "scored")
     for part in parts:
         part.unpersist()
-    # written first, so that the planner sees its size and needn't deal documents out by language
-    out = scored.join(stage(bands(scored, width, min_bits), "bands"), "lang", "left")
+    # written first, so that the planner sees their size and needn't deal documents out by language
+    whole = stage(bands(scored, ["lang"], width, min_bits).drop("texts"), "bands")
+    group = stage(bands(scored, ["lang", "size"], width, min_bits).where(F.col("texts") >= MIN_GROUP).drop("texts"), "group-bands")
+    group = group.withColumnsRenamed({"low_bits": "own_low", "high_bits": "own_high"})
+    low, high = F.coalesce("own_low", "low_bits"), F.coalesce("own_high", "high_bits")
+    out = scored.join(whole, "lang", "left").join(group, ["lang", "size"], "left").withColumns({"low_bits": low, "high_bits": high}).drop("own_low", "own_high", "size")
     inside = F.col("bits").between(F.col("low_bits"), F.col("high_bits"))
     return out.withColumn("kept", ~F.col("base_failed") & F.coalesce(inside, F.lit(True))).withColumn("perplexity", F.pow(F.lit(2.0), F.col("bits")))
 
