@@ -5,10 +5,18 @@ token count and their first tokens, and each leaf generalises the fields that
 vary. A token with a digit, an ``@`` or a ``://`` is a variable field at once.
 Within a leaf, a token that fewer than MIN_DOCS documents have at its place is
 one too. A line's template is what stays constant; it counts if that is most of
-the line. A template recurs if it stands in at least MIN_DOCS documents, and in
-different surroundings in at least half of them: lines that come along with
-copies of their whole document are left to document deduplication. Every line
-of a recurring template is dropped.
+the line. A template recurs if at least MIN_DOCS different documents hold it, or
+if it stands in MIN_DOCS documents and in different surroundings in at least half
+of them. Copies and near copies of a document count as one, so that lines that
+come along with them are left to document deduplication. Every line of a
+recurring template is dropped.
+
+Which documents are copies is read off a sample of their word windows, the
+SAMPLE lowest hashes, which near copies have mostly in common. A document with
+at least OWN of its sample in fewer than MIN_DOCS documents is one of its own;
+it counts by the most common of these windows, so that a few copies are one. The
+others are copies in larger groups and count by their least common window, if
+most documents that hold that window count by it.
 
 All steps are aggregates with partial sums, so one line in a third of all
 documents is counted without gathering its rows.
@@ -36,6 +44,9 @@ from tillsight.llm.common import bitmap, chunks, flat, in_bitmap, lean, split_by
 #: tokens of the shortest template; constant part of a template; different
 #: surroundings for each document.
 DEPTH, MIN_DOCS, MIN_TOKENS, CONSTANT, SURROUNDINGS = 3, 5, 3, 0.7, 0.5
+#: Words of a window; sampled windows of a document; the part of them that makes
+#: it one of its own.
+WINDOW, SAMPLE, OWN = 5, 32, 0.25
 U64 = np.uint64
 FIELD = U64(0x2545F4914F6CDD1D)  # the hash of any variable field
 VARIABLE = np.zeros(256, dtype=bool)
@@ -82,6 +93,24 @@ class Lines:
         self.around = tv.mix(before * U64(0x9FB21C651E98DF25) + after)
 
 
+def _samples(x: Lines, docs: np.ndarray) -> list:
+    """The lowest different window hashes, of 40 bits, of each of ``docs``
+    (ascending)."""
+    place = np.full(int(x.doc[-1]) + 1 if len(x.doc) else 0, -1)
+    place[docs] = np.arange(len(docs))
+    doc = np.repeat(place[x.doc], x.count)
+    w = tv.window_hash(x.tokens, WINDOW)
+    at = np.flatnonzero((doc[:len(w)] == doc[len(doc) - len(w):]) & (doc[:len(w)] >= 0))
+    # document and hash in one integer, which sorts fast
+    w = np.unique((doc[at].astype(np.uint64) << U64(40)) | (w[at] >> U64(24)))
+    ends = np.searchsorted(w, np.arange(len(docs) + 1).astype(np.uint64) << U64(40))
+    lo, hi = ends[:-1], ends[1:]
+    w = (w & U64((1 << 40) - 1)).astype(np.int64)
+    first = np.searchsorted(x.doc, docs)
+    # a text too short for a window is sampled by its first line
+    return [w[a:min(z, a + SAMPLE)] if z > a else x.line[f:f + 1].astype(np.int64) for a, z, f in zip(lo, hi, first)]
+
+
 def _leaves(depth, min_tokens):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list = []
@@ -121,14 +150,36 @@ def _popular(shared, depth, min_tokens):
                 at = np.repeat(x.bounds[own], size) + np.arange(int(size.sum())) - np.repeat(base[:-1], size)
                 tokens = np.where(x.field[at], np.int64(0), x.tokens[at].astype(np.int64)) if len(at) else np.zeros(0, np.int64)
                 doc = pa.array(x.doc[own])
+                # a document's sample goes with its first line here
+                held, head = np.unique(x.doc[own], return_index=True)
+                sample: list = [None] * len(own)
+                for i, v in zip(head, _samples(x, held)):
+                    sample[i] = v
                 yield pa.RecordBatch.from_arrays(
                     [b.column(0).take(doc), b.column(1).take(doc), pa.array(x.index[own].astype(np.int32)), pa.array(x.leaf[own].astype(np.int64)),
                      pa.array(x.line[own].astype(np.int64)), pa.array(x.around[own].astype(np.int64)), pa.array(once),
-                     pa.ListArray.from_arrays(pa.array(base), pa.array(tokens))],
-                    names=["doc_id", "text_key", "line_no", "leaf", "line", "around", "once", "tokens"])
+                     pa.ListArray.from_arrays(pa.array(base), pa.array(tokens)), pa.array(sample, pa.list_(pa.int64()))],
+                    names=["doc_id", "text_key", "line_no", "leaf", "line", "around", "once", "tokens", "sample"])
     return run
 
 
+def copy_classes(lines: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
+    """(text_key, class): texts of one class are copies of each other. Texts
+    of larger groups that don't speak for their class are left out."""
+    held = lines.where(F.col("sample").isNotNull()).groupBy("text_key").agg(F.count("*").alias("docs"), F.first("sample").alias("sample"))
+    held = held.select("text_key", "docs", F.explode("sample").alias("window"))
+    common = held.groupBy("window").agg(F.sum("docs").alias("n"))
+    held = held.join(common, "window")
+    rare = F.col("n") < min_docs
+    most = F.max(F.when(rare, F.struct("n", "window")))["window"]
+    least = F.min(F.when(~rare, F.struct("n", "window")))
+    texts = held.groupBy("text_key").agg(
+        F.first("docs").alias("docs"), (F.sum(rare.cast("long")) >= F.lit(OWN) * F.count("*")).alias("own"), most.alias("most"), least.alias("least"))
+    texts = stage(texts.select("text_key", "docs", "own", F.when(F.col("own"), F.col("most")).otherwise(F.col("least.window")).alias("class"), F.col("least.n").alias("n")), "classes")
+    solid = texts.where(~F.col("own")).groupBy("class").agg(F.sum("docs").alias("docs"), F.max("n").alias("n")).where(F.col("docs") * 2 >= F.col("n")).select("class")
+    return texts.where("own").select("text_key", "class").unionByName(texts.where(~F.col("own")).join(solid, "class").select("text_key", "class"))
+
+
 def recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = MIN_DOCS, depth: int = DEPTH,
                     min_tokens: int = MIN_TOKENS, constant: float = CONSTANT, surroundings: float = SURROUNDINGS) -> DataFrame:
     """(doc_id, text_key, numbers) of every document that has lines whose
@@ -139,7 +190,7 @@ def recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     leaves = src.select("text").mapInArrow(_leaves(depth, min_tokens), "leaf long, docs long").groupBy("leaf").agg(F.sum("docs").alias("docs"))
     shared = spark.sparkContext.broadcast(bitmap(leaves.where(F.col("docs") >= min_docs), "leaf"))
     lines = stage(src.mapInArrow(_popular(shared, depth, min_tokens), f"doc_id {kind}, text_key long, line_no int, leaf long, line long, around long, "
-                                 "once boolean, tokens array<long>"), "lines")
+                                 "once boolean, tokens array<long>, sample array<long>"), "lines")
     # distinct lines, their documents and surroundings
     docs_of = F.sum(F.col("once").cast("long"))
     kinds = stage(lines.groupBy("leaf", "line").agg(docs_of.alias("docs"), F.first("tokens").alias("tokens")), "kinds")
@@ -152,8 +203,13 @@ def recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         F.col("fixed") >= F.col("size") * constant).select("leaf", "line", "docs", "template")
     around = lines.where("once").select("leaf", "line", "around").distinct().join(template, ["leaf", "line"]).groupBy("leaf", "template", "around").agg(
         F.lit(1).alias("one")).groupBy("leaf", "template").agg(F.count("*").alias("places"))
-    often = template.groupBy("leaf", "template").agg(F.sum("docs").alias("docs")).where(F.col("docs") >= min_docs).join(around, ["leaf", "template"]).where(
+    varied = template.groupBy("leaf", "template").agg(F.sum("docs").alias("docs")).where(F.col("docs") >= min_docs).join(around, ["leaf", "template"]).where(
         F.col("places") >= F.col("docs") * surroundings).select("leaf", "template")
+    # documents that count, copies as one; a constant line must have them all, as
+    # what varies in a template may be all that its documents have of their own
+    holders = lines.where("once").select("leaf", "line", "text_key").distinct().join(copy_classes(lines, min_docs), "text_key").select("leaf", "line", "class").distinct()
+    shared_by = holders.groupBy("leaf", "line").agg(F.count("*").alias("classes")).where(F.col("classes") >= min_docs)
+    often = varied.unionByName(template.join(shared_by, ["leaf", "line"]).select("leaf", "template")).distinct()
     bad = template.join(often, ["leaf", "template"]).select("leaf", "line")
     found = lines.select("doc_id", "text_key", "line_no", "leaf", "line").join(bad, ["leaf", "line"])
     out = stage(found.groupBy("doc_id", "text_key").agg(F.collect_set("line_no").alias("numbers")), "recurring")
