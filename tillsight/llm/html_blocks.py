@@ -6,11 +6,14 @@ import html
 import re
 from dataclasses import dataclass, field
 
-#: Elements whose content is no markup; it runs to the element's end tag.
+#: Elements whose content is no markup; it runs to the element's end tag. Longer
+#: names that begin with one (svg-icon) are other elements; <svg/> and <math/>
+#: close themselves.
 RAW = "script|style|textarea|title|xmp|iframe|noembed|noframes|template|svg|math"
 TOKEN = re.compile(
     r"<!--(?:.*?-->|.*\Z)"
-    rf"|<(?P<raw>{RAW})\b(?P<rattr>[^>]*)(?:>(?P<body>.*?)(?:</(?P=raw)\s*>|\Z)|\Z)"
+    r"|<(?:svg|math)(?=[\s/])(?:[^>\"']|\"[^\"]*\"|'[^']*')*/>"
+    rf"|<(?P<raw>{RAW})(?=[\s/>]|\Z)(?P<rattr>[^>]*)(?:>(?P<body>.*?)(?:</(?P=raw)\s*>|\Z)|\Z)"
     r"|<(?P<close>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attr>(?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)"
     r"|<[!?/](?:[^>]*)(?:>|\Z)", re.S | re.I)
 ATTR = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))")
