@@ -32,6 +32,7 @@ class Holder:
     role: str = ""
     hidden: bool = False
     up: tuple = ()  # (tag, words, role, hidden) of all open holders, outermost first
+    numbers: tuple = ()  # their numbers
 
 
 @dataclass
@@ -124,7 +125,7 @@ def _holder(name, number, attr, above) -> Holder:
     words, role, hidden = set(), "", bool(re.search(r"(?:^|\s)hidden(?:\s|=|$)", attr)) if attr else False
     for k, v in attributes(attr):
         if k in ("class", "id"):
-            words.update(x for x in re.split(r"[^a-z0-9]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", v).lower()) if x)
+            words.update(re.sub(r"([a-z])([A-Z])", r"\1-\2", v).lower().split())
         elif k == "role":
             role = v.lower()
         elif k == "style":
@@ -133,4 +134,5 @@ def _holder(name, number, attr, above) -> Holder:
             hidden = hidden or v.lower() == "true"
     h = Holder(name, number, frozenset(words), role, hidden)
     h.up = (*above.up, (name, h.words, role, hidden))
+    h.numbers = (*above.numbers, number)
     return h

@@ -16,8 +16,10 @@ empty table gives an empty result; only named columns are read.
 
 from __future__ import annotations
 
-from collections import deque
+import re
+from collections import Counter, deque
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -35,36 +37,68 @@ BOILER_WORDS = frozenset(
 BOILER_ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog form menu menubar toolbar".split())
 CONTENT_TAGS = frozenset(("article", "main"))
 CONTENT_WORDS = frozenset("article content post entry story main body text".split())
+HEADER_WORDS = frozenset(("header",))
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
-#: Classifier weights, in cost units.
-BOILER_PLACE, CONTENT_PLACE, CONTENT_NAME, HEADING, LINKED, SHORT = 12.0, 3.0, 1.0, 1.0, 5.0, 1.0
+#: Classifier weights, in cost units. Full evidence of content outweighs a place.
+BOILER_PLACE, CONTENT_PLACE, CONTENT_NAME, HEADING, LINKED, SHORT = 5.5, 3.0, 1.0, 1.0, 5.0, 1.0
 WORDS_PER_UNIT, MOST_UNITS = 12.0, 4.0
 #: Smoothness: neighbours in page order; the same parent besides.
 ADJACENT, SAME_PARENT = 0.4, 1.2
 
 
-def place(holder) -> tuple[bool, float]:
+#: A holder with more of the page's unlinked text than this is the page itself;
+#: its names and a form around it say nothing about its blocks.
+WHOLE_PAGE = 0.75
+
+
+@lru_cache(1 << 16)
+def listed(token: str) -> tuple[bool, bool, bool]:
+    """Is a class or id a name of boilerplate, of content, of a header: as a
+    whole, or with all its parts (cookie-banner, but not has-sidebar)."""
+    parts = {x for x in re.split(r"[^a-z0-9]+", token) if x}
+    return tuple(bool(parts) and parts <= names for names in (BOILER_WORDS, CONTENT_WORDS, HEADER_WORDS))
+
+
+def whole_page(blocks: list[Block]) -> frozenset:
+    """Numbers of the holders that hold most of the page's text."""
+    held: Counter = Counter()
+    total = 0
+    for b in blocks:
+        own = max(len(b.text) - b.linked, 0)
+        total += own
+        for n in b.holder.numbers:
+            held[n] += own
+    return frozenset(n for n, own in held.items() if own > WHOLE_PAGE * total)
+
+
+def place(holder, page: frozenset = frozenset()) -> tuple[bool, float]:
     """Is the holder inside boilerplate, and the evidence of content from it.
-    A header inside an article belongs to it."""
+    A header inside an article belongs to it. Evidence from outside a piece of
+    boilerplate doesn't hold inside it: comments below an article's text stand
+    in the article, too."""
     cached = getattr(holder, "place", None)
     if cached is None:
         inside, boiler, named = False, False, False
-        for tag, words, role, hidden in holder.up:
-            if hidden or tag in BOILER_TAGS or role in BOILER_ROLES or words & BOILER_WORDS:
-                boiler = True
-            elif (tag == "header" or "header" in words) and not inside:
-                boiler = True
+        article = False
+        for (tag, words, role, hidden), number in zip(holder.up, holder.numbers, strict=True):
+            names = [listed(x) for x in words]
+            page_wide = number in page or tag in ("html", "body")
+            by_name = not page_wide and (tag == "form" or any(x[0] for x in names))
+            by_header = not article and (tag == "header" or not page_wide and any(x[2] for x in names))
+            if hidden or tag in BOILER_TAGS and tag != "form" or role in BOILER_ROLES and not (page_wide and role == "form") or by_name or by_header:
+                boiler, inside, named = True, False, False
+                continue
             if tag in CONTENT_TAGS or role in ("main", "article"):
-                inside = True
-            named = named or bool(words & CONTENT_WORDS)
+                inside = article = True
+            named = named or any(x[1] for x in names)
         cached = holder.place = (boiler, CONTENT_PLACE * inside + CONTENT_NAME * named)
     return cached
 
 
-def costs(block: Block) -> tuple[float, float]:
+def costs(block: Block, page: frozenset = frozenset()) -> tuple[float, float]:
     """(cost of calling the block boilerplate, cost of calling it content)."""
-    boiler, content = place(block.holder)
+    boiler, content = place(block.holder, page)
     n = block.text.count(" ") + 1
     density = min(1.0, block.linked / max(len(block.text), 1))
     keep = content + min(n / WORDS_PER_UNIT, MOST_UNITS) * (1 - density) + HEADING * (block.tag in HEADINGS and content > 0)
@@ -123,8 +157,9 @@ def label(blocks: list[Block]) -> list[bool]:
     """True for each content block."""
     nodes: list[list] = []  # source, sink, parent, kind, first block, last block
     of: list[int] = []
+    page = whole_page(blocks)
     for b in blocks:
-        keep, drop = costs(b)
+        keep, drop = costs(b, page)
         kind = (b.holder.number, b.tag in HEADINGS, keep > drop)
         if nodes and nodes[-1][2] == kind:
             nodes[-1][0] += keep
