@@ -53,8 +53,10 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality rules", quality), ("line dedup", lines), ("n-gram Jaccard join", near), ("suffix-array dedup", passages), ("best-fit packing", packing)]
 
-#: Perplexity, components and packing have no SQL; tests/llm compares every
-#: stage with a brute-force version.
+#: Perplexity, components and packing have no SQL. tests/llm compares the first
+#: four stages with brute-force versions on sf0.001 (quality rules in
+#: test_quality_model, line dedup in test_line_rules, with the module's hashes of
+#: sampled windows); of packing it checks the layout and the number of sequences.
 ORACLE_SQL = None
 
 

@@ -85,3 +85,42 @@ def test_bands_by_language_and_size(spark):
         half = max(quality.WIDTH * 1.4826 * mad, quality.MIN_BITS)
         assert got[size]["texts"] == len(v)
         assert math.isclose(got[size]["low_bits"], mid - half, abs_tol=0.01) and math.isclose(got[size]["high_bits"], mid + half, abs_tol=0.01)
+
+
+def middle(v):
+    return sorted(v)[(len(v) - 1) // 2]
+
+
+def test_verdicts_of_real_rows(spark):
+    """op10 and the pipeline's first stage on sf0.001 against brute force."""
+    import corpus_pipeline
+
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    rows = [tuple(r) for r in docs.select("doc_id", "text", "lang").collect()]
+    bits = brute_bits(rows)
+    got = {r["doc_id"]: r for r in quality.op10_quality_rules(spark, sf).collect()}
+    # different texts that pass the base rules, by language and size
+    texts = {(lang, text): (got[i]["n_words"].bit_length(), b) for (i, text, lang), b in zip(rows, bits) if not got[i]["base_failed"]}
+
+    def band(values):
+        mid = middle(values)
+        return mid, max(quality.WIDTH * 1.4826 * middle([abs(v - mid) for v in values]), quality.MIN_BITS)
+
+    sure, inside = 0, set()
+    for (i, _, lang), b in zip(rows, bits):
+        assert math.isclose(got[i]["perplexity"], 2 ** b, rel_tol=1e-3), i
+        size = got[i]["n_words"].bit_length()
+        group = [v for (lg, _), (s, v) in texts.items() if (lg, s) == (lang, size)]
+        group = group if len(group) >= quality.MIN_GROUP else [v for (lg, _), (_, v) in texts.items() if lg == lang]
+        if got[i]["base_failed"]:
+            assert not got[i]["kept"]
+            continue
+        mid, half = band(group)
+        if abs(abs(b - mid) - half) > 0.01:  # bins of the medians
+            assert got[i]["kept"] == (abs(b - mid) <= half), i
+            sure += 1
+        if got[i]["kept"]:
+            inside.add(i)
+    assert sure > 0.9 * sum(not r["base_failed"] for r in got.values())
+    assert {r["doc_id"] for r in corpus_pipeline.quality(spark, docs, sf).collect()} == inside
