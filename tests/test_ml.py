@@ -69,7 +69,7 @@ def test_tree_shap_equals_exact_shapley(spark, toy):
 
 
 def test_attributions_of_a_panel_keep_their_rows_apart(toy):
-    m = FC.GBTRegressor(featuresCol="features", labelCol="y", maxIter=4, maxDepth=3, seed=1).fit(toy)
+    m = GBTRegressor(featuresCol="features", labelCol="y", maxIter=4, maxDepth=3, seed=1).fit(toy)
     panel = toy.withColumn("Country", F.lit("A")).unionByName(toy.withColumns({"Country": F.lit("B"), "a": F.col("a") + 1}))
     cols, keys = ["a", "b", "c"], ["Country", "date"]
     attr = AT.shap_tree(m, panel, cols=cols, key=keys)
@@ -83,7 +83,7 @@ def test_attributions_of_a_panel_keep_their_rows_apart(toy):
 
 
 def test_linear_fit_and_shap(spark, toy):
-    m = FC.LinearRegression(featuresCol="features", labelCol="y", regParam=0.0, solver="normal").fit(toy)
+    m = FC.forecast_linear(toy, "y")
     X = np.array(toy.select("a", "b", "c").toPandas())
     y = np.array(toy.select("y").toPandas())[:, 0]
     coef, *_ = np.linalg.lstsq(np.c_[np.ones(len(X)), X], y, rcond=None)

@@ -54,3 +54,16 @@ def test_label_clusters_more_than_pool(spark):
     lab5 = {r.cluster: r.segment for r in SG.label_clusters(five).collect()}
     assert lab5 == {4: "Champions", 3: "Loyal Customers", 2: "Big Spenders",
                     1: "Potential Loyalists", 0: "At Risk"}
+
+
+def test_rank_cuts_of_many_ties(spark):
+    rng = np.random.default_rng(4)
+    n = 5000
+    v = np.where(rng.random(n) < 0.5, 3.0, np.round(rng.normal(size=n), 1))
+    ids = rng.permutation(n) * 7
+    df = spark.createDataFrame([(int(i), float(x), float(i % 3)) for i, x in zip(ids, v, strict=True)], "k long, v double, w double").repartition(5)
+    ranks = [1, 2, 1000, 1700, 2500, 2501, n - 1, n]
+    got = RK.rank_cuts(df, ["v", "w"], "k", ranks, buckets=16)
+    for c, x in (("v", v), ("w", (ids % 3).astype(float))):
+        order = sorted(zip(x.tolist(), ids.tolist(), strict=True))
+        assert got[c] == [order[r - 1] for r in ranks]

@@ -5,6 +5,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.ml import PipelineModel
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 
 from tillsight.functions.scalars import round_even
 from tillsight.ml.parallel import fit_all
+from tillsight.ml.stages import RiskLevels, fit_scaler
 from tillsight.operators.metrics import balanced_weights, binary_metrics, standardize
 from tillsight.operators.ranking import global_rank
 from tillsight.operators.reporting import risk_level
@@ -129,6 +131,23 @@ def churn_score(model, data: DataFrame) -> DataFrame:
                   .orderBy(F.desc("churn_probability"), F.asc("CustomerID")))
 
 
+def churn_pipeline(model, data: DataFrame, cols: Sequence[str] = CHURN_FEATURES) -> PipelineModel:
+    """Scaler (of the train rows), vectors, classifier and risk levels as one
+    saved chain, for customers the fit has never seen. ``model`` and ``data``
+    come from ``churn_comparison``."""
+    scaler = fit_scaler(data.filter(F.col("split") == "train"), cols)
+    raw = VectorAssembler(inputCols=list(cols), outputCol="features")
+    scaled = VectorAssembler(inputCols=[f"{c}_z" for c in cols], outputCol="features_z")
+    return PipelineModel(stages=[scaler, raw, scaled, model, RiskLevels([(0.3, "Low"), (0.6, "Medium"), (float("inf"), "High")])])
+
+
+def score_customers(pipeline: PipelineModel, feats: DataFrame, cols: Sequence[str] = CHURN_FEATURES, key: str = "CustomerID") -> DataFrame:
+    """Probability and risk level of any customers with the model's features,
+    most at risk first (ties by ``key``). No label and no split is needed."""
+    return pipeline.transform(feats.select(key, *cols)).select(key, *cols, "churn_probability", "risk_level").orderBy(
+        F.desc("churn_probability"), F.asc(key))
+
+
 def churn_importance(model, cols: Sequence[str] = CHURN_FEATURES) -> DataFrame:
     """Forest importances, or absolute logistic coefficients, sorted."""
     from pyspark.sql import SparkSession

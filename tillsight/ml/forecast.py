@@ -1,10 +1,12 @@
 """Sales forecasting with MLlib: linear, random forest and boosted trees,
 compared on a chronological split, then walk-forward CV of the best model.
 
-The fits are MLlib estimators (distributed over partitions). The training
-table is the daily feature table (one row per day, or per day and key for a
-panel); it is persisted once and reused by every fit. Only fitted-model
-parameters and the metric rows (one per model or fold) reach the driver.
+The forest is MLlib's; the linear fits solve cross products summed once by
+Spark (``ml.linear``), the boosted trees are grown on binned columns in one job
+(``ml.boosting``). The training table is the daily feature table (one row per
+day, or per day and key for a panel); it is written once and reused by every
+fit. Only fitted-model parameters and the metric rows (one per model or fold)
+reach the driver.
 """
 
 from __future__ import annotations
@@ -13,10 +15,12 @@ from collections.abc import Sequence
 
 from pyspark.ml import PipelineModel
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
+from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tillsight.ml import linear as LN
+from tillsight.ml.boosting import fit_boosted
 from tillsight.ml.parallel import fit_all
 from tillsight.operators.daily import chronological_split, walk_forward_splits
 from tillsight.operators.metrics import regression_metrics
@@ -35,9 +39,8 @@ def feature_vector(features: DataFrame, cols: Sequence[str] = FORECAST_FEATURES,
 
 
 def forecast_linear(train: DataFrame, label: str = TARGET):
-    """Ordinary least squares (no penalty), normal-equation solver."""
-    return LinearRegression(featuresCol=FEATURES_COL, labelCol=label, regParam=0.0,
-                            elasticNetParam=0.0, solver="normal").fit(train)
+    """Ordinary least squares (no penalty), from one pass of cross products."""
+    return LN.fit_linear(train, label)
 
 
 def spread(df: DataFrame) -> DataFrame:
@@ -59,22 +62,27 @@ def forecast_forest(train: DataFrame, label: str = TARGET, trees: int = 300, dep
 
 def forecast_boosted(train: DataFrame, label: str = TARGET, rounds: int = 400, depth: int = 5,
                      step: float = 0.03, rows: float = 0.8, cols: float = 0.8, seed: int = 42):
-    """Gradient-boosted trees. Defaults: 400 rounds, depth 5, learning rate
-    0.03, 80 % row and 80 % column sampling; ``rows=1, cols=1`` is the
-    no-sampling preset."""
-    subset = "all" if cols >= 1.0 else str(cols)
-    return GBTRegressor(featuresCol=FEATURES_COL, labelCol=label, maxIter=rounds, maxDepth=depth,
-                        stepSize=step, subsamplingRate=rows, featureSubsetStrategy=subset,
-                        seed=seed, cacheNodeIds=True, maxMemoryInMB=1024).fit(train)
+    """Gradient-boosted trees grown level by level: 400 rounds, depth 5,
+    learning rate 0.03, 80 % of the rows and of the columns drawn for each
+    tree, leaf values shrunk by a penalty of 1."""
+    return fit_boosted(train, label, rounds=rounds, depth=depth, step=step, rows=rows, cols=cols, penalty=1.0, least=1, seed=seed)
+
+
+def forecast_boosted_no_sampling(train: DataFrame, label: str = TARGET, rounds: int = 400, depth: int = 5,
+                                 step: float = 0.03, leaves: int = 31, least: int = 20, seed: int = 42):
+    """Gradient-boosted trees grown leaf by leaf, the best split first: up to
+    31 leaves of at least 20 rows within depth 5, no sampling, no penalty."""
+    return fit_boosted(train, label, rounds=rounds, depth=depth, leaves=leaves, step=step, rows=1.0, cols=1.0, penalty=0.0,
+                       least=least, seed=seed)
 
 
 def default_models(trees: int = 300, rounds: int = 400) -> dict:
     """Model name -> fit function (train frame -> fitted model)."""
     return {
-        "Linear Regression": lambda d: forecast_linear(d),
+        "Linear Regression": forecast_linear,
         "Random Forest": lambda d: forecast_forest(d, trees=trees),
         "Boosted Trees": lambda d: forecast_boosted(d, rounds=rounds),
-        "Boosted Trees (no sampling)": lambda d: forecast_boosted(d, rounds=rounds, rows=1.0, cols=1.0),
+        "Boosted Trees (no sampling)": lambda d: forecast_boosted_no_sampling(d, rounds=rounds),
     }
 
 
@@ -114,10 +122,13 @@ def walk_forward_cv(features: DataFrame, fit, n_folds: int = 5, min_train_days:
                     keys: Sequence[str] = ()) -> DataFrame:
     """Refit ``fit`` on each expanding fold and evaluate its test block.
 
-    The fold table is built once (``walk_forward_splits``) and checkpointed;
-    each fold is one MLlib fit (submitted together); the test predictions of
-    all folds are evaluated in a single grouped aggregate. Output: R2, RMSE, MAE, fold, train_days,
-    test_days."""
+    Linear fits of all folds come from one pass over the days
+    (``linear.walk_forward``). For other models the fold table is built once
+    (``walk_forward_splits``) and written; each fold is one fit (submitted
+    together); the test predictions of all folds are evaluated in a single
+    grouped aggregate. Output: R2, RMSE, MAE, fold, train_days, test_days."""
+    if fit is forecast_linear:
+        return LN.walk_forward(feature_vector(features), n_folds, min_train_days, keys)
     folds = materialize(spread(feature_vector(walk_forward_splits(features, n_folds, min_train_days, keys))))
     n = [r["fold"] for r in folds.select("fold").distinct().collect()]
 
@@ -173,13 +184,15 @@ def what_if(model, features: DataFrame, cases: list[tuple] | None = None,
 
 
 def save_model(model, path: str, meta: dict | None = None) -> str:
-    """ML persistence (overwrite, as a one-stage pipeline, which records the
-    model's class) plus a one-row JSON metadata table."""
+    """ML persistence (overwrite; a single model as a one-stage pipeline, which
+    records its class, a whole chain as it is) plus a one-row JSON metadata
+    table."""
     import json
 
     from pyspark.sql import SparkSession
 
-    PipelineModel(stages=[model]).write().overwrite().save(path)
+    chain = model if isinstance(model, PipelineModel) else PipelineModel(stages=[model])
+    chain.write().overwrite().save(path)
     if meta is not None:
         spark = SparkSession.getActiveSession()
         spark.createDataFrame([(json.dumps(meta),)], "meta string").coalesce(1) \
@@ -188,8 +201,9 @@ def save_model(model, path: str, meta: dict | None = None) -> str:
 
 
 def load_model(path: str):
-    """The model that ``save_model`` wrote, whatever its class."""
-    return PipelineModel.load(path).stages[0]
+    """The model or chain that ``save_model`` wrote, whatever its class."""
+    chain = PipelineModel.load(path)
+    return chain.stages[0] if len(chain.stages) == 1 else chain
 
 
 def load_meta(spark, path: str) -> dict:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
 
+from pyspark.ml import PipelineModel
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import VectorAssembler
@@ -11,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tillsight.ml.parallel import fit_all
+from tillsight.ml.stages import ClusterLabels, fit_scaler
 from tillsight.operators.metrics import standardize
 from tillsight.operators.segments import label_clusters, map_labels
 from tillsight.schema import RFM_COLS
@@ -43,6 +45,22 @@ def kmeans_segments(scored: DataFrame, k: int = 5, starts: int = 10, seed: int =
     return map_labels(clustered, label_clusters(clustered)), best
 
 
+def segment_pipeline(clustered: DataFrame, model, cols: Sequence[str] = RFM_COLS) -> PipelineModel:
+    """Scaler, vectors, k-means model and segment names as one saved chain, for
+    customers of any later day. ``clustered`` and ``model`` come from
+    ``kmeans_segments``; the names stay those of the fitted clusters."""
+    names = [(int(r["cluster"]), r["segment"]) for r in clustered.select("cluster", "segment").distinct().collect()]  # a row a cluster
+    vectors = VectorAssembler(inputCols=[f"{c}_z" for c in cols], outputCol="features")
+    return PipelineModel(stages=[fit_scaler(clustered, cols), vectors, model, ClusterLabels(names)])
+
+
+def assign_segments(pipeline: PipelineModel, cust: DataFrame, cols: Sequence[str] = RFM_COLS) -> DataFrame:
+    """``cust`` with its ``cluster`` and ``segment`` by a (re)loaded chain."""
+    types = dict(cust.dtypes)
+    out = pipeline.transform(cust.drop("cluster", "segment", "features", *(f"{c}_z" for c in cols)))
+    return out.drop("features", *(f"{c}_z" for c in cols)).withColumns({c: F.col(c).cast(types[c]) for c in cols})
+
+
 def k_sweep(scored: DataFrame, ks: Iterable[int] = range(2, 9), seed: int = 42, starts: int = 10,
             max_iter: int = 300) -> DataFrame:
     """Inertia and silhouette for each k (the elbow table), each the best of

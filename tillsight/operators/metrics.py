@@ -18,7 +18,7 @@ from tillsight.functions.scalars import with_scalars
 
 def regression_metrics(pred: DataFrame, label: str = "units_sold", prediction: str = "prediction",
                        by: Sequence[str] = ()) -> DataFrame:
-    """R2 (4 dp), RMSE (2 dp), MAE (2 dp).
+    """R2 (4 dp; null where all labels are equal), RMSE (2 dp), MAE (2 dp).
 
     SST = n * var_pop(y) uses Spark's mergeable central moments, so no
     second pass for the mean is needed."""
@@ -28,7 +28,7 @@ def regression_metrics(pred: DataFrame, label: str = "units_sold", prediction: s
                 F.var_pop(F.col(label)).alias("_vp"), F.avg(F.abs(e)).alias("_mae"))
     return out.select(
         *by,
-        round_even(F.lit(1.0) - F.col("_sse") / (F.col("_vp") * F.col("_n")), 4).alias("R2"),
+        round_even(F.lit(1.0) - F.try_divide(F.col("_sse"), F.col("_vp") * F.col("_n")), 4).alias("R2"),
         round_even(F.sqrt(F.col("_sse") / F.col("_n")), 2).alias("RMSE"),
         round_even(F.col("_mae"), 2).alias("MAE"))
 

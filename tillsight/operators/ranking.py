@@ -24,7 +24,8 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tillsight.functions.scalars import ceil_div, with_scalars
+from tillsight.functions.scalars import ceil_div
+from tillsight.operators.quantiles import upper_bound
 from tillsight.session import materialize
 
 
@@ -104,26 +105,93 @@ def quintile_from_rank(rank: F.Column, n: F.Column) -> F.Column:
     return F.greatest(F.lit(1), raw).cast("int")
 
 
+def rank_cuts(df: DataFrame, cols: list, key: str, ranks: list, buckets: int | None = None) -> dict:
+    """{column: [(value, key) of the row at each 1-based rank]} in (value, key)
+    order, without ordering the table.
+
+    Approximate edges split a column's values into points (an edge itself) and
+    the intervals between; their counts tell which one holds a rank. A point
+    that many rows share is split the same way by ``key``. Only the rows of the
+    last interval of each rank (rows / edges, about) are ordered. The driver
+    sees edges, their counts and the cuts."""
+    buckets = buckets or max(4 * LEAST_BUCKETS, -(-df.count() // BUCKET_ROWS))
+
+    def place(rows, value, edges, out):
+        rows = rows.withColumn("_e", F.array(*(F.lit(float(e)) for e in edges)).cast("array<double>")).withColumn("_x", value.cast("double"))
+        rows = upper_bound(rows, "_e", "_x", "_u", len(edges))
+        at = F.when(F.col("_u") > 0, F.try_element_at("_e", F.greatest("_u", F.lit(1))) == F.col("_x"))
+        return rows.withColumn(out, 2 * F.col("_u") - F.coalesce(at, F.lit(False)).cast("int")).drop("_e", "_x", "_u")
+
+    def counts(rows, names):
+        tagged = rows.select(F.inline(F.array(*(F.struct(F.lit(i).alias("i"), F.col(c).alias("b")) for i, c in enumerate(names)))))
+        out = {}
+        for r in tagged.where("b is not null").groupBy("i", "b").count().collect():
+            out.setdefault(r["i"], {})[r["b"]] = r["count"]
+        return out
+
+    def find(have, rank):
+        """(bucket, rank inside it) of a rank."""
+        for b in sorted(have):
+            if rank <= have[b]:
+                return b, rank
+            rank -= have[b]
+        raise ValueError("rank beyond the rows")
+
+    edges = {c: sorted(set(e)) for c, e in _edges(df, {c: F.col(c) for c in cols}, buckets).items()}
+    placed = df.select(key, *cols)
+    for c in cols:
+        placed = place(placed, F.col(c), edges[c], f"_b_{c}")
+    have = counts(placed, [f"_b_{c}" for c in cols])
+    targets = [(c, *find(have[i], r)) for i, c in enumerate(cols) for r in ranks]
+    # points: by key inside them
+    points = sorted({(c, b) for c, b, _ in targets if b % 2})
+    if points:
+        inside = {f"{i}": F.when(F.col(f"_b_{c}") == b, F.col(key)) for i, (c, b) in enumerate(points)}
+        keyed = _edges(placed, inside, buckets)
+        for name, value in inside.items():
+            placed = place(placed, value, sorted(set(keyed[name])), f"_k_{name}").withColumn(f"_k_{name}", F.when(value.isNotNull(), F.col(f"_k_{name}")))
+        held = counts(placed, [f"_k_{name}" for name in inside])
+    wanted = []
+    for c, b, rest in targets:
+        own = F.col(f"_b_{c}") == b
+        if b % 2:
+            i = points.index((c, b))
+            k, rest = find(held[i], rest)
+            own = own & (F.col(f"_k_{i}") == k)
+        wanted.append((own, c, rest))
+    hit = placed.select(key, F.explode(F.array_compact(F.array(*(
+        F.when(own, F.struct(F.lit(t).alias("t"), F.col(c).cast("double").alias("v"), F.lit(rest).alias("rest"))) for t, (own, c, rest) in enumerate(wanted))))).alias("h"))
+    order = Window.partitionBy("t").orderBy("v", key)
+    found = hit.select(key, "h.*").withColumn("n", F.row_number().over(order)).where("n = rest").select("t", "v", key).collect()
+    out: dict = {c: [None] * len(ranks) for c in cols}
+    for t, v, k in found:
+        out[wanted[t][1]][t % len(ranks)] = (v, k)
+    return out
+
+
 def rfm_scores(cust: DataFrame, key: str = "CustomerID", buckets: int | None = None,
                checkpoint: bool = True) -> DataFrame:
     """R/F/M scores 1..5 (5 = best) from ranks (ties by ``key``), and their sum.
 
     Recency is reversed (recent = 5). ``ntile(5)`` is not used: it sizes bins
-    differently from quantile cuts. The customer table is written first (to the
-    folder of ``spark.checkpoint.dir``), so the edge jobs and the ranking read
-    its columns instead of recomputing it from the transactions."""
+    differently from quantile cuts. Of the ranks only the last of each of the
+    first four bins matters, so the (value, key) pairs at those ranks are
+    selected (``rank_cuts``) and every customer is compared with them: no sort
+    and no window over the customers. The customer table is written first (to
+    the folder of ``spark.checkpoint.dir``), so the selection reads its columns
+    instead of recomputing it from the transactions."""
     if checkpoint:
         cust = materialize(cust)
     cols = ["recency", "frequency", "monetary"]
-    plans = rank_edges(cust, cols, key, buckets)
-    ranked = cust
-    for col in cols:
-        ranked = global_rank(ranked, col, key, out=f"_r_{col}", plan=plans[col])
-    n = cust.agg(F.count(F.lit(1)).alias("_n"))
-    ranked = with_scalars(ranked, n)
-    nn = F.col("_n")
-    return (ranked.withColumn("R_score", (6 - quintile_from_rank(F.col("_r_recency"), nn)).cast("int"))
-                  .withColumn("F_score", quintile_from_rank(F.col("_r_frequency"), nn))
-                  .withColumn("M_score", quintile_from_rank(F.col("_r_monetary"), nn))
-                  .withColumn("RFM_score", (F.col("R_score") + F.col("F_score") + F.col("M_score")).cast("int"))
-                  .drop("_r_recency", "_r_frequency", "_r_monetary", "_n"))
+    n = cust.count()
+    # bin(r) = max(1, ceil(5 (r - 1) / (n - 1))) <= b up to rank floor(b (n - 1) / 5) + 1
+    cuts = rank_cuts(cust, cols, key, [b * (n - 1) // 5 + 1 for b in range(1, 5)], buckets) if n else {c: [] for c in cols}
+
+    def quintile(c):
+        v = F.col(c).cast("double")
+        beyond = [(v > F.lit(x)) | ((v == F.lit(x)) & (F.col(key) > F.lit(k))) for x, k in cuts[c]]
+        return sum((b.cast("int") for b in beyond), F.lit(1))
+
+    return (cust.withColumns({"R_score": (6 - quintile("recency")).cast("int"), "F_score": quintile("frequency").cast("int"),
+                              "M_score": quintile("monetary").cast("int")})
+                .withColumn("RFM_score", (F.col("R_score") + F.col("F_score") + F.col("M_score")).cast("int")))

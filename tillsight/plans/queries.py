@@ -1083,9 +1083,74 @@ def q_churn_importance(spark, sf):
     return CH.churn_importance(_churn_winner(spark, sf)[0])
 
 
+def _churn_chain(spark, sf):
+    """The winner's scoring chain as fitted, and saved and loaded again."""
+    def make():
+        chain, path = CH.churn_pipeline(*_churn_winner(spark, sf)), FS.fresh_path(spark, "models/churn")
+        return chain, FC.load_model(FC.save_model(chain, path))
+
+    return once(spark, sf, "churn chain", make)
+
+
+@register("save_load_churn")
+def q_save_load_churn(spark, sf):
+    """Every customer as of the last day, scored by the reloaded chain. The fit
+    saw the customers before the cutoff only, with the features of that day."""
+    return CH.score_customers(_churn_chain(spark, sf)[1], customers(spark, sf))
+
+
+@register("save_load_churn_same", sql("""
+SELECT CustomerID, recency, frequency, monetary, avg_basket_size, purchase_frequency_per_month, TRUE AS same_score
+FROM customer_features""", "customers"))
+def q_save_load_churn_same(spark, sf):
+    """Does the reloaded chain score unseen customers as the fitted one does?"""
+    before = CH.score_customers(_churn_chain(spark, sf)[0], customers(spark, sf)).select(
+        "CustomerID", F.col("churn_probability").alias("_p"), F.col("risk_level").alias("_level"))
+    same = (F.col("churn_probability") == F.col("_p")) & (F.col("risk_level") == F.col("_level")) & F.col("_p").between(0, 1)
+    return q_save_load_churn(spark, sf).join(before, "CustomerID").withColumn("same_score", same).drop(
+        "churn_probability", "risk_level", "_p", "_level")
+
+
+def _segment_fit(spark, sf):
+    """(segments, model, reloaded chain), fitted once."""
+    def make():
+        seg, model = KS.kmeans_segments(scored(spark, sf), k=5)
+        seg, path = materialize(seg), FS.fresh_path(spark, "models/segments")
+        return seg, model, FC.load_model(FC.save_model(KS.segment_pipeline(seg, model), path))
+
+    return once(spark, sf, "segments", make)
+
+
 @register("kmeans_segments")
 def q_kmeans_segments(spark, sf):
-    return KS.kmeans_segments(scored(spark, sf), k=5)[0]
+    return _segment_fit(spark, sf)[0]
+
+
+@register("kmeans_segments_nearest", sql("""
+SELECT CustomerID, recency, frequency, monetary, TRUE AS nearest, TRUE AS named FROM customer_features""", "customers"))
+def q_kmeans_segments_nearest(spark, sf):
+    """Is each customer in the cluster of its nearest centre, and does each
+    cluster have one name?"""
+    seg, model, _ = _segment_fit(spark, sf)
+    z = M.standardize(seg, ["recency", "frequency", "monetary"])
+    square = [sum((F.col(f"{c}_z") - F.lit(float(x))) ** 2 for c, x in zip(["recency", "frequency", "monetary"], centre))
+              for centre in model.clusterCenters()]
+    own = F.element_at(F.array(*square), F.col("cluster") + 1)
+    names = seg.groupBy("cluster").agg(F.count_distinct("segment").alias("_names"))
+    return z.join(F.broadcast(names), "cluster").select(
+        "CustomerID", "recency", "frequency", "monetary", (own <= F.least(*square) * (1 + 1e-9) + 1e-12).alias("nearest"),
+        ((F.col("_names") == 1) & F.col("segment").isNotNull()).alias("named"))
+
+
+@register("save_load_segments_same", sql("SELECT CustomerID, recency, frequency, monetary, TRUE AS same_segment FROM customer_features", "customers"))
+def q_save_load_segments_same(spark, sf):
+    """Does the reloaded chain (scaler, centres, names) give every customer the
+    segment of the fit?"""
+    seg, _, chain = _segment_fit(spark, sf)
+    again = KS.assign_segments(chain, customers(spark, sf)).select(
+        "CustomerID", "recency", "frequency", "monetary", F.col("cluster").alias("_c"), F.col("segment").alias("_s"))
+    return again.join(seg.select("CustomerID", "cluster", "segment"), "CustomerID").select(
+        "CustomerID", "recency", "frequency", "monetary", ((F.col("_c") == F.col("cluster")) & (F.col("_s") == F.col("segment"))).alias("same_segment"))
 
 
 @register("k_sweep")
