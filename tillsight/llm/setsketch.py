@@ -50,11 +50,14 @@ REGISTERS = BANDS * ROWS
 #: Register scale: base and rate of the exponential variates, largest value.
 BASE, RATE, TOP = 1.02, 20.0, 2000
 LIKELY = 20.0
+#: With fewer equal registers the likelihood lets no pair at 0.79 or more through
+#: (128 KL(0.5 | 0.79) = 26 nats), so it isn't computed.
+LEAST_EQUAL = REGISTERS // 2
 #: Rows of a block in the second round.
 BLOCK = 256
 U64, U32 = np.uint64, np.uint32
 _RND = np.random.Generator(np.random.PCG64(20250311))
-_MUL = _RND.integers(0, 1 << 63, REGISTERS, dtype=np.uint64) * U64(2) + U64(1)
+_MUL = _RND.integers(0, 1 << 31, (REGISTERS, 2), dtype=U32) * U32(2) + U32(1)
 _BAND = _RND.integers(0, 1 << 63, BANDS, dtype=np.uint64) * U64(2) + U64(1)
 
 
@@ -91,14 +94,18 @@ def registers(value: np.ndarray, at: np.ndarray) -> np.ndarray:
     begin = at[full]
     for lo in range(0, len(value), step):
         some = value[lo:lo + step]
+        low, high = some.astype(U32), (some >> U64(32)).astype(U32)
+        x, y = np.empty_like(low), np.empty_like(low)
         first = np.searchsorted(begin, lo, side="right") - 1
         last = np.searchsorted(begin, lo + len(some), side="left")
         cut = np.maximum(begin[first:last] - lo, 0)
         for i in range(REGISTERS):
-            x = some * _MUL[i]
-            x ^= x >> U64(29)
-            x *= U64(0xBF58476D1CE4E5B9)
-            own = np.minimum.reduceat((x >> U64(32)).astype(U32), cut)
+            np.multiply(low, _MUL[i, 0], out=x)
+            x += high
+            np.right_shift(x, U32(15), out=y)
+            x ^= y
+            x *= _MUL[i, 1]
+            own = np.minimum.reduceat(x, cut)
             np.minimum(least[first:last, i], own, out=least[first:last, i])
     # h = -ln(1 - u) / RATE for u in (0, 1)
     u = (least.astype(np.float64) + 0.5) / 2.0**32
@@ -187,21 +194,29 @@ def _likely(percent):
 
 
 def _compare(percent):
-    """Likely pairs between two blocks of classes in different components."""
+    """Likely pairs between two blocks of classes of one band value that lie in
+    different components. A pair that shares several band values comes from
+    the first of them only."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in lean(batches):
+            lows, highs = [], []
             for r in range(batch.num_rows):
                 row = {c: batch.column(k)[r].as_py() for k, c in enumerate(batch.schema.names)}
                 x, y = (np.frombuffer(b"".join(p["regs"] for p in row[side]), dtype=np.uint16).reshape(-1, REGISTERS) for side in ("one", "two"))
                 (a, g, n), (b, h, m) = (tuple(np.array([p[c] for p in row[side]], dtype=np.int64) for c in ("node", "g", "n")) for side in ("one", "two"))
+                band = int((bands(x[:1])[0].astype(np.int64) == row["key"]).argmax())
                 for i in range(len(x)):  # a row against a block
                     fit = np.flatnonzero((h != g[i]) & (100 * np.minimum(m, n[i]) >= percent * np.maximum(m, n[i])))
-                    if not len(fit):
-                        continue
-                    ok = fit[may_link((x[i] > y[fit]).sum(axis=1), (x[i] < y[fit]).sum(axis=1), np.full(len(fit), n[i]), m[fit], percent)]
-                    if len(ok):
-                        lo, hi = np.minimum(a[i], b[ok]), np.maximum(a[i], b[ok])
-                        yield pa.RecordBatch.from_arrays([pa.array(lo), pa.array(hi)], names=["a", "b"])
+                    same = x[i] == y[fit]
+                    first = same.reshape(len(fit), BANDS, ROWS).all(axis=2).argmax(axis=1) == band
+                    ok = np.flatnonzero(first & (same.sum(axis=1) >= (LEAST_EQUAL if percent >= 80 else 0)))
+                    fit = fit[ok]
+                    if len(fit):
+                        fit = fit[may_link((x[i] > y[fit]).sum(axis=1), (x[i] < y[fit]).sum(axis=1), np.full(len(fit), n[i]), m[fit], percent)]
+                        lows.append(np.minimum(a[i], b[fit]))
+                        highs.append(np.maximum(a[i], b[fit]))
+            if lows:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(lows)), pa.array(np.concatenate(highs))], names=["a", "b"])
     return run
 
 
@@ -310,7 +325,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         packed = stage(dealt.groupBy("key", "other", "block", "others", "mains").agg(pack), "blocks")
         left = packed.where("other").select("key", F.col("block").alias("x"), F.col("rows").alias("one"))
         right = packed.select("key", F.col("block").alias("y"), "other", F.col("rows").alias("two"))
-        met = left.join(right, "key").where("NOT other OR x <= y").select("one", "two")
+        met = left.join(right, "key").where("NOT other OR x <= y").select("key", "one", "two")
         fresh = met.mapInArrow(_compare(percent), "a long, b long").distinct().join(near, ["a", "b"], "left_anti")
         more = _links(src, classes, stage(fresh, "pairs"), percent)
         unstage(packed)
