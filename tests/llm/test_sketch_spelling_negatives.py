@@ -85,9 +85,12 @@ def test_near_duplicates(spark):
     assert ss.near_duplicates(frame(spark, rows).limit(0)).collect() == []
 
 
-def test_near_duplicates_of_a_group_around_the_threshold(spark):
+@pytest.mark.parametrize(("small", "block"), [(1 << 20, 256), (4, 8)])
+def test_near_duplicates_of_a_group_around_the_threshold(spark, monkeypatch, small, block):
     """A group whose members are similar to the centre and hardly to each
     other, and one whose members are all just below the threshold."""
+    monkeypatch.setattr(ss, "SMALL", small)
+    monkeypatch.setattr(ss, "BLOCK", block)
     rnd = random.Random(2)
     base = [f"w{k}" for k in range(300)]
     rows = list(enumerate(near_copies(rnd, base, 60, 4) + near_copies(rnd, base, 60, 9) + near_copies(rnd, base[150:] + base[:100], 30, 3)))

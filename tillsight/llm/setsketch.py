@@ -19,7 +19,9 @@ Groups of many near copies are not expanded into pairs. Each band value first
 links its classes to one of them, the one with the most company, and components
 are formed. Where a band value still holds several components, the classes
 outside its largest one are compared with the rest, in blocks of rows inside
-tasks: only pairs that pass the likelihood come out.
+tasks. Band values of few rows give the pairs that pass the likelihood; those
+of more rows are verified on the full sets where the blocks meet, and only
+links come out that join what the blocks' other links leave apart.
 
 Defined results: a null or empty text, or one without words, has an empty set
 and is linked with nothing (its component is its own id); a text with fewer
@@ -53,8 +55,9 @@ LIKELY = 20.0
 #: With fewer equal registers the likelihood lets no pair at 0.79 or more through
 #: (128 KL(0.5 | 0.79) = 26 nats), so it isn't computed.
 LEAST_EQUAL = REGISTERS // 2
-#: Rows of a block in the second round.
-BLOCK = 256
+#: Second round: rows of a block, elements of their sets (about), and the rows
+#: of a band value that may give their likely pairs.
+BLOCK, BLOCK_SET, SMALL = 256, 1 << 17, 32
 U64, U32 = np.uint64, np.uint32
 _RND = np.random.Generator(np.random.PCG64(20250311))
 _MUL = _RND.integers(0, 1 << 31, (REGISTERS, 2), dtype=U32) * U32(2) + U32(1)
@@ -178,7 +181,8 @@ def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lo in range(0, b.num_rows, 4096):
             part = b.slice(lo, 4096)
             key = bands(_rows(part.column(1)))
-            yield pa.RecordBatch.from_arrays([pa.array(key.ravel().astype(np.int64)), pa.array(np.repeat(part.column(0).to_numpy(), BANDS))], names=["key", "node"])
+            node, n = (pa.array(np.repeat(part.column(c).to_numpy(), BANDS)) for c in (0, 2))
+            yield pa.RecordBatch.from_arrays([pa.array(key.ravel().astype(np.int64)), node, n], names=["key", "node", "n"])
 
 
 def _likely(percent):
@@ -220,6 +224,46 @@ def _compare(percent):
     return run
 
 
+def _verify_blocks(percent):
+    """Links between two blocks of a large band value, verified on the full
+    sets inside the task. Of the links of two blocks only those come out that
+    join what others of them leave apart, so at most one a row."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in lean(batches):
+            lows, highs = [], []
+            for r in range(batch.num_rows):
+                row = {c: batch.column(k)[r].as_py() for k, c in enumerate(batch.schema.names)}
+                both = row["one"] + row["two"]
+                node, g, n = (np.array([p[c] for p in both], dtype=np.int64) for c in ("node", "g", "n"))
+                regs = np.frombuffer(b"".join(p["regs"] for p in both), dtype=np.uint16).reshape(-1, REGISTERS)
+                sets = [np.frombuffer(p["own"], dtype=np.uint64) for p in both]
+                band = int((bands(regs[:1])[0].astype(np.int64) == row["key"]).argmax())
+                group = np.unique(g, return_inverse=True)[1]  # found links merge groups
+                cut = len(row["one"])
+                for i in range(cut):
+                    fit = cut + np.flatnonzero((group[cut:] != group[i]) & (100 * np.minimum(n[cut:], n[i]) >= percent * np.maximum(n[cut:], n[i])))
+                    same = regs[i] == regs[fit]
+                    first = same.reshape(len(fit), BANDS, ROWS).all(axis=2).argmax(axis=1) == band
+                    fit = fit[first & (same.sum(axis=1) >= (LEAST_EQUAL if percent >= 80 else 0))]
+                    if len(fit):
+                        fit = fit[may_link((regs[i] > regs[fit]).sum(axis=1), (regs[i] < regs[fit]).sum(axis=1), np.full(len(fit), n[i]), n[fit], percent)]
+                    for j in fit.tolist():
+                        if group[i] != group[j] and _similar(sets[i], sets[j], percent):
+                            group[group == group[j]] = group[i]
+                            lows.append(min(node[i], node[j]))
+                            highs.append(max(node[i], node[j]))
+            if lows:
+                yield pa.RecordBatch.from_arrays([pa.array(lows, pa.int64()), pa.array(highs, pa.int64())], names=["a", "b"])
+    return run
+
+
+def _similar(one: np.ndarray, two: np.ndarray, percent: int) -> bool:
+    """Are two sorted sets similar enough?"""
+    at = np.searchsorted(one, two)
+    both = int((one[np.minimum(at, len(one) - 1)] == two).sum())
+    return 100 * both >= percent * (len(one) + len(two) - both)
+
+
 def _picked(shared):
     """Texts whose hash is wanted, each hash once a task."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -259,29 +303,31 @@ def _exact(percent):
             for i in range(b.num_rows):
                 if b.column(0)[i].as_py() != last:
                     last, one = b.column(0)[i].as_py(), np.frombuffer(b.column(2)[i].as_py(), dtype=np.uint64)
-                two = np.frombuffer(b.column(3)[i].as_py(), dtype=np.uint64)
-                at = np.searchsorted(one, two)
-                both = int((one[np.minimum(at, len(one) - 1)] == two).sum())
-                ok.append(100 * both >= percent * (len(one) + len(two) - both))
+                ok.append(_similar(one, np.frombuffer(b.column(3)[i].as_py(), dtype=np.uint64), percent))
             yield pa.RecordBatch.from_arrays([c.filter(pa.array(ok, pa.bool_())) for c in b.columns[:2]], names=["a", "b"])
     return run
 
 
-def _links(src: DataFrame, classes: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
-    """The verified ones of the pairs (a, b) of classes, staged. One text of
-    each class that has a pair is fetched by its hash, and its set made anew."""
-    spark = src.sparkSession
-    nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+def _full_sets(src: DataFrame, classes: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, own): the sets of some classes, staged. One text of each is
+    fetched by its hash, and its set made anew."""
     wanted = stage(classes.join(nodes, "node", "left_semi").select("node", "digest", "mark"), "wanted")
-    shared = spark.sparkContext.broadcast(bitmap(wanted, "mark"))
+    shared = src.sparkSession.sparkContext.broadcast(bitmap(wanted, "mark"))
     texts = src.select("text", "mark").mapInArrow(_picked(shared), "text binary, mark long")
     full = stage(texts.join(wanted, "mark").select("text", "node", "digest").mapInArrow(_full, "node long, own binary").dropDuplicates(["node"]), "full")
     shared.destroy()
+    unstage(wanted)
+    return full
+
+
+def _links(src: DataFrame, classes: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+    """The verified ones of the pairs (a, b) of classes, staged."""
+    nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    full = _full_sets(src, classes, nodes)
     joined = pairs.join(full.select(F.col("node").alias("b"), F.col("own").alias("own_b")), "b").join(
         full.select(F.col("node").alias("a"), F.col("own").alias("own_a")), "a")
     links = stage(joined.select("a", "b", "own_a", "own_b").mapInArrow(_exact(percent), "a long, b long"), "links")
     unstage(full)
-    unstage(wanted)
     return links
 
 
@@ -294,7 +340,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = stage(made.select("digest", "first", "one.n", "one.regs", "one.mark").withColumn("node", F.monotonically_increasing_id()), "classes")
 
     # band values that two classes or more share
-    posts = classes.select("node", "regs").mapInArrow(_bands, "key long, node long")
+    posts = classes.select("node", "regs", "n").mapInArrow(_bands, "key long, node long, n long")
     many = posts.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
     posts = stage(posts.join(many, "key", "left_semi"), "bands")
     company = posts.groupBy("node").agg(F.count("*").alias("share"))
@@ -312,25 +358,45 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     # band values that hold several components: the rest against all others
     placed = posts.join(groups, "node", "left").withColumn("g", F.coalesce("component", -1 - F.col("node"))).drop("component")
-    sizes = placed.groupBy("key", "g").agg(F.count("*").alias("c"))
-    main = sizes.groupBy("key").agg(F.max_by("g", F.struct("c", "g")).alias("main"), F.sum("c").alias("c"), F.max("c").alias("most"), F.count("*").alias("parts")).where("parts > 1")
+    sizes = placed.groupBy("key", "g").agg(F.count("*").alias("c"), F.sum("n").alias("s"))
+    main = sizes.groupBy("key").agg(F.max(F.struct("c", "g", "s")).alias("main"), F.sum("c").alias("c"), F.sum("s").alias("s"), F.count("*").alias("parts")).where("parts > 1")
+
+    def blocks(c, s):
+        return F.expr(f"cast(greatest(ceil(({c}) / {BLOCK}.0D), ceil(({s}) / {BLOCK_SET}.0D)) as int)")
+
     apart = stage(placed.join(main, "key").select(
-        "key", "node", "g", (F.col("g") != F.col("main")).alias("other"),
-        F.expr(f"cast(ceil((c - most) / {BLOCK}.0D) as int)").alias("others"), F.expr(f"cast(ceil(most / {BLOCK}.0D) as int)").alias("mains")), "apart")
-    more = None
+        "key", "node", "n", "g", (F.col("g") != F.col("main.g")).alias("other"), (F.col("c") > SMALL).alias("large"),
+        blocks("c - main.c", "s - main.s").alias("others"), blocks("main.c", "main.s").alias("mains")), "apart")
+    more = []
     if not apart.isEmpty():
-        block = F.expr("pmod(xxhash64(node), if(other, others, mains))").cast("int")
-        dealt = apart.withColumn("block", block).join(small, "node")
-        pack = F.collect_list(F.struct("node", "g", "n", "regs")).alias("rows")
-        packed = stage(dealt.groupBy("key", "other", "block", "others", "mains").agg(pack), "blocks")
-        left = packed.where("other").select("key", F.col("block").alias("x"), F.col("rows").alias("one"))
-        right = packed.select("key", F.col("block").alias("y"), "other", F.col("rows").alias("two"))
-        met = left.join(right, "key").where("NOT other OR x <= y").select("key", "one", "two")
-        fresh = met.mapInArrow(_compare(percent), "a long, b long").distinct().join(near, ["a", "b"], "left_anti")
-        more = _links(src, classes, stage(fresh, "pairs"), percent)
-        unstage(packed)
-    if more is not None and not more.isEmpty():
-        groups = connected_components(links.unionByName(more))
+        regs = classes.select("node", "regs")
+        dealt = apart.withColumn("block", F.expr("pmod(xxhash64(node), if(other, others, mains))").cast("int")).join(regs, "node")
+
+        def met(rows, *fields):
+            packed = rows.groupBy("key", "other", "block").agg(F.collect_list(F.struct(*fields)).alias("rows"))
+            packed = stage(packed, "blocks")
+            left = packed.where("other").select("key", F.col("block").alias("x"), F.col("rows").alias("one"))
+            right = packed.select("key", F.col("block").alias("y"), "other", F.col("rows").alias("two"))
+            return left.join(right, "key").where("NOT other OR x <= y").select("key", "one", "two"), packed
+
+        # small ones give their likely pairs, at most SMALL a row
+        few, held = met(dealt.where("NOT large"), "node", "g", "n", "regs")
+        fresh = few.mapInArrow(_compare(percent), "a long, b long").distinct().join(near, ["a", "b"], "left_anti")
+        pairs = stage(fresh, "pairs")
+        unstage(held)
+        more.append(_links(src, classes, pairs, percent))
+        # large ones are verified where they meet
+        nodes = apart.where("large").select("node").distinct()
+        full = _full_sets(src, classes, nodes)
+        many, held = met(dealt.where("large").join(full, "node"), "node", "g", "n", "regs", "own")
+        more.append(stage(many.mapInArrow(_verify_blocks(percent), "a long, b long"), "links"))
+        unstage(held)
+        unstage(full)
+    more = [x for x in more if not x.isEmpty()]
+    if more:
+        for x in more:
+            links = links.unionByName(x)
+        groups = connected_components(links)
     named = classes.select("node", "digest", "first").join(groups, "node", "left").withColumn("component", F.coalesce("component", -1 - F.col("node")))
     least = named.groupBy("component").agg(F.min("first").alias("component_id"))
     label = stage(named.join(least, "component").select("digest", "component_id"), "labels")
