@@ -48,6 +48,24 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+#: Broadcasts that plans of this session may still read.
+_SHARED: list = []
+
+
+def share(spark: SparkSession, value):
+    """Broadcast ``value``; ``unshare`` lets go of it on the executors."""
+    out = spark.sparkContext.broadcast(value)
+    _SHARED.append(out)
+    return out
+
+
+def unshare() -> None:
+    """Drop the executors' copies of what was shared so far. A plan that still
+    reads one gets it from the driver again."""
+    while _SHARED:
+        _SHARED.pop().unpersist()
+
+
 #: What a worker keeps from task to task, by kind.
 HELD: dict = {}
 
@@ -137,7 +155,7 @@ def split_by(df: DataFrame, key: Column, members: DataFrame, col: str) -> tuple[
     """Rows of ``df`` that may have their 64-bit ``key`` among ``members.col``,
     and rows that surely don't. Only the former need a shuffle for the exact
     join, so most texts stay where they are read."""
-    shared = df.sparkSession.sparkContext.broadcast(bitmap(members, col))
+    shared = share(df.sparkSession, bitmap(members, col))
 
     def pick(inside):
         def run(batches):

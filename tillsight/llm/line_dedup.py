@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tillsight.llm import textvec as tv
-from tillsight.llm.common import bitmap, chunks, flat, in_bitmap, lean, split_by, stage, unstage, utf8
+from tillsight.llm.common import bitmap, chunks, flat, in_bitmap, lean, share, split_by, stage, unstage, utf8
 
 #: Leading tokens that a leaf fixes; documents that make a template recur;
 #: tokens of the shortest template; constant part of a template; different
@@ -188,7 +188,7 @@ def recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     src = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("text_key"), utf8(text_col).alias("text"))
     kind = src.schema["doc_id"].dataType.simpleString()
     leaves = src.select("text").mapInArrow(_leaves(depth, min_tokens), "leaf long, docs long").groupBy("leaf").agg(F.sum("docs").alias("docs"))
-    shared = spark.sparkContext.broadcast(bitmap(leaves.where(F.col("docs") >= min_docs), "leaf"))
+    shared = share(spark, bitmap(leaves.where(F.col("docs") >= min_docs), "leaf"))
     lines = stage(src.mapInArrow(_popular(shared, depth, min_tokens), f"doc_id {kind}, text_key long, line_no int, leaf long, line long, around long, "
                                  "once boolean, tokens array<long>, sample array<long>"), "lines")
     # distinct lines, their documents and surroundings
@@ -220,17 +220,17 @@ def recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def _drop(names):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in lean(batches):
-            text, numbers = (b.column(b.schema.get_field_index(c)).to_pylist() for c in ("_text", "_numbers"))
-            out, total, gone = [], [], []
-            for t, own in zip(text, numbers, strict=True):
-                parts = (t or "").split("\n")
-                total.append(len(parts))
-                own = set(own or ())
-                gone.append(len(own))
-                out.append("\n".join([x for i, x in enumerate(parts) if i not in own]) if own else t)
-            yield pa.RecordBatch.from_arrays([b.column(b.schema.get_field_index(n)) for n in names] + [pa.array(out, pa.string()), pa.array(total, pa.int64()), pa.array(gone, pa.int64())],
-                                             names=[*names, "_kept", "_lines", "_gone"])
+        for big in lean(batches):
+            for b in chunks(big, "_text"):
+                out, total, gone = [], [], []
+                numbers = b.column(b.schema.get_field_index("_numbers"))
+                for i, t in enumerate(b.column(b.schema.get_field_index("_text"))):
+                    t, own = t.as_py(), set(numbers[i].as_py() or ())
+                    total.append((t or "").count("\n") + 1)
+                    gone.append(len(own))
+                    out.append("\n".join([x for k, x in enumerate(t.split("\n")) if k not in own]) if own else t)
+                yield pa.RecordBatch.from_arrays([b.column(b.schema.get_field_index(n)) for n in names] + [pa.array(out, pa.string()), pa.array(total, pa.int64()), pa.array(gone, pa.int64())],
+                                                 names=[*names, "_kept", "_lines", "_gone"])
     return run
 
 
