@@ -11,10 +11,13 @@ or go together; an empty table gives empty results.
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillsight.llm.common import split_by, stage
+from tillsight.llm.common import split_by, stage, unshare
 from tillsight.llm.line_dedup import drop_lines
 from tillsight.llm.ngram_join import near_duplicates
 from tillsight.llm.packing import pack_documents
@@ -22,6 +25,22 @@ from tillsight.llm.quality import keep_good
 from tillsight.llm.suffix_dedup import remove_repeats
 
 
+#: Arrow hands texts to tasks in batches of at most this size.
+BATCH = "8m"
+
+
+def fresh(step: Callable) -> Callable:
+    """A stage that first lets go of what earlier ones have left on executors,
+    and gets its texts in small batches."""
+    @functools.wraps(step)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        unshare()
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH)
+        return step(spark, docs, sf_dir)
+    return run
+
+
+@fresh
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return keep_good(docs)
 
@@ -31,20 +50,24 @@ def _with_text(made: DataFrame, docs: DataFrame, text: str) -> DataFrame:
     return made.select(*(new[c].alias(c) if c in new else F.col(f"`{c}`") for c in docs.columns))
 
 
+@fresh
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return _with_text(drop_lines(docs), docs, "_kept")
 
 
+@fresh
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     later = stage(near_duplicates(docs).where("doc_id <> component_id").select("doc_id", F.xxhash64("doc_id").alias("key")).distinct(), "later")
     inside, outside = split_by(docs, F.xxhash64("doc_id"), later, "key")
     return inside.join(later, "doc_id", "left_anti").select(*docs.columns).unionByName(outside)
 
 
+@fresh
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return _with_text(remove_repeats(docs, form="text"), docs, "_rest")
 
 
+@fresh
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
