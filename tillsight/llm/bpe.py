@@ -34,7 +34,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tillsight.llm.common import HELD, lean, share
+from tillsight.llm.common import HELD, lean, send
 #: Distinct words whose tokens a worker keeps (twice as many where it keeps no
 #: labels); the table is emptied when it is full.
 CACHE_WORDS = 450_000
@@ -269,7 +269,7 @@ def shared_tokenizer(spec, keep_labels: bool = True) -> Tokenizer:
 def broadcast_spec(spark, path: str):
     """The tokenizer file's text (a few MB, whatever the corpus) for all workers."""
     with open(path, encoding="utf-8") as f:
-        return share(spark, f.read())
+        return send(spark, f.read())
 
 
 def _encode(spec):

@@ -52,7 +52,7 @@ def release(spark: SparkSession) -> None:
 _SHARED: list = []
 
 
-def share(spark: SparkSession, value):
+def send(spark: SparkSession, value):
     """Broadcast ``value``; ``unshare`` lets go of it on the executors."""
     out = spark.sparkContext.broadcast(value)
     _SHARED.append(out)
@@ -155,7 +155,7 @@ def split_by(df: DataFrame, key: Column, members: DataFrame, col: str) -> tuple[
     """Rows of ``df`` that may have their 64-bit ``key`` among ``members.col``,
     and rows that surely don't. Only the former need a shuffle for the exact
     join, so most texts stay where they are read."""
-    shared = share(df.sparkSession, bitmap(members, col))
+    shared = send(df.sparkSession, bitmap(members, col))
 
     def pick(inside):
         def run(batches):

@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tillsight.llm import textvec as tv
-from tillsight.llm.common import bitmap, chunks, flat, in_bitmap, lean, share, split_by, stage, unstage, utf8
+from tillsight.llm.common import bitmap, chunks, flat, in_bitmap, lean, send, split_by, stage, unstage, utf8
 
 #: Leading tokens that a leaf fixes; documents that make a template recur;
 #: tokens of the shortest template; constant part of a template; different
@@ -188,7 +188,7 @@ def recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     src = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("text_key"), utf8(text_col).alias("text"))
     kind = src.schema["doc_id"].dataType.simpleString()
     leaves = src.select("text").mapInArrow(_leaves(depth, min_tokens), "leaf long, docs long").groupBy("leaf").agg(F.sum("docs").alias("docs"))
-    shared = share(spark, bitmap(leaves.where(F.col("docs") >= min_docs), "leaf"))
+    shared = send(spark, bitmap(leaves.where(F.col("docs") >= min_docs), "leaf"))
     lines = stage(src.mapInArrow(_popular(shared, depth, min_tokens), f"doc_id {kind}, text_key long, line_no int, leaf long, line long, around long, "
                                  "once boolean, tokens array<long>, sample array<long>"), "lines")
     # distinct lines, their documents and surroundings

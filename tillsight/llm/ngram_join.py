@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tillsight.llm import textvec as tv
-from tillsight.llm.common import chunks, flat, lean, share, split_by, stage, unstage, utf8
+from tillsight.llm.common import chunks, flat, lean, send, split_by, stage, unstage, utf8
 from tillsight.llm.components import connected_components
 
 N, PERCENT = 5, 80
@@ -308,7 +308,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """(doc_id, n_shingles, component_id) of every document."""
     spark = docs.sparkSession
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), utf8(text_col).alias("text"))
-    shared = share(spark, heavy_table(src))
+    shared = send(spark, heavy_table(src))
     kind = "doc_id long, node long, n long, part binary"
     sets = stage(src.mapInArrow(_sets(shared, percent, False), kind), "sets")
     prefixes = stage(sets.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("first"), F.first("n").alias("n"), F.first("part").alias("part")), "prefixes")

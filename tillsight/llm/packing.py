@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tillsight.llm.bpe import broadcast_spec, shared_tokenizer
-from tillsight.llm.common import lean, share, stage
+from tillsight.llm.common import lean, send, stage
 
 CAPACITY = 2048
 #: Pricing rounds, weight rate, and the part of the scarcest length that a
@@ -213,7 +213,7 @@ def assign(made: DataFrame, capacity: int = CAPACITY, rounds: int = ROUNDS) -> D
     ``length`` of 1 to ``capacity``."""
     spark = made.sparkSession
     hist = {r[0]: r[1] for r in made.groupBy("length").count().collect()}  # at most `capacity` rows
-    table = share(spark, slots(solve(hist, capacity, rounds)))
+    table = send(spark, slots(solve(hist, capacity, rounds)))
     if not hist:
         return made.withColumns({"sequence_id": F.lit(0).cast("long"), "offset": F.lit(0).cast("long")})
     # a length that many pieces share is ranked in several groups

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tillsight.llm import textvec as tv
-from tillsight.llm.common import chunks, flat, lean, share, split_by, stage, unstage, utf8
+from tillsight.llm.common import chunks, flat, lean, send, split_by, stage, unstage, utf8
 
 ORDER = 5
 ROW_BYTES = 24
@@ -252,7 +252,7 @@ def model_parts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang",
     top = interpolated(grams, ORDER)[-1].select("lang", "g", (-F.log2("p")).cast("float").alias("bits"), (F.col("g") % many).cast("int").alias("part"))
     top = stage(top, "model", "part")
     unstage(grams)
-    parts = [share(spark, _by_lang(top.where(F.col("part") == i).select("lang", "g", "bits").toArrow(), "g", "bits")) for i in range(many)]
+    parts = [send(spark, _by_lang(top.where(F.col("part") == i).select("lang", "g", "bits").toArrow(), "g", "bits")) for i in range(many)]
     unstage(top)
     return parts
 

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tillsight.llm.common import lean, share, stage
+from tillsight.llm.common import lean, send, stage
 
 #: Rules whose strings take more than this are dealt out by digest range
 #: instead of being sent to every executor.
@@ -182,7 +182,7 @@ def url_verdicts(urls: DataFrame, rules: DataFrame, id_col: str = "page_id", url
     size = rules.agg(F.sum(F.length("host") + F.length("path") + 64)).first()[0] or 0
     if size > broadcast_bytes:
         return _by_range(src, rules, default, kind)
-    shared = share(spark, RuleSet([tuple(r) for r in rules.collect()], default))
+    shared = send(spark, RuleSet([tuple(r) for r in rules.collect()], default))
     out = src.mapInArrow(_filter(shared), OUT.format(key=kind))
     return out.withColumnRenamed("key", id_col)
 
