@@ -25,7 +25,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tillsight.functions.scalars import ceil_div
-from tillsight.operators.quantiles import upper_bound
 from tillsight.session import materialize
 
 
@@ -117,10 +116,14 @@ def rank_cuts(df: DataFrame, cols: list, key: str, ranks: list, buckets: int | N
     buckets = buckets or max(4 * LEAST_BUCKETS, -(-df.count() // BUCKET_ROWS))
 
     def place(rows, value, edges, out):
-        rows = rows.withColumn("_e", F.array(*(F.lit(float(e)) for e in edges)).cast("array<double>")).withColumn("_x", value.cast("double"))
-        rows = upper_bound(rows, "_e", "_x", "_u", len(edges))
-        at = F.when(F.col("_u") > 0, F.try_element_at("_e", F.greatest("_u", F.lit(1))) == F.col("_x"))
-        return rows.withColumn(out, 2 * F.col("_u") - F.coalesce(at, F.lit(False)).cast("int")).drop("_e", "_x", "_u")
+        # odd buckets are points [e, next double), even ones the intervals between
+        splits = [-math.inf]
+        for e in edges:
+            if e > splits[-1] and math.isfinite(e):
+                splits += [e, math.nextafter(e, math.inf)]
+        rows = rows.withColumn("_x", F.coalesce(value.cast("double"), F.lit(0.0)))
+        return Bucketizer(splits=[*splits, math.inf], inputCol="_x", outputCol=out).transform(rows).withColumn(
+            out, F.col(out).cast("int")).drop("_x")
 
     def counts(rows, names):
         tagged = rows.select(F.inline(F.array(*(F.struct(F.lit(i).alias("i"), F.col(c).alias("b")) for i, c in enumerate(names)))))
@@ -137,7 +140,7 @@ def rank_cuts(df: DataFrame, cols: list, key: str, ranks: list, buckets: int | N
             rank -= have[b]
         raise ValueError("rank beyond the rows")
 
-    edges = {c: sorted(set(e)) for c, e in _edges(df, {c: F.col(c) for c in cols}, buckets).items()}
+    edges = {c: sorted(set(e)) or [0.0] for c, e in _edges(df, {c: F.col(c) for c in cols}, buckets).items()}
     placed = df.select(key, *cols)
     for c in cols:
         placed = place(placed, F.col(c), edges[c], f"_b_{c}")
@@ -149,7 +152,7 @@ def rank_cuts(df: DataFrame, cols: list, key: str, ranks: list, buckets: int | N
         inside = {f"{i}": F.when(F.col(f"_b_{c}") == b, F.col(key)) for i, (c, b) in enumerate(points)}
         keyed = _edges(placed, inside, buckets)
         for name, value in inside.items():
-            placed = place(placed, value, sorted(set(keyed[name])), f"_k_{name}").withColumn(f"_k_{name}", F.when(value.isNotNull(), F.col(f"_k_{name}")))
+            placed = place(placed, value, sorted(set(keyed[name])) or [0.0], f"_k_{name}").withColumn(f"_k_{name}", F.when(value.isNotNull(), F.col(f"_k_{name}")))
         held = counts(placed, [f"_k_{name}" for name in inside])
     wanted = []
     for c, b, rest in targets:
@@ -185,6 +188,7 @@ def rfm_scores(cust: DataFrame, key: str = "CustomerID", buckets: int | None = N
     cols = ["recency", "frequency", "monetary"]
     n = cust.count()
     # bin(r) = max(1, ceil(5 (r - 1) / (n - 1))) <= b up to rank floor(b (n - 1) / 5) + 1
+    buckets = buckets or max(4 * LEAST_BUCKETS, -(-n // BUCKET_ROWS))
     cuts = rank_cuts(cust, cols, key, [b * (n - 1) // 5 + 1 for b in range(1, 5)], buckets) if n else {c: [] for c in cols}
 
     def quintile(c):
