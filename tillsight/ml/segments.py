@@ -6,12 +6,12 @@ from collections.abc import Iterable, Sequence
 
 from pyspark.ml import PipelineModel
 from pyspark.ml.clustering import KMeans
-from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tillsight.ml.parallel import fit_all
+from tillsight.ml.silhouette import silhouette
 from tillsight.ml.stages import ClusterLabels, fit_scaler
 from tillsight.operators.metrics import standardize
 from tillsight.operators.segments import label_clusters, map_labels
@@ -63,10 +63,9 @@ def assign_segments(pipeline: PipelineModel, cust: DataFrame, cols: Sequence[str
 
 def k_sweep(scored: DataFrame, ks: Iterable[int] = range(2, 9), seed: int = 42, starts: int = 10,
             max_iter: int = 300) -> DataFrame:
-    """Inertia and silhouette for each k (the elbow table), each the best of
-    ``starts`` fits; the best k by
-    silhouette is flagged but not used. MLlib's silhouette works on squared
-    distances, so values differ from the Euclidean one."""
+    """Inertia and Euclidean silhouette for each k (the elbow table), each of
+    the best of ``starts`` fits; ``silhouette_error`` is the half width of the
+    interval that holds it. The best k by silhouette is flagged but not used."""
     data = materialize(scaled_rfm(scored))
     ks = list(ks)
 
@@ -77,12 +76,11 @@ def k_sweep(scored: DataFrame, ks: Iterable[int] = range(2, 9), seed: int = 42,
 
     def judge(k):
         _, cost, _, m = min((r for r in fits if r[0] == k), key=lambda r: (r[1], r[2]))
-        ev = ClusteringEvaluator(featuresCol="features", predictionCol="cluster")
-        return int(k), float(cost), float(ev.evaluate(m.transform(data)))
+        return int(k), float(cost), *silhouette(m.transform(data), [f"{c}_z" for c in RFM_COLS])
 
     fits = fit_all(fit, [(k, i) for k in ks for i in range(starts)])
     rows = fit_all(judge, ks)
     spark = scored.sparkSession
-    out = spark.createDataFrame(rows, "k int, inertia double, silhouette double")
+    out = spark.createDataFrame(rows, "k int, inertia double, silhouette double, silhouette_error double")
     best = max(rows, key=lambda r: r[2])[0] if rows else None
     return out.withColumn("best_by_silhouette", F.col("k") == F.lit(best))

@@ -978,6 +978,9 @@ def q_explain_one_row(spark, sf):
 
 from tillsight.ml import churn as CH  # noqa: E402
 from tillsight.ml import segments as KS  # noqa: E402
+from tillsight.ml.silhouette import silhouette  # noqa: E402
+
+_RFM_Z = ["recency_z", "frequency_z", "monetary_z"]
 
 
 @register("standardize", sql("""
@@ -1158,6 +1161,29 @@ def q_k_sweep(spark, sf):
     return KS.k_sweep(scored(spark, sf), range(2, 9))
 
 
+@register("segment_silhouette", sql("""
+SELECT (SELECT count(*) FROM z) AS customers, round(avg(CASE WHEN n = 1 OR greatest(a, b) = 0 THEN 0 ELSE (b - a) / greatest(a, b) END), 4) AS silhouette
+FROM (SELECT CustomerID, max(n) AS n, max(CASE WHEN own THEN total / greatest(size - 1, 1) END) AS a,
+             min(CASE WHEN NOT own THEN total / size END) AS b
+      FROM (SELECT *, CASE WHEN own THEN size END AS n FROM sums) GROUP BY CustomerID)""", "segments", extra="""
+z AS (
+  SELECT CustomerID, cluster, (recency - avg(recency) OVER ()) / nullif(stddev_pop(recency) OVER (), 0) AS r,
+         (frequency - avg(frequency) OVER ()) / nullif(stddev_pop(frequency) OVER (), 0) AS f,
+         (monetary - avg(monetary) OVER ()) / nullif(stddev_pop(monetary) OVER (), 0) AS m
+  FROM segments
+),
+sums AS (
+  SELECT x.CustomerID, x.cluster = y.cluster AS own, count(*) AS size,
+         sum(sqrt((x.r - y.r) ** 2 + (x.f - y.f) ** 2 + (x.m - y.m) ** 2)) AS total
+  FROM z AS x CROSS JOIN z AS y GROUP BY x.CustomerID, x.cluster, y.cluster
+)"""))
+def q_segment_silhouette(spark, sf):
+    """Mean Euclidean silhouette of the rule clusters on standardized R/F/M."""
+    data = materialize(KS.scaled_rfm(segmented(spark, sf)).select("CustomerID", "cluster", *_RFM_Z))
+    value, _ = silhouette(data, _RFM_Z)
+    return data.agg(F.count(F.lit(1)).alias("customers")).withColumn("silhouette", F.round(F.lit(value), 4))
+
+
 # ---------------------------------------------------------------------------
 # 2.3 report figures (fit-free part; model figures come from model_comparison
 # and walk_forward_cv)
