@@ -109,6 +109,7 @@ class RuleSet:
             lengths.setdefault(h, set()).add(len(p))
         self.hosts = sorted(lengths)
         self.lengths = [sorted(lengths[h], reverse=True) for h in self.hosts]
+        self.longest = max(map(len, self.hosts), default=0)
 
     def __getstate__(self):
         return {k: v for k, v in self.__dict__.items() if k not in ("host_array", "rule_array")}
@@ -120,16 +121,17 @@ class RuleSet:
         return self
 
     def judge(self, hosts: list[str], paths: list[str]) -> list[int]:
-        """Number of the longest fitting rule of each URL, else -1."""
+        """Number of the longest fitting rule of each URL, else -1; of equally
+        long ones that with the longer host."""
         self.load()
         of, names = [], []
         for i, h in enumerate(hosts):
             if h:
-                for s in suffixes(h):
+                for s in suffixes(h, self.longest):
                     of.append(i)
                     names.append(s)
-        known, where = np.unique(np.array(names, dtype=object).astype(str), return_inverse=True) if names else (np.array([]), np.array([], int))
-        found = self.host_array.find([x.encode() for x in known])[where] if names else np.array([], int)
+        known = {x: k for k, x in enumerate(dict.fromkeys(names))}
+        found = self.host_array.find([x.encode("utf-8", errors="replace") for x in known])[np.array([known[x] for x in names], dtype=int)]
         owner, probe, size = [], [], []
         for k in np.flatnonzero(found >= 0):
             i = of[k]
@@ -146,10 +148,12 @@ class RuleSet:
         return best
 
 
-def suffixes(host: str) -> Iterator[str]:
-    """The host and its parents: a.b.com, b.com, com."""
-    yield host
-    at = host.find(".")
+def suffixes(host: str, longest: int) -> Iterator[str]:
+    """The host and its parents (a.b.com, b.com, com), longest first, as far
+    as they have at most ``longest`` characters: no rule fits a longer one."""
+    if len(host) <= longest:
+        yield host
+    at = host.find(".", max(len(host) - longest - 1, 0))
     while at >= 0:
         if at + 1 < len(host):
             yield host[at + 1:]
@@ -181,20 +185,22 @@ def url_verdicts(urls: DataFrame, rules: DataFrame, id_col: str = "page_id", url
     kind = src.schema["key"].dataType.simpleString()
     size = rules.agg(F.sum(F.length("host") + F.length("path") + 64)).first()[0] or 0
     if size > broadcast_bytes:
-        return _by_range(src, rules, default, kind)
+        return _by_range(src, rules, default, kind).withColumnRenamed("key", id_col)
     shared = send(spark, RuleSet([tuple(r) for r in rules.collect()], default))
     out = src.mapInArrow(_filter(shared), OUT.format(key=kind))
     return out.withColumnRenamed("key", id_col)
 
 
-def _probes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in lean(batches):
-        rows = []
-        for k, u, lengths in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
-            host, path = split_url(u)
-            for s in suffixes(host) if host else ():
-                rows += [(k, f"{s}\0{path[:n]}", len(s) + n) for n in lengths if n <= len(path)]
-        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.string(), pa.int32()))], names=["row", "probe", "size"])
+def _probes(lengths: list[int], longest: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in lean(batches):
+            rows = []
+            for k, u in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                host, path = split_url(u)
+                for s in suffixes(host, longest) if host else ():
+                    rows += [(k, f"{s}\0{path[:n]}", len(s) + n) for n in lengths if n <= len(path)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.string(), pa.int32()))], names=["row", "probe", "size"])
+    return run
 
 
 def _by_range(src, rules, default, kind):
@@ -206,9 +212,10 @@ def _by_range(src, rules, default, kind):
     table = (rules.withColumn("host", lower).groupBy("host", "path").agg(F.min_by("verdict", F.col("verdict") != "block").alias("verdict"))
              .withColumn("probe", F.concat("host", F.lit("\0"), "path")).withColumn("digest", F.xxhash64("probe")))
     lengths = sorted(r[0] for r in table.select(F.length("path")).distinct().collect())
-    probes = src.select("row", "url", F.array(*(F.lit(n) for n in lengths)).alias("n")).mapInArrow(_probes, "row long, probe string, size int")
+    longest = table.agg(F.max(F.length("host"))).first()[0] or 0
+    probes = src.select("row", "url").mapInArrow(_probes(lengths, longest), "row long, probe string, size int")
     known = probes.select("probe").distinct().withColumn("digest", F.xxhash64("probe")).join(table, ["digest", "probe"])
-    best = (probes.join(known, "probe").groupBy("row").agg(F.max_by(F.struct("host", "path", "verdict"), "size").alias("hit")))
+    best = (probes.join(known, "probe").groupBy("row").agg(F.max_by(F.struct("host", "path", "verdict"), F.struct("size", F.length("host"))).alias("hit")))
     found = src.join(best, "row", "left").select(
         "key", "url", F.concat("hit.host", "hit.path").alias("rule"), F.coalesce("hit.verdict", F.lit(default)).alias("verdict"))
 
