@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 #: Elements whose content is no markup; it runs to the element's end tag. Longer
@@ -31,8 +33,15 @@ class Holder:
     words: frozenset = frozenset()
     role: str = ""
     hidden: bool = False
-    up: tuple = ()  # (tag, words, role, hidden) of all open holders, outermost first
-    numbers: tuple = ()  # their numbers
+    above: Holder | None = None  # the holder around it
+    in_head: bool = False
+
+    def chain(self) -> Iterator[Holder]:
+        """It and the holders around it, innermost first, without the page."""
+        h = self
+        while h.above is not None:
+            yield h
+            h = h.above
 
 
 @dataclass
@@ -50,6 +59,7 @@ def scan(source: str, links: list | None = None, head: dict | None = None) -> li
     breaks off inside a tag, comment or script loses only that piece."""
     root = Holder("", 0)
     stack: list[Holder] = [root]
+    still: Counter = Counter()  # open holders by tag
     made, blocks = 0, []
     parts: list[str] = []
     linked, in_link, tag = 0, 0, ""
@@ -87,10 +97,11 @@ def scan(source: str, links: list | None = None, head: dict | None = None) -> li
                 continue
             if name in HOLDERS:
                 flush("")
-                for i in range(len(stack) - 1, 0, -1):
-                    if stack[i].tag == name:
-                        del stack[i:]
-                        break
+                if still[name]:
+                    shut = ""
+                    while shut != name:
+                        shut = stack.pop().tag
+                        still[shut] -= 1
                 in_link = 0
             else:
                 flush("")
@@ -111,6 +122,7 @@ def scan(source: str, links: list | None = None, head: dict | None = None) -> li
         if name in HOLDERS and name not in VOID:
             made += 1
             stack.append(_holder(name, made, m["attr"], stack[-1]))
+            still[name] += 1
     if at < len(source):
         parts.append(source[at:])
     flush("")
@@ -132,7 +144,4 @@ def _holder(name, number, attr, above) -> Holder:
             hidden = hidden or "display:none" in v.replace(" ", "").lower()
         elif k == "aria-hidden":
             hidden = hidden or v.lower() == "true"
-    h = Holder(name, number, frozenset(words), role, hidden)
-    h.up = (*above.up, (name, h.words, role, hidden))
-    h.numbers = (*above.numbers, number)
-    return h
+    return Holder(name, number, frozenset(words), role, hidden, above, above.in_head or name == "head")

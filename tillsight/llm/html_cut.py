@@ -20,13 +20,14 @@ import re
 from collections import Counter, deque
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import pairwise
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tillsight.llm.common import lean
-from tillsight.llm.html_blocks import Block, scan
+from tillsight.llm.html_blocks import Block, Holder, scan
 
 BOILER_TAGS = frozenset("nav footer aside form menu dialog button select fieldset head noscript".split())
 BOILER_WORDS = frozenset(
@@ -63,37 +64,52 @@ def listed(token: str) -> tuple[bool, bool, bool]:
 def whole_page(blocks: list[Block]) -> frozenset:
     """Numbers of the holders that hold most of the page's text."""
     held: Counter = Counter()
+    holders: dict[int, Holder] = {}
     total = 0
     for b in blocks:
         own = max(len(b.text) - b.linked, 0)
         total += own
-        for n in b.holder.numbers:
-            held[n] += own
-    return frozenset(n for n, own in held.items() if own > WHOLE_PAGE * total)
+        held[b.holder.number] += own
+        for h in b.holder.chain():
+            if h.number in holders:
+                break
+            holders[h.number] = h
+    for n in sorted(holders, reverse=True):  # a holder's number is above those around it
+        held[holders[n].above.number] += held[n]
+    return frozenset(n for n in holders if held[n] > WHOLE_PAGE * total)
 
 
-def place(holder, page: frozenset = frozenset()) -> tuple[bool, float]:
+def place(holder: Holder, page: frozenset = frozenset()) -> tuple[bool, float]:
     """Is the holder inside boilerplate, and the evidence of content from it.
     A header inside an article belongs to it. Evidence from outside a piece of
     boilerplate doesn't hold inside it: comments below an article's text stand
     in the article, too."""
-    cached = getattr(holder, "place", None)
-    if cached is None:
-        inside, boiler, named = False, False, False
-        article = False
-        for (tag, words, role, hidden), number in zip(holder.up, holder.numbers, strict=True):
-            names = [listed(x) for x in words]
-            page_wide = number in page or tag in ("html", "body")
-            by_name = not page_wide and (tag == "form" or any(x[0] for x in names))
-            by_header = not article and (tag == "header" or not page_wide and any(x[2] for x in names))
-            if hidden or tag in BOILER_TAGS and tag != "form" or role in BOILER_ROLES and not (page_wide and role == "form") or by_name or by_header:
-                boiler, inside, named = True, False, False
-                continue
-            if tag in CONTENT_TAGS or role in ("main", "article"):
-                inside = article = True
-            named = named or any(x[1] for x in names)
-        cached = holder.place = (boiler, CONTENT_PLACE * inside + CONTENT_NAME * named)
-    return cached
+    known, todo = (False, False, False, False), []
+    for h in holder.chain():
+        if hasattr(h, "state"):
+            known = h.state
+            break
+        todo.append(h)
+    for h in reversed(todo):  # from the outside in; each holder is asked once a page
+        known = h.state = _inside(h, known, page)
+    boiler, inside, named, _ = known
+    return boiler, CONTENT_PLACE * inside + CONTENT_NAME * named
+
+
+def _inside(h: Holder, around: tuple, page: frozenset) -> tuple[bool, bool, bool, bool]:
+    """(boilerplate, in an article, with a name of content, has an article
+    around it anywhere) of a holder, from those of the holder around it."""
+    boiler, inside, named, article = around
+    names = [listed(x) for x in h.words]
+    page_wide = h.number in page or h.tag in ("html", "body")
+    by_name = not page_wide and (h.tag == "form" or any(x[0] for x in names))
+    by_header = not article and (h.tag == "header" or not page_wide and any(x[2] for x in names))
+    by_role = h.role in BOILER_ROLES and not (page_wide and h.role == "form")
+    if h.hidden or h.tag in BOILER_TAGS and h.tag != "form" or by_role or by_name or by_header:
+        return True, False, False, article
+    if h.tag in CONTENT_TAGS or h.role in ("main", "article"):
+        inside = article = True
+    return boiler, inside, named or any(x[1] for x in names), article
 
 
 def costs(block: Block, page: frozenset = frozenset()) -> tuple[float, float]:
@@ -108,8 +124,8 @@ def costs(block: Block, page: frozenset = frozenset()) -> tuple[float, float]:
 
 def min_cut(source: list[float], sink: list[float], edges: list[tuple[int, int, float]]) -> list[bool]:
     """True for the nodes on the source side of a minimum cut (the largest
-    one). Shortest augmenting paths, after the flow that runs straight through
-    each node."""
+    one). Blocking flows over shortest paths, after the flow that runs straight
+    through each node."""
     n = len(source)
     s, t = n, n + 1
     cap: list[dict[int, float]] = [{} for _ in range(n + 2)]
@@ -122,25 +138,40 @@ def min_cut(source: list[float], sink: list[float], edges: list[tuple[int, int,
     for a, b, w in edges:
         cap[a][b] = cap[a].get(b, 0.0) + w
         cap[b][a] = cap[b].get(a, 0.0) + w
-    while True:
-        come = {s: s}
+    to = [list(c) for c in cap]
+    while True:  # a layer of shortest paths at a time
+        depth = [-1] * (n + 2)
+        depth[s] = 0
         todo = deque((s,))
-        while todo and t not in come:
+        while todo and depth[t] < 0:
             x = todo.popleft()
             for y, c in cap[x].items():
-                if c > 1e-12 and y not in come:
-                    come[y] = x
+                if c > 1e-12 and depth[y] < 0:
+                    depth[y] = depth[x] + 1
                     todo.append(y)
-        if t not in come:
+        if depth[t] < 0:
             break
-        path, y = [], t
-        while y != s:
-            path.append((come[y], y))
-            y = come[y]
-        flow = min(cap[a][b] for a, b in path)
-        for a, b in path:
-            cap[a][b] -= flow
-            cap[b][a] += flow
+        arc, path = [0] * (n + 2), [s]
+        while path:
+            x = path[-1]
+            if x == t:
+                flow = min(cap[a][b] for a, b in pairwise(path))
+                for a, b in pairwise(path):
+                    cap[a][b] -= flow
+                    cap[b][a] += flow
+                full = next(i for i, (a, b) in enumerate(pairwise(path)) if cap[a][b] <= 1e-12)
+                del path[full + 1:]
+                continue
+            while arc[x] < len(to[x]):
+                y = to[x][arc[x]]
+                if cap[x][y] > 1e-12 and depth[y] == depth[x] + 1:
+                    path.append(y)
+                    break
+                arc[x] += 1
+            else:
+                path.pop()
+                if path:
+                    arc[path[-1]] += 1
     # the largest source side: what can't reach the sink
     reach = {t}
     todo = deque((t,))

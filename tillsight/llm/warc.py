@@ -74,7 +74,7 @@ def derivatives(record_id: str, uri: str | None, date: str | None, block: bytes)
     fields, payload = http_message(block)
     links, head = [], {}
     source = payload.decode(_charset(fields), errors="replace")
-    text = "\n".join(b.text for b in scan(source, links, head) if not any(x[0] == "head" for x in b.holder.up))
+    text = "\n".join(b.text for b in scan(source, links, head) if not b.holder.in_head)
     ids = {k: identifier(record_id, k) for k in ("metadata", "conversion")}
     about = [("payload-length", str(len(payload))), ("text-length", str(len(text)))]
     about += [(k, head[k]) for k in ("title", "lang") if head.get(k)]
