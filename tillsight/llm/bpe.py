@@ -90,7 +90,7 @@ class Automaton:
         self.final = {bytes((*path[:-1], path[-1] - 256)): t for t, path in spell.items() if path[-1] >= 256}
         if not word_end:
             self.final = self.inner
-        self.longest = max(map(len, self.inner), default=0)
+        self.longest, self.longest_end = (max(map(len, arcs), default=0) for arcs in (self.inner, self.final))
         self.table: dict[int, bool] = {}
 
     def gadget(self, a: int, b: int, c: int, number: int, spell: dict) -> None:
@@ -142,7 +142,7 @@ class Automaton:
         at, reach = 0, n  # the next arc ends at `reach` or before
         while at < n:
             key = out[-1] * size if out else -1
-            k = min(reach, at + longest) if reach < n else n
+            k = n if reach == n and n - at <= self.longest_end else min(reach, at + longest)
             found = -1
             if k == n:
                 token = final.get(word[at:])
