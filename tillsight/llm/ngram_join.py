@@ -360,7 +360,9 @@ def _check(src, shared, classes, pairs, percent):
     made anew from the texts of the classes' first documents."""
     nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
     wanted = stage(classes.join(nodes, "node").select(F.col("first").alias("doc_id"), F.xxhash64("first").alias("key")).distinct(), "wanted")
-    texts = split_by(src, F.xxhash64("doc_id"), wanted, "key")[0].join(wanted, "doc_id", "left_semi")
+    texts = split_by(src, F.xxhash64("doc_id"), wanted, "key")[0]
+    # a class whose documents all have a null id is found among the rows without one
+    texts = texts.alias("t").join(wanted.alias("w"), F.col("t.doc_id").eqNullSafe(F.col("w.doc_id")), "left_semi")
     whole = texts.mapInArrow(_sets(shared, percent, True), "doc_id long, node long, n long, part binary")
     whole = stage(whole.where("node is not null").join(nodes, "node", "left_semi").dropDuplicates(["node"]).select("node", "part"), "whole")
     joined = pairs.join(whole.select(F.col("node").alias("b"), F.col("part").alias("part_b")), "b").join(
