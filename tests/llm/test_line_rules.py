@@ -33,6 +33,24 @@ def test_block_in_different_documents(spark, place):
     assert all(x == set(BLOCK) for x in gone(spark, rows).values())
 
 
+def test_short_lines(spark):
+    """One or two tokens are judged like longer lines; blank lines and
+    variable fields alone stay."""
+    rnd = random.Random(7)
+    rows = []
+    for i in range(12):
+        own = prose(rnd)
+        rows.append((i, "\n".join([own[0], "Share", own[1], "", "Read more", str(i), own[2], "Page 7"] + [f"only{i}"] * 3)))
+    assert all(x == {"Share", "Read more"} for x in gone(spark, rows).values())
+
+
+def test_very_long_line(spark):
+    rnd = random.Random(8)
+    long = " ".join(prose(rnd, 40_000))
+    rows = [(i, "\n".join([long if i < 6 else "short", *prose(rnd, 2)])) for i in range(8)]
+    assert {i: x == {long} for i, x in gone(spark, rows).items()} == {i: i < 6 for i in range(8)}
+
+
 def test_line_beside_copies(spark):
     rnd = random.Random(2)
     one = prose(rnd, 5)

@@ -22,7 +22,9 @@ All steps are aggregates with partial sums, so one line in a third of all
 documents is counted without gathering its rows.
 
 Defined results: a null text counts as empty and stays null where text is
-returned; lines without a token are kept and never counted; a document may end
+returned; lines without a token are kept and never counted, lines of one or two
+tokens are judged as longer ones are; a line may be as long as its document; a
+document may end
 up with an empty text, never without its row; a null id is kept; repeated rows
 count as documents of their own and get equal results; an empty table gives an
 empty result; other columns are passed through by ``drop_lines``.
@@ -43,7 +45,7 @@ from tillsight.llm.common import bitmap, chunks, flat, in_bitmap, lean, send, sp
 #: Leading tokens that a leaf fixes; documents that make a template recur;
 #: tokens of the shortest template; constant part of a template; different
 #: surroundings for each document.
-DEPTH, MIN_DOCS, MIN_TOKENS, CONSTANT, SURROUNDINGS = 3, 5, 3, 0.7, 0.5
+DEPTH, MIN_DOCS, MIN_TOKENS, CONSTANT, SURROUNDINGS = 3, 5, 1, 0.7, 0.5
 #: Words of a window; sampled windows of a document; the part of them that makes
 #: it one of its own.
 WINDOW, SAMPLE, OWN = 5, 32, 0.25
