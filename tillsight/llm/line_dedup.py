@@ -56,9 +56,10 @@ VARIABLE[list(b"0123456789@")] = True
 
 
 class Lines:
-    """Hashes of the tokens, lines and leaves of a chunk of documents."""
+    """Hashes of the tokens, lines and leaves of a chunk of documents; without
+    ``whole`` of the tokens and leaves only."""
 
-    def __init__(self, data: np.ndarray, off: np.ndarray, depth: int):
+    def __init__(self, data: np.ndarray, off: np.ndarray, depth: int, whole: bool = True):
         breaks = np.flatnonzero(data == 0x0A)
         # a line starts at each document's start and behind each of its line breaks
         start = np.concatenate([off[:-1], breaks + 1])
@@ -68,24 +69,26 @@ class Lines:
         self.line_off = np.append(start[by], len(data))
         first, last, bounds = tv.words(data, self.line_off)
         h = tv.span_hash(tv.prefix_hash(data), first, last)
-        marks = np.concatenate([[0], np.cumsum(VARIABLE[data])])
-        link = np.zeros(len(data), dtype=bool)
-        if len(data) > 2:
-            link[:-2] = (data[:-2] == 0x3A) & (data[1:-1] == 0x2F) & (data[2:] == 0x2F)
-        links = np.concatenate([[0], np.cumsum(link)])
-        self.field = (marks[last] > marks[first]) | (links[last] > links[first])
+        # the few bytes that make a token a field, and the tokens that hold them
+        colon = np.flatnonzero(data[:-2] == 0x3A)
+        colon = colon[(data[colon + 1] == 0x2F) & (data[colon + 2] == 0x2F)]
+        self.field = np.zeros(len(h), dtype=bool)
+        for at in (np.flatnonzero(VARIABLE[data]), colon):
+            self.field[np.searchsorted(first, at, side="right") - 1] = True
         h[self.field] = FIELD
         self.tokens, self.bounds, self.count = h, bounds, np.diff(bounds)
-        self.index = np.arange(len(self.doc)) - np.searchsorted(self.doc, self.doc)
-        up, down = tv._powers(len(h) + 1)
-        run = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * up[:len(h)])])
-        self.line = tv.mix((run[bounds[1:]] - run[bounds[:-1]]) * down[bounds[:-1]] + self.count.astype(np.uint64))
         leaf = tv.mix(self.count.astype(np.uint64) * U64(0x9E3779B97F4A7C15))
         for k in range(depth):
             has = self.count > k
             at = np.minimum(bounds[:-1] + k, max(len(h) - 1, 0))
             leaf = tv.mix(leaf * U64(0xD6E8FEB86659FD93) + np.where(has, h[at] if len(h) else U64(0), U64(0)))
         self.leaf = leaf
+        if not whole:
+            return
+        self.index = np.arange(len(self.doc)) - np.searchsorted(self.doc, self.doc)
+        up, down = tv._powers(len(h) + 1)
+        run = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * up[:len(h)])])
+        self.line = tv.mix((run[bounds[1:]] - run[bounds[:-1]]) * down[bounds[:-1]] + self.count.astype(np.uint64))
         # the lines around it, blank ones left out, 0 at a document's ends
         full = np.flatnonzero(self.count > 0)
         before, after = np.zeros(len(self.line), np.uint64), np.zeros(len(self.line), np.uint64)
@@ -103,9 +106,22 @@ def _samples(x: Lines, docs: np.ndarray) -> list:
     doc = np.repeat(place[x.doc], x.count)
     w = tv.window_hash(x.tokens, WINDOW)
     at = np.flatnonzero((doc[:len(w)] == doc[len(doc) - len(w):]) & (doc[:len(w)] >= 0))
-    # document and hash in one integer, which sorts fast
-    w = np.unique((doc[at].astype(np.uint64) << U64(40)) | (w[at] >> U64(24)))
-    ends = np.searchsorted(w, np.arange(len(docs) + 1).astype(np.uint64) << U64(40))
+    doc, w = doc[at].astype(np.uint64), w[at] >> U64(24)
+    # only hashes below a document's limit are sorted; it lets enough through
+    # but for texts that repeat themselves, which are then taken whole
+    size = np.bincount(doc.astype(np.int64), minlength=len(docs))
+    all_of = 1 << 40
+    limit = np.where(size > 8 * SAMPLE, all_of // np.maximum(size, 1) * 4 * SAMPLE, all_of).astype(np.uint64)
+    while True:
+        low = w < limit[doc.astype(np.int64)]
+        # document and hash in one integer, which sorts fast
+        held = np.unique((doc[low] << U64(40)) | w[low])
+        ends = np.searchsorted(held, np.arange(len(docs) + 1).astype(np.uint64) << U64(40))
+        few = (np.diff(ends) < SAMPLE) & (limit < U64(all_of))
+        if not few.any():
+            break
+        limit[few] = all_of
+    w = held
     lo, hi = ends[:-1], ends[1:]
     w = (w & U64((1 << 40) - 1)).astype(np.int64)
     first = np.searchsorted(x.doc, docs)
@@ -125,7 +141,7 @@ def _leaves(depth, min_tokens):
 
         for big in lean(batches):
             for b in chunks(big, "text"):
-                x = Lines(*flat(b.column(b.schema.get_field_index("text"))), depth)
+                x = Lines(*flat(b.column(b.schema.get_field_index("text"))), depth, whole=False)
                 own = np.flatnonzero(x.count >= min_tokens)
                 _, one = np.unique(tv.mix(x.leaf[own] + x.doc[own].astype(np.uint64) * U64(0x9E3779B97F4A7C15)), return_index=True)
                 held.append(np.unique(x.leaf[own[one]], return_counts=True))
