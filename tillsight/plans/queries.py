@@ -19,6 +19,7 @@ from tillsight.operators import cohorts as CO
 from tillsight.operators import customers as CU
 from tillsight.operators import daily as D
 from tillsight.operators import ranking as RK
+from tillsight.operators import refresh as RF
 from tillsight.operators import reporting as RP
 from tillsight.operators import segments as SG
 from tillsight.plans.oracle import CENTS, MONEY_SUM, R, sql, with_stages
@@ -234,6 +235,19 @@ def q_daily_totals(spark, sf):
     return daily(spark, sf)
 
 
+@register("daily_totals_incremental", with_stages("daily", "SELECT * FROM daily"))
+def q_daily_totals_incremental(spark, sf):
+    """The same totals from three batches of lines: the newest year's lines, the
+    older ones, and late lines of all months, which split their invoices' days."""
+    def make():
+        root, lines = FS.fresh_path(spark, "daily_batches"), sales(spark, sf)
+        late, new = F.pmod(F.hash("InvoiceNo", "StockCode"), F.lit(10)) == 0, F.year("InvoiceDate") >= 2001
+        for name, rows in (("old", ~late & ~new), ("new", ~late & new), ("late", late)):
+            RF.refresh_daily(spark, root, RF.add_batch(lines.filter(rows), root, name))
+        return root
+    return RF.read_daily(spark, once(spark, sf, "daily_batches", make))
+
+
 @register("identified_only", sql("SELECT * FROM clean WHERE CustomerID IS NOT NULL", "clean"))
 def q_identified_only(spark, sf):
     return CU.identified_only(sales(spark, sf))
@@ -624,6 +638,12 @@ def q_daily_features(spark, sf):
     return features(spark, sf)
 
 
+@register("daily_features_blocked", sql("SELECT * FROM features", "features"))
+def q_daily_features_blocked(spark, sf):
+    """The same features from blocks of a year with the rows before them."""
+    return D.blocked_series(daily(spark, sf), lambda d, keys: D.daily_features(d, keys))
+
+
 @register("chronological_split", sql("""
 SELECT date, units_sold, CASE WHEN pos >= n - least(60, greatest(n // 5, 1)) THEN 'test'
                               ELSE 'train' END AS split
