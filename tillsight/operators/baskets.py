@@ -11,7 +11,6 @@ from __future__ import annotations
 
 import math
 
-from pyspark import StorageLevel
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -60,10 +59,10 @@ def frequent_itemsets(baskets: DataFrame, min_support: float = MIN_SUPPORT) -> D
 
     FP-growth's own threshold is ceil(minSupport * n), which rounding can
     push one above the exact one; it is run with a threshold just below and
-    the exact test is applied afterwards. The baskets are persisted (spill
-    to disk allowed; lost blocks are recomputed from lineage) so the count
-    and the FP-growth passes do not rebuild them from the transactions."""
-    baskets = baskets.persist(StorageLevel.MEMORY_AND_DISK)
+    the exact test is applied afterwards. The baskets are written once, so
+    the count and the FP-growth passes do not rebuild them from the
+    transactions, and no executor storage is held afterwards."""
+    baskets = materialize(baskets)
     n = baskets.count()
     schema = "items array<string>, freq bigint, support double"
     if n == 0:
@@ -81,7 +80,8 @@ def association_rules(itemsets: DataFrame, min_confidence: float = MIN_CONFIDENC
     every split of every frequent itemset with confidence >= threshold.
 
     support = supp(A u C), confidence = supp(A u C) / supp(A),
-    lift = confidence / supp(C). No itemsets -> empty table.
+    lift = confidence / supp(C). No itemsets -> empty table. Sorted by falling
+    confidence, then support (ties by the two texts).
 
     Consequents grow item by item: confidence cannot rise as items move from
     the antecedent to the consequent, so only consequents that reach the
@@ -109,7 +109,8 @@ def association_rules(itemsets: DataFrame, min_confidence: float = MIN_CONFIDENC
                   .withColumn("lift", F.col("confidence") / F.col("_sc")))
     return rules.select(F.array_join("_a", ", ").alias("antecedents"),
                         F.array_join("_c", ", ").alias("consequents"),
-                        "support", "confidence", "lift")
+                        "support", "confidence", "lift").orderBy(
+        F.desc("confidence"), F.desc("support"), "antecedents", "consequents")
 
 
 def filter_rules(rules: DataFrame, min_confidence: float) -> DataFrame:

@@ -681,15 +681,20 @@ def item_baskets(spark, sf):
     return B.build_baskets(sales(spark, sf), "ItemType", None)
 
 
-BASKETS_SQL = """
-ib AS (SELECT InvoiceNo, list_sort(list_distinct(list(ItemType))) AS items FROM clean
-       WHERE ItemType IS NOT NULL AND InvoiceNo IS NOT NULL GROUP BY InvoiceNo
-       HAVING len(list_distinct(list(ItemType))) > 1),
+def product_baskets(spark, sf):
+    return B.build_baskets(sales(spark, sf), "Description", 200)
+
+
+def rules_sql(baskets: str, support: float, confidence: float) -> str:
+    """Itemsets (``fi``) and rules (``rules``) of the table ``ib`` that
+    ``baskets`` defines, from all subsets of every basket."""
+    return f"""
+ib AS ({baskets}),
 nb AS (SELECT count(*) AS n FROM ib),
 subs AS (SELECT list_filter(items, lambda x, i: (m >> (i - 1)) & 1 = 1) AS items
          FROM (SELECT items, unnest(range(1, (1 << len(items)))) AS m FROM ib)),
 fi AS (SELECT items, count(*) AS freq, count(*) / (SELECT n FROM nb) AS support FROM subs
-       GROUP BY items HAVING count(*) / (SELECT n FROM nb) >= 0.01),
+       GROUP BY items HAVING count(*) / (SELECT n FROM nb) >= {support}),
 sp AS (SELECT items, support, list_filter(items, lambda x, i: (m >> (i - 1)) & 1 = 1) AS a,
               list_filter(items, lambda x, i: (m >> (i - 1)) & 1 = 0) AS c
        FROM (SELECT items, support, unnest(range(1, (1 << len(items)) - 1)) AS m FROM fi
@@ -698,17 +703,40 @@ rules AS (SELECT array_to_string(sp.a, ', ') AS antecedents, array_to_string(sp.
                  sp.support, sp.support / fa.support AS confidence,
                  sp.support / fa.support / fc.support AS lift
           FROM sp JOIN fi fa ON fa.items = sp.a JOIN fi fc ON fc.items = sp.c
-          WHERE sp.support / fa.support >= 0.2)"""
+          WHERE sp.support / fa.support >= {confidence})"""
 
 
-@register("build_baskets", sql("""
+BASKETS_SQL = rules_sql("""
+SELECT InvoiceNo, list_sort(list_distinct(list(ItemType))) AS items FROM clean
+WHERE ItemType IS NOT NULL AND InvoiceNo IS NOT NULL GROUP BY InvoiceNo
+HAVING len(list_distinct(list(ItemType))) > 1""", 0.01, 0.2)
+
+PRODUCT_BASKETS_SQL = """
 SELECT InvoiceNo, list_sort(list_distinct(list(Description))) AS items FROM prod
 WHERE Description IN (SELECT Description FROM prod GROUP BY Description
                       ORDER BY sum(Quantity) DESC, Description LIMIT 200)
   AND InvoiceNo IS NOT NULL
-GROUP BY InvoiceNo HAVING len(list_distinct(list(Description))) > 1""", "products"))
+GROUP BY InvoiceNo HAVING len(list_distinct(list(Description))) > 1"""
+
+# Products are bought together a few times at most in the test tables, so that
+# only single ones reach the usual support of 0.01.
+RARE_SUPPORT, RARE_CONFIDENCE = 0.0005, 0.05
+
+
+@register("build_baskets", sql(PRODUCT_BASKETS_SQL, "products"))
 def q_build_baskets(spark, sf):
-    return B.build_baskets(sales(spark, sf), "Description", 200)
+    return product_baskets(spark, sf)
+
+
+@register("product_itemsets", sql("SELECT items, freq, support FROM fi", "products", extra=rules_sql(PRODUCT_BASKETS_SQL, 0.01, 0.2)))
+def q_product_itemsets(spark, sf):
+    return B.frequent_itemsets(product_baskets(spark, sf))
+
+
+@register("product_rules", sql("SELECT * FROM rules", "products", extra=rules_sql(PRODUCT_BASKETS_SQL, RARE_SUPPORT, RARE_CONFIDENCE)))
+def q_product_rules(spark, sf):
+    """Rules over the 200 top products, at a support that their baskets reach."""
+    return B.association_rules(B.frequent_itemsets(product_baskets(spark, sf), RARE_SUPPORT), RARE_CONFIDENCE)
 
 
 @register("frequent_itemsets", sql("SELECT items, freq, support FROM fi", "clean", extra=BASKETS_SQL))
