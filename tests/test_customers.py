@@ -1,5 +1,7 @@
 """Customer features, churn data set, cohorts and KPIs on edge rows."""
 
+import datetime as dt
+
 import pytest
 
 from tillsight.operators import clean as C
@@ -71,6 +73,29 @@ def test_cohort_period_zero_is_100(tx):
     assert wide["2020-02"]["2"] is None and wide["2020-01"]["2"] == 50.0
 
 
+def test_cohorts_over_more_months_than_a_word(spark):
+    """Random months of 40 years, against sets in Python."""
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    lines = [(int(c) if c else None, dt.datetime(1980 + int(m) // 12, int(m) % 12 + 1, int(rng.integers(1, 29))))
+             for c, m in zip(rng.integers(0, 60, 3000), rng.integers(0, 480, 3000))] + [(1, None)] * 3
+    df = spark.createDataFrame(lines, "CustomerID long, InvoiceDate timestamp_ntz")
+    own = {}
+    for c, d in lines:
+        if c is not None and d is not None:
+            own.setdefault(c, set()).add(d.year * 12 + d.month - 1)
+    want = {}
+    for months in own.values():
+        first = min(months)
+        for m in months:
+            key = (f"{first // 12}-{first % 12 + 1:02d}", m - first)
+            want[key] = want.get(key, 0) + 1
+    got = {(r.cohort_month, r.period_number): r.customers for r in CO.cohort_retention_long(df).collect()}
+    assert got == want and max(p for _, p in got) > 400
+    assert CO.cohort_retention_long(df.limit(0)).count() == 0
+
+
 def test_kpis_vs_daily_orders_midnight(tx):
     df = _typed(tx([("1", "A", "a", 1, "2020-01-01 23:59", 1.0, 1, "X"),
                     ("1", "B", "b", 1, "2020-01-02 00:01", 1.0, 1, "X")]))
