@@ -99,6 +99,18 @@ def is_folder(spark: SparkSession, path: str) -> bool:
     return path_exists(spark, path) and _file_system(spark, path).getFileStatus(_hadoop_path(spark, path)).isDirectory()
 
 
+def folder_names(spark: SparkSession, path: str) -> list[str]:
+    """Names of a folder's entries; none if it doesn't exist."""
+    if not path_exists(spark, path):
+        return []
+    return [s.getPath().getName() for s in _file_system(spark, path).listStatus(_hadoop_path(spark, path))]
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of a table that this library wrote."""
+    _file_system(spark, path).delete(_hadoop_path(spark, path), True)
+
+
 def _hadoop_path(spark: SparkSession, path: str):
     return spark._jvm.org.apache.hadoop.fs.Path(path)
 

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tillsight.session import checkpoint_dir
-from tillsight.sources.files import is_folder
+from tillsight.sources.files import folder_names, is_folder, path_exists, remove
 
 EVENT_SCHEMA = ("event_id long, ts timestamp_ntz, user_id long, event_type string, "
                 "value double, props string")
@@ -79,23 +79,86 @@ def run_available(df: DataFrame, name: str, mode: str = "append", root: str | No
     return out
 
 
-def stream_customer_rfm(events: DataFrame, name: str = "customer_rfm", root: str | None = None) -> str:
-    """Running per-user frequency, value and last event, maintained with an
-    update-mode aggregation whose changed rows are appended per micro-batch
-    (``foreachBatch``) with their batch id. ``latest_profiles`` reads the
-    newest version of every user. Returns the table path."""
+PROFILE_SCHEMA = "user_id long, frequency long, value_cents long, last_event timestamp"
+
+
+def merge_profiles(parts: DataFrame) -> DataFrame:
+    """One profile per user from partial ones (sums and a maximum, so they
+    merge in any grouping; a hot user is combined before the shuffle)."""
+    return parts.groupBy("user_id").agg(F.sum("frequency").alias("frequency"), F.sum("value_cents").alias("value_cents"),
+                                        F.max("last_event").alias("last_event"))
+
+
+class ProfileTable:
+    """Running profiles, keyed by user, as a snapshot and the batches after it.
+
+    A micro-batch writes its own partial profiles to ``delta/<batch>``. Every
+    ``compact_every`` batches the newest snapshot and the deltas after it become
+    ``snapshot/<batch>``; what an older snapshot had is then deleted, but for the
+    one before, which a reader may still hold. So the table holds two rows a user
+    at most, and the rows of the batches since. The stream itself keeps no state.
+
+    A batch that is run again after a failure replaces its own delta, and a
+    snapshot counts once its ``_SUCCESS`` file is there. Deltas up to the
+    snapshot are not read, so a batch already in it isn't counted twice."""
+
+    def __init__(self, spark: SparkSession, path: str, compact_every: int = 10):
+        self.spark, self.path, self.compact_every = spark, path, compact_every
+
+    def _done(self, kind: str) -> list[int]:
+        folder = f"{self.path}/{kind}"
+        return sorted(int(n) for n in folder_names(self.spark, folder)
+                      if path_exists(self.spark, f"{folder}/{n}/_SUCCESS"))
+
+    def _rows(self, newest: int | None, deltas: list[int]) -> DataFrame:
+        paths = [f"{self.path}/delta/{d}" for d in deltas] + ([] if newest is None else [f"{self.path}/snapshot/{newest}"])
+        return merge_profiles(self.spark.read.schema(PROFILE_SCHEMA).parquet(*paths) if paths
+                              else self.spark.createDataFrame([], PROFILE_SCHEMA))
+
+    def add(self, batch: DataFrame, batch_id: int) -> None:
+        """Store the events of a micro-batch."""
+        part = (batch.groupBy("user_id")
+                .agg(F.count(F.lit(1)).alias("frequency"),
+                     F.sum(F.rint(F.col("value") * 100).cast("long")).alias("value_cents"),
+                     F.max("ts").alias("last_event")))
+        part.write.mode("overwrite").parquet(f"{self.path}/delta/{batch_id}")
+        if (batch_id + 1) % self.compact_every == 0:
+            self.compact(batch_id)
+
+    def compact(self, upto: int) -> None:
+        """Fold the deltas up to ``upto`` into a snapshot and delete what two
+        snapshots no longer need."""
+        done = self._done("snapshot")
+        if upto not in done:
+            before = max((s for s in done if s < upto), default=None)
+            deltas = [d for d in self._done("delta") if d <= upto and (before is None or d > before)]
+            self._rows(before, deltas).write.mode("overwrite").parquet(f"{self.path}/snapshot/{upto}")
+            done = sorted([*done, upto])
+        for old in done[:-2]:
+            remove(self.spark, f"{self.path}/snapshot/{old}")
+        for d in self._done("delta"):
+            if len(done) > 1 and d <= done[-2]:
+                remove(self.spark, f"{self.path}/delta/{d}")
+
+    def read(self) -> DataFrame:
+        """The newest profile of every user."""
+        newest = max(self._done("snapshot"), default=None)
+        return self._rows(newest, [d for d in self._done("delta") if newest is None or d > newest])
+
+
+def stream_customer_rfm(events: DataFrame, name: str = "customer_rfm", root: str | None = None,
+                        base: str | None = None, compact_every: int = 10) -> str:
+    """Running per-user frequency, value and last event of a stream, in a
+    ``ProfileTable``; returns its path for ``latest_profiles``. Passing the same
+    ``base`` again resumes with new files only."""
     spark = events.sparkSession
-    base = os.path.join(root or checkpoint_dir(spark), "streams", f"{name}-{uuid.uuid4().hex[:8]}")
+    base = base or os.path.join(root or checkpoint_dir(spark), "streams", f"{name}-{uuid.uuid4().hex[:8]}")
     table, ck = os.path.join(base, "table"), os.path.join(base, "checkpoint")
-    agg = (events.groupBy("user_id")
-           .agg(F.count(F.lit(1)).alias("frequency"),
-                F.sum(F.rint(F.col("value") * 100).cast("long")).alias("value_cents"),
-                F.max("ts").alias("last_event")))
 
     def sink(batch: DataFrame, batch_id: int):
-        batch.withColumn("batch_id", F.lit(batch_id)).write.mode("append").parquet(table)
+        ProfileTable(batch.sparkSession, table, compact_every).add(batch, batch_id)
 
-    q = (agg.writeStream.outputMode("update").option("checkpointLocation", ck)
+    q = (events.select("user_id", "value", "ts").writeStream.option("checkpointLocation", ck)
          .foreachBatch(sink).trigger(availableNow=True).start())
     q.awaitTermination()
     if q.exception():
@@ -104,12 +167,6 @@ def stream_customer_rfm(events: DataFrame, name: str = "customer_rfm", root: str
 
 
 def latest_profiles(spark: SparkSession, table: str) -> DataFrame:
-    """Newest row per user of a ``stream_customer_rfm`` table (an aggregate
-    ``max_by`` on batch id; no window). A micro-batch replayed after a
-    failure appends identical rows under the same batch id, so the result
-    is unchanged: the append sink is safe to retry."""
-    t = spark.read.parquet(table)
-    cols = [c for c in t.columns if c not in ("user_id", "batch_id")]
-    return (t.groupBy("user_id").agg(F.max_by(F.struct(*cols), F.col("batch_id")).alias("r"))
-             .select("user_id", "r.frequency", (F.col("r.value_cents") / 100.0).alias("monetary"),
-                     F.col("r.last_event").alias("last_event")))
+    """Newest row per user of a ``stream_customer_rfm`` table."""
+    return ProfileTable(spark, table).read().select(
+        "user_id", "frequency", (F.col("value_cents") / 100.0).alias("monetary"), "last_event")
