@@ -52,20 +52,25 @@ def customer_span(df: DataFrame) -> DataFrame:
               .agg(whole_days(F.min("InvoiceDate"), F.max("InvoiceDate")).alias("span_days")))
 
 
+def snapshot_of(df: DataFrame, drop_zero: bool = True) -> DataFrame:
+    """One row: a day after the last line of the identified rows."""
+    return (identified_only(df, drop_zero=drop_zero)
+            .agg(F.timestamp_add("DAY", F.lit(1), F.max("InvoiceDate")).alias("_snap")))
+
+
 def customer_features(df: DataFrame, snapshot=None, drop_zero: bool = True) -> DataFrame:
     """Recency, frequency, monetary, basket size and simple CLV per
     identified customer.
 
-    snapshot: a timestamp literal/string; default max(InvoiceDate) + 1 day of
-    the identified rows, computed as a one-row aggregate joined by broadcast.
+    snapshot: a timestamp literal/string, or the one-row frame of
+    ``snapshot_of``; default that of ``df``, joined by broadcast.
     Rounding chain: monetary 2 dp; active_months = max(span/30, 1) to 1 dp;
     orders per month = frequency / rounded months, 2 dp; CLV = AOV(2 dp) x
     orders per month x months, 2 dp."""
     ident = identified_only(df, drop_zero=drop_zero)
     cust = _per_customer(invoice_summary(ident))
-    if snapshot is None:
-        snap = ident.agg(F.timestamp_add("DAY", F.lit(1), F.max("InvoiceDate")).alias("_snap"))
-        cust = with_scalars(cust, snap)
+    if snapshot is None or isinstance(snapshot, DataFrame):
+        cust = with_scalars(cust, snapshot_of(df, drop_zero) if snapshot is None else snapshot)
     else:
         cust = cust.withColumn("_snap", F.lit(snapshot).cast("timestamp_ntz"))
     monetary = round_even(F.col("value_cents") / 100.0, 2)
@@ -94,18 +99,25 @@ def churn_cutoff(df: DataFrame, holdout_days: int = HOLDOUT_DAYS) -> DataFrame:
             .agg(F.timestamp_add("DAY", F.lit(-holdout_days), F.max("InvoiceDate")).alias("cutoff")))
 
 
-def churn_dataset(df: DataFrame, holdout_days: int = HOLDOUT_DAYS) -> DataFrame:
+def checked_cutoff(df: DataFrame, holdout_days: int = HOLDOUT_DAYS) -> DataFrame:
+    """``churn_cutoff`` that fails, when run, if nobody bought before it."""
+    cut = (identified_only(df)
+           .agg(F.timestamp_add("DAY", F.lit(-holdout_days), F.max("InvoiceDate")).alias("cutoff"),
+                F.min("InvoiceDate").alias("_first")))
+    return cut.filter(_guard(F.col("_first") < F.col("cutoff"), "no customer has transactions before "
+                             "the churn cutoff; reduce holdout_days")).drop("_first")
+
+
+def churn_dataset(df: DataFrame, holdout_days: int = HOLDOUT_DAYS, cutoff: DataFrame | None = None) -> DataFrame:
     """Customer features strictly before the cutoff, label from on/after it.
 
     churned = 1 when the customer has no line in the holdout window. Customer
     0 is kept. Fails (lazily, when run) if nobody bought before the cutoff.
     Two scans: the dates for the cutoff, then one grouping whose conditional
-    aggregates give features and label together."""
+    aggregates give features and label together. ``cutoff`` (one row) replaces
+    the cutoff of ``df`` where that holds a part of the customers only."""
     ident = identified_only(df)
-    cut = ident.agg(F.timestamp_add("DAY", F.lit(-holdout_days), F.max("InvoiceDate")).alias("cutoff"),
-                    F.min("InvoiceDate").alias("_first"))
-    cut = cut.filter(_guard(F.col("_first") < F.col("cutoff"), "no customer has transactions before "
-                            "the churn cutoff; reduce holdout_days")).drop("_first")
+    cut = checked_cutoff(df, holdout_days) if cutoff is None else cutoff
     early = F.col("InvoiceDate") < F.col("cutoff")
     inv = (with_scalars(ident, cut).groupBy("CustomerID", "InvoiceNo")
            .agg(F.min(F.when(early, F.col("InvoiceDate"))).alias("invoice_date"),

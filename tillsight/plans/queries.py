@@ -25,6 +25,7 @@ from tillsight.operators import segments as SG
 from tillsight.plans.oracle import CENTS, MONEY_SUM, R, sql, with_stages
 from tillsight.schema import FORECAST_FEATURES
 from tillsight.session import materialize
+from tillsight.sources import by_customer as BC
 from tillsight.sources import files as FS
 from tillsight.sources.fixtures import SOURCE_TABLES, retail_raw, table_path
 
@@ -313,6 +314,32 @@ def q_customer_features(spark, sf):
     return customers(spark, sf)
 
 
+def sales_by_customer(spark, sf) -> BC.ByCustomer:
+    """The cleaned lines, staged by customer once a session."""
+    return once(spark, sf, "by_customer", lambda: BC.write_by_customer(sales(spark, sf), FS.fresh_path(spark, "by_customer")))
+
+
+@register("invoice_summary_by_customer", ORACLE["invoice_summary"])
+def q_invoice_summary_by_customer(spark, sf):
+    inv = sales_by_customer(spark, sf).apply(CU.invoice_summary)
+    return inv.select("CustomerID", "InvoiceNo", "invoice_date",
+                      (F.col("value_cents") / 100.0).alias("invoice_value"), "basket_size")
+
+
+@register("customer_features_by_customer", ORACLE["customer_features"])
+def q_customer_features_by_customer(spark, sf):
+    lines = sales_by_customer(spark, sf)
+    snap = CU.snapshot_of(lines.all())
+    return lines.apply(lambda df: CU.customer_features(df, snapshot=snap))
+
+
+@register("churn_dataset_by_customer", sql("SELECT * FROM churn", "churn"))
+def q_churn_dataset_by_customer(spark, sf):
+    lines = sales_by_customer(spark, sf)
+    cut = CU.checked_cutoff(lines.all())
+    return lines.apply(lambda df: CU.churn_dataset(df, cutoff=cut))
+
+
 @register("cohort_retention_long", sql("SELECT * FROM cohort_long", "cohorts"))
 def q_cohort_retention_long(spark, sf):
     return CO.cohort_retention_long(sales(spark, sf))
