@@ -2,16 +2,25 @@
 response records.
 
 A response record is a row (record_id, target_uri, date, block), the block
-being the HTTP message. Each gives one ``metadata`` and one ``conversion``
-record that refer to it by its identifier, carry the source's URI, date, HTTP
-headers and payload digest along, name each other, and have a digest of their
-own block.
+being the HTTP message; it may have the source's own digests and WARC fields
+beside them (``source_block_digest``, ``source_payload_digest``,
+``source_fields``). Each gives one ``metadata`` and one ``conversion`` record
+that refer to it by its identifier, carry the source's URI, date, HTTP headers,
+WARC fields and digests along, name each other, and have a digest of their own
+block. Digests that the source lacks are computed: of its block, and of its
+payload, which is the body without its transfer encoding.
+
+The text comes from the decoded body: chunks joined, then ``gzip`` and
+``deflate`` undone. A body that was stored decoded, whatever its headers say, is
+taken as it is, and a broken one as far as it can be decoded. Other content
+encodings give an empty text and an ``undecoded`` line in the metadata.
 
 Defined results: a null or empty page gives a response with an empty payload
 and a conversion with an empty block; a null url leaves the target URI out; a
 null id becomes part of the identifier as the empty string; repeated rows give
 repeated records with equal identifiers; an empty table gives no records; only
-named columns are read.
+named columns are read. A very long page is handled whole, in memory of some
+times its decoded size.
 """
 
 from __future__ import annotations
@@ -19,8 +28,11 @@ from __future__ import annotations
 import base64
 import gzip
 import hashlib
+import io
 import uuid
+import zlib
 from collections.abc import Iterator
+from typing import BinaryIO
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -32,10 +44,11 @@ from tillsight.llm.html_blocks import scan
 NAMESPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # the URL namespace of RFC 4122
 RECORD = ("record_type string, record_id string, refers_to string, concurrent_to string, target_uri string, date string, "
           "content_type string, content_length long, block_digest string, payload_digest string, "
-          "source_headers map<string,string>, content string")
+          "source_block_digest string, source_fields map<string,string>, source_headers map<string,string>, content string")
+SOURCE = (("source_block_digest", "string"), ("source_payload_digest", "string"), ("source_fields", "map<string,string>"))
 _ARROW = pa.schema([(n, pa.string()) for n in ("record_type", "record_id", "refers_to", "concurrent_to", "target_uri", "date", "content_type")]
                    + [("content_length", pa.int64()), ("block_digest", pa.string()), ("payload_digest", pa.string()),
-                      ("source_headers", pa.map_(pa.string(), pa.string())), ("content", pa.string())])
+                      ("source_block_digest", pa.string()), ("source_fields", pa.map_(pa.string(), pa.string())), ("source_headers", pa.map_(pa.string(), pa.string())), ("content", pa.string())])
 
 
 def digest(data: bytes) -> str:
@@ -59,6 +72,58 @@ def http_message(block: bytes) -> tuple[list[tuple[str, str]], bytes]:
     return fields, payload
 
 
+def _tokens(fields, name: str) -> list[str]:
+    return [x.strip().lower() for k, v in fields if k.lower() == name for x in v.split(",") if x.strip()]
+
+
+def join_chunks(body: bytes) -> bytes:
+    """A chunked body without its chunk sizes and trailer."""
+    out, at = [], 0
+    while (end := body.find(b"\n", at)) >= 0:
+        try:
+            size = int(body[at:end].partition(b";")[0].strip(), 16)
+        except ValueError:
+            return b"".join(out) if at else body
+        if size <= 0:
+            break
+        out.append(body[end + 1:end + 1 + size])
+        at = end + 1 + size
+        at += 2 if body[at:at + 2] == b"\r\n" else body[at:at + 1] == b"\n"
+    return b"".join(out) if out or body[:1] == b"0" else body
+
+
+def inflate(body: bytes, raw: bool = False) -> bytes:
+    """Undo gzip (any number of members) or zlib, or a stream without header."""
+    out, rest = [], body
+    while rest:
+        stream = zlib.decompressobj(-15 if raw else 47)
+        try:
+            # by pieces, so that a broken stream gives what comes before the fault
+            for lo in range(0, len(rest), 1 << 16):
+                out.append(stream.decompress(rest[lo:lo + (1 << 16)]))
+                if stream.eof:
+                    rest = stream.unused_data + rest[lo + (1 << 16):]
+                    break
+            else:
+                break
+        except zlib.error:
+            break
+    return b"".join(out)
+
+
+def decode_body(fields, payload: bytes) -> tuple[bytes, bytes, str]:
+    """The body without its transfer encoding, that without its content
+    encodings too, and the name of one that can't be undone."""
+    entity = join_chunks(payload) if "chunked" in _tokens(fields, "transfer-encoding") else payload
+    body = entity
+    for coding in reversed(_tokens(fields, "content-encoding")):
+        if coding in ("gzip", "x-gzip", "deflate"):
+            body = inflate(body) or (inflate(body, raw=True) if coding == "deflate" else b"") or body
+        elif coding != "identity":
+            return entity, b"", coding
+    return entity, body, ""
+
+
 def _charset(fields) -> str:
     kind = next((v for k, v in fields if k.lower() == "content-type"), "").lower()
     name = kind.partition("charset=")[2].split(";")[0].strip(" \"'") or "utf-8"
@@ -69,23 +134,28 @@ def _charset(fields) -> str:
     return name
 
 
-def derivatives(record_id: str, uri: str | None, date: str | None, block: bytes) -> list[tuple]:
+def derivatives(record_id: str, uri: str | None, date: str | None, block: bytes, block_digest: str | None = None,
+                payload_digest: str | None = None, warc_fields=None) -> list[tuple]:
     """The metadata and the conversion record of one response record."""
     fields, payload = http_message(block)
+    payload, body, undecoded = decode_body(fields, payload)
     links, head = [], {}
-    source = payload.decode(_charset(fields), errors="replace")
+    source = body.decode(_charset(fields), errors="replace")
     text = "\n".join(b.text for b in scan(source, links, head) if not b.holder.in_head)
     ids = {k: identifier(record_id, k) for k in ("metadata", "conversion")}
     about = [("payload-length", str(len(payload))), ("text-length", str(len(text)))]
+    about += [("undecoded", undecoded)] if undecoded else []
     about += [(k, head[k]) for k in ("title", "lang") if head.get(k)]
     about += [("outlink", f"{x} L a/@href") for x in links]
     meta = "".join(f"{k}: {' '.join(v.split())}\r\n" for k, v in about)
-    headers, paid, out = {}, digest(payload), []
+    headers, out = {}, []
+    sums = payload_digest or digest(payload), block_digest or digest(block)
     for k, v in fields:  # fields sent twice are joined, as HTTP has it
         headers[k] = f"{headers[k]}, {v}" if k in headers else v
-    for kind, other, form, body in (("metadata", "conversion", "application/warc-fields", meta), ("conversion", "metadata", "text/plain; charset=utf-8", text)):
-        data = body.encode("utf-8", errors="replace")
-        out.append((kind, ids[kind], record_id, ids[other], uri, date, form, len(data), digest(data), paid, list(headers.items()), data.decode()))
+    for kind, other, form, made in (("metadata", "conversion", "application/warc-fields", meta), ("conversion", "metadata", "text/plain; charset=utf-8", text)):
+        data = made.encode("utf-8", errors="replace")
+        out.append((kind, ids[kind], record_id, ids[other], uri, date, form, len(data), digest(data), *sums,
+                    list(warc_fields or ()), list(headers.items()), data.decode()))
     return out
 
 
@@ -93,8 +163,8 @@ def _derive(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in lean(batches):
         for lo in range(0, b.num_rows, 256):
             rows, own = [], []
-            for key, rid, uri, date, block in zip(*(b.column(i).slice(lo, 256).to_pylist() for i in range(5)), strict=True):
-                made = derivatives(rid, uri, date, block or b"")
+            for key, rid, uri, date, block, *source in zip(*(b.column(i).slice(lo, 256).to_pylist() for i in range(8)), strict=True):
+                made = derivatives(rid, uri, date, block or b"", *source)
                 rows += made
                 own += [key] * len(made)
             cols = list(zip(*rows, strict=True)) if rows else [()] * len(_ARROW)
@@ -104,8 +174,10 @@ def _derive(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def derive(responses: DataFrame, key_col: str = "record_id") -> DataFrame:
     """Two linked records for each response row (record_id, target_uri, date,
-    block); ``source_key`` is the row's ``key_col``."""
-    src = responses.select(F.col(key_col).alias("source_key"), "record_id", "target_uri", "date", "block")
+    block, and the source's digests and fields where they are columns);
+    ``source_key`` is the row's ``key_col``."""
+    source = [F.col(n) if n in responses.columns else F.lit(None).cast(t).alias(n) for n, t in SOURCE]
+    src = responses.select(F.col(key_col).alias("source_key"), "record_id", "target_uri", "date", "block", *source)
     return src.mapInArrow(_derive, f"source_key {src.schema['source_key'].dataType.simpleString()}, {RECORD}")
 
 
@@ -128,44 +200,82 @@ def serialize(row) -> bytes:
     fields = [("WARC-Type", row["record_type"]), ("WARC-Record-ID", row["record_id"]), ("WARC-Date", row["date"]),
               ("WARC-Target-URI", row["target_uri"]), ("WARC-Refers-To", row["refers_to"]), ("WARC-Concurrent-To", row["concurrent_to"]),
               ("WARC-Block-Digest", row["block_digest"]), ("WARC-Source-Payload-Digest", row["payload_digest"]),
+              ("WARC-Source-Block-Digest", row["source_block_digest"]),
               ("Content-Type", row["content_type"]), ("Content-Length", str(row["content_length"]))]
     fields += [(f"WARC-Source-Header-{k.lstrip(':')}", v) for k, v in (row["source_headers"] or {}).items()]
+    fields += [(f"WARC-Source-Field-{k}", v) for k, v in (row["source_fields"] or {}).items()]
     head = "WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in fields if v is not None)
     return head.encode("utf-8") + b"\r\n" + row["content"].encode("utf-8") + b"\r\n\r\n"
 
 
+def _serialize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in lean(batches):
+        for lo in range(0, b.num_rows, 256):
+            made = [serialize(dict(r, source_fields=dict(r["source_fields"] or ()), source_headers=dict(r["source_headers"] or ()))).decode().removesuffix(END)
+                    for r in b.slice(lo, 256).to_pylist()]
+            yield pa.RecordBatch.from_pydict({"record": pa.array(made, pa.string())})
+
+
+#: What ends a record.
+END = "\r\n\r\n"
+
+
+def write_warc(derived: DataFrame, path: str, compression: str = "gzip") -> None:
+    """Write derived records as WARC files, one a task, to any file system that
+    Spark writes. A record is a line whose separator is what ends a record."""
+    derived.mapInArrow(_serialize, "record string").write.option("lineSep", END).option("compression", compression).text(path)
+
+
 def records(data: bytes) -> Iterator[tuple[dict, bytes]]:
     """(header fields with lower-case names, block) of each record of a WARC
-    file, plain or gzipped record by record."""
+    file, plain or gzipped as a whole or record by record; one record at a time
+    is unpacked. A field sent twice is joined by a comma, a folded one by a
+    space. A file that breaks off loses its last record only."""
+    file: BinaryIO = io.BytesIO(data)
     if data[:2] == b"\x1f\x8b":
-        data = gzip.decompress(data)
-    at = 0
-    while (start := data.find(b"WARC/", at)) >= 0:
-        cut = data.find(b"\r\n\r\n", start)
-        if cut < 0:
-            return
-        lines = data[start:cut].decode("utf-8", errors="replace").split("\r\n")[1:]
-        head = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines)}
-        size = int(head.get("content-length", 0))
-        yield head, data[cut + 4:cut + 4 + size]
-        at = cut + 4 + size
+        file = gzip.GzipFile(fileobj=file)
+    try:
+        while line := file.readline():
+            if not line.startswith(b"WARC/"):
+                continue
+            head, name = {}, ""
+            while (line := file.readline()).strip():
+                text = line.decode("utf-8", errors="replace")
+                if text[0] in " \t" and name:
+                    head[name] += " " + text.strip()
+                    continue
+                name, _, value = text.partition(":")
+                name = name.strip().lower()
+                head[name] = f"{head[name]}, {value.strip()}" if name in head else value.strip()
+            size = int(head.get("content-length") or 0)
+            block = file.read(size)
+            if len(block) < size:
+                return
+            yield head, block
+    except (EOFError, zlib.error, gzip.BadGzipFile):
+        return
 
 
 def _responses(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    text = pa.string()
+    kinds = pa.schema([("record_id", text), ("target_uri", text), ("date", text), ("block", pa.binary()),
+                       ("source_block_digest", text), ("source_payload_digest", text), ("source_fields", pa.map_(text, text))])
     for b in lean(batches):
-        for data in b.column(0).to_pylist():
-            for head, block in records(data):
+        for data in b.column(0):
+            for head, block in records(data.as_py()):
                 if head.get("warc-type") == "response":
-                    yield pa.RecordBatch.from_pydict({"record_id": [head.get("warc-record-id")], "target_uri": [head.get("warc-target-uri")],
-                                                      "date": [head.get("warc-date")], "block": [block]},
-                                                     schema=pa.schema([(n, pa.string()) for n in ("record_id", "target_uri", "date")] + [("block", pa.binary())]))
+                    row = [head.get("warc-record-id"), head.get("warc-target-uri"), head.get("warc-date"), block,
+                           head.get("warc-block-digest"), head.get("warc-payload-digest"), list(head.items())]
+                    yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(row, kinds, strict=True)], schema=kinds)
 
 
 def read_responses(spark, path: str) -> DataFrame:
-    """Response records of WARC files, read by Spark's binary file source (one
-    row a file, so files should be of the usual 1 GB at most)."""
+    """Response records of WARC files, with their own digests and all their WARC
+    fields, read by Spark's binary file source (one row a file, so files should
+    be of the usual 1 GB at most)."""
     files = spark.read.format("binaryFile").load(path).select("content")
-    return files.mapInArrow(_responses, "record_id string, target_uri string, date string, block binary")
+    return files.mapInArrow(_responses, "record_id string, target_uri string, date string, block binary, "
+                                        "source_block_digest string, source_payload_digest string, source_fields map<string,string>")
 
 
 def op3_warc_derivatives(spark, sf_dir):
