@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.ml import PipelineModel
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import VectorAssembler
@@ -11,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tillsight.ml.parallel import fit_all
-from tillsight.ml.silhouette import silhouette
+from tillsight.ml.silhouette import silhouette, squares
 from tillsight.ml.stages import ClusterLabels, fit_scaler
 from tillsight.operators.metrics import standardize
 from tillsight.operators.segments import label_clusters, map_labels
@@ -61,24 +64,104 @@ def assign_segments(pipeline: PipelineModel, cust: DataFrame, cols: Sequence[str
     return out.drop("features", *(f"{c}_z" for c in cols)).withColumns({c: F.col(c).cast(types[c]) for c in cols})
 
 
+TOL = 1e-4    # centres that move no farther have converged (MLlib's default)
+ROWS = 8192   # points measured at a time: their distances stay in a core's cache
+
+
+def nearest(points: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Place of the nearest centre (the first of equal ones) and squared
+    distance to it, for each point; ``points`` has a row a column."""
+    own, least = np.zeros(points.shape[1], dtype=np.int64), None
+    for j, centre in enumerate(centres):
+        square = squares(points, centre)
+        if least is None:
+            least = square
+            continue
+        closer = square < least
+        own[closer] = j
+        np.minimum(least, square, out=least)
+    return own, least
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """ROWS points a row, as the bytes of a table with a row a column."""
+    for b in batches:
+        for lo in range(0, b.num_rows, ROWS):
+            part = b.slice(lo, ROWS)
+            block = np.array([part.column(j).to_numpy() for j in range(part.num_columns)], dtype=float)
+            yield pa.RecordBatch.from_arrays([pa.array([block.tobytes()], pa.binary())], names=["block"])
+
+
+def _sums(models: dict[int, np.ndarray]):
+    """For every model (number: centres) a table with a row a cluster: points,
+    sum of each column, sum of squared distances to the centre."""
+    def run(blocks):
+        total = {i: np.zeros((len(centres), centres.shape[1] + 2)) for i, centres in models.items()}
+        for points in blocks:
+            for i, centres in models.items():
+                own, least = nearest(points, centres)
+                for j, x in enumerate((None, *points, least)):
+                    total[i][:, j] += np.bincount(own, x, len(centres))
+        yield total
+    return run
+
+
+def lloyd(data: DataFrame, cols: Sequence[str], starts: Sequence[np.ndarray], max_iter: int = 300,
+          tol: float = TOL) -> list[tuple[np.ndarray, float]]:
+    """k-means from each of the ``starts`` (rows are centres), all in the same
+    passes over ``data``: one job an iteration for all that have not converged,
+    instead of one for each. Gives the last centres and, as MLlib's
+    ``trainingCost``, the cost at those before. A cluster without points keeps
+    its centre. Tasks hand over one row a cluster."""
+    width = len(cols)
+    points = (data.select(*cols).mapInArrow(_blocks, "block binary").rdd
+              .map(lambda r: np.frombuffer(r[0]).reshape(width, -1)).persist(StorageLevel.MEMORY_AND_DISK))
+    depth = 1 if points.getNumPartitions() <= 64 else 2
+    centres, costs = [np.array(s, dtype=float) for s in starts], [0.0] * len(starts)
+    todo = list(range(len(starts)))
+    for _ in range(max_iter):
+        if not todo:
+            break
+        table = points.mapPartitions(_sums({i: centres[i] for i in todo})).treeReduce(
+            lambda a, b: {i: a[i] + b[i] for i in a}, depth)
+        going = []
+        for i in todo:
+            costs[i] = float(table[i][:, -1].sum())
+            at = np.flatnonzero(table[i][:, 0] > 0)
+            new = table[i][at, 1:-1] / table[i][at, :1]
+            if (((new - centres[i][at]) ** 2).sum(1) > tol * tol).any():
+                going.append(i)
+            centres[i][at] = new
+        todo = going
+    points.unpersist()
+    return list(zip(centres, costs))
+
+
+def with_cluster(data: DataFrame, cols: Sequence[str], centres: np.ndarray) -> DataFrame:
+    """``data`` with the place of each row's nearest centre."""
+    away = F.array(*[sum(((F.col(c) - F.lit(float(x))) ** 2 for c, x in zip(cols, centre)), F.lit(0.0)) for centre in centres])
+    return data.withColumn("_away", away).withColumn("cluster", (F.array_position("_away", F.array_min("_away")) - 1).cast("int")).drop("_away")
+
+
 def k_sweep(scored: DataFrame, ks: Iterable[int] = range(2, 9), seed: int = 42, starts: int = 10,
             max_iter: int = 300) -> DataFrame:
     """Inertia and Euclidean silhouette for each k (the elbow table), each of
     the best of ``starts`` fits; ``silhouette_error`` is the half width of the
     interval that holds it. The best k by silhouette is flagged but not used."""
-    data = materialize(scaled_rfm(scored))
+    cols = [f"{c}_z" for c in RFM_COLS]
+    data = materialize(scaled_rfm(scored).select("features", *cols))
     ks = list(ks)
 
-    def fit(job):
+    def start(job):  # the centres that MLlib's k-means|| starts from
         k, i = job
-        m = KMeans(k=k, seed=seed + i, maxIter=max_iter, featuresCol="features", predictionCol="cluster").fit(data)
-        return k, m.summary.trainingCost, i, m
+        return np.array(KMeans(k=k, seed=seed + i, maxIter=0, featuresCol="features", predictionCol="cluster").fit(data).clusterCenters())
 
     def judge(k):
-        _, cost, _, m = min((r for r in fits if r[0] == k), key=lambda r: (r[1], r[2]))
-        return int(k), float(cost), *silhouette(m.transform(data), [f"{c}_z" for c in RFM_COLS])
+        centres, cost = min((f for (own, _), f in zip(jobs, fits) if own == k), key=lambda f: f[1])  # equal costs: the earlier start
+        return int(k), cost, *silhouette(materialize(with_cluster(data, cols, centres).select("cluster", *cols)), cols)
 
-    fits = fit_all(fit, [(k, i) for k in ks for i in range(starts)])
+    jobs = [(k, i) for k in ks for i in range(starts)]
+    fits = lloyd(data, cols, fit_all(start, jobs), max_iter)
     rows = fit_all(judge, ks)
     spark = scored.sparkSession
     out = spark.createDataFrame(rows, "k int, inertia double, silhouette double, silhouette_error double")

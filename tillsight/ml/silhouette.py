@@ -23,18 +23,28 @@ FIRST_CELLS = 50_000        # cells of the first grid
 MOST_CELLS = 2_000_000      # cells of the finest grid (about 100 MB broadcast)
 LEVELS = range(-6, 21)      # cell sides 2^6 to 2^-20
 POINTS = 64                 # neighbouring points that walk the tree together
-NODES = 20_000              # nodes measured at a time
+NODES = 1024                # nodes measured at a time: their distances stay in a core's cache
 
 
 def _keys(cols: Sequence[str], level: int):
     return [F.floor(F.col(c) * F.lit(2.0 ** level)).cast("long") for c in cols]
 
 
-def cell_counts(df: DataFrame, cols: Sequence[str], cluster: str = "cluster") -> dict[int, int]:
-    """Approximate number of occupied cells at each level, from one pass."""
-    row = df.agg(*[F.approx_count_distinct(F.xxhash64(F.col(cluster), *_keys(cols, v)), 0.02).alias(f"l{v}")
-                   for v in LEVELS]).first()
-    return {v: row[f"l{v}"] for v in LEVELS}
+def cell_count(df: DataFrame, cols: Sequence[str], level: int, cluster: str = "cluster") -> int:
+    """Approximate number of occupied cells of a level, from one pass."""
+    return df.agg(F.approx_count_distinct(F.xxhash64(F.col(cluster), *_keys(cols, level)), 0.02)).first()[0]
+
+
+def finest_level(df: DataFrame, cols: Sequence[str], most: int, counts: dict[int, int], cluster: str = "cluster") -> int:
+    """The finest level with at most ``most`` occupied cells, else the coarsest,
+    by halving: finer cells are never fewer. ``counts`` keeps what was counted."""
+    low, high = LEVELS[0], LEVELS[-1]
+    while low < high:
+        mid = (low + high + 1) // 2
+        if mid not in counts:
+            counts[mid] = cell_count(df, cols, mid, cluster)
+        low, high = (mid, high) if counts[mid] <= most else (low, mid - 1)
+    return low
 
 
 def cells(df: DataFrame, cols: Sequence[str], level: int, cluster: str = "cluster") -> DataFrame:
@@ -74,6 +84,16 @@ def build_tree(table: pd.DataFrame, dims: int, side: float) -> list[dict]:
     return tree[::-1]
 
 
+def squares(a: np.ndarray, b: np.ndarray, out: np.ndarray | None = None, work: np.ndarray | None = None) -> np.ndarray:
+    """Squared distances, summed column by column (the first axis of both)."""
+    total = np.subtract(a[0], b[0], out=out)
+    np.multiply(total, total, out=total)
+    for x, y in zip(a[1:], b[1:]):
+        off = np.subtract(x, y, out=work)
+        total += np.multiply(off, off, out=off)
+    return total
+
+
 def open_nodes(tree: list[dict], centre: np.ndarray, radius: float, gap: float):
     """(c, n, mean, var) of nodes that cover all points and whose two bounds
     lie at most ``gap`` apart (of cells: whatever they do) for every place
@@ -82,7 +102,7 @@ def open_nodes(tree: list[dict], centre: np.ndarray, radius: float, gap: float):
     at = np.arange(len(tree[0]["c"]))
     for depth, level in enumerate(tree):
         mean, var = level["mean"][at], level["var"][at]
-        near = np.maximum(np.sqrt(((mean - centre) ** 2).sum(1)) - radius, 0.0)
+        near = np.maximum(np.sqrt(squares(mean.T, centre)) - radius, 0.0)
         close = np.sqrt(near * near + var) - near <= gap if depth + 1 < len(tree) else np.ones(len(at), bool)
         taken.append([level[k][at[close]] for k in ("c", "n", "mean", "var")])
         far = at[~close]
@@ -100,13 +120,17 @@ def distance_sums(tree: list[dict], points: np.ndarray, n_clusters: int, gap: fl
     radius = float(np.sqrt(((points - centre) ** 2).sum(1).max()))
     c, n, mean, var = open_nodes(tree, centre, radius, gap)
     low, high = np.zeros((len(points), n_clusters)), np.zeros((len(points), n_clusters))
+    mine, mean = points.T[:, :, None], np.ascontiguousarray(mean.T)
+    space = np.empty((3, len(points), NODES))
     for i in range(0, len(c), NODES):
         part = slice(i, i + NODES)
-        square = ((points[:, None, :] - mean[None, part, :]) ** 2).sum(2)
+        square, off, root = space[:, :, :len(c[part])]
+        squares(mine, mean[:, part], square, off)
         weight = np.zeros((len(c[part]), n_clusters))
         weight[np.arange(len(weight)), c[part]] = n[part]
-        low += np.sqrt(square) @ weight
-        high += np.sqrt(square + var[part]) @ weight
+        low += np.sqrt(square, out=root) @ weight
+        square += var[part]
+        high += np.sqrt(square, out=root) @ weight
     return low, high
 
 
@@ -178,9 +202,9 @@ def silhouette(df: DataFrame, cols: Sequence[str], cluster: str = "cluster",
     df = df.select(cluster, *cols).dropna()
     if len(df.select(cluster).distinct().limit(2).collect()) < 2:
         return float("nan"), float("nan")
-    counts, most, gap = cell_counts(df, cols, cluster), FIRST_CELLS, tolerance
+    counts, most, gap = {}, FIRST_CELLS, tolerance
     while True:
-        level = max((v for v in LEVELS if counts[v] <= most), default=LEVELS[0])
+        level = finest_level(df, cols, most, counts, cluster)
         low, high = silhouette_interval(df, cols, level, gap, cluster)
         if (high - low) / 2 <= tolerance or most >= MOST_CELLS and gap <= tolerance / 64:
             return (low + high) / 2, (high - low) / 2
