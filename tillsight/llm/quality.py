@@ -35,7 +35,7 @@ ORDER = 5
 ROW_BYTES = 24
 #: N-grams in one part of the model, about, and text bytes that a task scores
 #: against all parts at once. The number of parts grows with the model.
-PART_ROWS, WAVE_BYTES = 1 << 20, 16 << 20
+PART_ROWS, WAVE_BYTES = 1 << 20, 8 << 20
 #: Half width of a band: this many robust standard deviations of the log2
 #: perplexity, and at least MIN_BITS. Where fewer than MIN_GROUP documents share
 #: a language and size, the band of the whole language holds.
