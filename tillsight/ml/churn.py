@@ -24,6 +24,10 @@ from tillsight.functions.scalars import with_scalars
 
 LABEL = "churned"
 
+#: Rows of one task of a fit, about. The forest holds counts and node ids of each
+#: row for every tree (some 4 KB for 300 trees).
+FIT_ROWS = 100_000
+
 
 def stratified_split(df: DataFrame, label: str = LABEL, train_frac: float = 0.75, seed: int = 42,
                      key: str = "CustomerID") -> DataFrame:
@@ -100,10 +104,14 @@ def _p1(col: str = "probability") -> F.Column:
 def churn_comparison(feats: DataFrame, trees: int = 300, seed: int = 42) -> tuple[DataFrame, dict, DataFrame]:
     """Fit both models on the train split and evaluate the test split in one
     grouped metric job. Returns (table sorted by ROC_AUC desc, models,
-    prepared data)."""
-    data = prepare(feats, seed=seed)
-    data = materialize(data.repartition(data.sparkSession.sparkContext.defaultParallelism))
+    prepared data). The fits have more tasks, not larger ones, for more rows."""
+    feats = materialize(feats)
+    cores = feats.sparkSession.sparkContext.defaultParallelism
+    tasks = cores * max(1, -(-feats.count() // (FIT_ROWS * cores)))
+    data = materialize(prepare(feats, seed=seed).repartition(tasks))
     train = data.filter(F.col("split") == "train")
+    if tasks > cores:  # a scan may have joined the files to fewer parts again
+        train = train.repartition(tasks)
     test = data.filter(F.col("split") == "test")
     n_train = train.count()
     fits = {"Logistic Regression": lambda: churn_logistic(train, n_train),
