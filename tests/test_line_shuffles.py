@@ -4,6 +4,7 @@ import datetime as dt
 import pytest
 
 from tillsight.operators import clean as C
+from tillsight.plans import queries as Q
 from tillsight.sources import fixtures as FX
 
 THRESHOLD = "spark.sql.autoBroadcastJoinThreshold"
@@ -72,3 +73,9 @@ def test_equal_lines_meet_without_another_shuffle(spark, tables):
         assert "Aggregate" in plan[:last]
     finally:
         spark.conf.set(THRESHOLD, before)
+
+
+def test_customer_lines_hold_what_customer_tables_need(spark, tables):
+    by = Q.sales_by_customer(spark, tables)
+    assert by.all().columns == list(Q.CUSTOMER_COLS)
+    assert by.all().count() == Q.sales(spark, tables).where("CustomerID is not null").count() > 0
