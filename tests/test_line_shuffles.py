@@ -79,3 +79,18 @@ def test_customer_lines_hold_what_customer_tables_need(spark, tables):
     by = Q.sales_by_customer(spark, tables)
     assert by.all().columns == list(Q.CUSTOMER_COLS)
     assert by.all().count() == Q.sales(spark, tables).where("CustomerID is not null").count() > 0
+
+
+@pytest.mark.parametrize("name", ["customer_features", "churn_dataset"])
+def test_lines_of_an_invoice_are_shuffled_once(spark, tx, name):
+    from tillsight.operators import customers as CU
+
+    lines = tx([(i, s, "x", 1, f"2020-0{1 + n % 9}-01 10:00", 2.0, c, "A") for n, (i, s, c) in enumerate(
+        [(i, s, c) for i in ("1", "2", None) for s in ("a", "b", None) for c in (7, 8, 0, None)] * 2)]).selectExpr("*", "Quantity * UnitPrice as TotalPrice")
+    if name == "customer_features":
+        before, after = CU.customer_features(lines), CU.customer_features(CU.by_invoice(lines), snapshot=CU.snapshot_of(lines))
+    else:
+        before, after = CU.churn_dataset(lines), CU.churn_dataset(CU.by_invoice(lines), cutoff=CU.checked_cutoff(lines))
+    assert sorted(map(repr, after.collect())) == sorted(map(repr, before.collect())) != []
+    plan = after._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
+    assert plan.count("Exchange hashpartitioning(CustomerID#") == 2 and plan.count("Exchange hashpartitioning(") == 2

@@ -23,6 +23,13 @@ def identified_only(df: DataFrame, drop_zero: bool = False) -> DataFrame:
     return df.filter(cond)
 
 
+def by_invoice(df: DataFrame) -> DataFrame:
+    """The identified lines, those of a customer's invoice together. A distinct
+    count of its stock codes then needs no shuffle by code and another by
+    invoice: the lines move once, with the columns that are used later."""
+    return identified_only(df).repartition("CustomerID", "InvoiceNo")
+
+
 def invoice_summary(df: DataFrame) -> DataFrame:
     """Per (customer, invoice): first line time, last line time, value in
     exact cents, distinct stock codes."""
