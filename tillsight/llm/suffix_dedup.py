@@ -204,37 +204,39 @@ def _shard(length, how):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with tempfile.TemporaryFile() as f:
             anchor, segment, copies, size = [], [], [], []
-            for b in lean(batches, reuse=True):
-                for a, s, n, text in zip(*(b.column(i) for i in range(4)), strict=True):
-                    data = text.as_buffer()
-                    anchor.append(a.as_py())
-                    segment.append(s.as_py())
-                    copies.append(n.as_py())
-                    size.append(data.size)
-                    f.write((np.frombuffer(data, dtype=np.uint8).astype(np.uint16) + 1).tobytes())
-                    f.write(b"\0\0")
+            for big in lean(batches, reuse=True):
+                for b in chunks(big, "content"):
+                    data, off = flat(b.column(b.schema.get_field_index("content")))
+                    for to, c in ((anchor, "anchor"), (segment, "segment"), (copies, "copies")):
+                        to.append(b.column(b.schema.get_field_index(c)).to_numpy())
+                    size.append(np.diff(off))
+                    inside = np.ones(len(data) + b.num_rows, dtype=bool)
+                    inside[off[1:] + np.arange(b.num_rows)] = False
+                    symbols = np.zeros(len(inside), dtype=np.uint16)
+                    symbols[inside] = data.astype(np.uint16) + 1
+                    f.write(symbols.tobytes())
             if not size:
                 return
+            anchor, segment, copies, size = (np.concatenate(x) for x in (anchor, segment, copies, size))
             f.flush()
             t = np.memmap(f, dtype=np.uint16, mode="r")
-            size = np.array(size, dtype=np.int64)
             end = np.cumsum(size + 1) - 1
             start = end - size
             own = np.repeat(np.arange(len(size)), size + 1)
             room = (end[own] - np.arange(len(t))).astype(np.int32)
-            hit = repeated_windows(t, room, (np.array(copies) > 1)[own], length, **how)
+            hit = repeated_windows(t, room, (copies > 1)[own], length, **how)
             edge = np.flatnonzero(np.diff(np.concatenate([[0], hit.astype(np.int8), [0]])))
             first, last = edge[::2], edge[1::2]  # runs never cross segments: their ends never fit
             seg = own[first]
             cut = np.searchsorted(seg, np.arange(len(size) + 1))
             some = np.flatnonzero(cut[1:] > cut[:-1])
+            first, last = ((x - start[seg]).astype(np.int32) for x in (first, last))
             for lo in range(0, len(some), 4096):
                 part = some[lo:lo + 4096]
-                yield pa.RecordBatch.from_arrays([
-                    pa.array([anchor[i] for i in part], pa.int64()), pa.array([segment[i] for i in part], pa.int64()),
-                    pa.array([(first[cut[i]:cut[i + 1]] - start[i]).astype(np.int32) for i in part], pa.list_(pa.int32())),
-                    pa.array([(last[cut[i]:cut[i + 1]] - start[i]).astype(np.int32) for i in part], pa.list_(pa.int32()))],
-                    names=["anchor", "segment", "first", "last"])
+                at = np.append(cut[part], cut[part[-1] + 1])  # the segments between have no runs
+                off = pa.array((at - at[0]).astype(np.int32))
+                yield pa.RecordBatch.from_arrays([pa.array(anchor[part]), pa.array(segment[part])] + [
+                    pa.ListArray.from_arrays(off, pa.array(x[at[0]:at[-1]])) for x in (first, last)], names=["anchor", "segment", "first", "last"])
     return run
 
 
