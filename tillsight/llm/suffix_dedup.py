@@ -10,7 +10,8 @@ the next GRAM bytes. Equal windows have equal anchors, so a window can only be
 repeated if its anchor's bytes are, and all windows of one anchor stand in one
 short segment of the text. Anchors whose bytes occur once are done; the
 segments of all others go to the shard of their anchor, equal segments once
-with their number. A shard's segments are suffix-sorted as one string, and a
+with their number. A shard's segments, cut to the windows whose surroundings of
+the anchor occur twice or more, are suffix-sorted as one string, and a
 window that fits its segment is repeated if a neighbour in the order shares
 ``length`` bytes with it, or its segment stands for several.
 
@@ -44,6 +45,8 @@ LENGTH, GRAM = 200, 32
 #: Text bytes that one shard sorts, about; copies in a chunk that are counted
 #: before the shuffle.
 SHARD_BYTES, COPIES = 3 << 19, 8
+#: Ranges of distances to the anchor, judged one by one before a shard is sorted.
+PARTS = 4
 U64 = np.uint64
 PLACE = U64((1 << 32) - 1)
 
@@ -198,26 +201,105 @@ def repeated_windows(t: np.ndarray, room: np.ndarray, many: np.ndarray, length:
     return hit
 
 
-def _shard(length, how):
-    """Suffix-sort the segments of a shard; the shard's string is collected in
-    a file. Gives the runs of repeated windows of each segment."""
+def places(data: np.ndarray, off: np.ndarray, anchor: np.ndarray, gram: int) -> np.ndarray:
+    """Where the anchor (the first place with its hash) of each segment stands
+    in it; -1 where ``anchor`` is no hash of its bytes (parts of ``split_hot``)."""
+    n = len(data) - gram + 1
+    if n < 1:
+        return np.full(len(anchor), -1)
+    prefix, (_, down) = tv.prefix_hash(data), tv._powers(len(data) + 1)
+    raw = tv.unmix(anchor.astype(np.uint64)) ^ (np.full(1, gram, dtype=np.uint64) * tv.LENGTH_CODE)
+    same = np.flatnonzero((prefix[gram:] - prefix[:-gram]) * down[:n] == np.repeat(raw, np.diff(off))[:n])
+    at = np.append(same, len(data))[np.searchsorted(same, off[:-1])]
+    return np.where(at + gram <= off[1:], at - off[:-1], -1)
+
+
+def shared_windows(anchor, copies, size, place, keys, length: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
+    """From and to of the bytes of each segment whose windows may be repeated in
+    the shard; empty where none are.
+
+    Windows are dealt into PARTS by their distance to the anchor. All windows of
+    a part hold the bytes that ``keys`` has hashed, so a window can only be
+    repeated if these bytes are, at the same distance to the same anchor."""
+    start, end = np.zeros(len(size), dtype=np.int64), size.astype(np.int64)
+    least, most = place + length - size, place
+    known = (place >= 0) & (least >= 0) & (most <= length - gram)
+    who, key = np.concatenate([w for w, _ in keys]), np.concatenate([k for _, k in keys])
+    part = np.repeat(np.arange(len(keys)), [len(w) for w, _ in keys])
+    _, inv = np.unique(tv.mix(key ^ tv.mix(anchor.astype(np.uint64)[who] + part.astype(np.uint64))), return_inverse=True)
+    twice = np.bincount(inv, weights=copies[who])[inv] >= 2
+    who, part = who[twice], part[twice]
+    low, high = np.array(parts_of(length, gram)).T
+    first, last = np.full(len(size), length, dtype=np.int64), np.full(len(size), -1, dtype=np.int64)
+    np.minimum.at(first, who, np.maximum(low[part], least[who]))
+    np.maximum.at(last, who, np.minimum(high[part], most[who]))
+    some = last >= 0
+    start[known] = np.where(some, place - last, 0)[known]
+    end[known] = np.where(some, place - first + length, 0)[known]
+    return start, end
+
+
+def parts_of(length: int, gram: int) -> list[tuple[int, int]]:
+    """Least and greatest distance to the anchor in each part."""
+    cut = np.linspace(0, length - gram + 1, PARTS + 1).astype(int).tolist()
+    return [(a, b - 1) for a, b in zip(cut, cut[1:], strict=False)]
+
+
+def part_keys(data: np.ndarray, off: np.ndarray, place: np.ndarray, length: int, gram: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(segments, hash of the bytes that their windows of the part share) of
+    each part."""
+    prefix, a = tv.prefix_hash(data), off[:-1] + place
+    least, most = place + length - np.diff(off), place
+    known, out = (place >= 0) & (least >= 0) & (most <= length - gram), []
+    for low, high in parts_of(length, gram):
+        own = np.flatnonzero(known & (np.maximum(low, least) <= np.minimum(high, most)))
+        out.append((own, tv.span_hash(prefix, a[own] - low, a[own] - high + length)))
+    return out
+
+
+def _shard(length, how, gram=GRAM):
+    """Suffix-sort the segments of a shard, without the ends that surely aren't
+    repeated; the string is collected in a file. Gives the runs of repeated
+    windows of each segment."""
+    gram = min(gram, length)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with tempfile.TemporaryFile() as f:
-            anchor, segment, copies, size = [], [], [], []
+            anchor, segment, copies, size, place, text, keys, n = [], [], [], [], [], [], [[] for _ in range(PARTS)], 0
             for big in lean(batches, reuse=True):
                 for b in chunks(big, "content"):
                     data, off = flat(b.column(b.schema.get_field_index("content")))
                     for to, c in ((anchor, "anchor"), (segment, "segment"), (copies, "copies")):
                         to.append(b.column(b.schema.get_field_index(c)).to_numpy())
                     size.append(np.diff(off))
-                    inside = np.ones(len(data) + b.num_rows, dtype=bool)
-                    inside[off[1:] + np.arange(b.num_rows)] = False
-                    symbols = np.zeros(len(inside), dtype=np.uint16)
-                    symbols[inside] = data.astype(np.uint16) + 1
-                    f.write(symbols.tobytes())
-            if not size:
+                    text.append(data.copy())
+                    place.append(places(data, off, anchor[-1], gram))
+                    for to, (who, key) in zip(keys, part_keys(data, off, place[-1], length, gram), strict=True):
+                        to.append((who + n, key))
+                    n += b.num_rows
+            if not n:
+                return
+            anchor, segment, copies, size, place = (np.concatenate(x) for x in (anchor, segment, copies, size, place))
+            keys = [tuple(map(np.concatenate, zip(*k, strict=True))) for k in keys]
+            begin, stop = shared_windows(anchor, copies, size, place, keys, length, gram)
+            own, done = np.flatnonzero(stop > begin), 0
+            if not len(own):
                 return
-            anchor, segment, copies, size = (np.concatenate(x) for x in (anchor, segment, copies, size))
+            for data in text:  # segments do not cross the chunks
+                mine = np.cumsum(size) - size
+                here = own[(mine[own] >= done) & (mine[own] < done + len(data))]
+                edge = np.zeros(len(data) + 1, dtype=np.int32)
+                np.add.at(edge, mine[here] + begin[here] - done, 1)
+                np.add.at(edge, mine[here] + stop[here] - done, -1)
+                kept = data[np.cumsum(edge[:-1]) > 0]
+                done += len(data)
+                inside = np.ones(len(kept) + len(here), dtype=bool)
+                inside[np.cumsum(stop[here] - begin[here]) + np.arange(len(here))] = False
+                symbols = np.zeros(len(inside), dtype=np.uint16)
+                symbols[inside] = kept.astype(np.uint16) + 1
+                f.write(symbols.tobytes())
+            del text, keys
+            anchor, segment, copies, begin, size = (x[own] for x in (anchor, segment, copies, begin, stop - begin))
             f.flush()
             t = np.memmap(f, dtype=np.uint16, mode="r")
             end = np.cumsum(size + 1) - 1
@@ -230,7 +312,7 @@ def _shard(length, how):
             seg = own[first]
             cut = np.searchsorted(seg, np.arange(len(size) + 1))
             some = np.flatnonzero(cut[1:] > cut[:-1])
-            first, last = ((x - start[seg]).astype(np.int32) for x in (first, last))
+            first, last = ((x - start[seg] + begin[seg]).astype(np.int32) for x in (first, last))
             for lo in range(0, len(some), 4096):
                 part = some[lo:lo + 4096]
                 at = np.append(cut[part], cut[part[-1] + 1])  # the segments between have no runs
@@ -336,7 +418,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", len
         hot = stage(sizes.where(F.col("bytes") > shard_bytes).select("anchor"), "hot")
         content, parts = split_hot(content, hot, shard_bytes, length, gram)
     shards = max(parallel, total // shard_bytes + 1)
-    spans = content.repartition(int(shards), "anchor").mapInArrow(_shard(length, how), "anchor long, segment long, first array<int>, last array<int>")
+    spans = content.repartition(int(shards), "anchor").mapInArrow(_shard(length, how, gram), "anchor long, segment long, first array<int>, last array<int>")
     spans = stage(spans, "spans")
     unstage(content)
     if parts is not None:

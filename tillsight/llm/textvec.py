@@ -9,6 +9,8 @@ U64 = np.uint64
 _R = 0x9E3779B97F4A7C13  # odd, 3 mod 8
 _RINV = pow(_R, -1, 1 << 64)
 _CODE = np.random.Generator(np.random.PCG64(20240601)).integers(1, 1 << 63, 256, dtype=np.uint64) * U64(2) + U64(1)
+#: What a span's length adds to its hash.
+LENGTH_CODE = U64(0x9FB21C651E98DF25)
 _POW = {"n": 0, "up": None, "down": None}
 
 #: ASCII white space: space and U+0009 to U+000D. No UTF-8 sequence of another
@@ -47,6 +49,16 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
+def unmix(h: np.ndarray) -> np.ndarray:
+    """The value that ``mix`` turns into ``h``."""
+    h = h ^ (h >> U64(32))
+    h *= U64(pow(0xC4CEB9FE1A85EC53, -1, 1 << 64))
+    h ^= (h >> U64(29)) ^ (h >> U64(58))
+    h *= U64(pow(0xFF51AFD7ED558CCD, -1, 1 << 64))
+    h ^= h >> U64(33)
+    return h
+
+
 def prefix_hash(data: np.ndarray) -> np.ndarray:
     """Running polynomial hash; ``span_hash`` cuts spans out of it."""
     up, _ = _powers(len(data) + 1)
@@ -59,7 +71,7 @@ def span_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
     """64-bit hash of data[start:end] for every span, whatever its place."""
     _, down = _powers(len(prefix))
     h = (prefix[end] - prefix[start]) * down[start]
-    return mix(h ^ ((end - start).astype(np.uint64) * U64(0x9FB21C651E98DF25)))
+    return mix(h ^ ((end - start).astype(np.uint64) * LENGTH_CODE))
 
 
 def words(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
