@@ -17,7 +17,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillsight.llm.common import split_by, stage, unshare
+from tillsight.llm.common import slim, split_by, stage, unshare
 from tillsight.llm.line_dedup import drop_lines
 from tillsight.llm.ngram_join import near_duplicates
 from tillsight.llm.packing import pack_documents
@@ -31,10 +31,11 @@ BATCH = "8m"
 
 def fresh(step: Callable) -> Callable:
     """A stage that first lets go of what earlier ones have left on executors,
-    and gets its texts in small batches."""
+    heap that was grown included, and gets its texts in small batches."""
     @functools.wraps(step)
     def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         unshare()
+        slim(spark)
         spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH)
         return step(spark, docs, sf_dir)
     return run
